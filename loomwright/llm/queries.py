@@ -60,4 +60,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_dedup, op2_quality_rules, op5_url_rules, op6_sequence_packing, op7_secret_scan, op9_token_counts)}
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import embedding_dedup as e
+
+    return e.dedup(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_dedup, op2_quality_rules, op5_url_rules, op6_sequence_packing, op7_secret_scan, op9_token_counts, op10_embedding_dedup)}
