@@ -25,6 +25,22 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", x["n_words"].alias("n_words"), x["word_chars"].alias("word_chars"), x["n_symbols"].alias("n_symbols"), x["lines"]["dup"].alias("n_dup_lines"), x["n_repeat_words"].alias("n_repeat_words"), q.base_failed(x).alias("base_failed"), F.col("__kept").alias("kept"))
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import source_mixing as m
+
+    mixed = m.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "source", F.col("__block").alias("block"), F.col("__slot").alias("slot"), F.col("__in_mix").alias("in_mix"))
+
+
+def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import lattice_lm as m
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return m.score(docs, F.crc32(F.col("doc_id").cast("string")) % 5 == 1, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import url_rules as u
 
@@ -66,4 +82,4 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.dedup(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_dedup, op2_quality_rules, op5_url_rules, op6_sequence_packing, op7_secret_scan, op9_token_counts, op10_embedding_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_dedup, op2_quality_rules, op3_source_mixing, op4_lattice_lm, op5_url_rules, op6_sequence_packing, op7_secret_scan, op9_token_counts, op10_embedding_dedup)}
