@@ -67,6 +67,13 @@ def op6_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii_surrogates as p
+
+    out = p.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), "loomwright")
+    return out.select("doc_id", F.col("__n_entities").cast("long").alias("n_entities"), F.col("__new_text").alias("text"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -82,4 +89,4 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.dedup(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_dedup, op2_quality_rules, op3_source_mixing, op4_lattice_lm, op5_url_rules, op6_sequence_packing, op7_secret_scan, op9_token_counts, op10_embedding_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_dedup, op2_quality_rules, op3_source_mixing, op4_lattice_lm, op5_url_rules, op6_sequence_packing, op7_secret_scan, op8_pii_surrogates, op9_token_counts, op10_embedding_dedup)}
