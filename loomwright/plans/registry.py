@@ -1,4 +1,8 @@
-"""Registered queries of the engine and the SQL that gives the same rows."""
+"""Registered queries of the engine over the shared tables, and the SQL that gives the same rows.
+
+The tables stand in for the catalog's own: part for inventory, orders of a customer for crawl jobs of a site, documents for knowledge rows,
+events for session and usage events, conversations for chat turns, pages for crawled pages.
+"""
 
 from __future__ import annotations
 
@@ -7,13 +11,281 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FLAGSHIP = "part_by_brand"
+from loomwright.functions import freshness, numbers, text, urls
+from loomwright.operators import aggregates, changes, inventory, keyed, rerank, vectors
+from loomwright.sources import pages as web
+from loomwright.streaming import sessions
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+FLAGSHIP = "keyword_score_topk"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@query("SELECT p_partkey, p_name, p_brand, p_size, p_retailprice FROM part WHERE p_brand = 'Brand#13' AND contains(lower(p_name), 'gear') AND p_size >= 5 AND p_size <= 40 AND p_retailprice <= 1500 ORDER BY p_retailprice, p_partkey LIMIT 50")
+def inventory_filter(spark, sf_dir):
+    found = inventory.filtered(read(spark, sf_dir, "part"), {"p_brand": "Brand#13"}, {"p_name": "gear"}, {"p_size": (5, 40), "p_retailprice": (None, 1500)})
+    return inventory.ordered(found, "price_asc", "p_retailprice", "p_partkey", "p_partkey").select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice").limit(50)
+
+
+@query("WITH t AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_size END AS p_size FROM part) SELECT p_partkey, p_size FROM t WHERE p_size IS NULL OR (p_size >= 10 AND p_size <= 20)")
+def inventory_filter_nullpass(spark, sf_dir):
+    holes = read(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 7 != 0, F.col("p_size")).alias("p_size"))
+    return inventory.filtered(holes, ranges={"p_size": (10, 20)}, lenient=True)
+
+
+@query("SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey IN (1, 3, 5)")
+def tenant_scan(spark, sf_dir):
+    return inventory.scoped(read(spark, sf_dir, "supplier"), [1, 3, 5], "s_nationkey").select("s_suppkey", "s_name")
+
+
+VECTOR = [round(((i * 37) % 19 - 9) / 10, 1) for i in range(64)]
+SIMILARITY = "list_dot_product(embedding::DOUBLE[], q.v) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q.v, q.v)))"
+
+
+@query(f"WITH q AS (SELECT {VECTOR}::DOUBLE[] AS v) SELECT vec_id, round({SIMILARITY}, 9) AS similarity FROM embeddings, q WHERE {SIMILARITY} > -1 ORDER BY {SIMILARITY} DESC, vec_id LIMIT 10")
+def vector_topk(spark, sf_dir):
+    return vectors.top_k(read(spark, sf_dir, "embeddings"), VECTOR, 10, "embedding", "vec_id").select("vec_id", F.round("similarity", 9).alias("similarity"))
+
+
+@query(f"WITH q AS (SELECT {VECTOR}::DOUBLE[] AS v) SELECT vec_id, label, round({SIMILARITY}, 9) AS similarity FROM embeddings, q WHERE label IN (2, 5) AND {SIMILARITY} > 0.05 ORDER BY {SIMILARITY} DESC, vec_id LIMIT 10")
+def vector_topk_scoped(spark, sf_dir):
+    scoped = inventory.scoped(read(spark, sf_dir, "embeddings"), [2, 5], "label")
+    return vectors.top_k(scoped, VECTOR, 10, "embedding", "vec_id", 0.05).select("vec_id", "label", F.round("similarity", 9).alias("similarity"))
+
+
+@query("SELECT doc_id, title, score FROM (SELECT doc_id, title, CASE WHEN contains(title, 'thing') THEN 60 WHEN contains(body, 'thing') THEN 20 ELSE 0 END + CASE WHEN contains(title, 'shed') THEN 60 WHEN contains(body, 'shed') THEN 20 ELSE 0 END AS score FROM (SELECT doc_id, lower(split_part(text, chr(10), 1)) AS title, lower(text) AS body FROM documents)) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20")
+def keyword_score_topk(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.lower(F.substring_index("text", "\n", 1)).alias("title"), F.lower("text").alias("body"))
+    score = sum((F.when(F.contains("title", F.lit(k)), 60).when(F.contains("body", F.lit(k)), 20).otherwise(0) for k in ("thing", "shed")), F.lit(0))
+    return docs.select("doc_id", "title", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(20)
+
+
+@query()
+def rerank_parts(spark, sf_dir):
+    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("title"), F.col("p_type").alias("category"), F.col("p_retailprice").alias("price"), F.col("p_brand").alias("tags"))
+    intent = rerank.Intent("hot gear under 1200", "catalog", ["hot", "gear"], max_price=1200.0)
+    return rerank.rerank(parts, intent, 20).select("id", "title", "price", "score")
+
+
+@query("SELECT doc_id, title FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '[^A-Za-z0-9_\\s-]', ' ', 'g'), '\\s+', ' ', 'g')) AS title, row_number() OVER (PARTITION BY trim(regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '[^A-Za-z0-9_\\s-]', ' ', 'g'), '\\s+', ' ', 'g')) ORDER BY n_chars DESC, doc_id) AS rn FROM documents WHERE lang = 'en') WHERE rn = 1")
+def title_dedupe(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "n_chars", text.normalize(F.substring_index("text", "\n", 1)).alias("title"))
+    return keyed.first_of(docs, F.col("title"), [F.desc("n_chars"), F.col("doc_id")]).select("doc_id", "title")
+
+
+@query("SELECT a.s_suppkey AS s_suppkey, a.s_name AS s_name, levenshtein(a.s_name, 'Supplier#000000001') AS distance FROM supplier a WHERE levenshtein(a.s_name, 'Supplier#000000001') <= 2")
+def fuzzy_match(spark, sf_dir):
+    distance = F.levenshtein("s_name", F.lit("Supplier#000000001"), 2)
+    return read(spark, sf_dir, "supplier").select("s_suppkey", "s_name", distance.alias("distance")).where("distance >= 0")
+
+
+@query("""WITH t AS (SELECT p_partkey, '$' || CAST(CAST(floor(p_retailprice) AS INT) AS VARCHAR) || '/mo for ' || p_size AS s FROM part)
+SELECT p_partkey, CAST(regexp_replace(s, '[^0-9.]', '', 'g') AS DOUBLE) AS all_digits, CAST(regexp_extract(s, '([0-9]+(?:[.][0-9]+)?)', 1) AS DOUBLE) AS first_number, CAST(NULL AS DOUBLE) AS with_k FROM t""")
+def price_parse_variants(spark, sf_dir):
+    s = F.concat(F.lit("$"), F.col("p_retailprice").cast("int").cast("string"), F.lit("/mo for "), F.col("p_size").cast("string"))
+    return read(spark, sf_dir, "part").select("p_partkey", numbers.digits_and_dots(s).alias("all_digits"), numbers.first_number(s).alias("first_number"), numbers.with_thousands(s).alias("with_k"))
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderdate, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1")
+def latest_job_per_site(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus")
+    return keyed.latest(orders, "o_custkey", [F.col("o_orderdate"), F.col("o_orderkey")])
+
+
+@query("SELECT s_suppkey, s_name, n_name, r_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
+def dim_chain_join(spark, sf_dir):
+    nation, region = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
+    out = read(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left").join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    return out.select("s_suppkey", "s_name", "n_name", "r_name")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def orphan_anti(spark, sf_dir):
+    return keyed.orphans(read(spark, sf_dir, "customer").select("c_custkey", "c_name"), read(spark, sf_dir, "orders"), "c_custkey", "o_custkey")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def referenced_semi(spark, sf_dir):
+    return keyed.referenced(read(spark, sf_dir, "customer").select("c_custkey", "c_name"), read(spark, sf_dir, "orders").where("o_orderstatus = 'F'"), "c_custkey", "o_custkey")
+
+
+@query("""WITH old AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN p_name END AS vin, p_brand || p_size AS stock FROM part WHERE p_partkey % 2 = 0),
+new AS (SELECT p_partkey, p_name AS vin, p_brand || p_size AS stock FROM part)
+SELECT p_partkey, coalesce((SELECT min(id) FROM old WHERE old.vin = new.vin), (SELECT min(id) FROM old WHERE old.stock = new.stock)) AS matched FROM new""")
+def identity_cascade(spark, sf_dir):
+    parts = read(spark, sf_dir, "part")
+    stock = F.concat("p_brand", F.col("p_size").cast("string")).alias("stock")
+    old = parts.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).alias("vin"), stock)
+    return keyed.identified(parts.select("p_partkey", F.col("p_name").alias("vin"), stock), old, ["vin", "stock"], "id").select("p_partkey", "matched")
+
+
+@query("SELECT r_name, n_name FROM region CROSS JOIN nation")
+def cross_expand(spark, sf_dir):
+    # Every item goes to every linked tenant: that is the operation. Both tables are fixed dimensions (5 and 25 rows).
+    return read(spark, sf_dir, "region").select("r_name").join(read(spark, sf_dir, "nation").select("n_name"), F.lit(True))
+
+
+@query("SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag ORDER BY n DESC, l_returnflag")
+def group_count_desc(spark, sf_dir):
+    return aggregates.counts_by(read(spark, sf_dir, "lineitem"), "l_returnflag")
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (o_totalprice IS NULL OR o_totalprice = 0) AS no_price, count(*) FILTER (o_orderpriority IS NULL OR trim(o_orderpriority) = '') AS no_priority FROM orders")
+def null_audit(spark, sf_dir):
+    return aggregates.audit(read(spark, sf_dir, "orders"), {"no_price": F.coalesce(F.col("o_totalprice"), F.lit(0)) == 0, "no_priority": aggregates.blank("o_orderpriority")})
+
+
+@query("SELECT count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers FROM lineitem")
+def distinct_count(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").agg(F.countDistinct("l_partkey").alias("parts"), F.countDistinct("l_suppkey").alias("suppliers"))
+
+
+@query("""WITH t AS (SELECT * FROM part WHERE p_partkey IN (3, 5, 8)), u AS (SELECT p_partkey, unnest(['brand', 'size', 'type']) AS attribute, unnest([p_brand, CAST(p_size AS VARCHAR), p_type]) AS value FROM t)
+SELECT attribute, max(value) FILTER (p_partkey = 3) AS entity_1, max(value) FILTER (p_partkey = 5) AS entity_2, max(value) FILTER (p_partkey = 8) AS entity_3 FROM u GROUP BY attribute""")
+def compare_matrix(spark, sf_dir):
+    parts = read(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("brand"), F.col("p_size").alias("size"), F.col("p_type").alias("type"))
+    return aggregates.compare_matrix(parts, "p_partkey", [3, 5, 8], ["brand", "size", "type"])
+
+
+@query("""WITH s AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS failed, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id),
+t AS (SELECT user_id, greatest(0, 100 - (CASE WHEN failed = n THEN 40 ELSE 0 END + CASE WHEN failed > 0 THEN 35 ELSE 0 END + least(5 * (5 - kinds), 25) + CASE WHEN n < 3 THEN 30 ELSE 0 END)) AS score FROM s)
+SELECT user_id, CAST(score AS BIGINT) AS score, CASE WHEN score >= 80 THEN 'COMPLETE' WHEN score >= 40 THEN 'PARTIAL' ELSE 'FAILED' END AS grade FROM t""")
+def quality_score(spark, sf_dir):
+    s = read(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("failed"), F.countDistinct("event_type").alias("kinds"))
+    score = aggregates.quality_score(F.col("failed") == F.col("n"), F.col("failed") > 0, 5 - F.col("kinds"), F.col("n") < 3).cast("long")
+    return s.select("user_id", score.alias("score"), aggregates.grade(score).alias("grade"))
+
+
+@query("SELECT doc_id, sha256(regexp_replace(regexp_replace(trim(text), '>\\s+<', '><', 'g'), '\\s+', ' ', 'g')) AS hash FROM documents WHERE lang = 'en'")
+def content_hash(spark, sf_dir):
+    return read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", text.content_hash(F.col("text")).alias("hash"))
+
+
+@query("""WITH o AS (SELECT doc_id, n_chars AS h FROM documents WHERE doc_id % 10 <> 3), n AS (SELECT doc_id, CASE WHEN doc_id % 10 = 5 THEN n_chars + 1 ELSE n_chars END AS h FROM documents WHERE doc_id % 10 <> 7)
+SELECT doc_id, CASE WHEN o.doc_id IS NULL THEN 'insert' WHEN n.doc_id IS NULL THEN 'unlist' WHEN o.h = n.h THEN 'touch' ELSE 'update' END AS action FROM o FULL JOIN n USING (doc_id)""")
+def incremental_actions(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("h"))
+    new = docs.where("doc_id % 10 <> 7").withColumn("h", F.when(F.col("doc_id") % 10 == 5, F.col("h") + 1).otherwise(F.col("h")))
+    return changes.actions(docs.where("doc_id % 10 <> 3"), new, "doc_id", "h")
+
+
+AS_OF = "2024-01-30 12:00:00"
+
+
+@query(f"""WITH t AS (SELECT event_id, event_type, epoch(TIMESTAMP '{AS_OF}' - ts) / 3600 AS age FROM events)
+SELECT event_id, CASE WHEN event_type = 'error' THEN 'stale' WHEN event_type = 'purchase' THEN CASE WHEN age <= 24 THEN 'fresh' WHEN age <= 72 THEN 'recent' ELSE 'stale' END ELSE CASE WHEN age < 6 THEN 'fresh' WHEN age <= 24 THEN 'recent' ELSE 'stale' END END AS status FROM t""")
+def freshness_bucket(spark, sf_dir):
+    source = F.when(F.col("event_type") == "purchase", "feed").otherwise("crawl")
+    status = freshness.freshness(F.col("ts").cast("timestamp"), F.col("event_type") != "error", source, F.lit(AS_OF).cast("timestamp"))
+    return read(spark, sf_dir, "events").select("event_id", status.alias("status"))
+
+
+@query("""WITH j AS (SELECT o_custkey, max(o_orderdate) AS last FROM orders GROUP BY o_custkey)
+SELECT c_custkey FROM customer LEFT JOIN j ON c_custkey = o_custkey WHERE c_mktsegment <> 'BUILDING' AND (last IS NULL OR epoch(TIMESTAMP '1998-08-01' - last) / 3600 >= CASE WHEN c_mktsegment = 'MACHINERY' THEN 720 ELSE 168 END)""")
+def due_for_sync(spark, sf_dir):
+    jobs = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("last"))
+    sites = read(spark, sf_dir, "customer").join(jobs, F.col("c_custkey") == F.col("o_custkey"), "left")
+    frequency = F.when(F.col("c_mktsegment") == "BUILDING", "manual").when(F.col("c_mktsegment") == "MACHINERY", "monthly").otherwise("weekly")
+    return sites.where(freshness.due_for_sync(frequency, F.col("last").cast("timestamp"), F.lit("1998-08-01").cast("timestamp"))).select("c_custkey")
+
+
+@query("SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS host, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^?#]*)', 1)), '/+$', '') AS page_key FROM pages")
+def url_normalize(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", urls.host(F.col("url")).alias("host"), urls.host_and_path(F.col("url")).alias("page_key"))
+
+
+@query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
+def meta_title(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+
+
+@query()
+def link_extract(spark, sf_dir):
+    return web.links(read(spark, sf_dir, "pages"), "page_id", "url", "html")
+
+
+@query()
+def html_text(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", web.page_text(F.col("html")).alias("text"), web.platform(F.col("html")).alias("platform"))
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
+def usage_by_kind(spark, sf_dir):
+    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+
+
+@query("SELECT user_id, CAST(ts AS DATE) AS day, count(*) FILTER (event_type = 'purchase') AS calls, count(*) FILTER (event_type = 'view') AS chats, (count(*) FILTER (event_type = 'purchase') > 1 OR count(*) FILTER (event_type = 'view') > 2) AS tripped FROM events GROUP BY ALL")
+def daily_breaker(spark, sf_dir):
+    usage = aggregates.daily_usage(read(spark, sf_dir, "events"), "user_id", "ts", {"calls": F.col("event_type") == "purchase", "chats": F.col("event_type") == "view"})
+    return aggregates.breaker(usage, {"calls": 1, "chats": 2})
+
+
+@query()
+def rate_limit_replay(spark, sf_dir):
+    return sessions.rate_limited(read(spark, sf_dir, "events"), "user_id", "ts", "event_id", 3, 86400.0)
+
+
+@query("""WITH t AS (SELECT conv_id, turn, lower(trim(role)) AS v FROM conversations), m AS (SELECT *, CASE WHEN v = lag(v) OVER w AND turn - lag(turn) OVER w < 60 THEN 0 ELSE 1 END AS fresh FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM m) SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, run ORDER BY turn) AS run_length FROM r""")
+def dup_runs(spark, sf_dir):
+    talk = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    return keyed.runs(talk, "conv_id", "turn", F.lower(F.trim("role")), F.col("turn"), 60.0).select("conv_id", "turn", F.col("run_length").cast("long").alias("run_length"))
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS events FROM g GROUP BY user_id, s""")
+def session_activity(spark, sf_dir):
+    found = sessions.sessions(read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts")
+    return found.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "events")
+
+
+@query("SELECT conv_id, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id")
+def last_turn(spark, sf_dir):
+    return sessions.last_write(read(spark, sf_dir, "conversations"), "conv_id", "text", "turn")
+
+
+@query("SELECT event_type, CAST(json_extract_string(props, '$.k') AS INT) % 10 AS bucket, count(*) AS n FROM events GROUP BY ALL")
+def json_props(spark, sf_dir):
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "int")
+    return read(spark, sf_dir, "events").select("event_type", (k % 10).alias("bucket")).groupBy("event_type", "bucket").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 45 INTERSECT SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_discount < 0.02")
+def key_intersection(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem")
+    return lines.where("l_quantity > 45").select("l_orderkey", "l_linenumber").intersect(lines.where("l_discount < 0.02").select("l_orderkey", "l_linenumber"))
+
+
+@query()
+def merged_profiles(spark, sf_dir):
+    """Crawled versions of suppliers merged into delivered ones."""
+    from loomwright.operators import merging
+
+    side = lambda source, name: F.struct(name.alias("title"), F.col("s_acctbal").alias("price"), F.lit(source).alias("source"), F.create_map(F.lit("nation"), F.col("s_nationkey").cast("string")).alias("metadata"))
+    pairs = read(spark, sf_dir, "supplier").select(side("shopify", F.col("s_name")).alias("old"), side("crawl", F.upper("s_name")).alias("new"))
+    return merging.merged(pairs, ["title", "price"]).select("title", "price", "source", F.to_json("metadata").alias("metadata"))
 
 
-def part_by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
-    return parts.groupBy("p_brand").agg(F.count("*").alias("n"), F.max("p_retailprice").alias("max_price"))
+@query()
+def fallback_embedding(spark, sf_dir):
+    return read(spark, sf_dir, "benchmark").select("item_id", vectors.fallback_vector(F.col("text"), 64).alias("embedding"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"part_by_brand": part_by_brand}
-ORACLES: dict[str, str] = {"part_by_brand": "SELECT p_brand, count(*) AS n, max(p_retailprice) AS max_price FROM part GROUP BY p_brand"}
+@query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS quantity, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def rollup_quantities(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("quantity"), F.count("*").alias("n"))
