@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bit_filter import passing
 from .common import materialise
 from .components import components
 from .shingles import WordHashes, scrambled, shingle_set
@@ -102,15 +103,16 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def links_within(ids: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, sides: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join members of different labels, found on full sets; where sides differ from -1, across sides only.
+    """What full sets link among members of different labels; where sides differ from -1, across sides only.
 
-    One pass over all members' shingles gives a member's intersections with every other one.
+    Each member of a group so joined is given with one fixed member of the group (a star). One pass over all members' shingles gives a member's intersections with every other one.
     """
     sizes = np.array([len(s) for s in sets])
     starts = np.cumsum(sizes) - sizes
     vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True)
     mark = np.zeros(len(vocabulary), dtype=np.int32)
-    labels, out = np.unique(labels, return_inverse=True)[1], []
+    labels = np.unique(labels, return_inverse=True)[1]
+    before = labels.copy()
     for i in range(len(ids) - 1):
         rest = slice(i + 1, None)
         open_ = (labels[rest] != labels[i]) & (PERCENT * np.maximum(sizes[rest], sizes[i]) <= 100 * np.minimum(sizes[rest], sizes[i]))
@@ -125,8 +127,9 @@ def links_within(ids: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, si
         for j in i + 1 + np.flatnonzero(open_ & (100 * common >= PERCENT * (sizes[rest] + sizes[i] - common))):
             if labels[j] != labels[i]:
                 labels[labels == labels[j]] = labels[i]
-                out.append((int(ids[i]), int(ids[j])))
-    return out
+    # One member of each label there was stands for the others, which are joined already.
+    _, first = np.unique(before, return_index=True)
+    return [(int(ids[group[0]]), int(ids[x])) for label in np.unique(labels[first]) for group in [first[labels[first] == label]] for x in group[1:]]
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,11 +168,10 @@ def links_of(sets: DataFrame, texts: DataFrame) -> DataFrame:
     buckets = members.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("members"), F.sum("n").alias("shingles"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("members > 1")
     buckets = buckets.groupBy("hub", "members", "shingles", "x", "y").agg(F.min("band").alias("band"))
     blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("long")
-    buckets = buckets.select("band", "hub", blocks.alias("blocks"))
+    buckets = materialise(buckets.select("band", "hub", blocks.alias("blocks")))
     own = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    held = materialise(members.select("band", "id").join(buckets, "band").withColumn("block", own))
-    needed = held.select("id").distinct()
-    texts = texts.join(needed, "id", "left_semi")
+    held = materialise(passing(members.select("band", "id"), "band", buckets, "band").join(buckets, "band").withColumn("block", own))
+    texts = passing(texts, "id", held, "id")
     at = F.when(F.col("id") == F.col("hub"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))
     first = held.select("band", "id", F.explode(at).alias("block"), F.lit(-1).alias("side"), F.col("id").alias("label"))
     links = materialise(compare(first, texts))
