@@ -1,3 +1,83 @@
-"""SQL for DuckDB that gives the rows of the registered queries."""
+"""SQL for DuckDB that gives the rows of the registered queries, where SQL can."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from . import quality_rules, secret_scan, url_rules
+
+UPPER, LOWER = url_rules.UPPER, url_rules.LOWER
+WORDS = "list_filter(string_split_regex({}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
+OP1 = f"""WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format(f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')")} AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s FROM w),
+x AS (SELECT doc_id, unnest(s) AS g FROM s),
+n AS (SELECT doc_id, len(s) AS n FROM s),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM i JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+r AS (SELECT doc_id, doc_id AS o FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.o = e.a),
+m AS (SELECT doc_id, min(o) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN m USING (doc_id)"""
+
+
+def _op2() -> str:
+    shares = {"symbol_share": "CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END", "dup_line_share": "CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END", "repeat_share": "CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END", "upper_share": "CASE WHEN word_chars > 0 THEN n_upper / word_chars ELSE 0 END"}
+    points = [(r, c) for r, grid in quality_rules.GRIDS.items() for c in grid]
+    tests = ", ".join(f"{{'rule': '{r}', 'cutoff': {c}, 'hit': {r} > {c}}}" for r, c in points)
+    cut = ", ".join(f"min(cutoff) FILTER (rule = '{r}' AND proven) AS {r}_cut" for r in shares)
+    rejected = " OR ".join(f"coalesce({r} > {r}_cut, false)" for r in shares)
+    p = quality_rules.RISK
+    return f"""WITH t AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, {WORDS.format("text")} AS w FROM t),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM w WHERE len(w) >= 3),
+d AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i+1], w[i+2]) AS c FROM g),
+v AS (SELECT doc_id, count(DISTINCT q) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i+1, i+2]) AS q FROM d WHERE c > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM t),
+f AS (SELECT doc_id, stratum, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
+ coalesce(n_repeat_words, 0) AS n_repeat_words, length(regexp_replace(text, '[^A-Z]+', '', 'g')) AS n_upper FROM t JOIN w USING (doc_id) JOIN l USING (doc_id) LEFT JOIN v USING (doc_id)),
+s AS (SELECT *, {", ".join(f"{e} AS {r}" for r, e in shares.items())} FROM f),
+good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1),
+k AS (SELECT stratum, p.rule AS rule, p.cutoff AS cutoff, count(*) AS n, count(*) FILTER (p.hit) AS k FROM (SELECT stratum, unnest([{tests}]) AS p FROM s JOIN good USING (doc_id)) GROUP BY ALL),
+c AS (SELECT *, CASE WHEN k > n * {p} THEN false ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})))) * (SELECT count(DISTINCT stratum) FROM k) * {len(points)} <= {quality_rules.DELTA} END AS proven FROM k),
+m AS (SELECT stratum, {cut} FROM c GROUP BY stratum),
+b AS (SELECT s.*, m.* EXCLUDE (stratum), (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM s LEFT JOIN m USING (stratum))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR {rejected}) AS kept FROM b"""
+
+
+OP5 = f"""WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+h AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+r(verdict, host, path) AS (VALUES {", ".join(map(str, url_rules.RULES))}),
+m AS (SELECT page_id, r.host || r.path AS rule, r.verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(r.host || r.path) DESC, length(r.host) DESC) AS rn FROM h JOIN r ON (h.host = r.host OR ends_with(h.host, '.' || r.host)) AND starts_with(h.path, r.path))
+SELECT h.page_id, h.host, h.path, m.rule, coalesce(m.verdict, 'allow') AS verdict FROM h LEFT JOIN m ON h.page_id = m.page_id AND rn = 1"""
+
+
+def _op7() -> str:
+    quoted = lambda p: p.replace("'", "''")
+
+    def located(kind: int, pattern: str, group: int, least: int) -> str:
+        gaps, found = f"string_split_regex(text, '{quoted(pattern)}')", f"regexp_extract_all(text, '{quoted(pattern)}', 0)"
+        return f"""SELECT doc_id, text, {kind} AS kind, begin, begin + length(whole) AS stop FROM (SELECT doc_id, text, whole, part, list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(found[1:i-1], lambda g: length(g))), 0) AS begin
+ FROM (SELECT *, unnest(found) AS whole, unnest(regexp_extract_all(text, '{quoted(pattern)}', {group})) AS part, unnest(range(1, len(found) + 1)) AS i FROM (SELECT doc_id, text, {gaps} AS gaps, {found} AS found FROM t))) WHERE length(part) >= {least}"""
+
+    w, b = secret_scan.WINDOW, secret_scan.BITS
+    allowed = " OR ".join(f"regexp_matches(run, '{p}')" for p in secret_scan.ALLOW_PATTERNS)
+    kinds = "[" + ", ".join(f"'{k}'" for k in secret_scan.KINDS) + "]"
+    joined = lambda extra: f"coalesce(string_agg({kinds}[kind + 1] || ':' || begin || ':' || stop, ',' ORDER BY begin, kind, stop) FILTER ({extra}), '')"
+    return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+base AS ({located(0, secret_scan.ASSIGN, 1, 6)} UNION ALL {located(1, secret_scan.ACCESS, 0, 1)} UNION ALL {located(2, secret_scan.HEX, 0, 1)}),
+cand AS (SELECT doc_id, begin, substr(text, CAST(begin AS BIGINT) + 1, CAST(stop - begin AS BIGINT)) AS run, stop FROM ({located(3, secret_scan.CANDIDATE, 0, 1)})),
+free AS (SELECT *, CASE WHEN regexp_full_match(run, '[0-9a-fA-F]+') THEN {b["hex"]} WHEN regexp_matches(run, '[a-z]') AND regexp_matches(run, '[A-Z]') THEN {b["mixed"]} ELSE {b["one_case"]} END AS bits FROM cand
+ WHERE regexp_matches(run, '[0-9]') AND regexp_matches(run, '[A-Za-z]') AND NOT ({allowed}) AND NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = cand.doc_id AND base.begin < cand.stop AND cand.begin < base.stop)),
+win AS (SELECT doc_id, begin, bits, i, substr(run, i + 1, {w}) AS s FROM (SELECT *, unnest(range(0, length(run) - {w - 1})) AS i FROM free)),
+chr AS (SELECT doc_id, begin, bits, i, x, count(*) AS c FROM (SELECT *, unnest(string_split(s, '')) AS x FROM win) GROUP BY ALL),
+ent AS (SELECT doc_id, begin, i FROM chr GROUP BY doc_id, begin, bits, i HAVING log2({w}) - sum(c * log2(c)) / {w} >= bits - 1e-9),
+found AS (SELECT doc_id, kind, begin, stop FROM base UNION ALL SELECT doc_id, 3, begin + min(i), begin + max(i) + {w} FROM ent GROUP BY doc_id, begin)
+SELECT t.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, sha256({joined("kind < 3")}) AS base_sha256, {joined("kind >= 0")} AS spans FROM t LEFT JOIN (SELECT doc_id, kind, CAST(begin AS BIGINT) AS begin, CAST(stop AS BIGINT) AS stop FROM found) f ON t.doc_id = f.doc_id GROUP BY t.doc_id"""
+
+
+OP10 = """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+r AS (SELECT vec_id, vec_id AS o FROM v UNION SELECT r.vec_id, e.b FROM r JOIN e ON r.o = e.a),
+m AS (SELECT vec_id, min(o) AS component_id FROM r GROUP BY vec_id),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM m LEFT JOIN n ON n.a = m.vec_id"""
+
+ORACLES: dict[str, str] = {"op1_minhash_dedup": OP1, "op2_quality_rules": _op2(), "op5_url_rules": OP5, "op7_secret_scan": _op7(), "op10_embedding_dedup": OP10}
