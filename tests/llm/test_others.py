@@ -1,0 +1,149 @@
+"""Url rules, mixing, vectors, the oracles and the pipeline."""
+
+import os
+import random
+
+import duckdb
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from loomwright.llm import embedding_dedup, oracles, queries, quality_rules, source_mixing, url_rules
+from tests.test_oracles import SF, TABLES, plain
+
+
+def brute_verdict(url, rules):
+    if url is None or "://" not in url:
+        return "", "", None, "allow"
+    rest = url.split("://", 1)[1]
+    cut = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
+    host, path = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:cut]), rest[cut:]
+    path = path[: min([path.find(c) for c in "?#" if c in path] or [len(path)])]
+    best = None
+    for verdict, h, p in rules:
+        if host and (host == h or host.endswith("." + h)) and path.startswith(p):
+            key = (len(h) + len(p), len(h), verdict == "block")
+            best = max(best or (key, h + p, verdict), (key, h + p, verdict))
+    return (host, path, best[1], best[2]) if best else (host, path, None, "allow")
+
+
+def test_url_rules(spark, monkeypatch):
+    random.seed(1)
+    hosts, paths = ["a", "b.a", "c.b.a", "ab.a", "A.b", "b", "c.b", "x.c.b"], ["/", "/a", "/a/b", "/ab", "/a/b/c", "", "/b?x", "/b#y/a"]
+    urls = [None, "", "nohost", "http://", "://", "http:///a"] + ["http://" + random.choice(hosts) + random.choice(paths) + random.choice(["", "x", "/z"]) for _ in range(1500)] + ["http://c.b/a"] * 500
+    rules = [(random.choice(["allow", "block"]), random.choice(hosts).lower(), random.choice(paths).split("?")[0].split("#")[0]) for _ in range(25)]
+    monkeypatch.setattr(url_rules, "ROWS_A_PARTITION", 100)
+    df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, rule string").repartition(6)
+    given_rules = spark.createDataFrame([*rules, *rules[:3], (None, "a", "/"), ("block", None, "/")], "verdict string, host string, path string")
+    got = url_rules.judge(df, given_rules).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        want = brute_verdict(urls[r.page_id], rules)
+        assert (r.host, r.path, r.verdict) == (want[0], want[1], want[3])
+        assert r.rule is None if want[2] is None else len(r.rule) == len(want[2])
+    assert url_rules.judge(df.limit(0), given_rules).count() == 0
+    assert url_rules.judge(df, given_rules.limit(0)).where("rule is null and verdict = 'allow'").count() == len(urls)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.text("abcdefgh", min_size=1, max_size=3), st.floats(0.001, 10), min_size=1, max_size=12), st.sampled_from([64, 128, 1024]))
+def test_pfair_stays_within_a_block(targets, period):
+    share = source_mixing.shares(targets, period)
+    assert sum(share.values()) == period
+    had = dict.fromkeys(share, 0)
+    for slot, s in enumerate(source_mixing.schedule(share, period), 1):
+        had[s] += 1
+        assert all(abs(had[x] - slot * k / period) < 1 for x, k in share.items())
+    assert had == share
+
+
+def test_mixing(spark):
+    rows = [(i, "x" * (50 + i % 70) if i % 11 else None, "hot" if i % 3 else f"s{i % 4}", "mine") for i in range(2000)] + [(3, "y", None, "mine")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __note string").repartition(7)
+    out = source_mixing.mix(docs, {"hot": 0.25, "s0": 0.25, "s1": 0.25, "s2": 0.25}, 500).toPandas()
+    assert len(out) == 2002 and out[out.source.isna() | (out.source == "s3")].__slot.isna().all()
+    inside = out[out.__in_mix]
+    for s in ("hot", "s0", "s1", "s2"):
+        assert abs(inside[inside.source == s].__block.nunique() - (inside.__slot.max() + 1) / 4) <= 2
+    assert out[out.source == "hot"].groupby("__block").size().index.tolist() == list(range(int(out[out.source == "hot"].__block.max()) + 1))
+    mixed = source_mixing.mixture(docs)
+    assert mixed.columns == docs.columns and 0 < mixed.count() <= 2002
+    assert source_mixing.mixture(docs.limit(0)).count() == 0
+    assert source_mixing.mix(docs, {"none": 1.0}).where("__in_mix").count() == 0
+    with pytest.raises(ValueError, match="longer period"):
+        source_mixing.shares({str(i): 1.0 for i in range(10)}, 4)
+
+
+def brute_vectors(rows):
+    up = list(range(len(rows)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ok = [i for i, (_, v, label) in enumerate(rows) if label is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    links = [0] * len(rows)
+    for i in ok:
+        for j in ok:
+            a, b = rows[i], rows[j]
+            if i != j and a[2] == b[2] and len(a[1]) == len(b[1]) and np.dot(a[1], b[1]) / (np.linalg.norm(a[1]) * np.linalg.norm(b[1])) >= 0.93:
+                links[i] += 1
+                x, y = top(i), top(j)
+                up[max(x, y)] = min(x, y)
+    return {r[0]: (links[i], rows[top(i)][0]) for i, r in enumerate(rows)}
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_vectors(spark, monkeypatch, block):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    rng = np.random.default_rng(7)
+    rows = []
+    for c in range(30):
+        center = rng.standard_normal(16)
+        for _ in range(rng.integers(1, 9)):
+            rows.append((len(rows), [float(x) for x in center + rng.standard_normal(16) * rng.choice([0.0, 0.1, 0.3])], int(c % 3)))
+    e = [1.0, 0.0, 0.0]
+    rows += [(len(rows) + i, v, label) for i, (v, label) in enumerate([(e, 1), ([2.0, 0.0, 0.0], 1), ([1.0, 0.1, 0.0], 1), (e, 2), (None, 1), ([0.0] * 3, 1), ([1.0, float("nan"), 0.0], 1), ([1.0, None, 0.0], 1), ([], 1), (e, None), ([1.0, 0.0], 1), (e, 1)])]
+    df = spark.createDataFrame([(*r, True) for r in rows], "vec_id long, embedding array<double>, label int, kept boolean").repartition(5)
+    got = embedding_dedup.dedup(df).collect()
+    assert len(got) == len(rows)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute_vectors(rows)
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got)
+    assert embedding_dedup.dedup(df.limit(0)).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(oracles.ORACLES))
+def test_same_rows_as_sql(spark, name):
+    duck = duckdb.connect()
+    for t in TABLES:
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, SF)
+    want = duck.execute(oracles.ORACLES[name])
+    assert plain([tuple(r) for r in df.collect()], df.columns) == plain(want.fetchall(), [d[0] for d in want.description])
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    first = dict(corpus_pipeline.STAGES)["quality rules"](spark, docs, SF)
+    judged = quality_rules.features(docs).collect()
+    base = {r.doc_id for r in judged if r["__quality"].n_words >= 50 and 2 * r["__quality"].n_repeat_words <= r["__quality"].n_words}
+    assert first.columns == docs.columns and {r.doc_id for r in first.collect()} == base  # too few labels here to prove a cutoff
+    near = dict(corpus_pipeline.STAGES)["near copies"](spark, first, SF)
+    from tests.llm.test_documents import near_components
+
+    want = near_components([(r.doc_id, r.text) for r in first.collect()])
+    kept = {i for i, (_, c) in want.items() if i == c}
+    assert {r.doc_id for r in near.collect()} == kept
+    clean = dict(corpus_pipeline.STAGES)["secrets"](spark, near, SF)
+    assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == kept
+    mixed = {r.doc_id for r in source_mixing.mix(clean).where("__in_mix").collect()}
+    out = corpus_pipeline.run(spark, SF)
+    assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == mixed
+    assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
