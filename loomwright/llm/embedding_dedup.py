@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import let, materialise
 from .components import components
 
 THRESHOLD, SEED = 0.93, 20240101
@@ -135,13 +135,14 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Returns id_col, n_links, component_id, kept: a row for each row of vectors."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("usable", usable)
-    scale = F.array_max(F.transform("v", F.abs))
-    good = rows.where("usable").withColumn("v", F.transform("v", lambda x: x / scale)).withColumn("norm", norm)
-    good = good.select("id", "label", F.transform("v", lambda x: x / F.col("norm")).alias("v"))
+    # The largest component first, so that no square overflows; each divisor once a row.
+    scaled = let(F.array_max(F.transform("v", F.abs)), lambda m: F.transform("v", lambda x: x / m))
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    unit = let(scaled, lambda v: let(norm(v), lambda n: F.transform(v, lambda x: x / n)))
+    good = materialise(rows.where("usable").select("id", "label", unit.alias("v")))
     classes = good.groupBy("label", "v").agg(F.min("id").alias("class"), F.count("*").alias("copies"))
     # One number a class, even where a vec_id is given to several vectors.
     classes = materialise(classes.withColumn("id", F.xxhash64("class", "v")))
