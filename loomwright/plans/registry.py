@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.functions import freshness, numbers, text, urls
-from loomwright.operators import aggregates, changes, inventory, keyed, rerank, vectors
+from loomwright.functions import freshness, intent, numbers, text, urls
+from loomwright.operators import aggregates, changes, crawl, inventory, keyed, rerank, retrieval, vectors
 from loomwright.sources import pages as web
 from loomwright.streaming import sessions
 
@@ -289,3 +289,40 @@ def fallback_embedding(spark, sf_dir):
 @query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS quantity, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 def rollup_quantities(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("quantity"), F.count("*").alias("n"))
+
+
+@query()
+def query_intents(spark, sf_dir):
+    """What the users' turns ask for."""
+    asked = intent.understood(read(spark, sf_dir, "conversations").where("role = 'user'"), "text")
+    return asked.select("conv_id", "turn", "intent.kind", "intent.entity_type", "intent.max_price", "intent.keywords")
+
+
+@query("""WITH h AS (SELECT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS site, lower(url) AS url FROM pages)
+SELECT site, count(*) AS urls, count(*) FILTER (regexp_matches(url, '\\b(?:new-vehicles|new-inventory|new-cars|searchnew)\\b|/new/')) AS new_routes, count(*) FILTER (regexp_matches(url, '\\b(?:used-vehicles|used-inventory|used-cars|pre-owned|searchused)\\b|/used/')) AS used_routes, count(*) FILTER (regexp_matches(url, '\\b(?:cpo|certified-pre-owned|certified)\\b')) AS cpo_routes FROM h GROUP BY site""")
+def crawl_coverage(spark, sf_dir):
+    return crawl.coverage(read(spark, sf_dir, "pages").select(urls.host(F.col("url")).alias("site"), "url"), "site", "url")
+
+
+@query()
+def site_frontier(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    links = web.links(pages, "url", "url", "html").select("url", "link")
+    return crawl.frontier(pages.select(urls.host(F.col("url")).alias("site"), "url"), links)
+
+
+@query("""WITH i AS (SELECT p_partkey AS new_id, p_name, p_brand || p_type AS kind FROM part WHERE p_partkey % 2 = 1), e AS (SELECT p_partkey AS old_id, p_name, p_brand || p_type AS kind FROM part WHERE p_partkey % 2 = 0),
+a AS (SELECT new_id, old_id FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY new_id) AS n FROM i) JOIN (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY old_id) AS n FROM e) USING (p_name, n)),
+b AS (SELECT new_id, old_id FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY new_id) AS n FROM i WHERE new_id NOT IN (SELECT new_id FROM a)) JOIN (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY old_id) AS n FROM e WHERE old_id NOT IN (SELECT old_id FROM a)) USING (kind, n))
+SELECT new_id, old_id, 0 AS rule FROM a UNION ALL SELECT new_id, old_id, 1 AS rule FROM b""")
+def matched_parts(spark, sf_dir):
+    """Odd parts as crawled ones, matched one to one with even ones by name, then by brand and type."""
+    parts = read(spark, sf_dir, "part").select("p_partkey", "p_name", F.concat("p_brand", "p_type").alias("kind"))
+    side = lambda rest, name: parts.where(F.col("p_partkey") % 2 == rest).withColumnRenamed("p_partkey", name)
+    return crawl.paired(side(1, "new_id"), side(0, "old_id"), [F.col("p_name"), F.col("kind")], "new_id", "old_id")
+
+
+@query()
+def hybrid_retrieve(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select(F.col("lang").alias("widget_id"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("content"))
+    return retrieval.retrieve(docs, ["en"], rerank.Intent("thing near the shed", "catalog", ["thing", "shed"]), F.lit(AS_OF).cast("timestamp"), limit=10).select("id", "score")
