@@ -56,25 +56,39 @@ def key_of(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) - (1 << 63)
 
 
+def log_sum(terms: list[float]) -> float:
+    if len(terms) == 1:
+        return terms[0]
+    top = max(terms)
+    return top + math.log(sum([math.exp(t - top) for t in terms]))
+
+
 class Lattice(dict):
     """Memo from a word to the natural logarithm of its probability."""
 
     def __init__(self, log_p: dict[bytes, float]) -> None:
-        self.log_p, self.longest = log_p, max(map(len, log_p))
+        self.log_p = log_p
+        #: What some longer piece begins with: where a word leaves this set, no further piece starts at that place.
+        self.begun = frozenset(piece[:i] for piece in log_p for i in range(1, len(piece)))
 
     def __missing__(self, word: bytes) -> float:
         text = b" " + word
-        n, get = len(text), self.log_p.get
-        # Forward probabilities, each over the scale of its place, so that long words do not underflow.
-        forward = [0.0] * (n + 1)
-        for end in range(1, n + 1):
-            terms = [forward[start] + p for start in range(max(0, end - self.longest), end) if (p := get(text[start:end])) is not None]
-            top = max(terms)
-            forward[end] = top if len(terms) == 1 else top + math.log(sum([math.exp(t - top) for t in terms]))
+        n, get, begun = len(text), self.log_p.get, self.begun
+        # The terms that arrive at each place; their log-sum is its forward probability, so that long words do not underflow.
+        arriving: list[list[float]] = [[] for _ in range(n + 1)]
+        arriving[0].append(0.0)
+        for start in range(n):
+            here = log_sum(arriving[start])
+            for end in range(start + 1, n + 1):
+                piece = text[start:end]
+                if (p := get(piece)) is not None:
+                    arriving[end].append(here + p)
+                if piece not in begun:
+                    break
         if len(self) >= MEMO:
             self.clear()
-        self[word] = forward[n]
-        return forward[n]
+        self[word] = out = log_sum(arriving[n])
+        return out
 
 
 def tokens(text: bytes | None) -> list[bytes]:
