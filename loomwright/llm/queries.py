@@ -29,7 +29,7 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import source_mixing as m
 
     mixed = m.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return mixed.select("doc_id", "source", F.col("__block").alias("block"), F.col("__slot").alias("slot"), F.col("__in_mix").alias("in_mix"))
+    return mixed.select("doc_id", "source", F.col("__block").alias("block"), F.col("__slot").alias("slot"), F.col("__all_sources").alias("in_mix"))
 
 
 def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,9 @@ whole shares of PERIOD, so the schedule repeats after PERIOD slots and is worked
 slot each source has had its due number of blocks, less than one more or less. Block i of a source with k shares then has
 slot (i // k) * PERIOD + (the place of its (i % k)-th block in the period).
 
-The mixture ends where the first source runs out: up to there all weights hold. Documents beyond have their slot too and are marked.
+Without targets all documents are in the mixture: a source that runs dry leaves, and the others go on in the order of their slots, which shares its
+room among them as their weights stand. With targets the mixture ends where the first source runs out. Up to there, in either case, all weights hold; documents
+beyond have their slot too and are marked.
 
 Cases: a null source is a source of its own; null and empty texts take one character's room; a source without a target weight has weight 0 and stays outside the
 mixture, one with a target but no documents ends the mixture at once; equal or null ids keep their own places; an empty table gives no
@@ -72,13 +74,14 @@ def tempered(totals: Mapping[str, int], power: float = TEMPER) -> dict[str, floa
 
 
 def mix(docs: DataFrame, targets: Mapping[str, float] | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
-    """Adds __source, __block, __slot (null without a target) and __in_mix to docs, which needs source, text and doc_id.
+    """Adds __source, __block, __slot (null without a target), __all_sources (before the first source runs dry) and __in_mix to docs, which needs source, text and doc_id.
 
     targets: weight of each source ("" for null). Sources and targets are as many as the period's slots at most, so the table of slots is bounded.
     """
     size = F.greatest(F.coalesce(F.length("text"), F.lit(0)), F.lit(1)).cast("long")
     sized = docs.withColumn("__source", F.coalesce("source", F.lit(""))).withColumn("__size", size)
     counts = materialise(sized.groupBy("__source").agg(F.sum("__size").alias("size"), F.count("*").alias("n")))
+    whole = targets is None
     if targets is None:
         if counts.count() > period:
             raise ValueError(f"more than {period} sources: give targets, or a longer period")
@@ -90,7 +93,7 @@ def mix(docs: DataFrame, targets: Mapping[str, float] | None = None, block: int
     spark = docs.sparkSession
     slots = spark.createDataFrame([(s, p) for s, p in place.items()], "__source string, __places array<int>")
     named = counts.join(slots, "__source", "inner")
-    # The slot at which each source has no block left; the first of them ends the mixture.
+    # The slot at which each source has no block left; the first of them ends the time in which all weights hold.
     k = F.size("__places")
     blocks = F.ceil(F.col("size") / block).cast("long")
     dry = F.floor(blocks / k) * period + F.element_at("__places", (blocks % k + 1).cast("int"))
@@ -101,10 +104,11 @@ def mix(docs: DataFrame, targets: Mapping[str, float] | None = None, block: int
     number = F.floor(F.col("__before") / block).cast("long")
     placed = ran.withColumn("__block", number).join(F.broadcast(slots), "__source", "left")  # slots holds one row a target, period at most
     slot = F.floor(F.col("__block") / k) * period + F.element_at("__places", (F.col("__block") % k + 1).cast("int"))
-    return placed.withColumn("__slot", slot).withColumn("__in_mix", F.coalesce(F.col("__slot") < end, F.lit(False))).drop("__places", "__size", "__before")
+    placed = placed.withColumn("__slot", slot).withColumn("__all_sources", F.coalesce(F.col("__slot") < end, F.lit(False)))
+    return placed.withColumn("__in_mix", F.lit(True) if whole else F.col("__all_sources")).drop("__places", "__size", "__before")
 
 
 def mixture(docs: DataFrame, targets: Mapping[str, float] | None = None, block: int = BLOCK) -> DataFrame:
-    """The documents of the mixture in the order of their slots, with the columns they came with."""
+    """The documents of the mixture in the order of their slots, with the columns they came with: all of them without targets."""
     mixed = mix(docs, targets, block).where("__in_mix")
     return mixed.repartitionByRange("__slot", "doc_id").sortWithinPartitions("__slot", "doc_id").select(*docs.columns)

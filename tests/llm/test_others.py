@@ -76,6 +76,19 @@ def test_mixing(spark):
         source_mixing.shares({str(i): 1.0 for i in range(10)}, 4)
 
 
+def test_mixing_keeps_all_documents(spark):
+    rows = [(i, "x" * 400, "large" if i % 3 else "small") for i in range(300)] + [(300, "y", "tiny"), (301, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = source_mixing.mixture(docs, block=500).collect()
+    assert sorted(r.doc_id for r in got) == list(range(302))
+    mixed = source_mixing.mix(docs, block=500).toPandas()
+    assert mixed.__in_mix.all() and 0 < mixed.__all_sources.sum() < 302
+    assert [r.doc_id for r in got] == mixed.sort_values(["__slot", "doc_id"]).doc_id.tolist()
+    head = mixed[mixed.__slot < mixed[mixed.source == "small"].__slot.max()]  # after tiny has left, the others keep to their weights
+    had = {s: head[head.source == s].__block.nunique() for s in ("large", "small")}
+    assert abs(had["large"] / had["small"] - 2**0.7) < 0.1
+
+
 def brute_vectors(rows):
     up = list(range(len(rows)))
 
