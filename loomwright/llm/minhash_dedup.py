@@ -2,7 +2,7 @@
 
 Each of 96 permutations of the shingle hashes keeps both its minimum and its maximum: 192 values from 96 hash
 evaluations, each equal for two documents with their similarity as probability. 32 bands of 6 values each give
-buckets; a pair at 0.85 meets in none of them once in 4 million.
+buckets; a pair at 0.85 meets in none of them once in 4 million, one at 0.80 six times in 100,000.
 
 Copies with equal sets are one class from the start, and buckets with the same members are one bucket. A bucket's members
 are compared on their full sets, in blocks of bounded size that each hold the bucket's smallest member as well. Where
@@ -17,6 +17,7 @@ empty tables give empty results; other columns are passed over.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from .components import components
 from .shingles import WordHashes, scrambled, shingle_set
 
 PERMUTATIONS, BANDS, ROWS = 96, 32, 6
-#: A link: 100 * intersection >= PERCENT * union.
+#: A link: 100 * intersection >= percent * union; what the query op1 asks for.
 PERCENT = 85
 #: Shingles hashed at once in a task.
 CHUNK = 100_000
@@ -102,7 +103,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketch, SKETCH)
 
 
-def links_within(ids: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, sides: np.ndarray) -> list[tuple[int, int]]:
+def links_within(ids: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, sides: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
     """What full sets link among members of different labels; where sides differ from -1, across sides only.
 
     Each member of a group so joined is given with one fixed member of the group (a star). One pass over all members' shingles gives a member's intersections with every other one.
@@ -115,7 +116,7 @@ def links_within(ids: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, si
     before = labels.copy()
     for i in range(len(ids) - 1):
         rest = slice(i + 1, None)
-        open_ = (labels[rest] != labels[i]) & (PERCENT * np.maximum(sizes[rest], sizes[i]) <= 100 * np.minimum(sizes[rest], sizes[i]))
+        open_ = (labels[rest] != labels[i]) & (percent * np.maximum(sizes[rest], sizes[i]) <= 100 * np.minimum(sizes[rest], sizes[i]))
         if sides[i] >= 0:
             open_ &= sides[rest] != sides[i]
         if not open_.any():
@@ -124,7 +125,7 @@ def links_within(ids: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, si
         mark[own] = 1
         common = np.add.reduceat(mark[flat[starts[i + 1] :]], starts[rest] - starts[i + 1])
         mark[own] = 0
-        for j in i + 1 + np.flatnonzero(open_ & (100 * common >= PERCENT * (sizes[rest] + sizes[i] - common))):
+        for j in i + 1 + np.flatnonzero(open_ & (100 * common >= percent * (sizes[rest] + sizes[i] - common))):
             if labels[j] != labels[i]:
                 labels[labels == labels[j]] = labels[i]
     # One member of each label there was stands for the others, which are joined already.
@@ -132,14 +133,14 @@ def links_within(ids: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, si
     return [(int(ids[group[0]]), int(ids[x])) for label in np.unique(labels[first]) for group in [first[labels[first] == label]] for x in group[1:]]
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows in runs of one block: block (two longs), side, id, label, text."""
     memo, key, rows = WordHashes(), None, []
     part = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def links() -> pa.RecordBatch:
         ids, sides, labels, sets = zip(*rows, strict=True)
-        found = links_within(np.array(ids), sets, np.array(labels), np.array(sides)) if len(ids) > 1 else []
+        found = links_within(np.array(ids), sets, np.array(labels), np.array(sides), percent) if len(ids) > 1 else []
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], schema=part)
 
     for batch in batches:
@@ -156,13 +157,13 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links()
 
 
-def compare(members: DataFrame, texts: DataFrame) -> DataFrame:
+def compare(members: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """members: band, block, side, id, label. texts: id, text (one row an id). Returns links a, b."""
     rows = members.join(texts, "id").select("band", "block", "side", "id", "label", "text")
-    return rows.repartition("band", "block").sortWithinPartitions("band", "block").mapInArrow(_compare, "a long, b long")
+    return rows.repartition("band", "block").sortWithinPartitions("band", "block").mapInArrow(partial(_compare, percent=percent), "a long, b long")
 
 
-def links_of(sets: DataFrame, texts: DataFrame) -> DataFrame:
+def links_of(sets: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """sets: id, n, bands; one row for each distinct set. texts: id and whole text. Returns links a, b that connect what is linked."""
     members = sets.select("id", "n", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("members"), F.sum("n").alias("shingles"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("members > 1")
@@ -174,7 +175,7 @@ def links_of(sets: DataFrame, texts: DataFrame) -> DataFrame:
     texts = passing(texts, "id", held, "id")
     at = F.when(F.col("id") == F.col("hub"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))
     first = held.select("band", "id", F.explode(at).alias("block"), F.lit(-1).alias("side"), F.col("id").alias("label"))
-    links = materialise(compare(first, texts))
+    links = materialise(compare(first, texts, percent))
     wide = held.where("blocks > 1")
     if wide.isEmpty():
         return links
@@ -186,10 +187,10 @@ def links_of(sets: DataFrame, texts: DataFrame) -> DataFrame:
     second = wide.select("band", "id", "label", F.col("block").alias("side"), "blocks", other).where("other <> side")
     pair = F.least("side", "other") * F.col("blocks") + F.greatest("side", "other")
     second = second.select("band", pair.alias("block"), F.col("side").cast("int"), "id", "label")
-    return links.unionByName(materialise(compare(second, texts)))
+    return links.unionByName(materialise(compare(second, texts, percent)))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, n_shingles, component_id, kept: a row for each row of docs."""
     sketches = materialise(sketch(docs))
     known = sketches.where("doc_id is not null and set_id is not null")
@@ -198,7 +199,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     # A doc_id that has several texts links their sets.
     several = known.groupBy("doc_id").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo <> hi").select("doc_id")
     through = known.select("doc_id", "set_id").join(several, "doc_id", "left_semi").join(sets.select("set_id", "id"), "set_id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    links = links_of(sets, texts).unionByName(through)
+    links = links_of(sets, texts, percent).unionByName(through)
     classes = components(links).select(F.col("node").alias("id"), F.col("component").alias("component_id"))
     named = sets.select("set_id", "id").join(classes, "id", "left").select("set_id", F.coalesce("component_id", "id").alias("component_id"))
     known = known.join(named, "set_id", "left").select("doc_id", "n_shingles", "component_id")
@@ -206,7 +207,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     return known.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents without those that are near copies of one with a smaller doc_id."""
-    gone = dedup(docs).where("not kept").select("doc_id").distinct()
+    gone = dedup(docs, percent).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

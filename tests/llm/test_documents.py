@@ -74,6 +74,22 @@ def test_near_copies(docs, corpus):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, (_, c) in want.items() if i == c}
 
 
+def test_near_copies_at_a_given_percentage(spark):
+    rng = np.random.default_rng(8)
+    texts = []
+    for _ in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 104)]
+        for k in (8, 9, 11, 12, 15):  # words at the end that are not shared: similarity from 0.85 down to 0.74
+            texts.append(" ".join(base[:-k] + [f"v{x}" for x in rng.integers(0, 5000, k)]))
+        texts.append(" ".join(base))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    firsts = lambda percent: {i for i, (_, c) in near_components(rows, percent).items() if i == c}
+    assert firsts(80) != firsts(85)
+    assert {r.doc_id for r in minhash_dedup.keep_first(df, 80).collect()} == firsts(80)
+    assert {r.doc_id for r in minhash_dedup.keep_first(df).collect()} == firsts(85)
+
+
 def test_blocks_of_a_hot_bucket(docs, corpus, monkeypatch):
     monkeypatch.setattr(minhash_dedup, "BLOCK", 2)
     assert {r.doc_id: r.component_id for r in minhash_dedup.dedup(docs).collect()} == {i: c for i, (_, c) in near_components(corpus).items()}
