@@ -1,12 +1,15 @@
 """Surrogates for personal data: entities are replaced by keyed, type-consistent others.
 
 Found are email addresses, telephone numbers, IPv4 addresses, card numbers (13 to 16 digits that pass Luhn's test), US social
-security numbers, and given names after a title or a phrase that introduces one. A surrogate follows from a keyed hash of the entity in its normal form
+security numbers, and names after titles or a phrase that introduces one: the whole run of capitalised words, with their apostrophes, hyphens,
+inner capitals and initials, up to the next title; a possessive 's stays outside. A surrogate follows from a keyed hash of the entity in its normal form
 (coreference: the same entity, the same surrogate, whatever its punctuation), and keeps type and format: digits stay digits in their places, country and area
-prefixes stay, card numbers pass Luhn's test and keep their issuer digit, addresses keep their octets' ranges, mail keeps its domain's ending, names keep gender, script and capitals.
+prefixes stay, card numbers pass Luhn's test and keep their issuer digit, addresses keep their octets' ranges, mail keeps its domain's ending, names keep gender, script and their number of words.
 
 Distinctness: all distinct entities of the corpus are one table. Where two of one type get the same surrogate, or a surrogate is itself an entity, all but the
-first by key are hashed again with the next round number, until none collides. Surrogates are joined back to the texts that hold them.
+first by key are hashed again with the next round number, until none collides. Each round adds a part to names, so no number of them uses up the lists; the other
+kinds keep their format, so a corpus that holds most of all values a format has (all of 192.168.x.y, say) has no distinct surrogates, and the query fails.
+Surrogates are joined back to the texts that hold them.
 
 Cases: null and empty texts have none; entities that overlap count as the first kind found at the leftmost place; repeated rows and null ids are rewritten alike, row by
 row; other columns stay. All steps are DataFrame functions; no Python runs on executors.
@@ -28,14 +31,23 @@ NAMES = {
     ("m", "cyrillic"): ("Антон", "Борис", "Виктор", "Иван", "Михаил", "Олег", "Павел", "Сергей"),
 }
 #: Titles and phrases that introduce a name, by the gender they tell ("" for none).
-TITLES = {"f": ("Mrs", "Ms", "Miss", "Mme", "Frau", "Sra", "Señora"), "m": ("Mr", "Herr", "Sr", "Señor", "Monsieur"), "": ("Dr", "Prof", "my name is", "My name is")}
+TITLES = {
+    "f": ("Mrs", "Ms", "Miss", "Mme", "Frau", "Sra", "Señora", "[Гг]-жа", "[Гг]оспожа"),
+    "m": ("Mr", "Herr", "Sr", "Señor", "Monsieur", "[Гг]-н", "[Гг]осподин"),
+    "": ("Dr", "Prof", "[Дд]-р"),
+}
+PHRASES = ("[Mm]y name is", "[Мм]еня зовут")
 KINDS = ("email", "card", "ssn", "ip", "phone", "name")
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 CARD = r"(?<![\p{L}\p{N}.+-])[0-9](?:[ -]?[0-9]){12,15}(?![\p{L}\p{N}])"
 SSN = r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])"
 IP = r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![\p{N}]|\.[0-9])"
 PHONE = r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{4}(?![\p{L}\p{N}])"
-NAME = r"(?<![\p{L}\p{N}])(?:(?:Mrs|Ms|Miss|Mme|Frau|Sra|Señora|Mr|Herr|Sr|Señor|Monsieur|Dr|Prof)\.? |[Mm]y name is )(\p{Lu}\p{Ll}+)"
+TITLE = "(?:" + "|".join(t for some in TITLES.values() for t in some) + r")(?![\p{L}\p{N}])\.?"
+#: A capitalised word of a name: Anna, McDonald, O'Brien, Anne-Marie; the letter of an initial.
+NAME_WORD = r"\p{Lu}(?:(?:['’](?!s(?!\p{L}))|-)?[\p{L}\p{M}])+"
+INITIAL = r"\p{Lu}\.(?: |(?=\p{Lu}))"
+NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{TITLE} |(?:{'|'.join(PHRASES)}) )(?:{TITLE} )*((?:{INITIAL})*(?!{TITLE} ){NAME_WORD}(?: (?:{INITIAL})*(?!{TITLE} ){NAME_WORD})*)"
 SPAN = "array<struct<start:int,kind:int,end:int,head:int>>"
 
 
@@ -121,30 +133,34 @@ def _email(normal_form: Column, seed: Column) -> Column:
     return F.concat(_letters(F.substring_index(normal_form, "@", 1), seed), F.lit("."), F.substring(seed, 57, 6), F.lit("@example."), F.when(F.substring_index(normal_form, ".", -1).isin("com", "net", "org"), F.substring_index(normal_form, ".", -1)).otherwise("com"))
 
 
-def _name(entity: Column, gender: Column, seed: Column, round_: Column) -> Column:
-    """A name of the same gender and script. Lists are short, so further rounds add a second part."""
+def _name(entity: Column, gender: Column, seed: Column, round_: int) -> Column:
+    """A name of the same gender, script and number of words. Lists are short, so each further round adds a part to the last word."""
     cyrillic = entity.rlike(r"\p{IsCyrillic}")
-    pick = lambda names, at: F.element_at(F.array(*map(F.lit, names)), (F.conv(F.substring(seed, at, 6), 16, 10).cast("long") % len(names) + 1).cast("int"))
+    words = F.size(F.split(entity, " "))
 
-    def drawn(at: int) -> Column:
+    def drawn(i: Column) -> Column:
+        number = F.conv(F.substring(F.sha2(F.concat_ws("\x1f", seed, i.cast("string")), 256), 1, 8), 16, 10).cast("long")
         out = F.lit(None).cast("string")
         for (g, script), names in NAMES.items():
-            out = F.when((gender == g) & (cyrillic == F.lit(script == "cyrillic")), pick(names, at)).otherwise(out)
+            pick = F.element_at(F.array(*map(F.lit, names)), (number % len(names) + 1).cast("int"))
+            out = F.when((gender == g) & (cyrillic == F.lit(script == "cyrillic")), pick).otherwise(out)
         return out
 
-    tail = F.when(round_ > 0, F.concat(F.lit("-"), drawn(9))).otherwise(F.lit(""))
-    third = F.when(round_ > 3, F.concat(F.lit("-"), drawn(17))).otherwise(F.lit(""))
-    return F.concat(drawn(1), tail, third)
+    parts = lambda lo, hi, by: F.array_join(F.transform(F.sequence(lo, hi), drawn), by)
+    return F.concat(F.when(words > 1, F.concat(parts(F.lit(1), words - 1, " "), F.lit(" "))).otherwise(F.lit("")), parts(words, words + round_, "-"))
 
 
 def gender_of(head: Column, name: Column, seed: Column) -> Column:
-    """From the title, else from the lists, else by hash."""
-    told = F.when(head.rlike("^(" + "|".join(TITLES["f"]) + r")\b"), "f").when(head.rlike("^(" + "|".join(TITLES["m"]) + r")\b"), "m")
-    known = F.when(name.isin(*(n for (g, _), x in NAMES.items() if g == "f" for n in x)), "f").when(name.isin(*(n for (g, _), x in NAMES.items() if g == "m" for n in x)), "m")
+    """From the title, else from the lists by the first word, else by hash."""
+    title = lambda g: head.rlike(r"(?<![\p{L}\p{N}])(?:" + "|".join(TITLES[g]) + r")(?![\p{L}\p{N}])")
+    given = F.substring_index(name, " ", 1)
+    listed = lambda g: given.isin(*(n for (x, _), names in NAMES.items() if x == g for n in names))
+    told = F.when(title("f"), "f").when(title("m"), "m")
+    known = F.when(listed("f"), "f").when(listed("m"), "m")
     return F.coalesce(told, known, F.when(F.substring(seed, 64, 1) < "8", "f").otherwise("m"))
 
 
-def surrogate(kind: Column, norm: Column, gender: Column, seed: Column, round_: Column) -> Column:
+def surrogate(kind: Column, norm: Column, gender: Column, seed: Column, round_: int) -> Column:
     """In normal form: numbers as digits alone."""
     return (F.when(kind == 0, _email(norm, seed)).when(kind == 1, _card(norm, seed)).when(kind == 2, _number(norm, seed, F.lit(0)))
             .when(kind == 3, _ip(norm, seed)).when(kind == 4, _number(norm, seed, F.greatest(F.length(norm) - 7, F.lit(0)))).otherwise(_name(norm, gender, seed, round_)))
@@ -153,17 +169,17 @@ def surrogate(kind: Column, norm: Column, gender: Column, seed: Column, round_:
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """entities: kind, norm, gender (null but for names), distinct by kind and norm. Adds new, distinct within a kind and no entity itself."""
     settled = None
-    open_ = entities.withColumn("round", F.lit(0))
+    open_ = entities
     taken = entities.select("kind", F.col("norm").alias("new"))
     for number in range(64):
         seed = F.sha2(F.concat_ws("\x1f", F.lit(key), F.col("kind").cast("string"), F.col("norm"), F.lit(str(number))), 256)
-        drawn = open_.withColumn("new", surrogate(F.col("kind"), F.col("norm"), F.col("gender"), seed, F.lit(number)))
+        drawn = open_.withColumn("new", surrogate(F.col("kind"), F.col("norm"), F.col("gender"), seed, number))
         first = drawn.groupBy("kind", "new").agg(F.min("norm").alias("first"))
         free = first.join(taken, ["kind", "new"], "left_anti")
         drawn = materialise(drawn.join(free, ["kind", "new"], "left").withColumn("ok", F.coalesce(F.col("norm") == F.col("first"), F.lit(False))).drop("first"))
         good = drawn.where("ok").select("kind", "norm", "new")
         settled = good if settled is None else settled.unionByName(good)
-        open_ = drawn.where("not ok").select("kind", "norm", "gender", "round")
+        open_ = drawn.where("not ok").select("kind", "norm", "gender")
         if open_.isEmpty():
             return settled
         taken = taken.unionByName(good.select("kind", "new"))

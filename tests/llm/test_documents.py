@@ -212,6 +212,26 @@ def test_surrogates_stay_distinct(spark):
     assert len(got) == 120 == len({r.new for r in got})
 
 
+def test_surrogates_of_many_names(spark):
+    letters = F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")
+    latin = spark.range(11_000).select(F.lit(5).alias("kind"), F.concat(F.lit("N"), letters).alias("norm"), F.lit("f").alias("gender"))
+    cyrillic = spark.range(1_000).select(F.lit(5).alias("kind"), F.concat(F.lit("Ж"), letters).alias("norm"), F.lit("m").alias("gender"))
+    got = pii_surrogates.surrogates(latin.unionByName(cyrillic), "k").collect()
+    assert len(got) == 12_000 == len({r.new for r in got})
+
+
+def test_whole_names_are_replaced(spark):
+    texts = ["Mr John Smith came", "Dr McDonald, Mrs O'Brien and Frau Anne-Marie Müller", "Prof. Dr. J. R. Braun's book", "Mr. Borg Mrs. Clamp met", "my name is Jean-Luc Ross.", "г-н Жуков и г-жа Жукова, меня зовут Фёдор", "MR X, Dr who, Mister Lee", "Mr Braun's and Mr Braun"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    out = {r.doc_id: (r["__n_entities"], r["__new_text"]) for r in pii_surrogates.replace_pii(df, "k").collect()}
+    assert [out[i][0] for i in range(8)] == [1, 3, 1, 2, 1, 3, 0, 2]
+    for i, shape in enumerate([r"Mr (N) (N) came", r"Dr (N), Mrs (N) and Frau (N) (N)", r"Prof\. Dr\. (N) (N) (N)'s book", r"Mr\. (N) Mrs\. (N) met", r"my name is (N) (N)\.", "г-н (N) и г-жа (N), меня зовут (N)", "MR X, Dr who, Mister Lee", "Mr (N)'s and Mr (N)"]):
+        found = re.fullmatch(shape.replace("N", r"[\w-]+"), out[i][1])
+        assert found and not set(found.groups()) & {"John", "Smith", "McDonald", "O'Brien", "Anne-Marie", "Müller", "Braun", "Borg", "Clamp", "Jean-Luc", "Ross", "Жуков", "Жукова", "Фёдор"}
+    assert re.search("г-н ([А-Яа-я-]+) и", out[5][1])[1].split("-")[0] in pii_surrogates.NAMES["m", "cyrillic"]
+    assert len(set(re.findall(r"Mr ([\w-]+)", out[7][1]))) == 1
+
+
 def test_token_counts(spark, corpus):
     from tokenizers import Tokenizer
 
