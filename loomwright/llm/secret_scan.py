@@ -2,8 +2,9 @@
 
 A candidate is a run of 20 or more characters of ``[A-Za-z0-9+/_=-]``. Its character class sets the entropy that a
 window of 20 characters must reach. The entropy is carried from window to window by the counts of the one
-character that comes in and the one that goes out. Candidates on the allow list, and those that a fixed pattern
-already covers, add nothing.
+character that comes in and the one that goes out. What a fixed pattern covers is cut out of a candidate, and so is
+each token between ``/ + =`` that holds an allowed word (a word joined by ``-`` or ``_`` belongs to its token); what is left on each
+side is scored as a candidate of its own, unless it is allowed as a whole. The SQL of op7 leaves out the whole candidate in both cases, so there the two differ.
 
 Cases: null or empty texts have no spans; places are code points, ends exclusive; overlapping spans of different
 kinds all stay; repeated rows and ties are scanned alike, each row by itself; other columns are passed over. Every
@@ -28,8 +29,11 @@ WINDOW = 20
 CANDIDATE = "[A-Za-z0-9+/_=-]{%d,}" % WINDOW
 #: Bits that a window of each class must reach: hexadecimal, one case with digits, both cases with digits.
 BITS = {"hex": 3.2, "one_case": 3.4, "mixed": 3.7}
-#: Runs that look random but are no secrets.
+#: Runs that look random but are no secrets: one pattern for a whole run, the others for words of a token.
 ALLOW_PATTERNS = ("^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", "(?i)example|sample|placeholder|dummy|changeme", "(?i)abcdefghij|0123456789|qwertyuiop")
+ALLOWED_RUN, ALLOWED_WORDS = ALLOW_PATTERNS[0], "|".join(ALLOW_PATTERNS[1:])
+#: What separates the tokens of a run.
+SEPARATOR = "[/+=]"
 #: What stands in a text for a secret that was taken out.
 MASK = "[SECRET]"
 
@@ -92,8 +96,37 @@ def window_entropy(run: Column, bits: Column) -> Column:
     return F.aggregate(steps, begin(first), step)
 
 
+PART = "array<struct<start:int,end:int>>"
+
+
+def _part(start: Column, end: Column) -> Column:
+    """The part as an array of one, or of none where it is shorter than a window."""
+    return F.when(end - start >= WINDOW, F.array(F.struct(start.cast("int").alias("start"), end.cast("int").alias("end")))).otherwise(F.array().cast(PART))
+
+
+def uncovered(s: Column, base: Column) -> Column:
+    """Parts of a span that no base span covers."""
+    inside = F.array_sort(F.filter(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    begin = F.struct(s["start"].cast("int").alias("at"), F.array().cast(PART).alias("out"))
+    step = lambda a, b: F.struct(F.greatest(a["at"], b["end"]).alias("at"), F.concat(a["out"], _part(a["at"], b["start"])).alias("out"))
+    return F.aggregate(inside, begin, step, lambda a: F.concat(a["out"], _part(a["at"], s["end"])))
+
+
+def without_allowed(text: Column, s: Column) -> Column:
+    """Parts of a span between its tokens that hold an allowed word."""
+    run = F.substring(text, s["start"] + 1, s["end"] - s["start"])
+    begin = F.struct(s["start"].alias("at"), s["start"].alias("start"), F.array().cast(PART).alias("out"))
+
+    def step(a: Column, token: Column) -> Column:  # from the token at a.at to the next; a part ends before the separator
+        after, allowed = a["at"] + F.length(token) + 1, token.rlike(ALLOWED_WORDS)
+        return F.struct(after.alias("at"), F.when(allowed, after).otherwise(a["start"]).alias("start"), F.when(allowed, F.concat(a["out"], _part(a["start"], a["at"] - 1))).otherwise(a["out"]).alias("out"))
+
+    cut = F.aggregate(F.split(run, SEPARATOR, -1), begin, step, lambda a: F.concat(a["out"], _part(a["start"], s["end"])))
+    return F.when(run.rlike(ALLOWED_WORDS), cut).otherwise(_part(s["start"], s["end"]))
+
+
 def entropy_spans(text: Column, base: Column, allow: tuple[str, ...]) -> Column:
-    allowed = lambda run: F.lit(False) if not ALLOW_PATTERNS and not allow else (run.isin(*allow) if allow else F.lit(False)) | run.rlike("|".join(ALLOW_PATTERNS))
+    allowed = lambda run: (run.isin(*allow) if allow else F.lit(False)) | run.rlike(ALLOWED_RUN)
 
     def judge(s: Column) -> Column:
         run = F.substring(text, s["start"] + 1, s["end"] - s["start"])
@@ -102,7 +135,9 @@ def entropy_spans(text: Column, base: Column, allow: tuple[str, ...]) -> Column:
         hot = let(bits, lambda b: F.when(b.isNotNull() & ~allowed(run), window_entropy(run, b)))
         return let(hot, lambda h: F.struct((s["start"] + h["lo"]).alias("start"), F.lit(3).alias("kind"), (s["start"] + h["hi"]).alias("end"), F.lit(0).alias("inner")))
 
-    free = F.filter(located(text, CANDIDATE), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    whole = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"]).isin(*allow) if allow else F.lit(False)
+    free = F.flatten(F.transform(F.filter(located(text, CANDIDATE), lambda s: ~whole(s)), lambda s: uncovered(s, base)))
+    free = F.flatten(F.transform(free, lambda s: without_allowed(text, s)))
     found = F.filter(F.transform(free, judge), lambda s: s["start"].isNotNull())
     return F.when(text.rlike(CANDIDATE), found).otherwise(F.array().cast(SPAN))
 
