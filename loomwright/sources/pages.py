@@ -23,11 +23,12 @@ def links(pages: DataFrame, id_col: str, url: str, html: str) -> DataFrame:
     return out.where((urls.host(F.col("link")) == F.col("__host")) & urls.is_page(F.col("link"))).select(id_col, "link").distinct()
 
 
-def page_text(html: Column, most: int = 5000) -> Column:
-    """Text of the main or article part, or of the whole body, cut at ``most`` characters."""
+def page_text(html: Column, most: int | None = None) -> Column:
+    """Text of the main or article part, or of the whole body; cut at ``most`` characters where given."""
     main = F.coalesce(F.nullif(F.regexp_extract(html, r"(?is)<(?:main|article)\b[^>]*>(.*?)</(?:main|article)>", 1), F.lit("")), html)
     plain = F.regexp_replace(main, r"(?is)<(nav|header|footer|aside|form)\b[^>]*>.*?</\1>", " ")
-    return F.substring(text.strip_tags(plain), 1, most)
+    whole = text.strip_tags(plain)
+    return whole if most is None else F.substring(whole, 1, most)
 
 
 def meta(html: Column, name: str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwright.functions import intent, vehicles
 from loomwright.operators import crawl, rerank, retrieval
-from loomwright.sources import network
+from loomwright.sources import network, pages
 
 
 def asked(spark, *texts):
@@ -95,3 +95,10 @@ def test_retrieval(spark):
     assert retrieval.retrieve(rows, [], rerank.Intent("leetcode"), F.lit(seen)).count() == 0
     scored = spark.createDataFrame([("q", "a", 900), ("q", "b", 850), ("r", "c", 400)], "q string, id string, score int")
     assert [(r.id, r.ambiguous) for r in retrieval.decided(scored, "q", "score", "id").collect()] == [("a", True)]
+
+
+def test_page_text_is_whole(spark):
+    words = [f"w{i}" for i in range(3000)]
+    df = spark.createDataFrame([(f"<html><body><main><p>{'</p><p>'.join(words)}</p></main></body></html>",)], "html string")
+    assert df.select(pages.page_text(F.col("html")).alias("x")).first().x.split() == words
+    assert len(df.select(pages.page_text(F.col("html"), 5000).alias("x")).first().x) == 5000
