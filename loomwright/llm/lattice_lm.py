@@ -6,11 +6,12 @@ words and one end token. The vocabulary is the pieces of a public byte-level tok
 beginning) and the end; a piece's probability is its share of the pieces that the tokenizer's own cuts give for the training documents' words, smoothed by a half.
 These probabilities sum to one over pieces and end, so those of all texts do. Any text has a probability, as every byte is a piece.
 
-Word counts come from one aggregation over all training documents. Words that are frequent enough that there cannot be more than FREQUENT of
-them are looked up in the tasks; all others are joined.
+The distinct words of all documents are one table, which grows with the corpus: each word's count in training and, by one forward recursion, its score. Words come in
+order, and a word takes over the recursion of the letters that it shares with the word before. Words that are frequent enough that there cannot be more than FREQUENT of
+them are looked up in the tasks that read the texts; all others are joined by the word itself.
 
 Cases: a null or empty text is one end token; rows with equal or null ids are scored each by itself (the id decides whether a row is held out; a null id is trained on);
-without training documents all counts are 0; other columns are passed over.
+without training documents all counts are 0; an empty table gives no rows; a word of any length is scored whole; other columns are passed over, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,11 +20,11 @@ import json
 import math
 import os
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +33,8 @@ from .token_transducer import _bytes_of_alphabet
 
 #: Words counted at least N / FREQUENT times are FREQUENT at most.
 FREQUENT = 1_000_000
-#: Words whose scores a task remembers, and words it counts before it hands the counts on.
-MEMO, HELD = 300_000, 300_000
+#: Words that a task counts before it hands the counts on.
+HELD = 300_000
 #: The end token, which no word equals.
 END = b"\n"
 
@@ -52,10 +53,6 @@ def pieces_of(path: str) -> dict[bytes, int]:
     return out
 
 
-def key_of(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
-
-
 def log_sum(terms: list[float]) -> float:
     if len(terms) == 1:
         return terms[0]
@@ -63,32 +60,35 @@ def log_sum(terms: list[float]) -> float:
     return top + math.log(sum([math.exp(t - top) for t in terms]))
 
 
-class Lattice(dict):
-    """Memo from a word to the natural logarithm of its probability."""
+def endings(log_p: dict[bytes, float]) -> dict[bytes, float]:
+    """The pieces' log-probabilities, and minus infinity for what longer pieces end with but no piece is: where a string is not in here, no longer one before its end is a piece."""
+    out = {piece[i:]: -math.inf for piece in log_p for i in range(1, len(piece))}
+    return out | log_p
 
-    def __init__(self, log_p: dict[bytes, float]) -> None:
-        self.log_p = log_p
-        #: What some longer piece begins with: where a word leaves this set, no further piece starts at that place.
-        self.begun = frozenset(piece[:i] for piece in log_p for i in range(1, len(piece)))
 
-    def __missing__(self, word: bytes) -> float:
+def word_scores(words: Iterable[bytes], ends: dict[bytes, float]) -> Iterator[float]:
+    """Natural logarithm of each word's probability. The forward probabilities of the letters shared with the word before stay; in sorted order these are most."""
+    before, forward, get = b"", [0.0], ends.get
+    for word in words:
         text = b" " + word
-        n, get, begun = len(text), self.log_p.get, self.begun
-        # The terms that arrive at each place; their log-sum is its forward probability, so that long words do not underflow.
-        arriving: list[list[float]] = [[] for _ in range(n + 1)]
-        arriving[0].append(0.0)
-        for start in range(n):
-            here = log_sum(arriving[start])
-            for end in range(start + 1, n + 1):
-                piece = text[start:end]
-                if (p := get(piece)) is not None:
-                    arriving[end].append(here + p)
-                if piece not in begun:
+        n = len(text)
+        same = 0
+        for x, y in zip(before, text):
+            if x != y:
+                break
+            same += 1
+        del forward[same + 1 :]
+        for end in range(same + 1, n + 1):
+            terms = []
+            for start in range(end - 1, -1, -1):
+                p = get(text[start:end])
+                if p is None:
                     break
-        if len(self) >= MEMO:
-            self.clear()
-        self[word] = out = log_sum(arriving[n])
-        return out
+                if p != -math.inf:
+                    terms.append(forward[start] + p)
+            forward.append(log_sum(terms))
+        before = text
+        yield forward[n]
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -97,25 +97,29 @@ def tokens(text: bytes | None) -> list[bytes]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter = Counter()
+    trained, held_out = Counter(), Counter()
 
     def out() -> pa.RecordBatch:
-        words = list(held)
-        return pa.RecordBatch.from_arrays([pa.array([key_of(w) for w in words], pa.int64()), pa.array(words, pa.binary()), pa.array(held.values(), pa.int64())], names=["key", "word", "n"])
+        words = list(trained | held_out)
+        n = np.fromiter((trained[w] for w in words), dtype=np.int64, count=len(words))
+        rest = np.fromiter((held_out[w] for w in words), dtype=np.int64, count=len(words))
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n), pa.array(n + rest)], names=["word", "n", "total"])
 
     for batch in batches:
-        for text in batch.column(0).cast(pa.binary()):
-            held.update(tokens(text.as_py()))
-            held[END] += 1
-            if len(held) >= HELD:
+        for text, held in zip(batch.column("text").cast(pa.binary()), batch.column("held_out").to_pylist(), strict=True):
+            into = held_out if held else trained
+            into.update(tokens(text.as_py()))
+            into[END] += 1
+            if len(trained) + len(held_out) >= HELD:
                 yield out()
-                held.clear()
+                trained.clear()
+                held_out.clear()
     yield out()
 
 
-def word_counts(training: DataFrame) -> DataFrame:
-    """key, word, n of every token of the training texts, the end token with them."""
-    return training.select("text").mapInArrow(_count, "key long, word binary, n long").groupBy("key", "word").agg(F.sum("n").alias("n"))
+def word_counts(rows: DataFrame) -> DataFrame:
+    """rows: text, held_out. Returns word, n (in training texts) and total of every token, the end token with them."""
+    return rows.select("text", "held_out").mapInArrow(_count, "word binary, n long, total long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
 def _cuts(path: str):
@@ -143,49 +147,62 @@ def _cuts(path: str):
 
 def piece_scores(counts: DataFrame, ends: int, path: str) -> tuple[dict[bytes, float], float]:
     """Natural logarithm of each piece's probability and of the end's; one number a piece of the vocabulary reaches the driver."""
-    got = counts.select("word", "n").mapInArrow(_cuts(path), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
+    got = counts.where("n > 0").select("word", "n").mapInArrow(_cuts(path), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
     seen = {r.piece: r.n for r in got.collect()}
     vocabulary = pieces_of(path)
     total = sum(seen.values()) + ends + 0.5 * (len(vocabulary) + 1)
     return {piece: math.log((seen.get(number, 0.0) + 0.5) / total) for piece, number in vocabulary.items()}, math.log((ends + 0.5) / total)
 
 
+def scored_words(counts: DataFrame, ends: dict[bytes, float]) -> DataFrame:
+    """Adds log_p to counts: each distinct word of the corpus is scored once. ends holds a few numbers a piece of the vocabulary."""
+    held = counts.sparkSession.sparkContext.broadcast(ends)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = np.fromiter(word_scores(batch.column("word").to_pylist(), held.value), dtype=np.float64, count=len(batch))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, "log_p"])
+
+    return counts.sortWithinPartitions("word").mapInArrow(run, "word binary, n long, total long, log_p double")
+
+
 def score(docs: DataFrame, held_out: Column, path: str) -> DataFrame:
     """docs: doc_id, text. held_out: a Column over docs. Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    counts = materialise(word_counts(rows.where("not held_out")))
-    n, v, ends = counts.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("word") == F.lit(END), F.col("n")))).first()
-    n, v, ends = n or 0, v or 0, ends or 0
-    floor = max(1, -(-n // FREQUENT))
-    often = {r.word: r.n for r in counts.where(F.col("n") >= floor).select("word", "n").toLocalIterator()}  # FREQUENT rows at most
-    log_p, log_end = piece_scores(counts, ends, path)
-    model = spark.sparkContext.broadcast((often, log_p))
-    bottom = math.log10(n + 0.5 * (v + 1)) if n or v else math.log10(0.5)
-    end_base = math.log10(ends + 0.5) - bottom
+    counts = materialise(word_counts(rows))
+    n, v, every = counts.agg(F.sum("n"), F.count_if(F.col("n") > 0), F.sum("total")).first()
+    ends = counts.where(F.col("word") == F.lit(END)).agg(F.sum("n")).first()[0] or 0
+    n, v, every = n or 0, v or 0, every or 0
+    log_p, log_end = piece_scores(counts.where(F.col("word") != F.lit(END)), ends, path)
+    words = materialise(scored_words(counts.where(F.col("word") != F.lit(END)), endings(log_p)))
+    floor = max(1, -(-every // FREQUENT))
+    often = list(words.where(F.col("total") >= floor).select("word", "n", "log_p").toLocalIterator(prefetchPartitions=True))  # FREQUENT rows at most
+    bottom = math.log10(n + 0.5 * (v + 1))
+    place = {bytes(r.word): i for i, r in enumerate(often)}
+    figures = np.array([(r.n > 0, math.log10(r.n + 0.5) - bottom, r.log_p) for r in often] or np.empty((0, 3)))
+    model = spark.sparkContext.broadcast((place, figures))
+    end = np.array([ends > 0, math.log10(ends + 0.5) - bottom, log_end])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often_, log_p_ = model.value
-        lattice, base = Lattice(log_p_), {w: math.log10(c + 0.5) - bottom for w, c in often_.items()}
+        place_, figures_ = model.value
         for batch in batches:
             out = []
             for doc_id, held, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
-                words = tokens(text.as_py())
-                total = sum(map(lattice.__getitem__, words)) + log_end
-                rest = Counter(w for w in words if w not in base)
-                known = len(words) - rest.total()
-                partial = sum([base[w] for w in words if w in base]) + end_base
-                out.append((doc_id, held, len(words) + 1, known + (ends > 0), partial, total / math.log(10), [key_of(w) for w in rest], list(rest.values())))
-            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+                said = tokens(text.as_py())
+                at = np.fromiter(map(place_.get, said, repeat(-1)), dtype=np.int64, count=len(said))
+                known, base, log_p_ = figures_[at[at >= 0]].sum(axis=0) + end
+                rest = Counter(said[i] for i in np.flatnonzero(at < 0))
+                out.append((doc_id, held, len(said) + 1, int(known), base, log_p_, list(rest), list(rest.values())))
+            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
             columns = list(zip(*out, strict=True)) if out else [[]] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "held_out", "n_tokens", "known", "partial", "score", "keys", "times"])
-
-    kind = "doc_id long, held_out boolean, n_tokens long, known long, partial double, score double, keys array<long>, times array<int>"
-    scored = materialise(rows.mapInArrow(run, kind).withColumn("row", F.monotonically_increasing_id()))
-    rare = counts.where(F.col("n") < floor).select("key", F.col("n").cast("int").alias("c"))
-    wanted = scored.select("row", F.explode(F.arrays_zip("keys", "times")).alias("w")).select("row", F.col("w.keys").alias("key"), F.col("w.times").alias("times"))
-    found = wanted.join(rare, "key", "left")
-    c = F.coalesce("c", F.lit(0))
-    sums = found.groupBy("row").agg(F.sum(F.col("times") * (F.log10(c + 0.5) - F.lit(bottom))).alias("more"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"))
-    out = scored.drop("keys", "times").join(sums, "row", "left")
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("partial") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "held_out", "n_tokens", "known", "base", "log_p", "words", "times"])
+
+    kind = "doc_id long, held_out boolean, n_tokens long, known long, base double, log_p double, words array<binary>, times array<int>"
+    read = materialise(rows.mapInArrow(run, kind).withColumn("row", F.monotonically_increasing_id()))
+    rare = words.where(F.col("total") < floor).select("word", (F.col("n") > 0).alias("seen"), (F.log10(F.col("n") + 0.5) - F.lit(bottom)).alias("b"), F.col("log_p").alias("p"))
+    wanted = read.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
+    sums = wanted.join(rare, "word").groupBy("row").agg(F.sum(F.col("times") * F.col("b")).alias("more_base"), F.sum(F.col("times") * F.col("p")).alias("more"), F.sum(F.when(F.col("seen"), F.col("times")).otherwise(0)).alias("more_known"))
+    out = read.drop("words", "times").join(sums, "row", "left")
+    plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
+    return out.select("doc_id", "held_out", "n_tokens", plus("known", "more_known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), plus("base", "more_base").alias("base_score"), (plus("log_p", "more") / math.log(10)).alias("score"))

@@ -303,9 +303,34 @@ def test_lattice_sums_all_segmentations():
     def brute(text):
         return 1.0 if not text else sum(math.exp(p) * brute(text[len(x) :]) for x, p in log_p.items() if text.startswith(x))
 
-    lattice = lattice_lm.Lattice(log_p)
-    for word in (b"a", b"abc", b"abcbcab", b"abab"):
-        assert lattice[word] == pytest.approx(math.log(brute(b" " + word)))
+    words = [b"a", b"abab", b"abc", b"abcbcab", b"abcbcb", b"b", b"abc"]
+    for word, got in zip(words, lattice_lm.word_scores(words, lattice_lm.endings(log_p)), strict=True):
+        assert got == pytest.approx(math.log(brute(b" " + word)))
+
+
+def brute_model(corpus, held, path):
+    """Base-10 logarithm of each text's probability: pieces counted from the library's cuts, all cuts of a word summed."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    library = Tokenizer.from_file(path)
+    library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    pieces = lattice_lm.pieces_of(path)
+    n, ends = Counter(), 0
+    for r in corpus:
+        if not held(r[0]):
+            ends += 1
+            for w in (r[1] or "").encode().lower().split():
+                n.update(library.encode(" " + w.decode(), add_special_tokens=False).ids)
+    total = n.total() + ends + 0.5 * (len(pieces) + 1)
+    longest = max(map(len, pieces))
+
+    def word(text):
+        reached = [1.0] + [0.0] * len(text)
+        for end in range(1, len(text) + 1):
+            reached[end] = math.fsum(reached[i] * (n[pieces[text[i:end]]] + 0.5) / total for i in range(max(0, end - longest), end) if text[i:end] in pieces)
+        return math.log10(reached[-1])
+
+    return lambda text: math.fsum(word(b" " + w) for w in (text or "").encode().lower().split()) + math.log10((ends + 0.5) / total)
 
 
 def test_lm_scores(docs, corpus):
@@ -316,11 +341,12 @@ def test_lm_scores(docs, corpus):
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in tokens}
     counts = Counter(w for r in corpus if not held[r[0]] for w in tokens[r[0]])
     n, v = counts.total(), len(counts)
+    model, text = brute_model(corpus, held.get, path), {r[0]: r[1] for r in corpus}
     for r in got:
         t = tokens[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(t), sum(counts[w] > 0 for w in t), n)
         assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t))
-        assert r.score < 0
+        assert r.score == pytest.approx(model(text[r.doc_id]))
 
 
 def test_lm_joins_rare_words(docs, corpus, monkeypatch):
@@ -336,3 +362,11 @@ def test_lm_without_training(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     got = lattice_lm.score(df, F.lit(True), public_tokenizers.path("byte_bpe_50k.json")).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens) for r in sorted(got, key=lambda r: r.doc_id)] == [(3, 0, 0), (1, 0, 0)]
+
+
+def test_lm_passes_over_clashing_columns(spark):
+    path, names = public_tokenizers.path("byte_bpe_50k.json"), ("held_out", "row", "word", "n", "score", "known")
+    df = spark.createDataFrame([(1, "a b " * 30_000), (2, None), (2, "b zz"), (None, "a")], "doc_id long, text string")
+    rows = lambda x: sorted(map(str, lattice_lm.score(x, F.col("doc_id") == 1, path).collect()))
+    assert rows(df.select("*", *(F.lit("mine").alias(x) for x in names))) == rows(df)
+    assert lattice_lm.score(df.limit(0), F.lit(False), path).count() == 0
