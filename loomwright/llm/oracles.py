@@ -58,14 +58,25 @@ def _op7() -> str:
  FROM (SELECT *, unnest(found) AS whole, unnest(regexp_extract_all(text, '{quoted(pattern)}', {group})) AS part, unnest(range(1, len(found) + 1)) AS i FROM (SELECT doc_id, text, {gaps} AS gaps, {found} AS found FROM t))) WHERE length(part) >= {least}"""
 
     w, b = secret_scan.WINDOW, secret_scan.BITS
-    allowed = " OR ".join(f"regexp_matches(run, '{p}')" for p in secret_scan.ALLOW_PATTERNS)
+
+    def between(spans: str, cuts: str) -> str:
+        """What is left of spans (begin, stop) between their cuts (cb, cs), where it is as long as a window."""
+        window = "(PARTITION BY doc_id, begin ORDER BY cb, cs ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        return f"""SELECT p.doc_id, p.pb AS begin, p.pe AS stop, substr(t.text, CAST(p.pb AS BIGINT) + 1, CAST(p.pe - p.pb AS BIGINT)) AS run FROM (SELECT doc_id, greatest(begin, coalesce(max(cs) OVER {window}, begin)) AS pb, cb AS pe
+ FROM ({cuts} UNION ALL SELECT doc_id, begin, stop, stop AS cb, stop AS cs FROM {spans})) p JOIN t USING (doc_id) WHERE p.pe - p.pb >= {w}"""
+
+    others = between("cand", "SELECT c.doc_id, c.begin, c.stop, b.begin AS cb, b.stop AS cs FROM cand c JOIN base b ON b.doc_id = c.doc_id AND b.begin < c.stop AND c.begin < b.stop")
+    tokens = f"SELECT doc_id, begin, stop, unnest(tokens) AS token, unnest(range(1, len(tokens) + 1)) AS i, tokens FROM (SELECT *, string_split_regex(run, '{secret_scan.SEPARATOR}') AS tokens FROM part)"
+    words = between("part", f"SELECT doc_id, begin, stop, tb - 1 AS cb, tb + length(token) + 1 AS cs FROM (SELECT *, begin + i - 1 + coalesce(list_sum(list_transform(tokens[1:i-1], lambda x: length(x))), 0) AS tb FROM ({tokens})) WHERE regexp_matches(token, '{secret_scan.ALLOWED_WORDS}')")
     kinds = "[" + ", ".join(f"'{k}'" for k in secret_scan.KINDS) + "]"
     joined = lambda extra: f"coalesce(string_agg({kinds}[kind + 1] || ':' || begin || ':' || stop, ',' ORDER BY begin, kind, stop) FILTER ({extra}), '')"
     return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 base AS ({located(0, secret_scan.ASSIGN, 1, 6)} UNION ALL {located(1, secret_scan.ACCESS, 0, 1)} UNION ALL {located(2, secret_scan.HEX, 0, 1)}),
-cand AS (SELECT doc_id, begin, substr(text, CAST(begin AS BIGINT) + 1, CAST(stop - begin AS BIGINT)) AS run, stop FROM ({located(3, secret_scan.CANDIDATE, 0, 1)})),
-free AS (SELECT *, CASE WHEN regexp_full_match(run, '[0-9a-fA-F]+') THEN {b["hex"]} WHEN regexp_matches(run, '[a-z]') AND regexp_matches(run, '[A-Z]') THEN {b["mixed"]} ELSE {b["one_case"]} END AS bits FROM cand
- WHERE regexp_matches(run, '[0-9]') AND regexp_matches(run, '[A-Za-z]') AND NOT ({allowed}) AND NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = cand.doc_id AND base.begin < cand.stop AND cand.begin < base.stop)),
+cand AS (SELECT doc_id, begin, stop FROM ({located(3, secret_scan.CANDIDATE, 0, 1)})),
+part AS ({others}),
+whole AS ({words}),
+free AS (SELECT *, CASE WHEN regexp_full_match(run, '[0-9a-fA-F]+') THEN {b["hex"]} WHEN regexp_matches(run, '[a-z]') AND regexp_matches(run, '[A-Z]') THEN {b["mixed"]} ELSE {b["one_case"]} END AS bits FROM whole
+ WHERE regexp_matches(run, '[0-9]') AND regexp_matches(run, '[A-Za-z]') AND NOT regexp_matches(run, '{secret_scan.ALLOWED_RUN}')),
 win AS (SELECT doc_id, begin, bits, i, substr(run, i + 1, {w}) AS s FROM (SELECT *, unnest(range(0, length(run) - {w - 1})) AS i FROM free)),
 chr AS (SELECT doc_id, begin, bits, i, x, count(*) AS c FROM (SELECT *, unnest(string_split(s, '')) AS x FROM win) GROUP BY ALL),
 ent AS (SELECT doc_id, begin, i FROM chr GROUP BY doc_id, begin, bits, i HAVING log2({w}) - sum(c * log2(c)) / {w} >= bits - 1e-9),

@@ -1,14 +1,14 @@
 """Secret scans: three fixed patterns, and the entropy of sliding windows over long unbroken strings.
 
 A candidate is a run of 20 or more characters of ``[A-Za-z0-9+/_=-]``. Its character class sets the entropy that a
-window of 20 characters must reach. The entropy is carried from window to window by the counts of the one
-character that comes in and the one that goes out. What a fixed pattern covers is cut out of a candidate, and so is
+window of 20 characters must reach. The counts of a window's characters are carried along: a step takes one off for the character that
+leaves, adds one for the character that enters, and changes the entropy's sum by just these. What a fixed pattern covers is cut out of a candidate, and so is
 each token between ``/ + =`` that holds an allowed word (a word joined by ``-`` or ``_`` belongs to its token); what is left on each
-side is scored as a candidate of its own, unless it is allowed as a whole. The SQL of op7 leaves out the whole candidate in both cases, so there the two differ.
+side is scored as a candidate of its own, unless it is allowed as a whole.
 
 Cases: null or empty texts have no spans; places are code points, ends exclusive; overlapping spans of different
-kinds all stay; repeated rows and ties are scanned alike, each row by itself; other columns are passed over. Every
-step is a DataFrame expression inside one row: no shuffle, and no Python runs on executors.
+kinds all stay; repeated rows and ties are scanned alike, each row by itself; an empty table gives no rows; other columns stay, whatever their names.
+Every step is a DataFrame expression inside one row: no shuffle, and no Python runs on executors. Time grows about as a text's length, however many spans it holds.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, text_of
+from .common import before, between, chars_of, let, text_of, unused
 
 # Fixed patterns: keyword assignments, access keys, long hexadecimal runs. Letters of the keywords in either case.
 KEYWORDS = "(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
@@ -41,25 +41,15 @@ SPAN = "array<struct<start:int,kind:int,end:int,inner:int>>"
 
 
 def located(text: Column, pattern: str, group: int = 0) -> Column:
-    """Spans of all matches, leftmost first: what stands between the matches gives their places.
+    """Spans of all matches, leftmost first, with the matched text and the length of the given group (inner): what stands between the matches gives their places."""
 
-    inner is the length of the given group.
-    """
-
-    def place(gaps: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,inner:int>>").alias("spans"))
-        found = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("part"))
-        found = F.filter(found, lambda x: x["whole"].isNotNull())
-
-        def step(acc: Column, x: Column) -> Column:
-            begin = acc["at"] + F.length(x["gap"])
-            end = begin + F.length(x["whole"])
-            one = F.struct(begin.alias("start"), end.alias("end"), F.length(x["part"]).alias("inner"))
-            return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(one)).alias("spans"))
-
-        return F.aggregate(found, start, step)["spans"]
+    def place(gaps: Column, found: Column, parts: Column) -> Column:
+        gap = lambda i: F.length(F.get(gaps, i))
+        span = lambda w, i, at: F.struct((at + gap(i)).alias("start"), (at + gap(i) + F.length(w)).alias("end"), F.length(F.get(parts, i)).alias("inner"), w.alias("whole"))
+        return let(before(F.transform(found, lambda w, i: gap(i) + F.length(w))), lambda at: F.transform(found, lambda w, i: span(w, i, F.get(at, i))))
 
-    return let(F.split(text, pattern, -1), place)
+    every = lambda n: F.regexp_extract_all(text, F.lit(pattern), F.lit(n))
+    return let(F.split(text, pattern, -1), lambda gaps: let(every(0), lambda found: place(gaps, found, found) if group == 0 else let(every(group), lambda parts: place(gaps, found, parts))))
 
 
 def kind_spans(text: Column, kind: int, guard: Column, pattern: str, group: int = 0, least: int = 1) -> Column:
@@ -69,88 +59,110 @@ def kind_spans(text: Column, kind: int, guard: Column, pattern: str, group: int
     return F.when(guard, spans).otherwise(F.array().cast(SPAN))
 
 
+#: Characters of candidates; twelve counts of five bits go into one number.
+ALPHABET, PACKED = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 12
+
+
 def window_entropy(run: Column, bits: Column) -> Column:
     """First and last place (from 0, end exclusive) of windows in run that reach bits; nulls without such a window.
 
-    With S the sum of c * log2(c) over the counts c in a window, its entropy is log2(W) - S / W. A step changes S by
-    the counts of the character that enters and of the one that leaves.
+    With S the sum of c * log2(c) over the counts c in a window, its entropy is log2(W) - S / W. The state holds the counts of all characters, packed, and S.
     """
-    weight = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
-    count = lambda window, x: F.length(window) - F.length(F.replace(window, x, F.lit("")))
     limit = WINDOW * (math.log2(WINDOW) - bits) + 1e-9
-    head = F.substring(run, 1, WINDOW)
-    first = F.aggregate(F.array_distinct(F.split(head, "")), F.lit(0.0), lambda s, x: s + F.when(x == "", F.lit(0.0)).otherwise(weight(count(head, x))))
+    weights = F.array(*(F.lit(c * math.log2(c) if c > 1 else 0.0) for c in range(WINDOW + 2)))
+    ones = F.array(*(F.lit(1 << 5 * i).cast("long") for i in range(PACKED)))
+    place = lambda code: F.floor(code / PACKED).cast("int")
+    count = lambda a, code: F.call_function("shiftright", F.get(a["counts"], place(code)), code % PACKED * 5).bitwiseAND(F.lit(31)).cast("int")
+    weight = lambda c: F.get(weights, c)
+    state = lambda counts, s, lo, hi: F.struct(counts.alias("counts"), s.alias("s"), lo.alias("lo"), hi.alias("hi"))
+
+    def changed(a: Column, code: Column, by: int) -> Column:
+        counts = F.transform(a["counts"], lambda x, j: F.when(j == place(code), x + by * F.get(ones, code % PACKED)).otherwise(x))
+        return let(count(a, code), lambda c: state(counts, a["s"] - weight(c) + weight(c + by), a["lo"], a["hi"]))
 
-    def begin(s: Column) -> Column:
-        return F.struct(s.alias("s"), F.when(s <= limit, F.lit(0)).alias("lo"), F.when(s <= limit, F.lit(WINDOW)).alias("hi"))
+    def judged(a: Column, i: Column) -> Column:
+        hot = (i >= WINDOW - 1) & (a["s"] <= limit)
+        return state(a["counts"], a["s"], F.coalesce(a["lo"], F.when(hot, i - WINDOW + 1)), F.when(hot, i + 1).otherwise(a["hi"]))
 
-    def step(a: Column, i: Column) -> Column:  # from the window at i - 1 to the one at i
-        gone, new = run.substr(i, F.lit(1)), run.substr(i + WINDOW, F.lit(1))
-        rest = run.substr(i + 1, F.lit(WINDOW - 1))
-        out, come = count(rest, gone), count(rest, new)
-        s = a["s"] - weight(out + 1) + weight(out) + weight(come + 1) - weight(come)
-        hot = s <= limit
-        return F.struct(s.alias("s"), F.coalesce(a["lo"], F.when(hot, i)).alias("lo"), F.when(hot, i + WINDOW).otherwise(a["hi"]).alias("hi"))
+    def pass_over(codes: Column) -> Column:
+        none = F.lit(None).cast("int")
+        start = state(F.array(*(F.lit(0).cast("long") for _ in range(-(-len(ALPHABET) // PACKED)))), F.lit(0.0), none, none)
 
-    steps = F.when(F.length(run) > WINDOW, F.sequence(F.lit(1), F.length(run) - WINDOW)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, begin(first), step)
+        def step(a: Column, i: Column) -> Column:
+            left = F.when(i >= WINDOW, changed(a, F.get(codes, i - WINDOW), -1)).otherwise(a)
+            return let(left, lambda b: let(changed(b, F.get(codes, i), 1), lambda c: judged(c, i)))
 
+        return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), start, step, lambda a: F.struct(a["lo"].alias("lo"), a["hi"].alias("hi")))
 
-PART = "array<struct<start:int,end:int>>"
+    return let(F.transform(chars_of(run), lambda c: F.instr(F.lit(ALPHABET), c) - 1), pass_over)
 
 
-def _part(start: Column, end: Column) -> Column:
-    """The part as an array of one, or of none where it is shorter than a window."""
-    return F.when(end - start >= WINDOW, F.array(F.struct(start.cast("int").alias("start"), end.cast("int").alias("end")))).otherwise(F.array().cast(PART))
+PART = "array<struct<start:int,end:int,whole:string>>"
 
 
-def uncovered(s: Column, base: Column) -> Column:
-    """Parts of a span that no base span covers."""
-    inside = F.array_sort(F.filter(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    begin = F.struct(s["start"].cast("int").alias("at"), F.array().cast(PART).alias("out"))
-    step = lambda a, b: F.struct(F.greatest(a["at"], b["end"]).alias("at"), F.concat(a["out"], _part(a["at"], b["start"])).alias("out"))
-    return F.aggregate(inside, begin, step, lambda a: F.concat(a["out"], _part(a["at"], s["end"])))
+def without_allowed(s: Column) -> Column:
+    """Parts of a candidate between its tokens that hold an allowed word."""
+    run = s["whole"]
 
+    def part(start: Column, end: Column) -> Column:  # an array of one, or of none where it is shorter than a window
+        one = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.substring(run, start - s["start"] + 1, end - start).alias("whole"))
+        return F.when(end - start >= WINDOW, F.array(one)).otherwise(F.array().cast(PART))
 
-def without_allowed(text: Column, s: Column) -> Column:
-    """Parts of a span between its tokens that hold an allowed word."""
-    run = F.substring(text, s["start"] + 1, s["end"] - s["start"])
     begin = F.struct(s["start"].alias("at"), s["start"].alias("start"), F.array().cast(PART).alias("out"))
 
     def step(a: Column, token: Column) -> Column:  # from the token at a.at to the next; a part ends before the separator
         after, allowed = a["at"] + F.length(token) + 1, token.rlike(ALLOWED_WORDS)
-        return F.struct(after.alias("at"), F.when(allowed, after).otherwise(a["start"]).alias("start"), F.when(allowed, F.concat(a["out"], _part(a["start"], a["at"] - 1))).otherwise(a["out"]).alias("out"))
+        return F.struct(after.alias("at"), F.when(allowed, after).otherwise(a["start"]).alias("start"), F.when(allowed, F.concat(a["out"], part(a["start"], a["at"] - 1))).otherwise(a["out"]).alias("out"))
 
-    cut = F.aggregate(F.split(run, SEPARATOR, -1), begin, step, lambda a: F.concat(a["out"], _part(a["start"], s["end"])))
-    return F.when(run.rlike(ALLOWED_WORDS), cut).otherwise(_part(s["start"], s["end"]))
+    cut = F.aggregate(F.split(run, SEPARATOR, -1), begin, step, lambda a: F.concat(a["out"], part(a["start"], s["end"])))
+    return F.when(run.rlike(ALLOWED_WORDS), cut).otherwise(part(s["start"], s["end"]))
+
+
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with spans (sorted by start) turned into blanks, code point by code point."""
+    reach = before(F.transform(spans, lambda s: s["end"]), F.greatest)
+
+    def cut(chars: Column, to: Column) -> Column:
+        blank = lambda s, at: F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], at), F.lit(0)))
+        kept = F.transform(spans, lambda s, i: F.concat(between(chars, F.get(to, i), s["start"]), blank(s, F.get(to, i))))
+        return F.concat(F.array_join(kept, ""), between(chars, F.array_max(F.transform(spans, lambda s: s["end"])), F.size(chars)))
+
+    return F.when(F.size(spans) > 0, let(chars_of(text), lambda chars: let(reach, lambda to: cut(chars, to)))).otherwise(text)
 
 
 def entropy_spans(text: Column, base: Column, allow: tuple[str, ...]) -> Column:
     allowed = lambda run: (run.isin(*allow) if allow else F.lit(False)) | run.rlike(ALLOWED_RUN)
 
     def judge(s: Column) -> Column:
-        run = F.substring(text, s["start"] + 1, s["end"] - s["start"])
+        run = s["whole"]
         digit, low, up = run.rlike("[0-9]"), run.rlike("[a-z]"), run.rlike("[A-Z]")
         bits = F.when(~digit | ~(low | up), F.lit(None)).when(run.rlike("^[0-9a-fA-F]+$"), BITS["hex"]).when(low & up, BITS["mixed"]).otherwise(BITS["one_case"])
         hot = let(bits, lambda b: F.when(b.isNotNull() & ~allowed(run), window_entropy(run, b)))
         return let(hot, lambda h: F.struct((s["start"] + h["lo"]).alias("start"), F.lit(3).alias("kind"), (s["start"] + h["hi"]).alias("end"), F.lit(0).alias("inner")))
 
-    whole = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"]).isin(*allow) if allow else F.lit(False)
-    free = F.flatten(F.transform(F.filter(located(text, CANDIDATE), lambda s: ~whole(s)), lambda s: uncovered(s, base)))
-    free = F.flatten(F.transform(free, lambda s: without_allowed(text, s)))
+    place = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))
+    taken = F.transform(base, place)
+    if allow:  # whole runs that are no secrets
+        taken = F.sort_array(F.concat(taken, F.transform(F.filter(located(text, CANDIDATE), lambda s: s["whole"].isin(*allow)), place)))
+    free = let(let(taken, lambda spans: blanked(text, spans)), lambda t: located(t, CANDIDATE))
+    free = F.flatten(F.transform(free, without_allowed))
     found = F.filter(F.transform(free, judge), lambda s: s["start"].isNotNull())
     return F.when(text.rlike(CANDIDATE), found).otherwise(F.array().cast(SPAN))
 
 
-def scan(docs: DataFrame, allow: tuple[str, ...] = ()) -> DataFrame:
-    """Adds ``__secrets``: spans (start, kind as a place in KINDS, end, inner), sorted. allow: strings that are no secrets."""
-    text = text_of()
+def spans_of(text: Column, allow: tuple[str, ...] = ()) -> Column:
+    """Spans (start, kind as a place in KINDS, end, inner) of a text that is not null, sorted. allow: strings that are no secrets."""
     base = F.concat(
         kind_spans(text, 0, text.rlike(KEYWORDS), ASSIGN, 1, 6),
         kind_spans(text, 1, F.contains(text, F.lit("AKIA")), ACCESS),
         kind_spans(text, 2, text.rlike(HEX), HEX),
     )
-    return docs.withColumn("__secrets", let(base, lambda b: F.sort_array(F.concat(b, entropy_spans(text, b, allow)))))
+    return let(F.sort_array(base), lambda b: F.sort_array(F.concat(b, entropy_spans(text, b, allow))))
+
+
+def scan(docs: DataFrame, allow: tuple[str, ...] = (), name: str = "__secrets") -> DataFrame:
+    """Adds the spans of each row's text under the given name; a column that has it already gives way."""
+    return docs.withColumn(name, spans_of(text_of(), allow))
 
 
 def joined(spans: Column) -> Column:
@@ -159,23 +171,23 @@ def joined(spans: Column) -> Column:
 
 
 def masked(docs: DataFrame, allow: tuple[str, ...] = ()) -> DataFrame:
-    """The documents with every found span replaced by MASK (spans that overlap, by one), n_chars set anew where that changed a text."""
+    """The documents with every found span replaced by MASK (spans that overlap or touch, by one), n_chars set anew where that changed a text."""
     text = F.col("text")
 
     def cut(spans: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+        def pieces(chars: Column, to: Column) -> Column:
+            def piece(s: Column, i: Column) -> Column:
+                at = F.get(to, i)
+                return F.when((s["start"] > at) | (i == 0), F.concat(between(chars, at, s["start"]), F.lit(MASK))).otherwise(F.lit(""))
 
-        def step(a: Column, s: Column) -> Column:
-            apart = s["start"] >= a["at"]
-            gap = F.substring(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
-            new = apart & ((s["start"] > a["at"]) | (a["at"] == 0))
-            return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(new, F.concat(a["out"], gap, F.lit(MASK))).otherwise(a["out"]).alias("out"))
+            return F.concat(F.array_join(F.transform(spans, piece), ""), between(chars, F.array_max(F.transform(spans, lambda s: s["end"])), F.size(chars)))
 
-        return let(F.aggregate(spans, start, step), lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+        return let(chars_of(text), lambda chars: let(before(F.transform(spans, lambda s: s["end"]), F.greatest), lambda to: pieces(chars, to)))
 
-    found = scan(docs, allow)
-    hit = F.size("__secrets") > 0
-    out = found.withColumn("text", F.when(hit, cut(F.col("__secrets"))).otherwise(text))
+    (name,) = unused(docs, "__secrets")
+    found = scan(docs, allow, name)
+    hit = F.size(name) > 0
+    out = found.withColumn("text", F.when(hit, cut(F.col(name))).otherwise(text))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

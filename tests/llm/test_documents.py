@@ -193,6 +193,30 @@ def test_secrets_beside_others(spark):
     assert secret_scan.scan(df, (hot, f"{key}/{hot}")).where(F.exists("__secrets", lambda s: s["kind"] == 3)).where(F.col("text").isin(f"example/{hot}", f"{key}/{hot}")).count() == 0
 
 
+def test_secrets_of_long_texts_and_clashing_columns(spark):
+    hot = "aG9fK3bQ7xZ1mN4pR8sT2vW6yL5cD0hJ"
+    text = " ".join(f"token=abcdef{i} é {hot}/{i}" for i in range(4000))
+    df = spark.createDataFrame([(1, text, "mine"), (2, None, "mine"), (2, "", None), (2, "", None)], "doc_id long, text string, __secrets string")
+    out = secret_scan.masked(df).collect()
+    assert sorted((r.doc_id, r["__secrets"] or "") for r in out) == [(1, "mine"), (2, ""), (2, ""), (2, "mine")]
+    clean = next(r.text for r in out if r.doc_id == 1)
+    assert "abcdef" not in clean and hot not in clean and clean.count("[SECRET] é [SECRET]") == 4000
+    found = secret_scan.scan(df, name="found").where("doc_id = 1").first()
+    assert [(s.start, s.end) for s in found.found if s.kind == 0] == [m.span() for m in re.finditer(r"token=abcdef\d+", text)]
+    assert [s.start for s in found.found if s.kind == 3] == [m.start() for m in re.finditer(hot, text)]
+    assert found["__secrets"] == "mine" and secret_scan.masked(df.limit(0)).count() == 0
+
+
+def test_running_folds(spark):
+    from loomwright.llm.common import before
+
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 64, 65, 500):
+        v = rng.integers(0, 100, n).tolist()
+        r = spark.createDataFrame([(v,)], "v array<int>").select(before(F.col("v")).alias("a"), before(F.col("v"), F.greatest).alias("b")).first()
+        assert r.a == [sum(v[:i]) for i in range(n)] and r.b == [max(v[:i], default=0) for i in range(n)]
+
+
 def test_window_entropy_by_counts(spark):
     rng = np.random.default_rng(4)
     runs = ["".join(rng.choice(list("abcdefgh0123456789"), 60)) for _ in range(20)]
