@@ -1,35 +1,38 @@
 """Quality rules with risk-controlled cutoffs.
 
-Each rule rejects a document whose feature exceeds a cutoff. The cutoff of a rule in a stratum is the
-lowest one of a fixed grid for which labelled holdout documents prove, by the exact binomial tail and
-with Bonferroni's correction over all strata, rules and grid points, that at most ``risk`` of the good
-documents are rejected. A rule without a proven cutoff in a stratum rejects nothing there.
+A rule rejects a document whose feature exceeds its cutoff. A setting gives some of the rules a cutoff each, from one of five levels. In each
+stratum, labelled holdout documents prove a setting by the exact binomial tail, with Bonferroni's correction over all strata and settings: of the good documents that
+pass the base rule, all rules of the setting together reject at most ``risk``. Of the proven settings the one acts that rejects most
+labelled bad documents (of equals, the strictest); as all settings are tested, the choice among them costs no validity. A stratum without a proven setting rejects nothing beyond the base rule.
 
-Cases: null or empty texts have no words and fail the base rule; a null stratum is a stratum of its own;
+Cases: null or empty texts have no words and fail the base rule; a null stratum is a stratum of its own (with the empty one);
 labels that are null are left out, a document labelled twice counts once and as good if any label is good;
-without labels only the base rule acts; repeated rows are judged alike; columns beyond the ones named are
+without labels only the base rule acts; repeated rows are judged alike; an empty table gives no rows; columns beyond the ones named are
 passed over, whatever their names. Everything is DataFrame functions; no Python runs on executors.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialise, text_of, words_of
+from .common import let, materialise, text_of, unused, words_of
 
 SYMBOLS = r"[^#*$%&|<>]+"
 MIN_WORDS = 50
-#: rule -> cutoffs tried, lowest first.
-GRIDS: dict[str, tuple[float, ...]] = {
+#: rule -> its cutoff at each level, strictest first.
+LEVELS: dict[str, tuple[float, ...]] = {
     "symbol_share": (0.1, 0.2, 0.3, 0.5, 1.0),
     "dup_line_share": (0.2, 0.3, 0.4, 0.5, 0.7),
-    "repeat_share": (0.2, 0.3, 0.4, 0.5),
+    "repeat_share": (0.2, 0.25, 0.3, 0.4, 0.5),
     "upper_share": (0.2, 0.3, 0.4, 0.5, 0.7),
 }
-#: Largest share of good documents that one rule may reject in a stratum, and the chance that any such claim is wrong.
+#: Every level with every choice of rules, the strictest first.
+SETTINGS: tuple[tuple[int, tuple[str, ...]], ...] = tuple((level, some) for level in range(5) for size in range(len(LEVELS), 0, -1) for some in combinations(LEVELS, size))
+#: Largest share of a stratum's good documents that the rules may reject, and the chance that any such claim is wrong.
 RISK, DELTA = 0.01, 0.05
 
 
@@ -61,8 +64,8 @@ def repeat_words(words: Column) -> Column:
     return let(let(hashed, windows), lambda w: F.when(once(w), F.lit(0).cast("long")).otherwise(covered(w)))
 
 
-def features(docs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """Adds one struct column ``__quality`` to docs; every other column stays."""
+def features(docs: DataFrame, stratum: str = "lang", name: str = "__quality") -> DataFrame:
+    """Adds one struct column of the given name to docs, in place of one that has it already; every other column stays."""
     text = text_of()
 
     def of(words: Column) -> Column:
@@ -77,7 +80,7 @@ def features(docs: DataFrame, stratum: str = "lang") -> DataFrame:
             F.length(F.regexp_replace(text, "[^A-Z]+", "")).cast("long").alias("n_upper"),
         )
 
-    return docs.withColumn("__quality", let(words_of(text), of))
+    return docs.withColumn(name, let(words_of(text), of))
 
 
 def rule_values(q: Column) -> dict[str, Column]:
@@ -120,36 +123,45 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when((n > 0) & (kd <= nd * p), first * total).otherwise(F.lit(1.0))
 
 
-def calibrate(judged: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, doc_id: str = "doc_id") -> DataFrame:
-    """One row a stratum: the proven cutoff of each rule, null where none is.
+def calibrate(judged: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, doc_id: str = "doc_id", name: str = "__quality") -> DataFrame:
+    """One row a stratum with a proven setting: the cutoff of each rule, null where it is off.
 
-    judged: doc_id and ``__quality``. labels: doc_id, quality (1 good). The count of good documents rejected at
-    every grid point is one aggregation, so what moves is one row a stratum and task.
+    judged: doc_id and the features, of the labelled documents at least. labels: doc_id, quality (1 good). Counts are one aggregation: what moves is a row a
+    stratum, setting and task.
     """
-    good = labels.where(F.col("quality").isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max("quality").alias("q")).where("q = 1").select(F.col(doc_id).alias("__id"))
-    one_each = judged.select(F.col(doc_id).alias("__id"), "__quality").join(good, "__id", "left_semi").groupBy("__id").agg(F.first("__quality").alias("__quality"))
-    q = F.col("__quality")
-    points = [(rule, c, value > c) for rule, value in rule_values(q).items() for c in GRIDS[rule]]
-    counts = one_each.groupBy(q["stratum"].alias("stratum")).agg(F.count("*").alias("n"), *(F.sum(hit.cast("long")).alias(f"k{i}") for i, (_, _, hit) in enumerate(points)))
-    tests = F.array(*(F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"k{i}").alias("k")) for i, (rule, c, _) in enumerate(points)))
-    counts = materialise(counts)
-    rows = counts.select("stratum", "n", F.explode(tests).alias("t"))
-    proven = binomial_tail(F.col("t.k"), F.col("n"), risk) * (counts.count() * len(points)) <= delta
-    return rows.groupBy("stratum").agg(*(F.min(F.when(proven & (F.col("t.rule") == rule), F.col("t.cutoff"))).alias(rule) for rule in GRIDS))
-
-
-def decide(judged: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """Adds ``__kept`` to rows with ``__quality``."""
-    q = F.col("__quality")
-    named = cutoffs.select(F.col("stratum").alias("__stratum"), F.struct(*GRIDS).alias("__cut"))
+    said = labels.where(F.col("quality").isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg((F.max("quality") == 1).alias("good"))
+    one_each = judged.select(F.col(doc_id).alias("id"), F.col(name).alias("q")).join(said, "id").groupBy("id").agg(F.first("q").alias("q"), F.first("good").alias("good"))
+    q = F.col("q")
+    # How many of a rule's cutoffs a value exceeds; equal profiles are counted together before they meet the settings.
+    beyond = {rule: sum(((value > c).cast("int") for c in LEVELS[rule]), F.lit(0)) for rule, value in rule_values(q).items()}
+    profiles = one_each.where(~base_failed(q)).groupBy(q["stratum"].alias("stratum"), "good", *(v.alias(rule) for rule, v in beyond.items())).agg(F.count("*").alias("docs"))
+    settings = F.array(*(F.struct(*(F.lit(level if rule in some else None).cast("int").alias(rule) for rule in LEVELS)) for level, some in SETTINGS))
+    hit = lambda s: F.coalesce(*(F.when(F.col(rule) > s[rule], True) for rule in LEVELS), F.lit(False))
+    tried = profiles.select("stratum", "good", "docs", F.posexplode(F.transform(settings, hit)).alias("setting", "hit"))
+    total = lambda test, as_: F.sum(F.when(test, F.col("docs")).otherwise(0)).alias(as_)
+    counts = materialise(tried.groupBy("stratum", "setting").agg(total(F.col("good"), "n"), total(F.col("good") & F.col("hit"), "k"), total(~F.col("good") & F.col("hit"), "bad")))
+    tests = counts.where("n > 0").count()  # one for each setting of each stratum
+    proven = counts.where(binomial_tail(F.col("k"), F.col("n"), risk) * tests <= delta)
+    best = proven.groupBy("stratum").agg(F.max_by("setting", F.struct("bad", -F.col("setting"))).alias("setting"))
+    chosen = F.get(settings, F.col("setting"))
+    return best.select("stratum", *(F.get(F.array(*map(F.lit, LEVELS[rule])), chosen[rule]).alias(rule) for rule in LEVELS))
+
+
+def decide(judged: DataFrame, cutoffs: DataFrame, name: str = "__quality", kept: str = "__kept") -> DataFrame:
+    """Adds the verdict under the name ``kept`` to rows with features."""
+    q = F.col(name)
+    stratum, cut = unused(judged, "__stratum", "__cut")
+    named = cutoffs.select(F.col("stratum").alias(stratum), F.struct(*LEVELS).alias(cut))
     rejected = F.lit(False)
     for rule, value in rule_values(q).items():
-        rejected = rejected | F.coalesce(value > F.col("__cut")[rule], F.lit(False))
-    joined = judged.withColumn("__stratum", q["stratum"]).join(named, "__stratum", "left")
-    return joined.withColumn("__kept", ~(base_failed(q) | rejected)).drop("__stratum", "__cut")
+        rejected = rejected | F.coalesce(value > F.col(cut)[rule], F.lit(False))
+    joined = judged.withColumn(stratum, q["stratum"]).join(named, stratum, "left")
+    return joined.withColumn(kept, ~(base_failed(q) | rejected)).drop(stratum, cut)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with the columns they came with."""
-    judged = features(docs)
-    return decide(judged, calibrate(judged, labels)).where("__kept").select(*docs.columns)
+    """The documents that the rules keep, with the columns they came with. Features for the calibration are worked out for labelled documents alone."""
+    name, kept = unused(docs, "__quality", "__kept")
+    labelled = docs.join(labels.where("quality is not null").select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text", "lang")
+    cutoffs = calibrate(features(labelled), labels)
+    return decide(features(docs, name=name), cutoffs, name, kept).where(F.col(kept)).select(*docs.columns)

@@ -139,6 +139,20 @@ def test_same_rows_as_sql(spark, name):
     assert plain([tuple(r) for r in df.collect()], df.columns) == plain(want.fetchall(), [d[0] for d in want.description])
 
 
+@pytest.mark.skipif(not os.path.isdir(SF.replace("0.001", "0.1")), reason="no test tables")
+def test_quality_rules_where_cutoffs_act(spark):
+    """Enough labels here for proven settings: the method rejects documents that the base rule keeps, and SQL agrees."""
+    large = SF.replace("0.001", "0.1")
+    duck = duckdb.connect()
+    for t in ("documents", "labels"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{large}/{t}.parquet'")
+    got = queries.QUERIES["op2_quality_rules"](spark, large)
+    want = duck.execute(oracles.ORACLES["op2_quality_rules"])
+    rows = got.collect()
+    assert sum(not r.kept and not r.base_failed for r in rows) > 0
+    assert plain([tuple(r) for r in rows], got.columns) == plain(want.fetchall(), [d[0] for d in want.description])
+
+
 def test_secrets_same_as_sql_on_odd_texts(spark, tmp_path):
     from tests.llm.test_documents import SECRET
 
