@@ -1,16 +1,18 @@
 """Best-fit packing of token pieces into sequences through a configuration linear program.
 
 A configuration is a multiset of lengths that fits one sequence. The program (cover every length's count with as few
-sequences as possible) is solved over the histogram of lengths by multiplicative weights: each round prices
-lengths by their weights, a knapsack dynamic program finds the configuration worth most, it is used as often as its scarcest
-length allows, and the weights of what it covers fall. The solution is rounded down; what is left goes by best fit, longest
-first, into the free ends of the sequences and into new ones, many equal sequences at a time.
+sequences as possible) is solved over the histogram of lengths by multiplicative weights. Each round a knapsack dynamic program prices all open lengths by their
+weights; from its table every open length gets a configuration of (nearly) the most worth that holds it, filled up with lengths that still lack cover. All of these are used at once, as
+often as none of their lengths is covered beyond its count; weights of what is covered fall, weights of lengths that no best configuration holds rise. The round's
+weights over the worth of the best configuration are a solution of the dual, so they tell a lower bound on the sequences.
+The uses are rounded down, then up where the counts still allow it, largest part first; what is left goes by best fit, longest
+first, into the free ends of the sequences and into new ones, many equal sequences at a time. Best fit alone is held beside it and stands where it needs fewer sequences.
 
 The driver holds the histogram (one count for each length up to the limit) and the plan, both bounded by the limit and not by the rows. Pieces
 get their place from their rank within their length, found by running sums over shares.
 
 Cases: a null or empty text is one piece that holds only the end id; a longer document is cut at the limit; rows with equal or null ids are packed
-each by itself (rows that are the same in every column keep their own places); other columns are passed over; an empty table gives no rows.
+each by itself (rows that are the same in every column keep their own places); lengths that tie go in a fixed order; other columns are passed over, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,10 +34,8 @@ from .common import materialise
 from .ranks import running_sum
 
 LIMIT, END_ID = 4096, 1
-#: Rounds of multiplicative weights at most, how fast weights fall, and the lengths priced in one round.
-ROUNDS, FALL, PRICED = 1000, 0.5, 48
-#: Free tokens that a configuration may leave, and rounds in a row without one that end the program.
-SLACK, REFUSED = 4, 25
+#: Rounds of multiplicative weights, the share of a sequence by which a length's weight may fall (half a token), and draws for each place of a configuration.
+ROUNDS, FALL, DRAWS = 60, 0.5 / LIMIT, 12
 #: Words whose ids a Python worker remembers before it starts anew, and words of texts that are looked up together.
 MEMO, HELD = 1_200_000, 300_000
 #: A letter and stops before white space: the stops are a piece of their own.
@@ -126,57 +126,102 @@ def pieces(docs: DataFrame, path: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(path), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def dearest(lengths: np.ndarray, worth: np.ndarray, limit: int) -> dict[int, int]:
-    """The configuration of most worth: dynamic program over capacities. Returns places in lengths and how often each is taken."""
-    order = np.argsort(lengths, kind="stable")
-    sizes, values = lengths[order], worth[order]
-    best, choice = np.zeros(limit + 1), np.full(limit + 1, -1, dtype=np.int64)
-    fits = np.searchsorted(sizes, np.arange(limit + 1), side="right")
+def dearest(lengths: np.ndarray, worth: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most worth that fits each capacity, and the length taken first there (0: none that the capacity below does not hold as well)."""
+    value = np.full(limit + 1, -np.inf)
+    value[lengths] = worth
+    best, choice = np.zeros(limit + 1), np.zeros(limit + 1, dtype=np.int64)
     for c in range(1, limit + 1):
-        best[c], choice[c] = best[c - 1], -1
-        if k := fits[c]:
-            total = values[:k] + best[c - sizes[:k]]
-            i = int(total.argmax())
-            if total[i] > best[c]:
-                best[c], choice[c] = total[i], i
-    taken: dict[int, int] = {}
-    c = limit
-    while c > 0:
-        if choice[c] < 0:
-            c -= 1
-            continue
-        i = int(order[choice[c]])
-        taken[i] = taken.get(i, 0) + 1
-        c -= int(lengths[i])
-    return taken
+        total = value[1 : c + 1] + best[c - 1 :: -1] if c > 1 else value[1:2]
+        i = int(total.argmax())
+        best[c] = max(total[i], best[c - 1])
+        choice[c] = i + 1 if total[i] > best[c - 1] else 0
+    return best, choice
+
 
+def configurations(lengths: np.ndarray, worth: np.ndarray, lack: np.ndarray, best: np.ndarray, choice: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """A configuration around each length, as pairs (number of the configuration, place in lengths).
 
-def solve(lengths: np.ndarray, counts: np.ndarray, limit: int = LIMIT, rounds: int = ROUNDS) -> dict[tuple, float]:
-    """Configurations, as tuples of (place in lengths, times), and how often the fractional solution uses each.
+    A free place takes a length drawn by the tokens that lack cover, if the configuration can still come within FALL of the most worth, else what the table says.
+    """
+    limit, m = len(best) - 1, len(lengths)
+    place = np.full(limit + 1, -1)
+    place[lengths] = np.arange(m)
+    down = np.maximum.accumulate(np.where(choice > 0, np.arange(limit + 1), 0))
+    odds = np.cumsum(lack * lengths)
+    who, room, had = np.arange(m), limit - lengths, worth.copy()
+    numbers, places = [who], [who]
+    while len(who):
+        drawn = np.searchsorted(odds, rng.random((len(who), DRAWS)) * odds[-1], side="right").clip(max=m - 1)
+        rest = room[:, None] - lengths[drawn]
+        fine = (rest >= 0) & (had[:, None] + worth[drawn] + best[rest.clip(min=0)] >= best[limit] * (1 - FALL))
+        at = down[room]
+        took = np.where(fine.any(axis=1), drawn[np.arange(len(who)), fine.argmax(axis=1)], place[choice[at]])
+        more = fine.any(axis=1) | (choice[at] > 0)
+        who, took = who[more], took[more]
+        room, had = room[more] - lengths[took], had[more] + worth[took]
+        numbers.append(who)
+        places.append(took)
+    return np.concatenate(numbers), np.concatenate(places)
+
+
+def solve(lengths: np.ndarray, counts: np.ndarray, limit: int = LIMIT, rounds: int = ROUNDS) -> tuple[dict[tuple, float], float]:
+    """Configurations, as tuples of (place in lengths, times), with how often the fractional solution uses each, and the dual's lower bound on the sequences.
 
     Weights begin at length over limit, the prices at which full sequences cost nothing beyond their tokens.
     """
-    used: dict[tuple, float] = {}
-    weight, left, refused = lengths / limit, counts.astype(float), 0
+    rng, used, bound = np.random.default_rng(1), {}, 0.0
+    lack, price = counts.astype(float), lengths / limit
     for _ in range(rounds):
-        open_ = np.flatnonzero(left >= 1)
-        if len(open_) < 2 or refused > REFUSED:
+        open_ = np.flatnonzero(lack > 1e-6)
+        if not len(open_):
             break
-        some = open_[np.argsort(-(weight * limit / lengths + left / left.max())[open_], kind="stable")[:PRICED]]
-        taken = {int(some[i]): n for i, n in dearest(lengths[some], weight[some], limit).items()}
-        times = min(left[i] / n for i, n in taken.items())
-        if times < 1 or sum(int(lengths[i]) * n for i, n in taken.items()) < limit - SLACK:
-            # It asks for more of a length than there is, or wastes tokens: other prices, and best fit for what no round covers.
-            weight[list(taken)] *= 1 - FALL
-            refused += 1
+        size, lacking = lengths[open_], lack[open_]
+        # A length's weight falls with its cover, by half a token of a sequence at most, so that full sequences stay the dearest.
+        worth = price[open_] * np.exp(-FALL * (1 - lacking / counts[open_]))
+        best, choice = dearest(size, worth, limit)
+        if len(open_) == len(lengths):
+            bound = max(bound, float(worth @ counts) / best[limit])
+        number, item = configurations(size, worth, lacking, best, choice, rng)
+        total = np.bincount(number, weights=worth[item], minlength=len(open_))
+        good = total >= best[limit] * (1 - 2 * FALL)
+        # What no best configuration holds becomes dearer, up to what its own configuration lacks.
+        price[open_[~good]] *= np.minimum(best[limit] / total[~good], 1.5)
+        if not good.any():
             continue
-        refused = 0
-        key = tuple(sorted(taken.items()))
-        used[key] = used.get(key, 0.0) + times
-        for i, n in taken.items():
-            weight[i] *= (1 - FALL) ** (times * n / counts[i])
-            left[i] -= times * n
-    return used
+        keep = good[number]
+        keys, times = np.unique(number[keep] * len(open_) + item[keep], return_counts=True)
+        number, item = keys // len(open_), keys % len(open_)
+        own = np.zeros(len(open_))
+        own[number[number == item]] = times[number == item]
+        use = np.where(good, lacking / np.maximum(own, 1), 0.0)
+        for _ in range(2):  # no length beyond its count
+            share = lacking / np.maximum(np.bincount(item, weights=use[number] * times, minlength=len(open_)), 1e-300)
+            least = np.ones(len(open_))
+            np.minimum.at(least, number, np.minimum(share[item], 1.0))
+            use *= least
+        lack[open_] = np.maximum(lacking - np.bincount(item, weights=use[number] * times, minlength=len(open_)), 0.0)
+        edges = np.searchsorted(number, np.arange(len(open_) + 1))
+        for c in np.flatnonzero(use > 1e-6):
+            key = tuple(zip(open_[item[edges[c] : edges[c + 1]]].tolist(), times[edges[c] : edges[c + 1]].tolist(), strict=True))
+            used[key] = used.get(key, 0.0) + float(use[c])
+    return used, bound
+
+
+def rounded(used: dict[tuple, float], counts: np.ndarray, up: bool) -> tuple[list[tuple[int, dict[int, int]]], np.ndarray]:
+    """Whole uses of the configurations and what they leave: rounded down, then, largest part first, up where the counts allow it."""
+    left, whole = counts.astype(np.int64).tolist(), {}
+    for key, x in used.items():
+        if (n := min(int(x + 1e-9), *(left[i] // k for i, k in key))) > 0:
+            whole[key] = n
+            for i, k in key:
+                left[i] -= n * k
+    for key in sorted(used, key=lambda key: (int(used[key]) - used[key], key)) if up else ():
+        if all(left[i] >= k for i, k in key):
+            whole[key] = whole.get(key, 0) + 1
+            for i, k in key:
+                left[i] -= k
+    return [(n, dict(key)) for key, n in whole.items()], np.array(left, dtype=np.int64)
 
 
 def best_fit(groups: list[tuple[int, dict[int, int]]], lengths: np.ndarray, left: np.ndarray, limit: int = LIMIT) -> list[tuple[int, dict[int, int]]]:
@@ -209,13 +254,11 @@ def best_fit(groups: list[tuple[int, dict[int, int]]], lengths: np.ndarray, left
 
 def plan(lengths: np.ndarray, counts: np.ndarray, limit: int = LIMIT, rounds: int = ROUNDS) -> pd.DataFrame:
     """Where the pieces of each length go: ranks from ``first`` on, ``each`` to a sequence, from ``sequence`` on, at ``place``."""
-    fixed = [(int(x), dict(key)) for key, x in solve(lengths, counts, limit, rounds).items() if int(x)]
-    left = counts.copy()
-    for number, held in fixed:
-        for i, n in held.items():
-            left[i] -= number * n
+    used, _ = solve(lengths, counts, limit, rounds)
+    ways = [rounded(used, counts, True), rounded(used, counts, False), ([], counts)]
+    packed = min((best_fit(fixed, lengths, left, limit) for fixed, left in ways), key=lambda groups: sum(number for number, _ in groups))
     rows, rank, sequence = [], np.zeros(len(lengths), dtype=np.int64), 0
-    for number, held in best_fit(fixed, lengths, left, limit):
+    for number, held in packed:
         place = 0
         for i, n in sorted(held.items(), key=lambda x: -lengths[x[0]]):
             rows.append((int(lengths[i]), int(rank[i]), n, sequence, place))

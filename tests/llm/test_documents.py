@@ -328,14 +328,49 @@ def test_packing(spark, docs, corpus):
     assert got.sequence_id.nunique() <= -(-got.length.sum() // 4096) + 1
 
 
+def uses(used, lengths):
+    had = np.zeros(len(lengths))
+    for key, x in used.items():
+        for i, n in key:
+            had[i] += n * x
+    return had
+
+
 def test_configuration_program():
     lengths, counts = np.array([100, 1000, 1048, 2000, 2096, 4096]), np.array([500, 300, 200, 400, 400, 7])
-    used = sequence_packing.solve(lengths, counts)
+    used, bound = sequence_packing.solve(lengths, counts)
     assert used and all(sum(int(lengths[i]) * n for i, n in key) <= 4096 for key in used)
+    assert (uses(used, lengths) <= counts + 1e-6).all() and (lengths * counts).sum() / 4096 - 1e-6 <= bound <= sum(used.values()) + 1e-6
     table = sequence_packing.plan(lengths, counts)
     assert table.sequence.max() + 1 <= 1.02 * (lengths * counts).sum() / 4096 + 8
-    worth = sequence_packing.dearest(np.array([3, 5]), np.array([3.0, 5.1]), 11)
-    assert worth == {0: 2, 1: 1}
+    best, choice = sequence_packing.dearest(np.array([3, 5]), np.array([3.0, 5.1]), 11)
+    assert best[11] == pytest.approx(11.1) and best[2] == 0 and choice[5] == 5 and choice[2] == 0
+
+
+def test_the_program_needs_no_more_sequences_than_best_fit():
+    rng = np.random.default_rng(4)
+    for scale in (1, 100):
+        for weights in (rng.integers(1, 4097, 600), rng.integers(1300, 2100, 500), np.array([1500, 2700, 3000, 1366])):
+            lengths, n = np.unique(weights, return_counts=True)
+            counts = n * scale
+            used, bound = sequence_packing.solve(lengths, counts)
+            had = uses(used, lengths)
+            assert (had <= counts * (1 + 1e-6)).all() and (had * lengths).sum() >= 0.9 * (counts * lengths).sum()  # nearly all goes through the program
+            alone = sum(k for k, _ in sequence_packing.best_fit([], lengths, counts))
+            got = sum(k for k, _ in min((sequence_packing.best_fit(f, lengths, left) for f, left in (sequence_packing.rounded(used, counts, True), sequence_packing.rounded(used, counts, False), ([], counts))), key=lambda g: sum(k for k, _ in g)))
+            assert math.ceil(bound - 1e-6) <= got <= alone
+    # Where sequences cannot be full the weights leave the tokens' prices, and the bound rises above the tokens' share.
+    _, bound = sequence_packing.solve(np.array([2000, 3000]), np.array([100, 10]))
+    assert bound == pytest.approx(60, abs=0.5)
+
+
+def test_packing_of_clashing_columns_and_ties(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(i % 50, "tie " * (i % 7)) for i in range(300)]
+    df = spark.createDataFrame([(i, t, "mine", 9, 9) for i, t in rows], "doc_id long, text string, one string, length int, rank int").repartition(3)
+    got = sequence_packing.pack(df, path).toPandas()
+    assert len(got) == 300 and sorted(got.length) == sorted(i % 7 + 1 for i in range(300)) and got.sequence_id.nunique() == 1
+    assert sorted(zip(got.offset, got.offset + got.length, strict=True))[-1][1] == got.length.sum() and got.offset.nunique() == 300
 
 
 def test_packing_nothing(spark):
