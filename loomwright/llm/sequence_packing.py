@@ -35,7 +35,9 @@ from .ranks import running_sum
 
 LIMIT, END_ID = 4096, 1
 #: Rounds of multiplicative weights, the share of a sequence by which a length's weight may fall (half a token), and draws for each place of a configuration.
-ROUNDS, FALL, DRAWS = 60, 0.5 / LIMIT, 12
+ROUNDS, FALL, DRAWS = 140, 0.5 / LIMIT, 12
+#: Of the rounds, those at first that only raise weights, for a better bound; covering begins at the tokens' prices again, which most lengths can meet.
+DUAL = 8
 #: Words whose ids a Python worker remembers before it starts anew, and words of texts that are looked up together.
 MEMO, HELD = 1_200_000, 300_000
 #: A letter and stops before white space: the stops are a piece of their own.
@@ -172,13 +174,15 @@ def solve(lengths: np.ndarray, counts: np.ndarray, limit: int = LIMIT, rounds: i
     """
     rng, used, bound = np.random.default_rng(1), {}, 0.0
     lack, price = counts.astype(float), lengths / limit
-    for _ in range(rounds):
+    trial = price.copy()
+    for turn in range(rounds):
+        dual = turn < min(DUAL, rounds - 1)
         open_ = np.flatnonzero(lack > 1e-6)
-        if not len(open_):
+        if lack @ lengths <= 1e-3 * (counts @ lengths):
             break
         size, lacking = lengths[open_], lack[open_]
-        # A length's weight falls with its cover, by half a token of a sequence at most, so that full sequences stay the dearest.
-        worth = price[open_] * np.exp(-FALL * (1 - lacking / counts[open_]))
+        # A length's weight falls with its cover, by half a token of a sequence at most, so that what is dearest stays so.
+        worth = trial if dual else price[open_] * np.exp(-FALL * (1 - lacking / counts[open_]))
         best, choice = dearest(size, worth, limit)
         if len(open_) == len(lengths):
             bound = max(bound, float(worth @ counts) / best[limit])
@@ -186,7 +190,11 @@ def solve(lengths: np.ndarray, counts: np.ndarray, limit: int = LIMIT, rounds: i
         total = np.bincount(number, weights=worth[item], minlength=len(open_))
         good = total >= best[limit] * (1 - 2 * FALL)
         # What no best configuration holds becomes dearer, up to what its own configuration lacks.
-        price[open_[~good]] *= np.minimum(best[limit] / total[~good], 1.5)
+        dearer = np.minimum(best[limit] / total, 1.5)
+        if dual:
+            trial = np.where(good, trial, trial * dearer)
+            continue
+        price[open_[~good]] *= dearer[~good]
         if not good.any():
             continue
         keep = good[number]
