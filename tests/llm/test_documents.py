@@ -287,6 +287,49 @@ def test_whole_names_are_replaced(spark):
     assert len(set(re.findall(r"Mr ([\w-]+)", out[7][1]))) == 1
 
 
+def test_surrogates_by_majority_script_and_mention(spark):
+    rows = [(i, "Mr Kim came") for i in range(4)] + [(4, "Ms Kim came"), (5, "Frau Ελένη und Herr Νίκος"), (6, "Dr Smith. Later Smith said hi to Rose; a smith is no Smith"), (7, "Mr John Garner wrote. Garner's book. John Garner"), (8, "Smith alone"), (9, "mail иван.петров@почта.рф now"), (10, "pay DE89 3704 0044 0532 0130 00 or GB82WEST12345698765432"), (11, "GB00WEST12345698765432")]
+    got = {r.doc_id: (r["__n_entities"], r["__new_text"]) for r in pii_surrogates.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    first = lambda i: re.findall(r"[\w-]+", got[i][1])[1]
+    assert first(0) == first(4) and first(0).split("-")[0] in pii_surrogates.NAMES["m", "latin"]
+    assert re.fullmatch("Frau ([Α-ώ-]+) und Herr ([Α-ώ-]+)", got[5][1]) and "Ελένη" not in got[5][1]
+    assert got[5][1].split()[1].split("-")[0] in pii_surrogates.NAMES["f", "greek"]
+    assert got[6][0] == 1 and got[6][1].startswith("Dr ") and not got[6][1].startswith("Dr Smith")  # smith is a word there as well
+    john, garner = re.match(r"Mr ([\w-]+) ([\w-]+) wrote", got[7][1]).groups()
+    assert got[7] == (4, f"Mr {john} {garner} wrote. {garner}'s book. {john} {garner}") and not {"John", "Garner"} & {john, garner}
+    assert got[8] == (0, "Smith alone") and got[11][0] == 0
+    assert got[9][0] == 1 and "иван" not in got[9][1] and "петров" not in got[9][1]
+    for text in re.findall(r"DE\d\d(?: \d{4}){4} \d\d|GB\d\d[A-Z]{4}\d{14}", got[10][1]):
+        n = text.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in n[4:] + n[:4])) % 97 == 1 and text not in rows[10][1]
+    assert got[10][0] == 2 and len(re.findall("DE|GB", got[10][1])) == 2
+
+
+def test_surrogates_are_one_to_one(spark):
+    """Against brute force: over a corpus, each entity has one surrogate, no two share one, none is an entity, and nothing of an entity stays."""
+    rng = np.random.default_rng(11)
+    names = ["".join(rng.choice(list("bdkmnrst"), 1)).upper() + "".join(rng.choice(list("aeioklmnrst"), 5)) for _ in range(300)]
+    mails = [f"{n.lower()}{i % 7}@Mail{i % 5}.example.com" for i, n in enumerate(names)]
+    rows = [(int(i), " | ".join(f"Mr {names[a]}, {mails[b]}, 10.{a % 250}.{b % 250}.7" for a, b in rng.integers(0, 300, (20, 2))), "mine", "x", 3) for i in range(60)]
+    docs = spark.createDataFrame(rows + rows[:2] + [(90, "", "m", None, 1), (None, None, None, None, None)], "doc_id long, text string, __row string, __spans string, kind int").repartition(4)
+    out = pii_surrogates.replace_pii(docs, "k").collect()
+    assert len(out) == 64 and {r["__row"] for r in out if r.doc_id is not None and r.doc_id < 60} == {"mine"}
+    to, text = {}, {r[0]: r[1] for r in rows}
+    for r in (r for r in out if r.text):
+        for was, now in zip(r.text.split(" | "), r["__new_text"].split(" | "), strict=True):
+            for kind, a, b in zip("nmi", was.split(", "), now.split(", "), strict=True):
+                a, b = (x.removeprefix("Mr ").lower() if kind == "m" else x.removeprefix("Mr ") for x in (a, b))
+                assert to.setdefault((kind, a), b) == b and a != b
+    assert len(set(zip([k for k, _ in to], to.values(), strict=True))) == len(to) and not {(k, v) for (k, _), v in to.items()} & set(to)
+    assert pii_surrogates.replace_pii(docs.limit(0), "k").count() == 0
+
+
+def test_surrogates_of_a_very_long_text(spark):
+    text = " ".join(f"x{i} Mr Anders and +1 386 555 {1000 + i}" for i in range(3000))
+    r = pii_surrogates.replace_pii(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first()
+    assert r["__n_entities"] == 6000 and "Anders" not in r["__new_text"] and len(set(re.findall(r"Mr [\w-]+", r["__new_text"]))) == 1
+
+
 def test_token_counts(spark, corpus):
     from tokenizers import Tokenizer
 
