@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality_rules, secret_scan, url_rules
+from . import quality_rules, ranks, secret_scan, source_mixing, url_rules
 
 UPPER, LOWER = url_rules.UPPER, url_rules.LOWER
 WORDS = "list_filter(string_split_regex({}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
@@ -91,4 +91,20 @@ m AS (SELECT vec_id, min(o) AS component_id FROM r GROUP BY vec_id),
 n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM m LEFT JOIN n ON n.a = m.vec_id"""
 
-ORACLES: dict[str, str] = {"op1_minhash_dedup": OP1, "op2_quality_rules": _op2(), "op5_url_rules": OP5, "op7_secret_scan": _op7(), "op10_embedding_dedup": OP10}
+P, B = source_mixing.PERIOD, source_mixing.BLOCK
+OP3 = f"""WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(source, '') AS s, CAST(greatest(coalesce(length(text), 0), 1) AS BIGINT) AS size FROM documents),
+c AS (SELECT s, CAST(sum(size) AS BIGINT) AS size FROM d GROUP BY s),
+e AS (SELECT s, size, (size ** {source_mixing.TEMPER}) / sum(size ** {source_mixing.TEMPER}) OVER () * ({P} - count(*) OVER ()) AS exact FROM c),
+f AS (SELECT s, size, CAST(1 + floor(exact) AS BIGINT) AS base, row_number() OVER (ORDER BY exact - floor(exact) DESC, s) AS rn FROM e),
+k AS (SELECT s, size, base + CASE WHEN rn <= {P} - sum(base) OVER () THEN 1 ELSE 0 END AS k FROM f),
+l AS (SELECT list(k ORDER BY s) AS ks, list(s ORDER BY s) AS names FROM k),
+t AS (SELECT CAST(0 AS BIGINT) AS slot, list_transform(ks, lambda x: CAST(0 AS BIGINT)) AS nxt, CAST(NULL AS BIGINT) AS j FROM l
+ UNION ALL SELECT slot + 1, list_transform(range(1, len(ks) + 1), lambda i: nxt[i] + CASE WHEN i = pick THEN 1 ELSE 0 END), pick FROM (SELECT slot, nxt, ks,
+ list_min(list_transform(range(1, len(ks) + 1), lambda i: CASE WHEN nxt[i] < ks[i] AND nxt[i] * {P} // ks[i] <= slot THEN (((nxt[i] + 1) * {P} + ks[i] - 1) // ks[i] * 2048 + {P} - ks[i]) * 2048 + i END)) % 2048 AS pick FROM t, l) WHERE slot < {P}),
+p AS (SELECT names[j] AS s, list(slot - 1 ORDER BY slot) AS places FROM t, l WHERE j IS NOT NULL GROUP BY names[j]),
+x AS (SELECT s, k, places, ((size + {B} - 1) // {B}) // k * {P} + places[((size + {B} - 1) // {B}) % k + 1] AS dry FROM k JOIN p USING (s)),
+h AS (SELECT *, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % (SELECT greatest({ranks.LEAST}, (count(*) + {ranks.SHARE} - 1) // {ranks.SHARE}) FROM d) AS share FROM d),
+b AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY s ORDER BY share, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) // {B} AS block FROM h)
+SELECT doc_id, source, block, block // k * {P} + places[block % k + 1] AS slot, block // k * {P} + places[block % k + 1] < (SELECT min(dry) FROM x) AS in_mix FROM b JOIN x USING (s)"""
+
+ORACLES: dict[str, str] = {"op3_source_mixing": OP3, "op1_minhash_dedup": OP1, "op2_quality_rules": _op2(), "op5_url_rules": OP5, "op7_secret_scan": _op7(), "op10_embedding_dedup": OP10}

@@ -12,7 +12,7 @@ beyond have their slot too and are marked.
 
 Cases: a null source is a source of its own; null and empty texts take one character's room; a source without a target weight has weight 0 and stays outside the
 mixture, one with a target but no documents ends the mixture at once; equal or null ids keep their own places; an empty table gives no
-rows; other columns stay as they are. The hot source's running sum is dealt over shares.
+rows; rows that are equal in id and size may change places; other columns stay as they are, whatever their names. The hot source's running sum is dealt over shares by a hash of the id.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, unused
 from .ranks import running_sum
 
 #: Slots of one period, and characters of one block.
@@ -33,19 +33,15 @@ TEMPER = 0.7
 
 
 def shares(targets: Mapping[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Whole shares of the period by largest remainders; at least one for a source with a target above 0."""
+    """Whole shares of the period: one for each source with a target above 0, the rest in proportion, by largest remainders (of equal ones, by name)."""
     some = {s: w for s, w in sorted(targets.items()) if w > 0}
     if len(some) > period:
         raise ValueError(f"{len(some)} sources need a longer period than {period}")
     total = sum(some.values())
-    exact = {s: w / total * period for s, w in some.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    by_rest = sorted(exact, key=lambda s: (out[s] - exact[s], s))
-    i = 0
-    while (gap := period - sum(out.values())) and some:
-        s = by_rest[i % len(by_rest)] if gap > 0 else max(out, key=lambda x: (out[x] - exact[x] if out[x] > 1 else float("-inf"), x))
-        out[s] += 1 if gap > 0 else -1
-        i += 1
+    exact = {s: w / total * (period - len(some)) for s, w in some.items()}
+    out = {s: 1 + int(x) for s, x in exact.items()}
+    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: period - sum(out.values())]:
+        out[s] += 1
     return out
 
 
@@ -73,42 +69,55 @@ def tempered(totals: Mapping[str, int], power: float = TEMPER) -> dict[str, floa
     return {s: w / sum(raw.values()) for s, w in raw.items()}
 
 
-def mix(docs: DataFrame, targets: Mapping[str, float] | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+ADDED = ("source", "block", "slot", "all_sources", "in_mix")
+
+
+def mix(docs: DataFrame, targets: Mapping[str, float] | None = None, block: int = BLOCK, period: int = PERIOD, prefix: str = "__") -> DataFrame:
     """Adds __source, __block, __slot (null without a target), __all_sources (before the first source runs dry) and __in_mix to docs, which needs source, text and doc_id.
 
-    targets: weight of each source ("" for null). Sources and targets are as many as the period's slots at most, so the table of slots is bounded.
+    targets: weight of each source ("" for null). Sources and targets are as many as the period's slots at most, so the table of slots is bounded. A column of docs that has one of
+    the added names (with another prefix where one is given) gives way.
     """
+    source, number_, slot_, all_, in_mix = (prefix + x for x in ADDED)
+    docs = docs.drop(source, number_, slot_, all_, in_mix)
+    size_, before_, places = unused(docs, "__size", "__before", "__places")
     size = F.greatest(F.coalesce(F.length("text"), F.lit(0)), F.lit(1)).cast("long")
-    sized = docs.withColumn("__source", F.coalesce("source", F.lit(""))).withColumn("__size", size)
-    counts = materialise(sized.groupBy("__source").agg(F.sum("__size").alias("size"), F.count("*").alias("n")))
+    sized = docs.withColumn(source, F.coalesce("source", F.lit(""))).withColumn(size_, size)
+    counts = materialise(sized.groupBy(source).agg(F.sum(size_).alias("size"), F.count("*").alias("n")))
     whole = targets is None
     if targets is None:
         if counts.count() > period:
             raise ValueError(f"more than {period} sources: give targets, or a longer period")
-        targets = tempered({r["__source"]: r["size"] for r in counts.collect()})  # one row a source, period rows at most
+        targets = tempered({r[source]: r["size"] for r in counts.collect()})  # one row a source, period rows at most
     share = shares(targets, period) if any(w > 0 for w in targets.values()) else {}
     place: dict[str, list[int]] = {s: [] for s in share}
     for slot, s in enumerate(schedule(share, period) if share else []):
         place[s].append(slot)
     spark = docs.sparkSession
-    slots = spark.createDataFrame([(s, p) for s, p in place.items()], "__source string, __places array<int>")
-    named = counts.join(slots, "__source", "inner")
+    slots = spark.createDataFrame([(s, p) for s, p in place.items()], f"`{source}` string, `{places}` array<int>")
+    named = counts.join(slots, source, "inner")
     # The slot at which each source has no block left; the first of them ends the time in which all weights hold.
-    k = F.size("__places")
+    k = F.size(places)
     blocks = F.ceil(F.col("size") / block).cast("long")
-    dry = F.floor(blocks / k) * period + F.element_at("__places", (blocks % k + 1).cast("int"))
+    dry = F.floor(blocks / k) * period + F.element_at(places, (blocks % k + 1).cast("int"))
     ends = named.agg(F.min(dry).alias("end"), F.count("*").alias("n")).first()
     end = ends["end"] if ends["n"] == len(share) and share else 0
     total = counts.agg(F.sum("n")).first()[0] or 0
-    ran = running_sum(sized, ["__source"], ["doc_id", "__size"], "__size", "__before", total)
-    number = F.floor(F.col("__before") / block).cast("long")
-    placed = ran.withColumn("__block", number).join(F.broadcast(slots), "__source", "left")  # slots holds one row a target, period at most
-    slot = F.floor(F.col("__block") / k) * period + F.element_at("__places", (F.col("__block") % k + 1).cast("int"))
-    placed = placed.withColumn("__slot", slot).withColumn("__all_sources", F.coalesce(F.col("__slot") < end, F.lit(False)))
-    return placed.withColumn("__in_mix", F.lit(True) if whole else F.col("__all_sources")).drop("__places", "__size", "__before")
+    # A hash that SQL has as well.
+    deal = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
+    ran = running_sum(sized, [source], ["doc_id", size_], size_, before_, total, deal)
+    number = F.floor(F.col(before_) / block).cast("long")
+    placed = ran.withColumn(number_, number).join(F.broadcast(slots), source, "left")  # slots holds one row a target, period at most
+    slot = F.floor(F.col(number_) / k) * period + F.element_at(places, (F.col(number_) % k + 1).cast("int"))
+    placed = placed.withColumn(slot_, slot).withColumn(all_, F.coalesce(F.col(slot_) < end, F.lit(False)))
+    return placed.withColumn(in_mix, F.lit(True) if whole else F.col(all_)).drop(places, size_, before_)
 
 
 def mixture(docs: DataFrame, targets: Mapping[str, float] | None = None, block: int = BLOCK) -> DataFrame:
     """The documents of the mixture in the order of their slots, with the columns they came with: all of them without targets."""
-    mixed = mix(docs, targets, block).where("__in_mix")
-    return mixed.repartitionByRange("__slot", "doc_id").sortWithinPartitions("__slot", "doc_id").select(*docs.columns)
+    prefix = "__"
+    while any((prefix + x).lower() == c.lower() for x in ADDED for c in docs.columns):
+        prefix += "_"
+    slot = prefix + "slot"
+    mixed = mix(docs, targets, block, prefix=prefix).where(F.col(prefix + "in_mix"))
+    return mixed.repartitionByRange(slot, "doc_id").sortWithinPartitions(slot, "doc_id").select(*docs.columns)

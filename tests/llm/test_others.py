@@ -89,6 +89,15 @@ def test_mixing_keeps_all_documents(spark):
     assert abs(had["large"] / had["small"] - 2**0.7) < 0.1
 
 
+def test_mixing_of_clashing_columns_and_repeated_rows(spark):
+    rows = [(i % 40, "x" * 60 if i % 9 else None, f"s{i % 3}" if i % 4 else None, "a", "b", "c") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __slot string, __SOURCE string, __share string")
+    out = source_mixing.mixture(docs, block=500)
+    assert out.columns == docs.columns and sorted(map(repr, out.collect())) == sorted(map(repr, docs.collect()))
+    mixed = source_mixing.mix(docs, block=500)
+    assert "__share" in mixed.columns and mixed.where("__slot is null").count() == 0
+
+
 def brute_vectors(rows):
     up = list(range(len(rows)))
 
