@@ -102,7 +102,8 @@ def _rules(intent: Intent) -> dict[str, Column]:
 def rerank(candidates: DataFrame, intent: Intent, limit: int = 5, min_score: float = 0) -> DataFrame:
     """The best candidates with their score and, in ``reasons``, what each rule added.
 
-    Scoring is one projection. Of titles with the same normal form the best stays, then a top-k; both use the score (or the asked order) and then the id.
+    Scoring is one projection. Rows whose title has no normal form are left out; of titles with the same one the best stays, then a top-k; both use the score (or the asked order) and then the id.
+    Where the best row's title is what was asked for, that row alone is given.
     """
     missing = {n: F.lit(None).cast(t) for n, t in COLUMNS.items() if n not in candidates.columns}
     df = _title_flags(candidates.withColumns(missing), intent)
@@ -112,9 +113,11 @@ def rerank(candidates: DataFrame, intent: Intent, limit: int = 5, min_score: flo
     if intent.kind != "catalog":
         relevant = F.col("__exact") | F.col("__partial") | (F.col("__overlap") >= 0.5) | (F.col("__hits") > 0) | (F.coalesce("similarity", F.lit(0.0)) >= 0.28)
         df = df.withColumn("score", F.when(relevant, F.col("score")).otherwise(F.lit(-9999)))
-    df = df.where(F.col("score") > min_score)
+    df = df.where((F.col("score") > min_score) & (F.col("__t") != ""))
     keys = {"price_asc": [F.coalesce("price", F.lit(999999.0)).asc()], "price_desc": [F.coalesce("price", F.lit(0.0)).desc()], "rating_desc": [F.coalesce("rating", F.lit(0.0)).desc()], "newest": [F.col("created_at").desc_nulls_last()]}.get(intent.sort, [])
     order = [*keys, F.col("score").desc(), F.col("id").asc()]
     best = df.withColumn("__rn", F.row_number().over(Window.partitionBy("__t").orderBy(*order))).where("__rn = 1")
     k = min(limit, intent.quantity) if intent.quantity else limit
-    return best.orderBy(*order).limit(k).select(*candidates.columns, "score", "reasons")
+    few = Window.orderBy(*order)  # over k rows at most
+    top = best.orderBy(*order).limit(k).withColumn("__place", F.row_number().over(few)).withColumn("__alone", F.first("__exact").over(few))
+    return top.where("__place = 1 or not __alone").select(*candidates.columns, "score", "reasons")

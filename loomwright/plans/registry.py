@@ -82,9 +82,9 @@ def rerank_parts(spark, sf_dir):
     return rerank.rerank(parts, intent, 20).select("id", "title", "price", "score")
 
 
-@query("SELECT doc_id, title FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '[^A-Za-z0-9_\\s-]', ' ', 'g'), '\\s+', ' ', 'g')) AS title, row_number() OVER (PARTITION BY trim(regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '[^A-Za-z0-9_\\s-]', ' ', 'g'), '\\s+', ' ', 'g')) ORDER BY n_chars DESC, doc_id) AS rn FROM documents WHERE lang = 'en') WHERE rn = 1")
+@query("SELECT doc_id, title FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '[^A-Za-z0-9_\\s-]', ' ', 'g'), '\\s+', ' ', 'g')) AS title, row_number() OVER (PARTITION BY trim(regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '[^A-Za-z0-9_\\s-]', ' ', 'g'), '\\s+', ' ', 'g')) ORDER BY n_chars DESC, doc_id) AS rn FROM documents) WHERE rn = 1")
 def title_dedupe(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "n_chars", text.normalize(F.substring_index("text", "\n", 1)).alias("title"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "n_chars", text.normalize(F.substring_index("text", "\n", 1)).alias("title"))
     return keyed.first_of(docs, F.col("title"), [F.desc("n_chars"), F.col("doc_id")]).select("doc_id", "title")
 
 
@@ -171,9 +171,9 @@ def quality_score(spark, sf_dir):
     return s.select("user_id", score.alias("score"), aggregates.grade(score).alias("grade"))
 
 
-@query("SELECT doc_id, sha256(regexp_replace(regexp_replace(trim(text), '>\\s+<', '><', 'g'), '\\s+', ' ', 'g')) AS hash FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, sha256(regexp_replace(regexp_replace(trim(text), '>\\s+<', '><', 'g'), '\\s+', ' ', 'g')) AS hash FROM documents")
 def content_hash(spark, sf_dir):
-    return read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", text.content_hash(F.col("text")).alias("hash"))
+    return read(spark, sf_dir, "documents").select("doc_id", text.content_hash(F.col("text")).alias("hash"))
 
 
 @query("""WITH o AS (SELECT doc_id, n_chars AS h FROM documents WHERE doc_id % 10 <> 3), n AS (SELECT doc_id, CASE WHEN doc_id % 10 = 5 THEN n_chars + 1 ELSE n_chars END AS h FROM documents WHERE doc_id % 10 <> 7)
@@ -324,5 +324,8 @@ def matched_parts(spark, sf_dir):
 
 @query()
 def hybrid_retrieve(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select(F.col("lang").alias("widget_id"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("content"))
-    return retrieval.retrieve(docs, ["en"], rerank.Intent("thing near the shed", "catalog", ["thing", "shed"]), F.lit(AS_OF).cast("timestamp"), limit=10).select("id", "score")
+    """Keyword and vector channel over documents; embeddings join by id, as rows of a catalog carry theirs."""
+    docs = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    rows = docs.select(F.col("lang").alias("widget_id"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("content"), "embedding", F.timestamp_seconds(1706400000 + F.col("doc_id") % 200_000).alias("last_seen"))
+    asked = rerank.Intent("thing near the shed", "catalog", ["thing", "shed"])
+    return retrieval.retrieve(rows, ["en"], asked, F.lit(AS_OF).cast("timestamp"), VECTOR, limit=10).select("id", "score", F.round("similarity", 9).alias("similarity"), "freshness")

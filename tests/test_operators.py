@@ -130,3 +130,11 @@ def test_changes_sink(spark, tmp_path):
     write(change, 1)
     write(change, 1)
     assert {(r.id, r.v) for r in spark.read.parquet(str(tmp_path / "t/v=1")).collect()} == {(2, "c"), (3, "d")}
+
+
+def test_exact_title_stands_alone_and_empty_titles_fall(spark):
+    rows = [("1", "Alpha Course"), ("2", "alpha  course!"), ("3", "Alpha Course Two"), ("4", "!!!"), ("5", None)]
+    df = spark.createDataFrame(rows, "id string, title string")
+    ids = lambda asked: [r.id for r in rerank.rerank(df, rerank.Intent(asked, "catalog"), 5, -10_000).collect()]
+    assert ids("alpha course") == ["1"]
+    assert sorted(ids("beta")) == ["1", "3"]
