@@ -144,8 +144,8 @@ def dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     unit = let(scaled, lambda v: let(norm(v), lambda n: F.transform(v, lambda x: x / n)))
     good = materialise(rows.where("usable").select("id", "label", unit.alias("v")))
     classes = good.groupBy("label", "v").agg(F.min("id").alias("class"), F.count("*").alias("copies"))
-    # One number a class, even where a vec_id is given to several vectors.
-    classes = materialise(classes.withColumn("id", F.xxhash64("class", "v")))
+    # One number a class, even where a vec_id is given to several vectors; the written table fixes it.
+    classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()))
     tables, bits = shape(classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0)
     coded = materialise(classes.join(classes.select("id", "v").mapInArrow(_codes(tables, bits), "id long, codes array<int>"), "id"))
     members = coded.select("id", F.posexplode("codes").alias("table", "code"), "label", F.size("v").alias("width"))
