@@ -235,7 +235,10 @@ def daily_breaker(spark, sf_dir):
     return aggregates.breaker(usage, {"calls": 1, "chats": 2})
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+r AS (SELECT user_id, event_id, rn, true AS allowed, [t] AS log FROM e WHERE rn = 1
+UNION ALL SELECT user_id, event_id, rn, len(l) < 3, CASE WHEN len(l) < 3 THEN list_append(l, t) ELSE l END FROM (SELECT e.user_id, e.event_id, e.rn, e.t, list_filter(r.log, lambda a: a > e.t - 86400) AS l FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1))
+SELECT user_id, event_id, allowed FROM r""")
 def rate_limit_replay(spark, sf_dir):
     return sessions.rate_limited(read(spark, sf_dir, "events"), "user_id", "ts", "event_id", 3, 86400.0)
 
@@ -271,7 +274,7 @@ def key_intersection(spark, sf_dir):
     return lines.where("l_quantity > 45").select("l_orderkey", "l_linenumber").intersect(lines.where("l_discount < 0.02").select("l_orderkey", "l_linenumber"))
 
 
-@query()
+@query("SELECT s_name AS title, s_acctbal AS price, 'shopify' AS source, '{\"nation\":\"' || s_nationkey || '\"}' AS metadata FROM supplier")
 def merged_profiles(spark, sf_dir):
     """Crawled versions of suppliers merged into delivered ones."""
     from loomwright.operators import merging
@@ -281,9 +284,9 @@ def merged_profiles(spark, sf_dir):
     return merging.merged(pairs, ["title", "price"]).select("title", "price", "source", F.to_json("metadata").alias("metadata"))
 
 
-@query()
+@query("WITH t AS (SELECT item_id, list_sum(list_transform(string_split(text, ''), lambda c: ascii(c))) AS total FROM benchmark) SELECT item_id, list_transform(range(0, 64), lambda i: round(sin(total + i) * 0.1, 9)) AS embedding FROM t")
 def fallback_embedding(spark, sf_dir):
-    return read(spark, sf_dir, "benchmark").select("item_id", vectors.fallback_vector(F.col("text"), 64).alias("embedding"))
+    return read(spark, sf_dir, "benchmark").select("item_id", F.transform(vectors.fallback_vector(F.col("text"), 64), lambda x: F.round(x, 9)).alias("embedding"))
 
 
 @query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS quantity, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")

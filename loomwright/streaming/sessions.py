@@ -5,9 +5,12 @@ The state functions run on a stream (applyInPandasWithState) and, with the same
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -15,13 +18,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 def sliding(times: list[float], accepted: list[float], limit: int, window: float) -> tuple[list[bool], list[float]]:
     """Which events a log of accepted ones lets pass; refused events leave no trace. Bounded by ``limit`` entries."""
-    out = []
+    out, log = [], sorted(accepted)
     for t in times:
-        accepted = [a for a in accepted if a > t - window]
-        out.append(len(accepted) < limit)
+        del log[: bisect_right(log, t - window)]
+        out.append(len(log) < limit)
         if out[-1]:
-            accepted = [*accepted, t]
-    return out, accepted
+            insort(log, t)
+    return out, log
 
 
 def fixed(times: list[float], state: tuple[int, float], limit: int, window: float) -> tuple[list[bool], tuple[int, float]]:
@@ -37,16 +40,24 @@ def fixed(times: list[float], state: tuple[int, float], limit: int, window: floa
 
 
 def rate_limited(events: DataFrame, key: str, ts: str, tie: str, limit: int = 15, window: float = 60.0) -> DataFrame:
-    """Batch replay: adds ``allowed``. A key's events come to one task, as the rule is sequential; only key, time and tie travel."""
+    """Batch replay: adds ``allowed``. A key's events come to one task in order, as the rule is sequential, and stream through it in batches: what a task holds is the log of one key,
+    ``limit`` times at most. Only key, time and tie travel; rows without a key are one key.
+    """
     rows = events.select(key, tie, F.col(ts).cast("timestamp").cast("double").alias("__t"))
     kind = f"{key} {rows.schema[key].dataType.simpleString()}, {tie} {rows.schema[tie].dataType.simpleString()}, allowed boolean"
 
-    def replay(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["__t", tie])
-        allowed, _ = sliding(frame["__t"].tolist(), [], limit, window)
-        return frame[[key, tie]].assign(allowed=allowed)
-
-    return rows.groupBy(key).applyInPandas(replay, kind)
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        started, who, log = False, None, []
+        for batch in batches:
+            allowed, times = [], zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            for k, run in groupby(times, key=lambda x: x[0]):
+                if not started or k != who:
+                    started, who, log = True, k, []
+                passed, log = sliding([t for _, t in run], log, limit, window)
+                allowed += passed
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(allowed, pa.bool_())], names=[key, tie, "allowed"])
+
+    return rows.repartition(key).sortWithinPartitions(key, "__t", tie).mapInArrow(replay, kind)
 
 
 def rate_limited_stream(events: DataFrame, key: str, ts: str, tie: str, limit: int = 15, window: float = 60.0, idle: str = "2 hours") -> DataFrame:
