@@ -47,3 +47,24 @@ def ordered(df: DataFrame, by: str, price: str, created: str, tie: str) -> DataF
     """price_asc (missing as 999999), price_desc (missing as 0) or newest; ties by id."""
     key = {"price_asc": F.coalesce(F.col(price), F.lit(999999)).asc(), "price_desc": F.coalesce(F.col(price), F.lit(0)).desc(), "newest": F.col(created).desc_nulls_last()}[by]
     return df.orderBy(key, F.col(tie))
+
+
+def looked_up(asked: DataFrame, rows: DataFrame, id_col: str, tenant: str) -> DataFrame:
+    """asked: tenant and id of each point lookup. Adds ``status``: own, foreign (the id is another tenant's, so nothing may be shown) or absent. One join on the id, which is unique in rows."""
+    owners = rows.select(F.col(id_col), F.col(tenant).alias("__owner"))
+    status = F.when(F.col("__owner").isNull(), "absent").when(F.col("__owner") == F.col(tenant), "own").otherwise("foreign")
+    return asked.join(owners, id_col, "left").withColumn("status", status).drop("__owner")
+
+
+def tenant_ids(tenants: DataFrame, name: str, ids: list[str]) -> DataFrame:
+    """The ids under which rows of the named tenants may stand: a tenant is named by any of its ids, and its rows may carry any of them."""
+    named = F.lit(False)
+    for c in ids:
+        named = named | F.coalesce(F.col(c).cast("string") == name, F.lit(False))
+    every = F.array_distinct(F.filter(F.array(*(F.col(c).cast("string") for c in ids)), lambda x: x.isNotNull()))
+    return tenants.where(named).select(F.explode(every).alias("id")).distinct()
+
+
+def with_all(df: DataFrame, column: str, wanted: list) -> DataFrame:
+    """Rows whose array holds every wanted value; a null array holds none."""
+    return df.where(F.coalesce(F.size(F.array_except(F.array(*map(F.lit, wanted)), F.col(column))) == 0, F.lit(not wanted)))

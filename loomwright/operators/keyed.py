@@ -49,3 +49,10 @@ def runs(df: DataFrame, session: str, order: str, value: Column, ts: Column, gap
     marked = marked.withColumn("__new", F.when(same, 0).otherwise(1))
     marked = marked.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.withColumn("run_length", F.row_number().over(Window.partitionBy(session, "__run").orderBy(order))).drop("__v", "__t", "__new", "__run")
+
+
+def nth(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
+    """The n-th row of each key in the given order (from 1; -1 is the last), for what "the second one" or "the last one" means. order tells a key's rows apart."""
+    w = Window.partitionBy(key).orderBy(F.col(order).asc() if n > 0 else F.col(order).desc())
+    # A limit on the rank inside the window lets each task drop all but the first rows before the shuffle.
+    return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= abs(n)).where(F.col("__rn") == abs(n)).drop("__rn")

@@ -332,3 +332,32 @@ def hybrid_retrieve(spark, sf_dir):
     rows = docs.select(F.col("lang").alias("widget_id"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("content"), "embedding", F.timestamp_seconds(1706400000 + F.col("doc_id") % 200_000).alias("last_seen"))
     asked = rerank.Intent("thing near the shed", "catalog", ["thing", "shed"])
     return retrieval.retrieve(rows, ["en"], asked, F.lit(AS_OF).cast("timestamp"), VECTOR, limit=10).select("id", "score", F.round("similarity", 9).alias("similarity"), "freshness")
+
+
+@query("SELECT c_custkey, CASE WHEN o.o_custkey IS NULL THEN 'absent' WHEN o.o_custkey = c_custkey THEN 'own' ELSE 'foreign' END AS status FROM customer LEFT JOIN orders o ON o.o_orderkey = c_custkey")
+def point_lookup(spark, sf_dir):
+    """Every customer asks for the order whose number is its own key."""
+    asked = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("tenant"), F.col("c_custkey").alias("id"))
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("tenant"))
+    return inventory.looked_up(asked, orders, "id", "tenant").select(F.col("tenant").alias("c_custkey"), "status")
+
+
+@query("SELECT DISTINCT unnest([CAST(s_suppkey AS VARCHAR), s_name, CAST(s_nationkey AS VARCHAR)]) AS id FROM supplier WHERE CAST(s_suppkey AS VARCHAR) = '3' OR s_name = '3' OR CAST(s_nationkey AS VARCHAR) = '3'")
+def tenant_resolution(spark, sf_dir):
+    return inventory.tenant_ids(read(spark, sf_dir, "supplier"), "3", ["s_suppkey", "s_name", "s_nationkey"])
+
+
+@query("SELECT o_custkey FROM orders GROUP BY o_custkey HAVING list_has_all(list(DISTINCT o_orderstatus), ['F', 'O'])")
+def array_containment(spark, sf_dir):
+    held = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderstatus").alias("statuses"))
+    return inventory.with_all(held, "statuses", ["F", "O"]).select("o_custkey")
+
+
+@query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) WHERE rn = 2")
+def second_turn(spark, sf_dir):
+    return keyed.nth(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn", 2)
+
+
+@query("SELECT user_id, event_id, CAST(least(rn, 5) AS INT) AS current_turn, rn <= 5 AS allowed FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events)")
+def turn_caps(spark, sf_dir):
+    return sessions.turn_capped(read(spark, sf_dir, "events").select("user_id", "event_id"), "user_id", "event_id", 5)

@@ -11,7 +11,7 @@ from itertools import groupby
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -60,6 +60,17 @@ def rate_limited(events: DataFrame, key: str, ts: str, tie: str, limit: int = 15
     return rows.repartition(key).sortWithinPartitions(key, "__t", tie).mapInArrow(replay, kind)
 
 
+def turn_capped(turns: DataFrame, session: str, order: str, most: int = 30) -> DataFrame:
+    """Adds current_turn (it stops at ``most``) and allowed. Sessions are named without regard to case and outer blanks; turns without a session are all allowed and count as first ones."""
+    name = F.lower(F.trim(F.coalesce(F.col(session).cast("string"), F.lit(""))))
+    named = turns.withColumn("__s", name)
+    rank = F.row_number().over(Window.partitionBy("__s").orderBy(order))
+    capped = named.where("__s <> ''").withColumn("__n", rank)
+    capped = capped.withColumn("current_turn", F.least(F.col("__n"), F.lit(most))).withColumn("allowed", F.col("__n") <= most).drop("__n")
+    free = named.where("__s = ''").withColumn("current_turn", F.lit(1)).withColumn("allowed", F.lit(True))
+    return capped.unionByName(free).drop("__s")
+
+
 def rate_limited_stream(events: DataFrame, key: str, ts: str, tie: str, limit: int = 15, window: float = 60.0, idle: str = "2 hours") -> DataFrame:
     """The same rule on a stream: the state is the log of accepted times, dropped when a session has been idle."""
     rows = events.select(key, tie, F.col(ts).cast("timestamp").alias("ts")).withWatermark("ts", idle)

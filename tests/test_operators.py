@@ -138,3 +138,16 @@ def test_exact_title_stands_alone_and_empty_titles_fall(spark):
     ids = lambda asked: [r.id for r in rerank.rerank(df, rerank.Intent(asked, "catalog"), 5, -10_000).collect()]
     assert ids("alpha course") == ["1"]
     assert sorted(ids("beta")) == ["1", "3"]
+
+
+def test_lookups_containment_ordinals_and_turn_caps(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "id string, tenant int")
+    asked = spark.createDataFrame([("a", 1), ("a", 2), ("c", 1)], "id string, tenant int")
+    assert {(r.id, r.tenant): r.status for r in inventory.looked_up(asked, rows, "id", "tenant").collect()} == {("a", 1): "own", ("a", 2): "foreign", ("c", 1): "absent"}
+    tenants = spark.createDataFrame([("u1", "w1", None), ("u2", "w2", "s2")], "id string, widget_id string, website_id string")
+    assert {r.id for r in inventory.tenant_ids(tenants, "s2", ["id", "widget_id", "website_id"]).collect()} == {"u2", "w2", "s2"}
+    arrays = spark.createDataFrame([(1, ["x", "y"]), (2, ["x"]), (3, None), (4, [])], "id int, a array<string>")
+    assert [r.id for r in inventory.with_all(arrays, "a", ["x", "y"]).collect()] == [1] and inventory.with_all(arrays, "a", []).count() == 4
+    turns = spark.createDataFrame([(" S ", 1), ("s", 2), ("S", 3), (None, 4), ("", 5)], "s string, t int")
+    assert {r.t: (r.current_turn, r.allowed) for r in sessions.turn_capped(turns, "s", "t", 2).collect()} == {1: (1, True), 2: (2, True), 3: (2, False), 4: (1, True), 5: (1, True)}
+    assert [r.t for r in keyed.nth(turns.where("s is not null").withColumn("s", F.lit("k")), "s", "t", -2).collect()] == [3]
