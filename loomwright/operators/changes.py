@@ -39,3 +39,46 @@ def filled(existing: DataFrame, incoming: DataFrame, key: str, columns: list[str
     new = incoming.select(key, *(F.col(c).alias(f"__n_{c}") for c in columns))
     joined = existing.join(new, key, "full_outer")
     return joined.select(key, *(F.coalesce(f"__n_{c}", c).alias(c) for c in columns))
+
+
+def without_member(rows: DataFrame, tenant: str, tenants: list, metadata: str, path: str, value: str) -> DataFrame:
+    """The table after a delete of the tenants' rows whose metadata (a Variant) hold the value at the path. Rows of other tenants, and rows that hold none, stay."""
+    gone = F.col(tenant).isin(*tenants) & (F.try_variant_get(metadata, path, "string") == value)
+    return rows.where(~F.coalesce(gone, F.lit(False)))
+
+
+def cascaded(table: DataFrame, gone: DataFrame, key: str, gone_key: str) -> DataFrame:
+    """The rows of a table that refer to none of the deleted ones; rows that refer to nothing stay. Deleted rows come in any number: a join on the key."""
+    return table.join(gone.where(F.col(gone_key).isNotNull()).select(F.col(gone_key).alias(key)).distinct(), key, "left_anti").select(*table.columns)
+
+
+def job_outcome(blocked: Column, pages: Column, found: Column, errors: Column, url: Column) -> Column:
+    """status and error_message of a crawl job that has come back: blocked, failed (nothing reached) or completed; the first three errors are told."""
+    told = F.when(F.size(F.coalesce(errors, F.array().cast("array<string>"))) > 0, F.array_join(F.slice(errors, 1, 3), "; "))
+    nothing = (F.coalesce(pages, F.lit(0)) == 0) & (F.coalesce(found, F.lit(0)) == 0)
+    unreached = F.concat(F.lit("Crawl failed to reach "), F.coalesce(url, F.lit("")), F.lit(": 0 pages analyzed and 0 knowledge records extracted. Verify site accessibility."))
+    shut = F.coalesce(blocked, F.lit(False))
+    status = F.when(shut, "blocked").when(nothing, "failed").otherwise("completed")
+    message = F.when(shut, "Crawl blocked by anti-bot firewall (WAF challenge detected).").when(nothing, F.coalesce(told, unreached)).otherwise(told)
+    return F.struct(status.alias("status"), message.alias("error_message"))
+
+
+def backfilled(rows: DataFrame, owners: DataFrame, orphan: str) -> DataFrame:
+    """Rows (widget_id, short_description, content, image_urls, data_type, metadata as a Variant) with what older versions left out.
+
+    widget_id becomes the id of its owner (owners: website_id, id; one a website) or ``orphan``; an empty description comes from the metadata, else from the first 200 characters;
+    no images come from the metadata's list, else from its single one; no data_type is a crawl.
+    """
+    ids = owners.groupBy(F.col("website_id").alias("widget_id")).agg(F.min("id").alias("__owner"))
+    known = owners.select(F.col("id").alias("widget_id")).distinct().withColumn("__known", F.lit(True))
+    get = lambda path, kind="string": F.try_variant_get("metadata", path, kind)
+    none = F.array().cast("array<string>")
+    images = F.coalesce(get("$.images", "array<string>"), F.when(get("$.image") != "", F.array(get("$.image"))), none)
+    joined = rows.join(ids, "widget_id", "left").join(known, "widget_id", "left")
+    out = {
+        "widget_id": F.coalesce("__owner", F.when(F.col("__known"), F.col("widget_id")), F.lit(orphan)),
+        "short_description": F.coalesce("short_description", get("$.description"), F.substring("content", 1, 200)),
+        "image_urls": F.when(F.size(F.coalesce("image_urls", none)) > 0, F.col("image_urls")).otherwise(images),
+        "data_type": F.coalesce(F.nullif("data_type", F.lit("")), F.lit("crawl")),
+    }
+    return joined.select(*(out[c].alias(c) if c in out else F.col(c) for c in rows.columns))

@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.functions import freshness, intent, numbers, text, urls
-from loomwright.operators import aggregates, changes, crawl, inventory, keyed, rerank, retrieval, vectors
+from loomwright.functions import concepts, freshness, intent, numbers, text, urls
+from loomwright.operators import aggregates, changes, constraints, crawl, entities, inventory, keyed, references, rerank, retrieval, routing, vectors
 from loomwright.sources import pages as web
 from loomwright.streaming import sessions
 
@@ -361,3 +361,172 @@ def second_turn(spark, sf_dir):
 @query("SELECT user_id, event_id, CAST(least(rn, 5) AS INT) AS current_turn, rn <= 5 AS allowed FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events)")
 def turn_caps(spark, sf_dir):
     return sessions.turn_capped(read(spark, sf_dir, "events").select("user_id", "event_id"), "user_id", "event_id", 5)
+
+
+PRICED = "SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN p_retailprice END AS price FROM part"
+
+
+def priced(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 5 != 0, F.col("p_retailprice")).alias("price"))
+
+
+@query(f"WITH t AS ({PRICED}) SELECT p_partkey, price FROM t WHERE price <= 950 ORDER BY price DESC, p_partkey LIMIT 20")
+def constrained_results(spark, sf_dir):
+    return constraints.sorted_strict(constraints.strict(priced(spark, sf_dir), max_price=950.0), "most_expensive", "p_partkey").limit(20)
+
+
+@query(f"WITH t AS ({PRICED}) SELECT p_partkey, price FROM t WHERE price IS NULL OR price >= 905 ORDER BY coalesce(price, 99999), p_partkey")
+def leniently_filtered(spark, sf_dir):
+    return constraints.sorted_lenient(constraints.lenient(priced(spark, sf_dir), min_price=905.0), "price_asc", "p_partkey")
+
+
+@query("""WITH v AS (SELECT p_partkey, 'v' || p_partkey AS id, p_brand AS tenant, p_name AS title, p_size FROM part),
+a AS (SELECT 'structured' AS route, id, title, 'vehicles' AS source FROM v WHERE tenant IN ('Brand#13', 'Brand#4') AND p_size % 2 = 1 AND contains(lower(title), 'gear') AND 1990 + p_size >= 2000 ORDER BY p_partkey DESC LIMIT 5),
+b AS (SELECT 'broad' AS route, id, title, 'vehicles' AS source FROM v WHERE tenant IN ('Brand#13', 'Brand#4') ORDER BY p_partkey DESC LIMIT 5)
+SELECT * FROM a UNION ALL SELECT * FROM b""")
+def routed_results(spark, sf_dir):
+    """Three queries on two tenants' parts as vehicles: one that finds some, one for a make nobody has (no rows, and none instead), a broad one that retrieval has nothing for."""
+    parts = read(spark, sf_dir, "part")
+    no = F.lit(None).cast("string")
+    used = F.when(F.col("p_size") % 2 == 1, "used").otherwise("new")
+    stock = parts.select(F.concat(F.lit("v"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_brand").alias("widget_id"), F.col("p_name").alias("title"), F.col("p_name").alias("make"), no.alias("model"), no.alias("trim"), no.alias("category"), F.col("p_type").alias("body_style"), used.alias("condition"), (F.col("p_size") + 1990).alias("year"), F.col("p_retailprice").alias("price"), F.lit(None).cast("double").alias("mileage"), F.lit(True).alias("still_listed"), F.timestamp_seconds(1_700_000_000 + F.col("p_partkey")).alias("created_at"))
+    rows = read(spark, sf_dir, "documents").select(F.col("lang").alias("widget_id"), F.col("doc_id").cast("string").alias("id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("content"))
+    cases = {"structured": ("used gear since 2000", {"condition": "used", "make": "gear", "min_year": 2000}), "nothing": ("used Wrangler", {"condition": "used", "make": "Wrangler"}), "broad": ("what do you have", {})}
+    out = None
+    for route, (asked, wanted) in cases.items():
+        found = routing.routed(rows, stock, ["Brand#13", "Brand#4"], rerank.Intent(asked, "catalog", entity_type="vehicle"), wanted, F.lit(AS_OF).cast("timestamp")).select(F.lit(route).alias("route"), "id", "title", "source")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+SAID = ("the second one", "how much is it", "open the last one", "pictures of that", "any news")
+ASKED = "CASE turn % 5 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(SAID)) + " END"
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, {ASKED} AS said, CASE WHEN role = 'assistant' THEN string_split(text, ' ')[1:3] END AS shown, CASE WHEN role = 'assistant' AND conv_id % 2 = 0 THEN string_split(text, ' ')[1] END AS pinned FROM conversations),
+w AS (SELECT conv_id, turn, said, last_value(shown IGNORE NULLS) OVER b AS pool, last_value(pinned IGNORE NULLS) OVER b AS pin FROM t WINDOW b AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+e AS (SELECT *, CASE said WHEN 'the second one' THEN pool[least(2, len(pool))] WHEN 'open the last one' THEN pool[len(pool)] END AS place FROM w)
+SELECT conv_id, turn, said IN ('how much is it', 'pictures of that') OR (said <> 'any news' AND pool IS NOT NULL) OR (said = 'the second one' AND pool IS NOT NULL) AS refers,
+CASE WHEN place IS NOT NULL THEN place WHEN said IN ('how much is it', 'pictures of that') THEN coalesce(pin, pool[1]) END AS entity,
+CASE WHEN place IS NOT NULL THEN place || ' details' WHEN said = 'how much is it' AND pin IS NOT NULL THEN 'price of ' || pin WHEN said = 'pictures of that' AND pin IS NOT NULL THEN 'show me pictures of ' || pin WHEN said IN ('how much is it', 'pictures of that') THEN pool[1] || ' ' || said END AS rewritten FROM e""")
+def resolved_turns(spark, sf_dir):
+    """What follow-up turns refer to: the assistant's turns show their first three words, in even conversations they settle on the first."""
+    said = F.element_at(F.array(*map(F.lit, SAID)), (F.col("turn") % 5 + 1).cast("int"))
+    words, theirs = F.split("text", " "), F.col("role") == "assistant"
+    talk = read(spark, sf_dir, "conversations").select("conv_id", "turn", said.alias("said"), F.when(theirs, F.slice(words, 1, 3)).alias("shown"), F.when(theirs & (F.col("conv_id") % 2 == 0), F.get(words, F.lit(0))).alias("pinned"))
+    return references.resolved(talk, "conv_id", "turn", "said", "shown", "pinned").select("conv_id", "turn", "refers", "entity", "rewritten")
+
+
+@query("""WITH e AS (SELECT user_id, event_id, ts, nullif(event_type, 'view') AS kind, CASE WHEN ts - lag(ts) OVER w > INTERVAL 6 HOUR THEN 1 ELSE 0 END AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT *, sum(gap) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS life FROM e)
+SELECT user_id, event_id, count(*) OVER w AS turn_count, last_value(kind IGNORE NULLS) OVER w AS kind FROM g WINDOW w AS (PARTITION BY user_id, life ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+def session_contexts(spark, sf_dir):
+    updates = read(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.nullif("event_type", F.lit("view")).alias("kind"))
+    return references.session_context(updates, "user_id", "ts", "event_id", ["kind"], 6 * 3600.0).drop("ts")
+
+
+TYPED = "CASE lang WHEN 'en' THEN 'Blog' WHEN 'fr' THEN 'page' WHEN 'de' THEN 'vehicle' END"
+
+
+def typed(spark, sf_dir):
+    kind = F.when(F.col("lang") == "en", "Blog").when(F.col("lang") == "fr", "page").when(F.col("lang") == "de", "vehicle")
+    return read(spark, sf_dir, "documents").select("doc_id", "source", F.col("lang").alias("tier"), kind.alias("entity_type"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("content"))
+
+
+@query(f"WITH t AS (SELECT source, {TYPED} AS kind FROM documents) SELECT source, count(*) FILTER (kind IN ('Blog', 'vehicle')) AS entities, count(*) FILTER (kind IS NULL OR kind = 'page') AS pages FROM t GROUP BY source")
+def knowledge_counts(spark, sf_dir):
+    return entities.counts(typed(spark, sf_dir), "source", "entity_type")
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'en' AND contains(lower(source), 'src1') AND contains(lower(text), 'the')")
+def catalog_view(spark, sf_dir):
+    return entities.viewed(typed(spark, sf_dir), "entities", "src1", "article", "EN", " the ".strip()).where(~entities.is_artifact("title", "content")).select("doc_id")
+
+
+@query("SELECT p_partkey, p_partkey % 7 = 0 OR p_partkey % 11 = 0 OR regexp_matches(p_name, 'car|truck|suv|vehicle|wrangler|cherokee|ram|dodge|durango|chrysler|ford|toyota|honda') AS is_vehicle FROM part")
+def vehicle_rows(spark, sf_dir):
+    metadata = F.when(F.col("p_partkey") % 7 == 0, F.parse_json(F.lit('{"vin": "1C4"}'))).when(F.col("p_partkey") % 2 == 0, F.parse_json(F.lit('{"make": "", "sku": 4}')))
+    rows = read(spark, sf_dir, "part").select("p_partkey", "p_name", F.lit(None).cast("string").alias("data_type"), F.when(F.col("p_partkey") % 11 == 0, "vehicle").alias("entity_type"), metadata.alias("metadata"))
+    return rows.select("p_partkey", entities.is_vehicle("data_type", "entity_type", "p_name", "metadata").alias("is_vehicle"))
+
+
+TERMS = ("abot", "Contact-Us", "our storry", "FAQs", "privacy policy", "careeers page", "docs & prices")
+NAMES = "[" + ", ".join("{'n': '%s', 'c': '%s'}" % pair for pair in concepts.names().items()) + "]"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, CASE p_partkey % 8 {" ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(TERMS))} ELSE p_name END AS term FROM part),
+u AS (SELECT *, trim(regexp_replace(lower(term), '[^a-z0-9]+', ' ', 'g')) AS x FROM t), d AS (SELECT DISTINCT x, list_filter(string_split(x, ' '), lambda w: len(w) >= 2) AS words FROM u), n AS (SELECT {NAMES} AS names),
+k AS (SELECT x, generate_subscripts(words, 1) AS i, unnest(words) AS w FROM d), m AS (SELECT generate_subscripts(names, 1) AS j, unnest(names) AS v FROM n),
+h AS (SELECT x, first(v.c ORDER BY i, j) AS concept FROM k JOIN m ON v.n = w OR CASE WHEN least(len(v.n), len(w)) < 4 THEN false WHEN least(len(v.n), len(w)) = 4 THEN abs(len(v.n) - len(w)) <= 1 AND v.n[1:3] = w[1:3] AND levenshtein(v.n, w) <= 1
+WHEN greatest(len(v.n), len(w)) <= 6 THEN abs(len(v.n) - len(w)) <= 1 AND levenshtein(v.n, w) <= 1 ELSE abs(len(v.n) - len(w)) <= 2 AND levenshtein(v.n, w) <= 2 END GROUP BY x)
+SELECT p_partkey, coalesce(e.v.c, h.concept) AS concept FROM u LEFT JOIN m e ON e.v.n = u.x LEFT JOIN h ON h.x = u.x""")
+def section_concepts(spark, sf_dir):
+    """Concepts of section names as people type them; names that many rows share are looked at once."""
+    term = F.coalesce(F.get(F.array(*map(F.lit, TERMS)), (F.col("p_partkey") % 8).cast("int")), F.col("p_name"))
+    named = read(spark, sf_dir, "part").select("p_partkey", term.alias("term"))
+    known = named.select("term").distinct().withColumn("concept", concepts.concept_of(F.col("term")))
+    return named.join(known, "term", "left").select("p_partkey", "concept")
+
+
+@query("SELECT event_id FROM events WHERE NOT coalesce(user_id IN (1, 2, 3, 4, 5, 6, 7, 8) AND json_extract_string(props, '$.k') IN ('5'), false)")
+def deleted_products(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select("event_id", "user_id", F.try_parse_json("props").alias("props"))
+    return changes.without_member(rows, "user_id", list(range(1, 9)), "props", "$.k", "5").select("event_id")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1))")
+def cascaded_orders(spark, sf_dir):
+    """Orders that stay when a region's nations, with them their customers, are deleted."""
+    gone = read(spark, sf_dir, "nation").where("n_regionkey = 1")
+    customers = keyed.referenced(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), gone, "c_nationkey", "n_nationkey")
+    return changes.cascaded(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), customers, "o_custkey", "c_custkey").select("o_orderkey")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'blocked' WHEN o_orderkey % 6 = 0 THEN 'failed' ELSE 'completed' END AS status,
+CASE WHEN o_orderstatus = 'P' THEN 'Crawl blocked by anti-bot firewall (WAF challenge detected).' WHEN o_orderkey % 5 = 0 THEN 'e1; e2; e3' WHEN o_orderkey % 6 = 0 THEN 'Crawl failed to reach http://x: 0 pages analyzed and 0 knowledge records extracted. Verify site accessibility.' END AS error_message FROM orders""")
+def job_outcomes(spark, sf_dir):
+    key = F.col("o_orderkey")
+    errors = F.when(key % 5 == 0, F.array(*map(F.lit, ("e1", "e2", "e3", "e4"))))
+    out = changes.job_outcome(F.col("o_orderstatus") == "P", F.when(key % 2 != 0, F.lit(4)), F.when(key % 3 != 0, F.lit(9)), errors, F.lit("http://x"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", out.alias("out")).select("o_orderkey", "out.*")
+
+
+@query("""SELECT s_suppkey, CASE WHEN n_regionkey IS NOT NULL THEN n_name ELSE 'nobody' END AS widget_id, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE 'text of it' END AS short_description, CASE WHEN s_suppkey % 3 = 0 THEN 'a.jpg,b.jpg' WHEN s_suppkey % 3 = 1 THEN 'c.jpg' ELSE '' END AS images, CASE WHEN s_suppkey % 5 = 0 THEN 'feed' ELSE 'crawl' END AS data_type
+FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_regionkey < 3""")
+def backfilled_rows(spark, sf_dir):
+    key = F.col("s_suppkey")
+    owners = read(spark, sf_dir, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").cast("string").alias("website_id"), F.col("n_name").alias("id"))
+    images = F.when(key % 3 == 0, F.lit('"images": ["a.jpg", "b.jpg"]')).when(key % 3 == 1, F.lit('"image": "c.jpg"')).otherwise('"image": ""')
+    said = F.when(key % 2 == 0, F.concat(F.lit(', "description": "'), "s_name", F.lit('"'))).otherwise("")
+    rows = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("string").alias("widget_id"), F.lit(None).cast("string").alias("short_description"), F.lit("text of it").alias("content"), F.array().cast("array<string>").alias("image_urls"), F.when(key % 5 == 0, "feed").otherwise("").alias("data_type"), F.parse_json(F.concat(F.lit("{"), images, said, F.lit("}"))).alias("metadata"))
+    return changes.backfilled(rows, owners, "nobody").select("s_suppkey", "widget_id", "short_description", F.array_join("image_urls", ",").alias("images"), "data_type")
+
+
+@query("""WITH c AS (SELECT user_id, min(ts) FILTER (event_type = 'purchase') AS a, min(ts) FILTER (event_type = 'view') AS s, min(ts) FILTER (event_type = 'error') AS z, max(ts) AS seen FROM events GROUP BY user_id),
+d AS (SELECT user_id, z, CASE WHEN (s IS NULL OR s > a + INTERVAL 20 HOUR) AND a + INTERVAL 20 HOUR <= seen THEN a + INTERVAL 20 HOUR END AS quiet, CASE WHEN a + INTERVAL 40 HOUR <= seen THEN a + INTERVAL 40 HOUR END AS cap FROM c WHERE a IS NOT NULL)
+SELECT user_id, strftime(least(quiet, cap, z), '%Y-%m-%d %H:%M:%S') AS ended_at, CASE WHEN quiet = least(quiet, cap, z) THEN 'initial_silence_timeout' WHEN cap = least(quiet, cap, z) THEN 'max_duration_cap' WHEN z IS NOT NULL THEN 'hangup' END AS reason FROM d""")
+def watched_calls(spark, sf_dir):
+    """Users as calls that begin with a purchase; a view is speech, an error the end."""
+    kinds = F.when(F.col("event_type") == "purchase", "start").when(F.col("event_type") == "view", "speech").when(F.col("event_type") == "error", "end")
+    events = read(spark, sf_dir, "events").select("user_id", "ts", kinds.alias("kind"))
+    found = sessions.watched_calls(events, "user_id", "ts", "kind", minutes=2400, silence=72000)
+    return found.select("user_id", F.date_format(F.timestamp_seconds("ended_at"), "yyyy-MM-dd HH:mm:ss").alias("ended_at"), "reason")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+r AS (SELECT user_id, event_id, rn, 1 AS n, t + 86400 AS until FROM e WHERE rn = 1 UNION ALL SELECT e.user_id, e.event_id, e.rn, CASE WHEN e.t >= until THEN 1 ELSE n + 1 END, CASE WHEN e.t >= until THEN e.t + 86400 ELSE until END FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)
+SELECT user_id, event_id, n <= 3 AS allowed FROM r""")
+def fixed_window_replay(spark, sf_dir):
+    return sessions.rate_limited(read(spark, sf_dir, "events"), "user_id", "ts", "event_id", 3, 86400.0, "fixed")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def customers_without_pending(spark, sf_dir):
+    return keyed.orphans(read(spark, sf_dir, "customer").select("c_custkey", "c_name"), read(spark, sf_dir, "orders").where("o_orderstatus = 'P'"), "c_custkey", "o_custkey")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_size * 1000.0 WHEN 1 THEN 1000.0 + p_size ELSE NULL END::DOUBLE AS with_k FROM part")
+def prices_with_thousands(spark, sf_dir):
+    size = F.col("p_size").cast("string")
+    s = F.when(F.col("p_partkey") % 3 == 0, F.concat(size, F.lit(" K"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("1,"), F.lpad(size, 3, "0"))).otherwise("from 3k")
+    return read(spark, sf_dir, "part").select("p_partkey", numbers.with_thousands(s).alias("with_k"))

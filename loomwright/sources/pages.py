@@ -13,16 +13,42 @@ PLATFORMS = (("shopify", "cdn.shopify.com|shopify.theme"), ("woocommerce", "wooc
 BLOCKED = ("access denied", "captcha", "cloudflare", "attention required", "are you a robot", "request blocked", "forbidden", "rate limited")
 
 
-def links(pages: DataFrame, id_col: str, url: str, html: str) -> DataFrame:
-    """One row a page and distinct link target, resolved against the page's url; only pages of its own host."""
-    raw = F.array_distinct(F.regexp_extract_all(F.col(html), F.lit(r"(?i)(?:href|data-href|data-url)\s*=\s*[\"']([^\"'#]+)"), F.lit(1)))
-    out = pages.select(id_col, F.col(url).alias("__page"), F.explode(raw).alias("__raw"))
-    scheme, host = F.regexp_extract("__page", r"^([A-Za-z][A-Za-z0-9+.-]*):", 1), urls.host(F.col("__page"))
-    full = F.when(F.col("__raw").rlike(r"^(?i)https?://"), F.col("__raw")).when(F.col("__raw").startswith("//"), F.concat(scheme, F.lit(":"), "__raw")).when(F.col("__raw").startswith("/"), F.concat(scheme, F.lit("://"), host, "__raw"))
-    out = out.select(id_col, host.alias("__host"), urls.without_tracking(full).alias("link"))
+#: Attributes whose values are links, and calls of scripts that go to one. Values that are no pages begin as in NO_LINKS.
+LINKS = (r"(?i)href\s*=\s*[\"']([^\"'#][^\"']*)[\"']", r"(?i)(?:data-(?:url|link|path)|action)\s*=\s*[\"']([^\"']+)[\"']", r"(?i)\bto\s*=\s*[\"'](/?[a-z0-9/_-][^\"']*)[\"']", r"(?i)(?:router\.push|history\.push(?:State)?|navigate|location\.(?:href|assign|replace))\s*[(=]\s*[\"'](/?[a-z0-9/_?-][^\"']*)[\"']")
+NO_LINKS = ("javascript:", "mailto:", "tel:", "data:")
+
+
+def resolved(raw: Column, page: Column) -> Column:
+    """A link as an absolute url: with a scheme as it stands, else from the page's scheme, host or folder; dots in paths are followed."""
+    scheme, host = F.regexp_extract(page, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1), urls.host(page)
+    site = F.concat(scheme, F.lit("://"), host)
+    path = F.regexp_extract(page, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    local = F.when(raw.startswith("/"), raw).when(raw.startswith("?"), F.concat(F.coalesce(F.nullif(path, F.lit("")), F.lit("/")), raw)).otherwise(F.concat(F.coalesce(F.nullif(F.regexp_extract(path, "^(.*/)", 1), F.lit("")), F.lit("/")), raw))
+    bare, rest = F.regexp_extract(local, r"^([^?#]*)", 1), F.regexp_extract(local, r"^[^?#]*(.*)$", 1)
+    step = lambda done, s: F.when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).when(s == ".", done).otherwise(F.concat(done, F.array(s)))
+    walked = F.array_join(F.aggregate(F.split(bare, "/"), F.array().cast("array<string>"), step), "/")
+    walked = F.when(bare.rlike(r"(^|/)\.+(/|$)"), walked).otherwise(bare)
+    return F.when(raw.rlike("(?i)^https?://"), raw).when(raw.startswith("//"), F.concat(scheme, F.lit(":"), raw)).when(~raw.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.concat(site, walked, rest))
+
+
+def links(pages: DataFrame, id_col: str, url: str, html: str, own: bool = False) -> DataFrame:
+    """One row a page and distinct link target, resolved against the page's url; only pages of its own host, and the page itself where ``own`` says so."""
+    raw = F.flatten(F.array(*(F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(p), F.lit(1)) for p in LINKS)))
+    raw = F.array_distinct(F.transform(raw, F.trim))
+    kept = F.filter(raw, lambda x: (x != "") & ~F.lower(x).rlike("^(?:" + "|".join(NO_LINKS) + ")"))
+    out = pages.select(id_col, F.col(url).alias("__page"), F.explode(F.array_append(kept, F.col(url)) if own else kept).alias("__raw"))
+    out = out.select(id_col, urls.host(F.col("__page")).alias("__host"), urls.without_tracking(resolved(F.col("__raw"), F.col("__page"))).alias("link"))
     return out.where((urls.host(F.col("link")) == F.col("__host")) & urls.is_page(F.col("link"))).select(id_col, "link").distinct()
 
 
+def srcset(x: Column) -> Column:
+    """Urls of a srcset, the largest first (a pixel density counts a thousand of width, no descriptor as density one); equal ones stay in order."""
+    parts = F.filter(F.transform(F.split(F.trim(x), r",\s+"), F.trim), lambda p: p != "")
+    value = lambda p: F.coalesce(F.nullif(F.regexp_extract(p, r"\s(\d+(?:\.\d+)?)[wxWX]$", 1), F.lit("")).cast("double"), F.lit(1.0))
+    sized = F.transform(parts, lambda p, i: F.struct((-value(p) * F.when(F.lower(p).rlike(r"\s[0-9.]+w$"), 1).otherwise(1000)).alias("size"), i.alias("place"), F.regexp_extract(p, r"^(\S+)", 1).alias("url")))
+    return F.transform(F.sort_array(sized), lambda s: s["url"])
+
+
 def page_text(html: Column, most: int | None = None) -> Column:
     """Text of the main or article part, or of the whole body; cut at ``most`` characters where given."""
     main = F.coalesce(F.nullif(F.regexp_extract(html, r"(?is)<(?:main|article)\b[^>]*>(.*?)</(?:main|article)>", 1), F.lit("")), html)

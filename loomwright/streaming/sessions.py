@@ -39,21 +39,23 @@ def fixed(times: list[float], state: tuple[int, float], limit: int, window: floa
     return out, (count, until)
 
 
-def rate_limited(events: DataFrame, key: str, ts: str, tie: str, limit: int = 15, window: float = 60.0) -> DataFrame:
-    """Batch replay: adds ``allowed``. A key's events come to one task in order, as the rule is sequential, and stream through it in batches: what a task holds is the log of one key,
+def rate_limited(events: DataFrame, key: str, ts: str, tie: str, limit: int = 15, window: float = 60.0, rule: str = "sliding") -> DataFrame:
+    """Batch replay: adds ``allowed``. ``rule`` is sliding (refused events leave no trace) or fixed (windows begin with their first event, refused events count). A key's events come to one task in order, as the rule is sequential, and stream through it in batches: what a task holds is the log of one key,
     ``limit`` times at most. Only key, time and tie travel; rows without a key are one key.
     """
     rows = events.select(key, tie, F.col(ts).cast("timestamp").cast("double").alias("__t"))
     kind = f"{key} {rows.schema[key].dataType.simpleString()}, {tie} {rows.schema[tie].dataType.simpleString()}, allowed boolean"
 
+    step, empty = {"sliding": (sliding, []), "fixed": (fixed, (0, float("-inf")))}[rule]
+
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        started, who, log = False, None, []
+        started, who, log = False, None, empty
         for batch in batches:
             allowed, times = [], zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)
             for k, run in groupby(times, key=lambda x: x[0]):
                 if not started or k != who:
-                    started, who, log = True, k, []
-                passed, log = sliding([t for _, t in run], log, limit, window)
+                    started, who, log = True, k, empty
+                passed, log = step([t for _, t in run], log, limit, window)
                 allowed += passed
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(allowed, pa.bool_())], names=[key, tie, "allowed"])
 
@@ -95,6 +97,23 @@ def sessions(events: DataFrame, key: str, ts: str, idle: str = "2 hours") -> Dat
     return events.groupBy(key, F.session_window(ts, idle).alias("s")).agg(F.count("*").alias("events")).select(key, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "events")
 
 
+def watched_calls(events: DataFrame, call: str, ts: str, kind: str, minutes: float = 10, silence: float = 15) -> DataFrame:
+    """call, ended_at (seconds since the epoch), reason of each call with a start: hung up (an ``end``), initial_silence_timeout (no ``speech`` within ``silence`` seconds of the start) or
+    max_duration_cap; null where the call is still open at its last event. Speech disarms the silence watchdog for good.
+
+    Times count from the start, as events need not come in order; of several starts the first counts. One aggregation with partial steps.
+    """
+    at = F.col(ts).cast("timestamp").cast("double")
+    when = lambda name: F.min(F.when(F.col(kind) == name, at))
+    calls = events.groupBy(call).agg(when("start").alias("start"), when("speech").alias("speech"), when("end").alias("end"), F.max(at).alias("seen")).where("start is not null")
+    quiet = F.when(F.coalesce(F.col("speech") > F.col("start") + silence, F.lit(True)), F.col("start") + silence)
+    cap = F.col("start") + minutes * 60
+    due = lambda t: F.when(t <= F.col("seen"), t)
+    first = F.least(due(quiet), due(cap), F.col("end"))
+    reason = F.when(first == due(quiet), "initial_silence_timeout").when(first == due(cap), "max_duration_cap").when(first == F.col("end"), "hangup")
+    return calls.select(call, first.alias("ended_at"), reason.alias("reason"))
+
+
 def last_write(events: DataFrame, key: str, value: str, order: str) -> DataFrame:
     return events.groupBy(key).agg(F.max_by(value, order).alias(value))
 
