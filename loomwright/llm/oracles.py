@@ -24,19 +24,20 @@ def _op2() -> str:
     settings = ", ".join(f"({i}, {', '.join(null(cutoffs[level] if r in some else None) for r, cutoffs in quality_rules.LEVELS.items())})" for i, (level, some) in enumerate(quality_rules.SETTINGS))
     over = lambda t: " OR ".join(f"coalesce({r} > {t}.{r}_cut, false)" for r in shares)
     p = quality_rules.RISK
-    return f"""WITH t AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, {WORDS.format("text")} AS w FROM t),
-g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2])) AS three FROM w WHERE len(w) >= 3),
-d AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, three) AS c FROM g),
-v AS (SELECT doc_id, count(DISTINCT q) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i+1, i+2]) AS q FROM d WHERE c > 1) GROUP BY doc_id),
-l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM t),
-f AS (SELECT doc_id, stratum, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
- coalesce(n_repeat_words, 0) AS n_repeat_words, length(regexp_replace(text, '[^A-Z]+', '', 'g')) AS n_upper FROM t JOIN w USING (doc_id) JOIN l USING (doc_id) LEFT JOIN v USING (doc_id)),
+    return f"""WITH t AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, {WORDS.format("text")} AS w FROM t),
+g AS (SELECT rid, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2])) AS three FROM w WHERE len(w) >= 3),
+d AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, three) AS c FROM g),
+v AS (SELECT rid, count(DISTINCT q) AS n_repeat_words FROM (SELECT rid, unnest([i, i+1, i+2]) AS q FROM d WHERE c > 1) GROUP BY rid),
+l AS (SELECT rid, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM t),
+f AS (SELECT doc_id, rid, stratum, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
+ coalesce(n_repeat_words, 0) AS n_repeat_words, length(regexp_replace(text, '[^A-Z]+', '', 'g')) AS n_upper FROM t JOIN w USING (rid) JOIN l USING (rid) LEFT JOIN v USING (rid)),
 s AS (SELECT *, {", ".join(f"{e} AS {r}" for r, e in shares.items())} FROM f),
 x AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM s),
 cfg(i, {", ".join(f"{r}_cut" for r in shares)}) AS (VALUES {settings}),
 lab AS (SELECT doc_id, max(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-k AS (SELECT stratum, i, count(*) FILTER (good) AS n, count(*) FILTER (good AND hit) AS k, count(*) FILTER (NOT good AND hit) AS bad FROM (SELECT stratum, cfg.i, good, {over("cfg")} AS hit FROM x JOIN lab USING (doc_id) CROSS JOIN cfg WHERE NOT base_failed) GROUP BY ALL),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY stratum, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper) AS rn FROM x) WHERE rn = 1),
+k AS (SELECT stratum, i, count(*) FILTER (good) AS n, count(*) FILTER (good AND hit) AS k, count(*) FILTER (NOT good AND hit) AS bad FROM (SELECT stratum, cfg.i, good, {over("cfg")} AS hit FROM one JOIN lab USING (doc_id) CROSS JOIN cfg WHERE NOT base_failed) GROUP BY ALL),
 c AS (SELECT *, CASE WHEN n = 0 OR k > n * {p} THEN false ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})))) * (SELECT count(*) FROM k WHERE n > 0) <= {quality_rules.DELTA} END AS proven FROM k),
 m AS (SELECT stratum, arg_max(i, bad * 1000 - i) AS i FROM c WHERE proven GROUP BY stratum)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR {over("cfg")}) AS kept FROM x LEFT JOIN m USING (stratum) LEFT JOIN cfg USING (i)"""

@@ -7,6 +7,7 @@ labelled bad documents (of equals, the strictest); as all settings are tested, t
 
 Cases: null or empty texts have no words and fail the base rule; a null stratum is a stratum of its own (with the empty one);
 labels that are null are left out, a document labelled twice counts once and as good if any label is good;
+of several rows under one labelled doc_id the one with the least features (compared in their order) counts for the proof, so the outcome does not depend on the order of rows;
 without labels only the base rule acts; repeated rows are judged alike; an empty table gives no rows; columns beyond the ones named are
 passed over, whatever their names. Everything is DataFrame functions; no Python runs on executors.
 """
@@ -130,7 +131,7 @@ def calibrate(judged: DataFrame, labels: DataFrame, risk: float = RISK, delta: f
     stratum, setting and task.
     """
     said = labels.where(F.col("quality").isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg((F.max("quality") == 1).alias("good"))
-    one_each = judged.select(F.col(doc_id).alias("id"), F.col(name).alias("q")).join(said, "id").groupBy("id").agg(F.first("q").alias("q"), F.first("good").alias("good"))
+    one_each = judged.select(F.col(doc_id).alias("id"), F.col(name).alias("q")).join(said, "id").groupBy("id").agg(F.min("q").alias("q"), F.first("good").alias("good"))
     q = F.col("q")
     # How many of a rule's cutoffs a value exceeds; equal profiles are counted together before they meet the settings.
     beyond = {rule: sum(((value > c).cast("int") for c in LEVELS[rule]), F.lit(0)) for rule, value in rule_values(q).items()}

@@ -130,39 +130,37 @@ def blanked(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, let(chars_of(text), lambda chars: let(reach, lambda to: cut(chars, to)))).otherwise(text)
 
 
-def entropy_spans(text: Column, base: Column, allow: tuple[str, ...]) -> Column:
-    allowed = lambda run: (run.isin(*allow) if allow else F.lit(False)) | run.rlike(ALLOWED_RUN)
-
-    def judge(s: Column) -> Column:
-        run = s["whole"]
-        digit, low, up = run.rlike("[0-9]"), run.rlike("[a-z]"), run.rlike("[A-Z]")
-        bits = F.when(~digit | ~(low | up), F.lit(None)).when(run.rlike("^[0-9a-fA-F]+$"), BITS["hex"]).when(low & up, BITS["mixed"]).otherwise(BITS["one_case"])
-        hot = let(bits, lambda b: F.when(b.isNotNull() & ~allowed(run), window_entropy(run, b)))
-        return let(hot, lambda h: F.struct((s["start"] + h["lo"]).alias("start"), F.lit(3).alias("kind"), (s["start"] + h["hi"]).alias("end"), F.lit(0).alias("inner")))
+def judged(s: Column, allow: tuple[str, ...]) -> Column:
+    """The span of windows that reach the entropy of their class, as a struct; its start is null without one."""
+    run = s["whole"]
+    allowed = (run.isin(*allow) if allow else F.lit(False)) | run.rlike(ALLOWED_RUN)
+    digit, low, up = run.rlike("[0-9]"), run.rlike("[a-z]"), run.rlike("[A-Z]")
+    bits = F.when(~digit | ~(low | up), F.lit(None)).when(run.rlike("^[0-9a-fA-F]+$"), BITS["hex"]).when(low & up, BITS["mixed"]).otherwise(BITS["one_case"])
+    hot = let(bits, lambda b: F.when(b.isNotNull() & ~allowed, window_entropy(run, b)))
+    return let(hot, lambda h: F.struct((s["start"] + h["lo"]).alias("start"), F.lit(3).alias("kind"), (s["start"] + h["hi"]).alias("end"), F.lit(0).alias("inner")))
 
-    place = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))
-    taken = F.transform(base, place)
-    if allow:  # whole runs that are no secrets
-        taken = F.sort_array(F.concat(taken, F.transform(F.filter(located(text, CANDIDATE), lambda s: s["whole"].isin(*allow)), place)))
-    free = let(let(taken, lambda spans: blanked(text, spans)), lambda t: located(t, CANDIDATE))
-    free = F.flatten(F.transform(free, without_allowed))
-    found = F.filter(F.transform(free, judge), lambda s: s["start"].isNotNull())
-    return F.when(text.rlike(CANDIDATE), found).otherwise(F.array().cast(SPAN))
 
+def scan(docs: DataFrame, allow: tuple[str, ...] = (), name: str = "__secrets") -> DataFrame:
+    """Adds the spans (start, kind as a place in KINDS, end, inner) of each row's text, sorted, under the given name; a column that has it already gives way.
 
-def spans_of(text: Column, allow: tuple[str, ...] = ()) -> Column:
-    """Spans (start, kind as a place in KINDS, end, inner) of a text that is not null, sorted. allow: strings that are no secrets."""
-    base = F.concat(
+    allow: strings that are no secrets. Each step is a column of its own, analysed by itself, so that no expression nests deep.
+    """
+    text, docs = text_of(), docs.drop(name)
+    base, taken, blank, runs, free = unused(docs.withColumn(name, F.lit(0)), "__base", "__taken", "__blank", "__runs", "__free")
+    found = F.concat(
         kind_spans(text, 0, text.rlike(KEYWORDS), ASSIGN, 1, 6),
         kind_spans(text, 1, F.contains(text, F.lit("AKIA")), ACCESS),
         kind_spans(text, 2, text.rlike(HEX), HEX),
     )
-    return let(F.sort_array(base), lambda b: F.sort_array(F.concat(b, entropy_spans(text, b, allow))))
-
-
-def scan(docs: DataFrame, allow: tuple[str, ...] = (), name: str = "__secrets") -> DataFrame:
-    """Adds the spans of each row's text under the given name; a column that has it already gives way."""
-    return docs.withColumn(name, spans_of(text_of(), allow))
+    place = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))
+    covered = F.transform(base, place)
+    if allow:  # whole runs that are no secrets
+        covered = F.sort_array(F.concat(covered, F.transform(F.filter(located(text, CANDIDATE), lambda s: s["whole"].isin(*allow)), place)))
+    out = docs.withColumn(base, F.sort_array(found)).withColumn(taken, F.when(text.rlike(CANDIDATE), covered))  # null: no candidate
+    out = out.withColumn(blank, F.when(F.col(taken).isNotNull(), blanked(text, F.col(taken)))).withColumn(runs, located(F.col(blank), CANDIDATE))
+    out = out.withColumn(free, F.flatten(F.transform(runs, without_allowed)))
+    hot = F.filter(F.transform(free, lambda s: judged(s, allow)), lambda s: s["start"].isNotNull())
+    return out.withColumn(name, F.sort_array(F.concat(base, F.coalesce(hot, F.array().cast(SPAN))))).drop(base, taken, blank, runs, free)
 
 
 def joined(spans: Column) -> Column:

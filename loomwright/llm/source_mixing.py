@@ -8,7 +8,8 @@ slot (i // k) * PERIOD + (the place of its (i % k)-th block in the period).
 
 Without targets all documents are in the mixture: a source that runs dry leaves, and the others go on in the order of their slots, which shares its
 room among them as their weights stand. With targets the mixture ends where the first source runs out. Up to there, in either case, all weights hold; documents
-beyond have their slot too and are marked.
+beyond have their slot too and are marked. The period doubles until it holds a slot for each source, so any number of sources (hosts, say) has its place; the driver holds one
+name and some whole numbers a source, never anything of its documents.
 
 Cases: a null source is a source of its own; null and empty texts take one character's room; a source without a target weight has weight 0 and stays outside the
 mixture, one with a target but no documents ends the mixture at once; equal or null ids keep their own places; an empty table gives no
@@ -26,12 +27,21 @@ from pyspark.sql import functions as F
 from .common import materialise, unused
 from .ranks import running_sum
 
-#: Slots of one period, and characters of one block.
+#: Slots of one period at least, and characters of one block.
 PERIOD, BLOCK = 1024, 16_384
+#: Slots up to which their table is broadcast (some megabytes); beyond, the join is dealt by source.
+BROADCAST = 131_072
 #: Default target: a source's share of characters to this power, made to sum to one.
 TEMPER = 0.7
 
 
+def period_for(sources: int, period: int = PERIOD) -> int:
+    """The period, doubled until each source can have a slot of it."""
+    while period < sources:
+        period *= 2
+    return period
+
+
 def shares(targets: Mapping[str, float], period: int = PERIOD) -> dict[str, int]:
     """Whole shares of the period: one for each source with a target above 0, the rest in proportion, by largest remainders (of equal ones, by name)."""
     some = {s: w for s, w in sorted(targets.items()) if w > 0}
@@ -75,8 +85,7 @@ ADDED = ("source", "block", "slot", "all_sources", "in_mix")
 def mix(docs: DataFrame, targets: Mapping[str, float] | None = None, block: int = BLOCK, period: int = PERIOD, prefix: str = "__") -> DataFrame:
     """Adds __source, __block, __slot (null without a target), __all_sources (before the first source runs dry) and __in_mix to docs, which needs source, text and doc_id.
 
-    targets: weight of each source ("" for null). Sources and targets are as many as the period's slots at most, so the table of slots is bounded. A column of docs that has one of
-    the added names (with another prefix where one is given) gives way.
+    targets: weight of each source ("" for null). A column of docs that has one of the added names (with another prefix where one is given) gives way.
     """
     source, number_, slot_, all_, in_mix = (prefix + x for x in ADDED)
     docs = docs.drop(source, number_, slot_, all_, in_mix)
@@ -86,9 +95,8 @@ def mix(docs: DataFrame, targets: Mapping[str, float] | None = None, block: int
     counts = materialise(sized.groupBy(source).agg(F.sum(size_).alias("size"), F.count("*").alias("n")))
     whole = targets is None
     if targets is None:
-        if counts.count() > period:
-            raise ValueError(f"more than {period} sources: give targets, or a longer period")
-        targets = tempered({r[source]: r["size"] for r in counts.collect()})  # one row a source, period rows at most
+        targets = tempered({r[source]: r["size"] for r in counts.collect()})  # one row a source
+    period = period_for(sum(w > 0 for w in targets.values()), period)
     share = shares(targets, period) if any(w > 0 for w in targets.values()) else {}
     place: dict[str, list[int]] = {s: [] for s in share}
     for slot, s in enumerate(schedule(share, period) if share else []):
@@ -107,7 +115,7 @@ def mix(docs: DataFrame, targets: Mapping[str, float] | None = None, block: int
     deal = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
     ran = running_sum(sized, [source], ["doc_id", size_], size_, before_, total, deal)
     number = F.floor(F.col(before_) / block).cast("long")
-    placed = ran.withColumn(number_, number).join(F.broadcast(slots), source, "left")  # slots holds one row a target, period at most
+    placed = ran.withColumn(number_, number).join(F.broadcast(slots) if period <= BROADCAST else slots, source, "left")
     slot = F.floor(F.col(number_) / k) * period + F.element_at(places, (F.col(number_) % k + 1).cast("int"))
     placed = placed.withColumn(slot_, slot).withColumn(all_, F.coalesce(F.col(slot_) < end, F.lit(False)))
     return placed.withColumn(in_mix, F.lit(True) if whole else F.col(all_)).drop(places, size_, before_)

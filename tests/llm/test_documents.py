@@ -163,6 +163,14 @@ def test_cutoffs_are_proven_or_absent(spark):
     assert quality_rules.keep_good(docs, labels.limit(0)).count() == 1250
 
 
+def test_two_texts_under_one_labelled_id(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(60)), "en") for i in range(3000)] + [(i, "# " * 60, "en") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(3000)], "doc_id long, quality int")
+    least = lambda d: quality_rules.calibrate(quality_rules.features(d), labels).collect()
+    assert least(docs.repartition(5)) == least(docs.orderBy(F.desc("text")).coalesce(1))
+
+
 def test_all_rules_together_keep_to_the_risk(spark):
     """Two rules that reject different good documents: each alone is within the risk, both together are not."""
     rng = np.random.default_rng(9)
@@ -214,6 +222,15 @@ def test_secrets_beside_others(spark):
     assert secret_scan.scan(df, (hot, f"{key}/{hot}")).where(F.exists("__secrets", lambda s: s["kind"] == 3)).where(F.col("text").isin(f"example/{hot}", f"{key}/{hot}")).count() == 0
 
 
+def test_secret_scan_stays_far_from_the_analyzers_limit(spark):
+    df = spark.createDataFrame([("x token=abcdefgh",)], "text string")
+    spark.conf.set("spark.sql.analyzer.maxIterations", "50")  # the default is 100
+    try:
+        assert secret_scan.masked(df, ("abc", "def")).first().text == "x [SECRET]"
+    finally:
+        spark.conf.unset("spark.sql.analyzer.maxIterations")
+
+
 def test_secrets_of_long_texts_and_clashing_columns(spark):
     hot = "aG9fK3bQ7xZ1mN4pR8sT2vW6yL5cD0hJ"
     text = " ".join(f"token=abcdef{i} é {hot}/{i}" for i in range(4000))
