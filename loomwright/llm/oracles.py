@@ -108,4 +108,67 @@ h AS (SELECT *, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGIN
 b AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY s ORDER BY share, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) // {B} AS block FROM h)
 SELECT doc_id, source, block, block // k * {P} + places[block % k + 1] AS slot, block // k * {P} + places[block % k + 1] < (SELECT min(dry) FROM x) AS in_mix FROM b JOIN x USING (s)"""
 
-ORACLES: dict[str, str] = {"op3_source_mixing": OP3, "op1_minhash_dedup": OP1, "op2_quality_rules": _op2(), "op5_url_rules": OP5, "op7_secret_scan": _op7(), "op10_embedding_dedup": OP10}
+OP11 = """WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(64 * x)) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.rid <> c.rid),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
+
+
+def _op12(levels: int = 8) -> str:
+    """Levels unrolled: enough for 8 ** levels rows of a language."""
+    value = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(value, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    ctes = [f"""d AS (SELECT *, {leaf("text")} AS leaf, {leaf(f"translate(text, '{UPPER}', '{LOWER}')")} AS lowered FROM documents)"""]
+
+    def tree(name: str, start: str) -> str:
+        """For each level: nodes with place, their run's digests, and whether the group has more than one."""
+        ctes.append(f"{name}0 AS ({start})")
+        for i in range(levels):
+            ctes.append(f"{name}r{i} AS (SELECT g, pos // 8 AS run, list(h ORDER BY pos) AS hs, any_value(n) AS n FROM {name}{i} GROUP BY g, pos // 8)")
+            ctes.append(f"{name}{i + 1} AS (SELECT g, run AS pos, CASE WHEN n = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h, (n + 7) // 8 AS n FROM {name}r{i})")
+        return f"{name}{levels}"
+
+    def climb(name: str, rows: str, own: str) -> str:
+        """From each row (g, pos, proof, folded) up all levels of its group."""
+        for i in range(levels):
+            own_place = f"CAST(x.pos // {8**i} AS BIGINT)"
+            after = f"array_to_string(r.hs[{own_place} % 8 + 2:], '')"
+            before = f"array_to_string(r.hs[:{own_place} % 8], '')"
+            ctes.append(f"""{own}{i} AS (SELECT x.* REPLACE (x.proof || CASE WHEN r.n = 1 THEN '' ELSE {before} || {after} END AS proof, CASE WHEN r.n = 1 THEN x.folded ELSE sha256({before} || x.folded || {after}) END AS folded)
+ FROM {rows} x JOIN {name}r{i} r ON r.g IS NOT DISTINCT FROM x.g AND r.run = x.pos // {8 ** (i + 1)})""")
+            rows = f"{own}{i}"
+        return rows
+
+    last = tree("l", "SELECT lang AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM d")
+    ctes.append(f"sub AS (SELECT g AS lang, h AS subroot, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS pos FROM {last})")
+    top = tree("t", "SELECT 0 AS g, pos, subroot AS h, count(*) OVER () AS n FROM sub")
+    ctes.append("""x AS (SELECT doc_id, lang AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, leaf, '' AS proof, CASE WHEN crc = 0 THEN lowered ELSE leaf END AS folded FROM d JOIN crc USING (doc_id))""")
+    # CRC-32 bit by bit over the decimal id.
+    ctes.insert(1, """crc AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ord(c)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda s, z: CASE WHEN s % 2 = 1 THEN xor(s // 2, 3988292384::BIGINT) ELSE s // 2 END)), 4294967295::BIGINT) % 3 AS crc FROM (SELECT DISTINCT doc_id FROM documents))""")
+    up = climb("l", "x", "a")
+    ctes.append(f"y AS (SELECT a.doc_id, a.leaf, s.subroot, 0 AS g, s.pos, a.proof, a.folded FROM {up} a JOIN sub s ON s.lang IS NOT DISTINCT FROM a.g)")
+    done = climb("t", "y", "b")
+    return f"WITH {', '.join(ctes)} SELECT doc_id, leaf, subroot, (SELECT h FROM {top}) AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = (SELECT h FROM {top}) AS verified FROM {done}"
+
+
+def _op13(rounds: int = 4, k: int = 256) -> str:
+    """Rounds unrolled."""
+    ctes = [
+        "v AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: floor(1024 * x)) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "w AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, x) AS rid, * FROM v)",
+        "p AS MATERIALIZED (SELECT rid, vec_id, label, part, x[part * len(x) // 4 + 1 : (part + 1) * len(x) // 4] AS x FROM w, range(4) r(part))",
+        f"c0 AS MATERIALIZED (SELECT part, rid - 1 AS entry, x AS c FROM p WHERE rid <= {k})",
+    ]
+    for i in range(rounds + 1):
+        # Differences are whole numbers, so sums of squares in doubles are exact.
+        ctes.append(f"""a{i} AS MATERIALIZED (SELECT rid, part, any_value(vec_id) AS vec_id, any_value(label) AS label, any_value(x) AS x, min(d * {k} + entry) AS best
+ FROM (SELECT p.rid, p.part, p.vec_id, p.label, p.x, c.entry, CAST(list_inner_product(p.x, p.x) + list_inner_product(c.c, c.c) - 2 * list_inner_product(p.x, c.c) AS BIGINT) AS d FROM p JOIN c{i} c USING (part)) GROUP BY rid, part)""")
+        if i < rounds:
+            ctes.append(f"""s{i} AS (SELECT part, entry, list(m ORDER BY j) AS c FROM (SELECT part, best % {k} AS entry, j, floor(CAST(sum(y) AS DOUBLE) / count(*)) AS m FROM (SELECT part, best, unnest(x) AS y, unnest(range(len(x))) AS j FROM a{i}) GROUP BY ALL) GROUP BY ALL)""")
+            ctes.append(f"c{i + 1} AS MATERIALIZED (SELECT part, entry, coalesce(s.c, o.c) AS c FROM c{i} o LEFT JOIN s{i} s USING (part, entry))")
+    ctes.append(f"e AS (SELECT rid, any_value(vec_id) AS vec_id, any_value(label) AS label, string_agg(printf('%02x', CAST(best % {k} AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(best // {k}) AS BIGINT) AS error FROM a{rounds} GROUP BY rid)")
+    return f"""WITH {", ".join(ctes)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+ (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda y: CAST(y AS BIGINT)), ','), ',' ORDER BY part, entry)) FROM c{rounds}) AS codebooks_sha256 FROM e"""
+
+
+ORACLES: dict[str, str] = {"op3_source_mixing": OP3, "op1_minhash_dedup": OP1, "op2_quality_rules": _op2(), "op5_url_rules": OP5, "op7_secret_scan": _op7(), "op10_embedding_dedup": OP10, "op11_topk_search": OP11, "op12_merkle_manifest": _op12(), "op13_vector_codes": _op13()}

@@ -89,4 +89,31 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.dedup(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_dedup, op2_quality_rules, op3_source_mixing, op4_lattice_lm, op5_url_rules, op6_sequence_packing, op7_secret_scan, op8_pii_surrogates, op9_token_counts, op10_embedding_dedup)}
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import topk_search as s
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", s.quantised(F.col("embedding"), 64).alias("v"))
+    return s.top_k(rows, F.col("vec_id") % 20 == 0, 20, id_col="vec_id")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import merkle_manifest as m
+
+    docs = table(spark, sf_dir, "documents")
+    leaf = lambda text: m.leaf_of(*(F.col(c) for c in ("doc_id", "source", "lang", "n_chars")), text)
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, leaf(lowered))
+    leaves = docs.select("doc_id", "lang", leaf(F.col("text")).alias("leaf"), tampered.alias("tampered"))
+    out = m.manifest(leaves, "doc_id", "lang", ["doc_id", "tampered"])
+    out = out.withColumn("proof_sha256", F.sha2(m.siblings(F.col("path")).cast("binary"), 256)).withColumn("folded_root", m.folded(F.coalesce("tampered", "leaf"), F.col("path")))
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import topk_search as s
+    from . import vector_codes as c
+
+    return c.compress(table(spark, sf_dir, "embeddings").select("vec_id", "label", s.quantised(F.col("embedding"), 1024).alias("v")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_dedup, op2_quality_rules, op3_source_mixing, op4_lattice_lm, op5_url_rules, op6_sequence_packing, op7_secret_scan, op8_pii_surrogates, op9_token_counts, op10_embedding_dedup, op11_topk_search, op12_merkle_manifest, op13_vector_codes)}
