@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.functions import concepts, freshness, intent, numbers, text, urls
-from loomwright.operators import aggregates, changes, constraints, crawl, entities, inventory, keyed, references, rerank, retrieval, routing, vectors
+from loomwright.operators import aggregates, changes, constraints, crawl, entities, inventory, keyed, matching, references, rerank, retrieval, routing, vectors
 from loomwright.sources import pages as web
 from loomwright.streaming import sessions
 
@@ -325,6 +325,22 @@ def matched_parts(spark, sf_dir):
     return crawl.paired(side(1, "new_id"), side(0, "old_id"), [F.col("p_name"), F.col("kind")], "new_id", "old_id")
 
 
+@query("""WITH RECURSIVE p AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN lower(p_brand) || '-' || p_size END AS sku, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE p_name END AS title, p_type AS kind, CASE WHEN p_partkey % 5 < 2 THEN 'shop.example/' || p_size END AS url FROM part),
+i AS (SELECT row_number() OVER (ORDER BY id) AS n, * FROM p WHERE id % 2 = 1), e AS (SELECT * FROM p WHERE id % 2 = 0),
+m AS (SELECT i.n, i.id AS i, e.id AS e FROM i JOIN e ON i.sku = e.sku OR (i.title <> '' AND i.title = e.title AND i.kind = e.kind) OR (i.url = e.url AND (contains(i.title, e.title) OR contains(e.title, i.title)))),
+r AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS e UNION ALL
+SELECT n, CASE WHEN best IS NULL THEN taken ELSE list_append(taken, best) END, best FROM (SELECT r.n + 1 AS n, any_value(r.taken) AS taken, min(m.e) FILTER (NOT list_contains(r.taken, m.e)) AS best FROM r LEFT JOIN m ON m.n = r.n + 1 WHERE r.n < (SELECT count(*) FROM i) GROUP BY r.n))
+SELECT i.id AS new_id, r.e AS old_id FROM r JOIN i USING (n) WHERE r.e IS NOT NULL""")
+def claimed_entities(spark, sf_dir):
+    """Odd parts as crawled entities that take even ones by shop number, title with type, or url; each part can be taken once."""
+    key, no = F.col("p_partkey"), F.lit(None).cast("string")
+    sku = F.when(key % 3 == 0, F.concat("p_brand", F.lit("-"), F.col("p_size").cast("string")))
+    url = F.when(key % 5 < 2, F.concat(F.lit("https://shop.example/"), F.col("p_size").cast("string"), F.lit("/")))
+    rows = read(spark, sf_dir, "part").select(key.cast("long").alias("id"), sku.alias("sku"), no.alias("shopify_id"), no.alias("woo_id"), no.alias("external_id"), F.when(key % 7 == 0, "").otherwise(F.col("p_name")).alias("title"), F.col("p_type").alias("entity_type"), url.alias("source_url"))
+    found = matching.matched_entities(rows.where("id % 2 = 1"), rows.where("id % 2 = 0"))
+    return found.select(F.col("i").alias("new_id"), F.col("e").alias("old_id"))
+
+
 @query()
 def hybrid_retrieve(spark, sf_dir):
     """Keyword and vector channel over documents; embeddings join by id, as rows of a catalog carry theirs."""
