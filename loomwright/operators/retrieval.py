@@ -5,28 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.functions.freshness import freshness
+from loomwright.functions.freshness import STALE, freshness
 from loomwright.operators import inventory, rerank, vectors
 
 
+#: Rows that the vector channel gives, and the similarity that they must exceed.
+CHANNEL, LEAST = 10, 0.25
+
+
 def retrieve(rows: DataFrame, tenants: list, intent: rerank.Intent, as_of: Column, query_vector: list[float] | None = None, limit: int = 5, min_score: float = 0) -> DataFrame:
-    """The best rows of the tenants with score and reasons. Without a query vector the vector channel is empty; a row without an embedding has no similarity.
+    """The best rows of the tenants with score and reasons.
 
-    rows: widget_id, id, title and what else ``rerank`` knows; embedding, last_seen, still_listed and data_type where there are any.
+    The vector channel gives the few rows most like the query, if they are like enough; they alone have a similarity, joined by id (a table of ten rows). Without a query vector it is empty.
+    rows: widget_id, id, title and what else ``rerank`` knows; embedding, last_seen, still_listed, data_type and channel where there are any.
     """
     df = inventory.scoped(rows, tenants)
     if query_vector is not None and "embedding" in rows.columns:
-        df = df.withColumn("similarity", vectors.cosine(F.col("embedding"), F.array(*(F.lit(float(x)) for x in query_vector))))
+        near = vectors.top_k(df.select("id", "embedding"), query_vector, CHANNEL, "embedding", "id", LEAST)
+        df = df.drop("similarity").join(F.broadcast(near.groupBy("id").agg(F.max("similarity").alias("similarity"))), "id", "left")
     if "last_seen" in rows.columns:
         listed = F.col("still_listed") if "still_listed" in rows.columns else F.lit(True)
-        df = df.withColumn("freshness", freshness(F.col("last_seen"), listed, F.col("data_type") if "data_type" in rows.columns else F.lit("crawl"), as_of))
+        kind = F.col("data_type") if "data_type" in rows.columns else F.lit("crawl")
+        df = df.withColumn("freshness", freshness(F.col("last_seen"), listed, kind, as_of, F.col("channel") if "channel" in rows.columns else None))
     return rerank.rerank(df, intent, limit, min_score)
 
 
 def grounded(results: DataFrame) -> DataFrame:
     """One row on a result (a top-k, so a few rows): grounded, top score, confidence, freshness and how careful an answer must be."""
     top = F.max_by(F.struct("score", "freshness"), F.struct("score", F.col("id")))
-    out = results.agg(F.count("*").alias("n"), top.alias("top"), F.count_if(F.col("freshness") == "stale").alias("stale"), F.count_if(F.col("freshness") == "recent").alias("recent"))
+    out = results.agg(F.count("*").alias("n"), top.alias("top"), F.count_if(F.col("freshness") == STALE).alias("stale"), F.count_if(F.col("freshness") == "recent").alias("recent"))
     score = F.col("top.score")
     confidence = F.when(F.col("n") == 0, "unverified").when(score >= 1000, "high").when(score >= 400, "medium").otherwise("low")
     hedge = F.when(F.col("n") == 0, "none").when(F.col("stale") > 0, "strong").when(F.col("recent") > 0, "light").otherwise("none")

@@ -75,7 +75,30 @@ def keyword_score_topk(spark, sf_dir):
     return docs.select("doc_id", "title", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(20)
 
 
-@query()
+def ranked_sql(rows: str, query: str, keywords: tuple[str, ...], columns: str, limit: int, most: float | None = None) -> str:
+    """SQL of a catalog query's ranking. rows: a SELECT of id, title, category, tags, content, price, similarity, freshness (null where there is none); columns: what is given."""
+    plain = lambda x: f"trim(regexp_replace(regexp_replace(lower({x}), '[^A-Za-z0-9_\\s-]', ' ', 'g'), '\\s+', ' ', 'g'))"
+    hit, close = "len(list_filter(tt, lambda x: contains(x, w) OR contains(w, x))) > 0", "len(w) >= 4 AND len(list_filter(tt, lambda x: len(x) >= 4 AND levenshtein(x, w) <= CASE WHEN len(w) >= 6 THEN 2 ELSE 1 END)) > 0"
+    word = lambda where, k: f"regexp_matches({where}, '\\b{k}\\b')"
+    points = " + ".join(f"CASE WHEN {word('low', k)} THEN 60 WHEN {word('tagged', k)} THEN 45 WHEN {word('corpus', k)} THEN 20 ELSE 0 END" for k in keywords)
+    marks = lambda where, words: f"regexp_matches({where}, '\\b({'|'.join(words)})\\b')"
+    budget = f"+ CASE WHEN price IS NULL THEN 0 WHEN price <= {most} THEN 80 ELSE -500 END" if most is not None else ""
+    return f"""WITH c AS ({rows}), q AS (SELECT {plain(f"'{query}'")} AS q),
+n AS (SELECT c.*, q, {plain("coalesce(title, '')")} AS t, lower(coalesce(title, '')) AS low, lower(concat_ws(' ', tags, category)) AS tagged, lower(concat_ws(' ', title, category, tags, content)) AS corpus FROM c, q),
+w AS (SELECT *, list_filter(string_split(t, ' '), lambda x: len(x) >= 2) AS tt, list_filter(string_split(q, ' '), lambda x: len(x) >= 2) AS qt FROM n),
+f AS (SELECT *, t = q AS exact, t <> q AND len(t) >= 4 AND (contains(q, t) OR contains(t, q)) AS part, len(list_filter(qt, lambda w: NOT ({hit}) AND {close})) AS fuzzy, len(list_filter(qt, lambda w: ({hit}) OR ({close}))) / len(qt) AS overlap, len(t) >= 5 AND levenshtein(t, q) <= 2 AS typo,
+ regexp_matches(low, 'terms|privacy|policy|cookie|disclaimer|faq|frequently asked') AS informs, {" + ".join(f"CAST({word('corpus', k)} AS INT)" for k in keywords)} AS hits, {" + ".join(f"CAST({word('low', k)} AS INT)" for k in keywords)} AS title_hits FROM w),
+g AS (SELECT *, part OR overlap >= 0.5 OR fuzzy > 0 OR typo AS partly, regexp_matches(low, 'courses\\s*catalog|all\\s*courses|vehicle\\s*inventory|all\\s*inventory') AND NOT informs AS lists, {marks("low", rerank.VEHICLE_MARKS)} AS vehicle, {marks("low || ' ' || lower(coalesce(content, ''))", rerank.COURSE_MARKS)} AS course FROM f),
+s AS (SELECT *, CASE WHEN exact THEN 1000 WHEN part AND contains(q, t) THEN 550 WHEN part THEN 500 ELSE 0 END + CASE WHEN overlap >= 0.75 THEN floor(400 * overlap + 0.5) WHEN overlap >= 0.5 THEN floor(250 * overlap + 0.5) ELSE 0 END + 150 * fuzzy + CASE WHEN typo THEN 150 ELSE 0 END
+ + coalesce(floor(450 * similarity + 0.5), 0) + {points} + CASE WHEN NOT informs AND NOT lists AND (coalesce(price, 0) <> 0 OR vehicle OR course OR exact) THEN 150 WHEN lists THEN -250 WHEN informs THEN -500 ELSE 0 END
+ + 50 * greatest(CAST(exact AS INT) + CAST(partly AS INT) + CAST(similarity IS NOT NULL AS INT) + CAST(hits > 0 AS INT) - 1, 0) + 40 + CASE freshness WHEN 'fresh' THEN 40 WHEN 'recent' THEN 10 WHEN 'stale_or_unlisted' THEN -60 ELSE 0 END + CASE WHEN price IS NOT NULL THEN 30 ELSE 0 END {budget}
+ - CASE WHEN NOT (exact OR partly OR coalesce(similarity, 0) >= 0.28) AND (hits = 0 OR ({len(keywords)} >= 2 AND hits < 2 AND title_hits = 0)) THEN 800 ELSE 0 END AS score FROM g),
+b AS (SELECT * FROM s WHERE score > 0 AND t <> '' QUALIFY row_number() OVER (PARTITION BY t ORDER BY score DESC, id) = 1),
+r AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS place FROM b)
+SELECT {columns} FROM (SELECT *, first(exact) OVER (ORDER BY place) AS alone FROM r) WHERE place <= {limit} AND (place = 1 OR NOT alone)"""
+
+
+@query(ranked_sql("SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS title, p_type AS category, p_brand AS tags, NULL::VARCHAR AS content, p_retailprice AS price, NULL::DOUBLE AS similarity, NULL::VARCHAR AS freshness FROM part", "hot gear under 1200", ("hot", "gear"), "id, title, price, CAST(score AS BIGINT) AS score", 20, 1200.0))
 def rerank_parts(spark, sf_dir):
     parts = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("title"), F.col("p_type").alias("category"), F.col("p_retailprice").alias("price"), F.col("p_brand").alias("tags"))
     intent = rerank.Intent("hot gear under 1200", "catalog", ["hot", "gear"], max_price=1200.0)
@@ -188,7 +211,7 @@ AS_OF = "2024-01-30 12:00:00"
 
 
 @query(f"""WITH t AS (SELECT event_id, event_type, epoch(TIMESTAMP '{AS_OF}' - ts) / 3600 AS age FROM events)
-SELECT event_id, CASE WHEN event_type = 'error' THEN 'stale' WHEN event_type = 'purchase' THEN CASE WHEN age <= 24 THEN 'fresh' WHEN age <= 72 THEN 'recent' ELSE 'stale' END ELSE CASE WHEN age < 6 THEN 'fresh' WHEN age <= 24 THEN 'recent' ELSE 'stale' END END AS status FROM t""")
+SELECT event_id, CASE WHEN event_type = 'error' THEN 'stale_or_unlisted' WHEN event_type = 'purchase' THEN CASE WHEN age <= 24 THEN 'fresh' WHEN age <= 72 THEN 'recent' ELSE 'stale_or_unlisted' END ELSE CASE WHEN age < 6 THEN 'fresh' WHEN age <= 24 THEN 'recent' ELSE 'stale_or_unlisted' END END AS status FROM t""")
 def freshness_bucket(spark, sf_dir):
     source = F.when(F.col("event_type") == "purchase", "feed").otherwise("crawl")
     status = freshness.freshness(F.col("ts").cast("timestamp"), F.col("event_type") != "error", source, F.lit(AS_OF).cast("timestamp"))
@@ -341,7 +364,12 @@ def claimed_entities(spark, sf_dir):
     return found.select(F.col("i").alias("new_id"), F.col("e").alias("old_id"))
 
 
-@query()
+HYBRID = f"""WITH q AS (SELECT {VECTOR}::DOUBLE[] AS v), d AS (SELECT doc_id, lpad(CAST(doc_id AS VARCHAR), 12, '0') AS id, split_part(text, chr(10), 1) AS title, text AS content, epoch(TIMESTAMP '{AS_OF}') - (1706400000 + doc_id % 200000) AS age FROM documents WHERE lang = 'en'),
+v AS (SELECT vec_id, {SIMILARITY} AS similarity FROM embeddings, q WHERE vec_id IN (SELECT doc_id FROM d) AND {SIMILARITY} > 0.25 ORDER BY 2 DESC, vec_id LIMIT 10)
+SELECT id, title, NULL::VARCHAR AS category, NULL::VARCHAR AS tags, content, NULL::DOUBLE AS price, similarity, CASE WHEN age < 21600 THEN 'fresh' WHEN age <= 86400 THEN 'recent' ELSE 'stale_or_unlisted' END AS freshness FROM d LEFT JOIN v ON vec_id = doc_id"""
+
+
+@query(ranked_sql(HYBRID, "thing near the shed", ("thing", "shed"), "id, CAST(score AS BIGINT) AS score, round(similarity, 9) AS similarity, freshness", 10))
 def hybrid_retrieve(spark, sf_dir):
     """Keyword and vector channel over documents; embeddings join by id, as rows of a catalog carry theirs."""
     docs = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")

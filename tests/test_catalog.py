@@ -97,6 +97,32 @@ def test_retrieval(spark):
     assert [(r.id, r.ambiguous) for r in retrieval.decided(scored, "q", "score", "id").collect()] == [("a", True)]
 
 
+def test_vector_channel(spark):
+    """Only the ten rows most like the query, above the least similarity, have one: a row that points away is no worse than one without a vector."""
+    vectors = {"away": [-1.0, 0.0], "none": None, "near": [1.0, 0.0], "weak": [0.2, 1.0], **{f"n{i:02}": [1.0, 0.05 * (i + 1)] for i in range(12)}}
+    rows = spark.createDataFrame([("w", i, f"Lamp {i}", v) for i, v in vectors.items()], "widget_id string, id string, title string, embedding array<double>")
+    got = {r.id: r for r in retrieval.retrieve(rows, ["w"], rerank.Intent("lamp", "catalog", ["lamp"]), F.current_timestamp(), [1.0, 0.0], limit=20).collect()}
+    assert got["away"].score == got["none"].score == got["weak"].score == got["n11"].score and got["away"].similarity is None
+    assert sum(r.similarity is not None for r in got.values()) == 10 and got["near"].score - got["none"].score == 450 + 50
+
+
+def test_rules_of_pages_and_meanings(spark):
+    rows = spark.createDataFrame([
+        ("1", "Grokking Interviews", "leetcode drills", None, None), ("2", "Watercolours", "brushes", None, None), ("3", "Shipping FAQ", "answers", "https://s.x/faq", "faq"), ("4", "All Courses", "list", "https://s.x/courses/", None),
+        ("5", "Talent pool", "people for hire", None, "service"), ("6", "Privacy terms", "law", "https://s.x/privacy", None), ("7", "Node course", "lessons", None, "course"),
+    ], "id string, title string, content string, source_url string, entity_type string")
+    reasons = lambda intent: {r.id: r.reasons for r in rerank.rerank(rows, intent, 20, -99999).collect()}
+    coding = reasons(rerank.Intent("coding help", "catalog", ["coding"]))
+    assert coding["1"].clusters == 240 and coding["1"].missed == 0 and coding["2"].clusters == 0 and coding["2"].missed == -800
+    asked = reasons(rerank.Intent("frequently asked", "faq"))
+    assert (asked["3"].topic, asked["3"].page, asked["2"].topic) == (150, 350, 0)
+    assert reasons(rerank.Intent("find a freelancer", "catalog"))["5"].talent == 120
+    broad = reasons(rerank.Intent("what is there", "catalog"))
+    assert (broad["7"].broad, broad["7"].page, broad["2"].broad) == (80, 150, 0)
+    wanted = reasons(rerank.Intent("node", "specific_entity", ["node"]))
+    assert (wanted["4"].page, wanted["6"].page, wanted["7"].page) == (-250, -500, 150)
+
+
 def test_page_text_is_whole(spark):
     words = [f"w{i}" for i in range(3000)]
     df = spark.createDataFrame([(f"<html><body><main><p>{'</p><p>'.join(words)}</p></main></body></html>",)], "html string")

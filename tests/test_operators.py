@@ -40,9 +40,12 @@ def test_freshness_bounds(spark):
     as_of = F.lit(datetime(2024, 1, 10))
     ago = lambda h: (as_of - F.expr(f"INTERVAL {h} HOURS"))
     status = lambda h, source, listed=True: one(spark, freshness.freshness(ago(h), F.lit(listed), F.lit(source), as_of))
-    assert [status(h, "crawl") for h in (2, 6, 24, 25)] == ["fresh", "recent", "recent", "stale"]
-    assert [status(h, "feed") for h in (24, 72, 73)] == ["fresh", "recent", "stale"]
-    assert status(1, "feed", False) == "stale"
+    assert [status(h, "crawl") for h in (2, 6, 24, 25)] == ["fresh", "recent", "recent", freshness.STALE]
+    assert [status(h, "feed") for h in (24, 72, 73)] == ["fresh", "recent", freshness.STALE]
+    assert status(1, "feed", False) == freshness.STALE and status(-5, "crawl") == "fresh"
+    never = F.lit(None).cast("timestamp")
+    assert [one(spark, freshness.freshness(never, F.lit(x), F.lit("feed"), as_of)) for x in (None, True, False)] == ["fresh", "fresh", freshness.STALE]
+    assert one(spark, freshness.freshness(ago(30), F.lit(True), F.lit(None).cast("string"), as_of, F.lit("connector"))) == "recent"
     assert one(spark, freshness.due_for_sync(F.lit("daily"), F.lit(None).cast("timestamp"), as_of))
     assert not one(spark, freshness.due_for_sync(F.lit("manual"), ago(9999), as_of))
 
