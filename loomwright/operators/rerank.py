@@ -191,12 +191,13 @@ def rerank(candidates: DataFrame, intent: Intent, limit: int = 5, min_score: flo
     if not intent.lists():
         relevant = F.col("__exact") | F.col("__partly") | (F.col("__hits") > 0) | (F.coalesce("similarity", F.lit(0.0)) >= 0.28) | (F.lit(intent.informs()) & F.col("__informs"))
         df = df.withColumn("score", F.when(relevant, F.col("score")).otherwise(F.lit(-9999)))
-    df = df.drop("__corpus", "__title", "__tt", "__qt").where((F.col("score") > min_score) & (F.col("__t") != ""))
+    df = df.drop("__corpus", "__title", "__tt", "__qt").where(F.col("__t") != "")
     keys = {"price_asc": [F.coalesce("price", F.lit(999999.0)).asc()], "price_desc": [F.coalesce("price", F.lit(0.0)).desc()], "rating_desc": [F.coalesce("rating", F.lit(0.0)).desc()], "newest": [F.col("created_at").desc_nulls_last()]}.get(intent.sort, [])
     order = [*keys, F.col("score").desc(), F.col("id").asc()]
+    # A filter on the score would be pushed below the projections and work all rules out once more, so rows beneath it have no order here instead.
     # The best row of a title is kept while rows are still where they were read, so a title of many rows costs one row a task.
     first = {"price_asc": F.coalesce("price", F.lit(999999.0)), "price_desc": -F.coalesce("price", F.lit(0.0)), "rating_desc": -F.coalesce("rating", F.lit(0.0)), "newest": F.coalesce(-F.unix_micros("created_at"), F.lit(2**63 - 1))}.get(intent.sort, F.lit(0))
-    best = df.groupBy("__t").agg(F.min_by(F.struct(*df.columns), F.struct(first.alias("first"), (-F.col("score")).alias("score"), "id")).alias("__row")).select("__row.*")
+    best = df.groupBy("__t").agg(F.min_by(F.struct(*df.columns), F.when(F.col("score") > min_score, F.struct(first.alias("first"), (-F.col("score")).alias("score"), "id"))).alias("__row")).where("__row is not null").select("__row.*")
     k = min(limit, intent.quantity) if intent.quantity else limit
     few = Window.orderBy(*order)  # over k rows at most
     top = best.orderBy(*order).limit(k).withColumn("__place", F.row_number().over(few)).withColumn("__alone", F.first("__exact").over(few))

@@ -31,8 +31,9 @@ def top_k(df: DataFrame, query: list[float], k: int, vector: str, id_col: str, l
     both = F.aggregate(F.zip_with(F.col(vector), q, lambda x, y: F.struct(x.cast("double").alias("x"), y.alias("y"))), start, lambda s, p: F.struct((s["d"] + p["x"] * p["y"]).alias("d"), (s["n"] + p["x"] * p["x"]).alias("n")))
     found = df.withColumn("__s", both)
     similarity = F.when(F.col("__s.n") > 0, F.col("__s.d") / (F.sqrt("__s.n") * own)) if own > 0 else F.lit(None).cast("double")
-    found = found.withColumn("similarity", similarity).drop("__s").where(F.col("similarity") > least)
-    return found.orderBy(F.desc("similarity"), id_col).limit(k)
+    found = found.withColumn("similarity", similarity).drop("__s")
+    # The filter stands behind the limit, where it sees k rows.
+    return found.orderBy(F.desc("similarity"), id_col).limit(k).where(F.col("similarity") > least)
 
 
 def fallback_vector(text: Column, width: int) -> Column:
