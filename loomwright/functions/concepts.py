@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,11 +54,16 @@ def typo(a: Column, b: Column) -> Column:
     return (a == b) | some
 
 
+def table_of(pairs: Iterable[tuple[str, str]]) -> Column:
+    """Structs (name, concept) as one constant; plain names need no quoting."""
+    return F.expr("array(" + ", ".join(f"named_struct('name', '{n}', 'concept', '{c}')" for n, c in pairs) + ")")
+
+
 def concept_of(term: Column) -> Column:
     """The concept of a term: its whole plain form as a name, else the first of its words that is or nearly is one; null without any."""
     known = names()
-    whole = F.element_at(F.create_map(*(F.lit(v) for pair in known.items() for v in pair)), plain(term))
-    table = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(c).alias("concept")) for n, c in known.items()))
+    whole = F.element_at(F.expr("map(" + ", ".join(f"'{n}', '{c}'" for n, c in known.items()) + ")"), plain(term))
+    table = table_of(known.items())
     words = F.filter(F.split(plain(term), " "), lambda w: F.length(w) >= 2)
     # The first name in table order for each word, then the first word that has one.
     hits = F.transform(words, lambda w: F.get(F.filter(table, lambda n: typo(w, n["name"])), F.lit(0))["concept"])

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.functions import concepts, freshness, intent, numbers, text, urls
-from loomwright.operators import aggregates, changes, constraints, crawl, entities, inventory, keyed, matching, references, rerank, retrieval, routing, vectors
+from loomwright.operators import aggregates, changes, constraints, crawl, entities, inventory, keyed, matching, navigation, references, rerank, retrieval, routing, vectors
 from loomwright.sources import pages as web
 from loomwright.streaming import sessions
 
@@ -364,6 +364,26 @@ def claimed_entities(spark, sf_dir):
     return found.select(F.col("i").alias("new_id"), F.col("e").alias("old_id"))
 
 
+@query("""WITH u AS (SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS site, lower(regexp_replace(trim(url), '/+$', '')) AS key, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+d AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM u QUALIFY row_number() OVER (PARTITION BY site, key ORDER BY page_id) = 1),
+e AS (SELECT *, coalesce(parts[-1], '') AS slug, len(parts) >= 2 AS deep, trim(regexp_replace(CASE WHEN title = '' THEN coalesce(parts[-1], 'Page') ELSE title END, '\\s*[—–|•:-]\\s*[^—–|•:-]+$', '')) AS clean FROM d),
+f AS (SELECT *, trim(regexp_replace(lower(strip_accents(clean)), '[^a-z0-9]+', ' ', 'g')) AS pc, list_filter(string_split(trim(regexp_replace(lower(slug), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: len(x) >= 2) AS slugs FROM e),
+q AS (SELECT page_id AS query_id, site, regexp_extract(path, '/([a-z]+)/([0-9]+)', 1) AS one, regexp_extract(path, '/([a-z]+)/([0-9]+)', 2) AS two FROM u),
+m AS (SELECT query_id, f.*, one || ' ' || two AS target, list_filter([one, two], lambda x: len(x) >= 2) AS tokens FROM q JOIN f USING (site)),
+c AS (SELECT *, len(list_filter(tokens, lambda x: contains(pc, x) OR list_contains(slugs, x))) / len(tokens) AS t, len(list_filter(tokens, lambda x: contains(lower(slug), x))) / len(tokens) AS s FROM m),
+s AS (SELECT *, CASE WHEN contains(pc, target) AND pc <> target THEN 950 WHEN pc = target THEN 1000 ELSE 0 END + CASE WHEN ends_with(key, target) THEN 1000 ELSE 0 END + CASE WHEN t >= 1 THEN 850 WHEN t >= 0.6 THEN floor(t * 550 + 0.5) ELSE 0 END + CASE WHEN s >= 1 THEN 700 WHEN s >= 0.5 THEN floor(s * 400 + 0.5) ELSE 0 END AS matched, contains(pc, target) OR ends_with(key, target) OR (t >= 1 AND deep) AS exact FROM c),
+r AS (SELECT *, matched + CASE WHEN deep AND matched >= 700 THEN 200 ELSE 0 END + 200 AS score, exact OR (deep AND matched >= 700) AS sure FROM s),
+k AS (SELECT *, row_number() OVER w AS rn, lead(score) OVER w AS after, lead(url) OVER w AS next FROM r WHERE score >= 450 WINDOW w AS (PARTITION BY query_id ORDER BY sure DESC, score DESC, page_id))
+SELECT query_id, CASE WHEN k.page_id IS NULL THEN 'not_found' WHEN NOT sure AND score - after < 120 AND url <> next THEN 'ambiguous' WHEN sure OR score >= 800 THEN 'exact' WHEN score >= 500 THEN 'partial' ELSE 'not_found' END AS status, CAST(score AS BIGINT) AS score, k.page_id AS id FROM q LEFT JOIN (SELECT * FROM k WHERE rn = 1) k USING (query_id)""")
+def navigation_targets(spark, sf_dir):
+    """Someone at each page's site asks for its language and number; the pages of the site are the destinations."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", urls.host(F.col("url")).alias("site"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    number = lambda i: F.regexp_extract("url", r"://[^/?#]*/([a-z]+)/([0-9]+)", i)
+    asked = pages.select("site", F.col("page_id").alias("query_id"), F.concat(F.lit("Take me to the "), number(1), F.lit(" "), number(2), F.lit(" page")).alias("query"))
+    places = pages.select("site", F.col("page_id").alias("id"), "url", "title", F.lit("text").alias("entity_type"), F.lit(False).alias("priced"), F.lit(None).cast("string").alias("facts"))
+    return navigation.resolved(asked, places).select("query_id", "status", "score", "id")
+
+
 HYBRID = f"""WITH q AS (SELECT {VECTOR}::DOUBLE[] AS v), d AS (SELECT doc_id, lpad(CAST(doc_id AS VARCHAR), 12, '0') AS id, split_part(text, chr(10), 1) AS title, text AS content, epoch(TIMESTAMP '{AS_OF}') - (1706400000 + doc_id % 200000) AS age FROM documents WHERE lang = 'en'),
 v AS (SELECT vec_id, {SIMILARITY} AS similarity FROM embeddings, q WHERE vec_id IN (SELECT doc_id FROM d) AND {SIMILARITY} > 0.25 ORDER BY 2 DESC, vec_id LIMIT 10)
 SELECT id, title, NULL::VARCHAR AS category, NULL::VARCHAR AS tags, content, NULL::DOUBLE AS price, similarity, CASE WHEN age < 21600 THEN 'fresh' WHEN age <= 86400 THEN 'recent' ELSE 'stale_or_unlisted' END AS freshness FROM d LEFT JOIN v ON vec_id = doc_id"""
