@@ -11,7 +11,7 @@ from itertools import groupby
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -97,15 +97,15 @@ def sessions(events: DataFrame, key: str, ts: str, idle: str = "2 hours") -> Dat
     return events.groupBy(key, F.session_window(ts, idle).alias("s")).agg(F.count("*").alias("events")).select(key, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "events")
 
 
-def watched_calls(events: DataFrame, call: str, ts: str, kind: str, minutes: float = 10, silence: float = 15) -> DataFrame:
+def watched_calls(events: DataFrame, call: str, ts: str, kind: str, minutes: float = 10, silence: float = 15, until: Column | None = None) -> DataFrame:
     """call, ended_at (seconds since the epoch), reason of each call with a start: hung up (an ``end``), initial_silence_timeout (no ``speech`` within ``silence`` seconds of the start) or
-    max_duration_cap; null where the call is still open at its last event. Speech disarms the silence watchdog for good.
+    max_duration_cap; null where the call is still open at its last event, or at ``until`` (seconds since the epoch) where that is given. Speech disarms the silence watchdog for good.
 
     Times count from the start, as events need not come in order; of several starts the first counts. One aggregation with partial steps.
     """
     at = F.col(ts).cast("timestamp").cast("double")
     when = lambda name: F.min(F.when(F.col(kind) == name, at))
-    calls = events.groupBy(call).agg(when("start").alias("start"), when("speech").alias("speech"), when("end").alias("end"), F.max(at).alias("seen")).where("start is not null")
+    calls = events.groupBy(call).agg(when("start").alias("start"), when("speech").alias("speech"), when("end").alias("end"), (F.max(at) if until is None else F.max(until)).alias("seen")).where("start is not null")
     quiet = F.when(F.coalesce(F.col("speech") > F.col("start") + silence, F.lit(True)), F.col("start") + silence)
     cap = F.col("start") + minutes * 60
     due = lambda t: F.when(t <= F.col("seen"), t)
