@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwright.operators.scratch import materialise
+
 # Marks of inventory routes in urls, and how much of a crawl may be blocked.
 ROUTES = {"new": r"\b(?:new-vehicles|new-inventory|new-cars|searchnew)\b|/new/", "used": r"\b(?:used-vehicles|used-inventory|used-cars|pre-owned|searchused)\b|/used/", "cpo": r"\b(?:cpo|certified-pre-owned|certified)\b"}
 BLOCKED_SHARE = 0.5
@@ -14,13 +16,14 @@ DYNAMIC = ("nextjs_route", "frontier_bfs", "crawl4ai_seed", "recrawl_escalation"
 def frontier(seeds: DataFrame, links: DataFrame, depth: int = 2, cap: int = 15) -> DataFrame:
     """seeds: site, url. links: url, link. Returns site, url, depth: what is reached in up to ``depth`` steps, each url once, the ``cap`` first of a site by depth and url.
 
-    A join a level; levels are a handful, so the plan stays small.
+    Each level is written, and a site goes on only while it has fewer than ``cap`` urls: what comes deeper stands behind. So a level's plan holds only the level before.
     """
-    found = seeds.select("site", "url").distinct().withColumn("depth", F.lit(0))
-    level = found
+    level = materialise(seeds.select("site", "url").distinct().withColumn("depth", F.lit(0)))
+    found = level
     for d in range(1, depth + 1):
-        reached = level.join(links, "url").select("site", F.col("link").alias("url")).distinct()
-        level = reached.join(found.select("site", "url"), ["site", "url"], "left_anti").withColumn("depth", F.lit(d))
+        going = found.groupBy("site").count().where(F.col("count") < cap).select("site")
+        reached = level.join(going, "site", "left_semi").join(links.select("url", "link"), "url").select("site", F.col("link").alias("url")).distinct()
+        level = materialise(reached.join(found.select("site", "url"), ["site", "url"], "left_anti").withColumn("depth", F.lit(d)))
         found = found.unionByName(level)
     w = Window.partitionBy("site").orderBy("depth", "url")
     return found.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= cap).drop("__rn")

@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.functions import concepts, freshness, intent, numbers, text, urls
+from loomwright.functions import concepts, freshness, intent, nested, numbers, text, urls
 from loomwright.operators import aggregates, changes, constraints, crawl, entities, inventory, keyed, matching, navigation, references, rerank, retrieval, routing, vectors
+from loomwright.sources import extraction
 from loomwright.sources import pages as web
 from loomwright.streaming import sessions
 
@@ -409,6 +410,43 @@ def navigation_targets(spark, sf_dir):
     return navigation.resolved(asked, places).select("query_id", "status", "score", "id")
 
 
+@query("""WITH RECURSIVE d AS (SELECT page_id AS i, regexp_replace(split_part(split_part(lower(url), '#', 1), '?', 1), '/+$', '') AS url FROM pages),
+r AS (SELECT i AS site, i AS map, 0 AS depth FROM d UNION SELECT site, d.i, depth + 1 FROM r JOIN d ON d.i IN (2 * map + 1, 2 * map + 2, map // 2) WHERE depth < 3)
+SELECT CAST(site AS VARCHAR) AS site, 'https://maps.example/page/' || map AS url, CAST(min(depth) AS INT) AS depth FROM r GROUP BY ALL""")
+def sitemap_tree(spark, sf_dir):
+    """Each page as a sitemap that names one page, two sitemaps below it and the one above it, so that there are cycles and dead ends; each is a site's root."""
+    key = F.col("page_id")
+    at = lambda n: F.concat(F.lit("https://maps.example/"), n.cast("long").cast("string"), F.lit(".xml"))
+    loc = lambda u: F.concat(F.lit("<url><loc> "), u, F.lit(" </loc></url>"))
+    page = F.concat(F.lit("https://maps.example/page/"), key.cast("string"), F.lit("/?utm_source=map"))
+    body = F.concat(F.lit("<urlset>"), loc(page), *(loc(at(n)) for n in (2 * key + 1, 2 * key + 2, F.floor(key / 2))), loc(F.lit("https://elsewhere.example/x")), F.lit("</urlset>"))
+    documents = read(spark, sf_dir, "pages").select("page_id", at(key).alias("url"), body.alias("body"))
+    return web.sitemap_pages(documents, documents.select(key.cast("string").alias("site"), "url"))
+
+
+NAVIGATION = {"baseSelector": "nav li", "fields": [{"name": "label", "selector": "a", "type": "text"}, {"name": "target", "selector": "a[href]", "type": "attribute", "attribute": "href"}, {"name": "note", "selector": "span.note", "default": "none"}, {"name": "first", "selector": "a", "type": "regex", "pattern": "^(.)"}]}
+
+
+@query("""WITH n AS (SELECT page_id, regexp_extract(html, '<nav>(.*?)</nav>', 1) AS nav FROM pages), u AS (SELECT page_id, unnest(regexp_extract_all(nav, '<a href="([^"]*)">([^<]*)</a>', 1)) AS target, unnest(regexp_extract_all(nav, '<a href="([^"]*)">([^<]*)</a>', 2)) AS label, unnest(range(len(regexp_extract_all(nav, '<a href=')))) AS place FROM n),
+t AS (SELECT page_id, CAST(place AS INT) AS place, replace(replace(replace(replace(target, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS target, trim(replace(replace(replace(replace(label, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')) AS label FROM u)
+SELECT page_id, place, nullif(label, '') AS label, target, 'none' AS note, nullif(label[1], '') AS first FROM t""")
+def extracted_navigation(spark, sf_dir):
+    """What a schema takes out of each page's navigation."""
+    found = extraction.extracted(read(spark, sf_dir, "pages").select("page_id", "html"), "html", NAVIGATION)
+    return found.select("page_id", "place", "label", "target", "note", "first")
+
+
+@query("""SELECT event_id, json_extract_string(props, '$.k') AS k, CASE WHEN event_id % 3 = 0 THEN 'new' ELSE 'old' END AS color, 12 AS size, CASE WHEN event_id % 3 = 0 THEN '[3]' ELSE '[1,2]' END AS tags, '[REDACTED]' AS token, CASE WHEN event_id % 3 = 0 THEN '[REDACTED]' END AS api_key FROM events""")
+def merged_settings(spark, sf_dir):
+    """Settings of an event's own over common ones, then with secrets masked."""
+    common = F.parse_json(F.lit('{"look": {"color": "old", "size": 12, "tags": [1, 2]}, "login": {"accessToken": "t"}, "k": 0}'))
+    own = F.when(F.col("event_id") % 3 == 0, F.lit('{"look": {"color": "new", "tags": [3]}, "deep": [{"apiKey": {"a": 1}}]}'))
+    rows = read(spark, sf_dir, "events").select("event_id", nested.merged(nested.merged(common, F.parse_json(own)), F.try_parse_json("props")).alias("v"))
+    masked = rows.select("event_id", nested.redacted(F.col("v")).alias("v"))
+    get = lambda path, kind="string": F.try_variant_get("v", path, kind)
+    return masked.select("event_id", get("$.k").alias("k"), get("$.look.color").alias("color"), get("$.look.size", "int").alias("size"), get("$.look.tags").alias("tags"), get("$.login.accessToken").alias("token"), get("$.deep[0].apiKey").alias("api_key"))
+
+
 HYBRID = f"""WITH q AS (SELECT {VECTOR}::DOUBLE[] AS v), d AS (SELECT doc_id, lpad(CAST(doc_id AS VARCHAR), 12, '0') AS id, split_part(text, chr(10), 1) AS title, text AS content, epoch(TIMESTAMP '{AS_OF}') - (1706400000 + doc_id % 200000) AS age FROM documents WHERE lang = 'en'),
 v AS (SELECT vec_id, {SIMILARITY} AS similarity FROM embeddings, q WHERE vec_id IN (SELECT doc_id FROM d) AND {SIMILARITY} > 0.25 ORDER BY 2 DESC, vec_id LIMIT 10)
 SELECT id, title, NULL::VARCHAR AS category, NULL::VARCHAR AS tags, content, NULL::DOUBLE AS price, similarity, CASE WHEN age < 21600 THEN 'fresh' WHEN age <= 86400 THEN 'recent' ELSE 'stale_or_unlisted' END AS freshness FROM d LEFT JOIN v ON vec_id = doc_id"""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.functions import text, urls
+from loomwright.operators.scratch import materialise
 
 #: Marks by which shop platforms show in a page, first match first.
 PLATFORMS = (("shopify", "cdn.shopify.com|shopify.theme"), ("woocommerce", "woocommerce|wp-content/plugins/woo"), ("d2cmedia", "d2cmedia"), ("dealer_dot_com", "dealer.com|ddc-"), ("dealer_inspire", "dealerinspire"))
@@ -13,9 +14,32 @@ PLATFORMS = (("shopify", "cdn.shopify.com|shopify.theme"), ("woocommerce", "wooc
 BLOCKED = ("access denied", "captcha", "cloudflare", "attention required", "are you a robot", "request blocked", "forbidden", "rate limited")
 
 
-#: Attributes whose values are links, and calls of scripts that go to one. Values that are no pages begin as in NO_LINKS.
-LINKS = (r"(?i)href\s*=\s*[\"']([^\"'#][^\"']*)[\"']", r"(?i)(?:data-(?:url|link|path)|action)\s*=\s*[\"']([^\"']+)[\"']", r"(?i)\bto\s*=\s*[\"'](/?[a-z0-9/_-][^\"']*)[\"']", r"(?i)(?:router\.push|history\.push(?:State)?|navigate|location\.(?:href|assign|replace))\s*[(=]\s*[\"'](/?[a-z0-9/_?-][^\"']*)[\"']")
+# Attributes whose values are links, calls and assignments of scripts that go to one, and how values begin that are no pages.
+LINK_ATTRIBUTES = ("href", "data-url", "data-link", "data-path", "action", "to")
+LINK_CALLS = ("router.push", "history.push", "history.pushstate", "navigate", "location.href", "location.assign", "location.replace")
 NO_LINKS = ("javascript:", "mailto:", "tel:", "data:")
+#: Attributes and calls that take names of anything; of theirs only values count that can be a path.
+LOOSE = ("to", *LINK_CALLS)
+#: A name and the quoted value it is given or called with.
+GIVEN = r"([A-Za-z_$][A-Za-z0-9_$.:-]*)\s*[=(]\s*(?:\"([^\"]*)\"|'([^']*)')"
+
+
+def given_links(html: Column) -> Column:
+    """Values of the names that lead somewhere. A page is read once into names and values, then names are told apart; a call may stand behind the object it belongs to."""
+    every = lambda i: F.regexp_extract_all(html, F.lit(GIVEN), F.lit(i))
+    pairs = F.arrays_zip(every(1).alias("name"), every(2).alias("double"), every(3).alias("single"))
+
+    def leads(p: Column) -> Column:
+        name, value = F.lower(p["name"]), F.trim(F.concat(p["double"], p["single"]))
+        own = lambda call: (name == call) | F.endswith(name, F.lit("." + call))
+        called = F.lit(False)
+        for call in LINK_CALLS:
+            called = called | own(call)
+        loose = called | name.isin(*LOOSE)
+        kept = (called | name.isin(*LINK_ATTRIBUTES)) & (value != "") & ~F.startswith(value, F.lit("#")) & (~loose | value.rlike("^[/?A-Za-z0-9_-]"))
+        return F.when(kept, value)
+
+    return F.array_compact(F.transform(pairs, leads))
 
 
 def resolved(raw: Column, page: Column) -> Column:
@@ -33,9 +57,8 @@ def resolved(raw: Column, page: Column) -> Column:
 
 def links(pages: DataFrame, id_col: str, url: str, html: str, own: bool = False) -> DataFrame:
     """One row a page and distinct link target, resolved against the page's url; only pages of its own host, and the page itself where ``own`` says so."""
-    raw = F.flatten(F.array(*(F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(p), F.lit(1)) for p in LINKS)))
-    raw = F.array_distinct(F.transform(raw, F.trim))
-    kept = F.filter(raw, lambda x: (x != "") & ~F.lower(x).rlike("^(?:" + "|".join(NO_LINKS) + ")"))
+    raw = given_links(F.coalesce(F.col(html), F.lit("")))
+    kept = F.filter(F.array_distinct(raw), lambda x: (x != "") & ~F.lower(x).rlike("^(?:" + "|".join(NO_LINKS) + ")"))
     out = pages.select(id_col, F.col(url).alias("__page"), F.explode(F.array_append(kept, F.col(url)) if own else kept).alias("__raw"))
     out = out.select(id_col, urls.host(F.col("__page")).alias("__host"), urls.without_tracking(resolved(F.col("__raw"), F.col("__page"))).alias("link"))
     return out.where((urls.host(F.col("link")) == F.col("__host")) & urls.is_page(F.col("link"))).select(id_col, "link").distinct()
@@ -100,6 +123,25 @@ def sitemap_urls(xml: Column) -> Column:
     return F.transform(F.regexp_extract_all(xml, F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1)), text.decode_entities)
 
 
+def sitemap_pages(documents: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
+    """documents: url, body. roots: site, url, the sitemaps to begin with. Returns site, url, depth: the pages that sitemaps name, and how many steps below a root the nearest such sitemap is.
+
+    Sitemaps that name sitemaps are followed ``depth`` steps, each once a site (so cycles end), at its least depth. Only urls of the root's host count. One join a level, each level written.
+    """
+    named = documents.select(F.col("url").alias("map"), F.explode(F.array_distinct(sitemap_urls(F.col("body")))).alias("url"))
+    named = materialise(named.where(F.col("url").rlike("^http")).select("map", "url", F.regexp_extract("url", r"(?i)\.xml$", 0).alias("x")))
+    level = materialise(roots.select("site", F.col("url").alias("map"), urls.host(F.col("url")).alias("host")).distinct())
+    seen = found = None
+    for d in range(depth + 1):
+        seen = level if seen is None else seen.unionByName(level)
+        below = materialise(level.join(named, "map").where(urls.host(F.col("url")) == F.col("host")))
+        here = below.where((F.col("x") == "") & urls.is_page(F.col("url"))).select("site", urls.without_tracking(F.col("url")).alias("url"), F.lit(d).alias("depth"))
+        found = here if found is None else found.unionByName(here)
+        next_ = below.where("x <> ''").select("site", F.col("url").alias("map"), "host").distinct()
+        level = materialise(next_.join(seen.select("site", "map"), ["site", "map"], "left_anti"))
+    return found.groupBy("site", "url").agg(F.min("depth").alias("depth"))
+
+
 def robots_rules(body: Column) -> Column:
     """Disallowed paths for all agents."""
     group = F.regexp_extract(body, r"(?is)user-agent:\s*\*\s*(.*?)(?:user-agent:|\z)", 1)

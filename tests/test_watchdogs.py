@@ -1,6 +1,7 @@
 """Stateful stream operators: timers that fire by themselves, late events, and the batch forms' rows."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,8 +30,9 @@ def streamed(spark, tmp_path, batches, schema, make, name, timed):
         run = run.trigger(availableNow=True).start()
         assert run.awaitTermination(120)
     else:  # with state that lives by running time a stream has no end of its own
-        run = run.start()
-        run.processAllAvailable()
+        run, end = run.start(), time.monotonic() + 90
+        while spark.table(name).count() < sum(map(len, batches)) and time.monotonic() < end:
+            time.sleep(1)
         run.stop()
     assert run.exception() is None
     return spark.table(name).collect()
