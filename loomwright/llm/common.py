@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwright.operators.scratch import discard, materialise  # noqa: F401  for the modules of this folder
+
 #: A word is a run of characters other than ASCII white space.
 BLANK = r"[\x20\x09-\x0D]+"
 
@@ -75,42 +74,5 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, BLANK, -1), lambda w: w != "")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, else (in one process, as in tests) a temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="loomwright-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it again, so later steps depend on no executor's memory or disk."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/loomwright-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(discard_path, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def discard_path(spark: SparkSession, path: str) -> None:
-    """Deletes an intermediate table; quiet when the session has already gone."""
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # noqa: BLE001  the gateway is closed at exit
-        pass
-
-
-def discard(df: DataFrame) -> None:
-    if path := getattr(df, "_scratch_path", None):
-        discard_path(df.sparkSession, path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

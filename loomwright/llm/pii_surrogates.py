@@ -1,6 +1,6 @@
 """Surrogates for personal data: entities are replaced by keyed, type-consistent others.
 
-Found are email addresses (of any script), telephone numbers, IPv4 addresses, card numbers (13 to 16 digits that pass Luhn's test), IBANs that pass their check, US social
+Found are email addresses (of any script), telephone numbers, IPv4 and IPv6 addresses, card numbers (13 to 16 digits that pass Luhn's test), IBANs that pass their check, US social
 security numbers, and names after titles or a phrase that introduces one: the whole run of capitalised words, with their apostrophes, hyphens,
 inner capitals and initials, up to the next title; a possessive 's stays outside. Where a document names somebody so, each word of the name is replaced wherever else the
 document has it capitalised, unless it has the word in small letters too. A surrogate follows from a keyed hash of the entity in its normal form
@@ -45,13 +45,20 @@ TITLES = {
     "": ("Dr", "Prof", "[Дд]-р"),
 }
 PHRASES = ("[Mm]y name is", "[Мм]еня зовут")
-KINDS = ("email", "card", "ssn", "ip", "phone", "name", "iban")
+KINDS = ("email", "card", "ssn", "ip", "phone", "name", "iban", "ip6")
 EMAIL = r"[\p{L}\p{M}\p{N}._%+-]+@[\p{L}\p{M}\p{N}-]+(?:\.[\p{L}\p{M}\p{N}-]+)*\.\p{L}{2,}"
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 CARD = r"(?<![\p{L}\p{N}.+-])[0-9](?:[ -]?[0-9]){12,15}(?![\p{L}\p{N}])"
 SSN = r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])"
 IP = r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![\p{N}]|\.[0-9])"
-PHONE = r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{4}(?![\p{L}\p{N}])"
+#: Telephone numbers in groups that end in four digits, after a plus sign with 8 to 15 digits however grouped, or with a slash behind the area code.
+GROUPED = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{4}(?![\p{L}\p{N}])"
+ABROAD = r"\+[0-9](?:[ .()/-]{0,2}[0-9]){7,14}(?![\p{L}\p{N}])"
+SLASHED = r"0[0-9]{2,4}/[0-9]{4,8}(?![\p{L}\p{N}/])"
+PHONE = rf"(?<![\p{{L}}\p{{N}}+])(?:{GROUPED}|{ABROAD}|{SLASHED})"
+#: IPv6 addresses: eight groups, or fewer around a double colon; five parts and a digit at least, as code has double colons too.
+GROUP = "[0-9A-Fa-f]{1,4}"
+IP6 = rf"(?<![\p{{L}}\p{{N}}:.])(?:{GROUP}(?::{GROUP}){{7}}|{GROUP}(?::{GROUP}){{0,5}}::{GROUP}(?::{GROUP}){{0,5}})(?![\p{{L}}\p{{N}}:])"
 TITLE = "(?:" + "|".join(t for some in TITLES.values() for t in some) + r")(?![\p{L}\p{N}])\.?"
 #: A capitalised word of a name: Anna, McDonald, O'Brien, Anne-Marie; the letter of an initial.
 NAME_WORD = r"\p{Lu}(?:(?:['’](?!s(?!\p{L}))|-)?[\p{L}\p{M}])+"
@@ -120,7 +127,7 @@ def entity_spans(text: Column) -> Column:
     """Spans that do not overlap, leftmost first; whole is the matched text, head the length of what stays before the entity proper (a title)."""
     rough = {
         "email": (EMAIL, F.contains(text, F.lit("@"))), "card": (CARD, text.rlike("[0-9][0-9 -]{11,}[0-9]")), "ssn": (SSN, text.rlike("[0-9]{3}-[0-9]{2}-[0-9]{4}")),
-        "ip": (IP, text.rlike(r"[0-9]\.[0-9]{1,3}\.[0-9]")), "phone": (PHONE, text.rlike("[0-9]{3,4}[ .-][0-9]{4}")), "name": (NAME, text.rlike(NAME)), "iban": (IBAN, text.rlike("[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}")),
+        "ip": (IP, text.rlike(r"[0-9]\.[0-9]{1,3}\.[0-9]")), "phone": (PHONE, text.rlike(r"[0-9]{3,4}[ .-][0-9]{4}|\+[0-9]|[0-9]/[0-9]{4}")), "ip6": (IP6, text.rlike(":[0-9A-Fa-f]{1,4}:")), "name": (NAME, text.rlike(NAME)), "iban": (IBAN, text.rlike("[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}")),
     }
 
     def of(kind: str) -> Column:
@@ -130,6 +137,8 @@ def entity_spans(text: Column) -> Column:
             spans = F.filter(spans, lambda s: luhn(only_digits(s["whole"])) == 0)
         if kind == "iban":
             spans = F.filter(spans, lambda s: is_iban(s["whole"]))
+        if kind == "ip6":
+            spans = F.filter(spans, lambda s: s["whole"].rlike("[0-9]") & (F.size(F.split(s["whole"], ":")) >= 5))
         return F.when(guard, spans).otherwise(F.array().cast(SPAN))
 
     others = F.concat(*(of(kind) for kind in KINDS if kind != "name"))
@@ -137,8 +146,8 @@ def entity_spans(text: Column) -> Column:
 
 
 def normal(kind: Column, entity: Column) -> Column:
-    """What tells entities apart: mail in lower case, numbers by their digits, IBANs without blanks, words of names as they stand."""
-    return F.when(kind == 0, F.lower(entity)).when(kind.isin(1, 2, 4), only_digits(entity)).when(kind == 6, F.replace(entity, F.lit(" "), F.lit(""))).otherwise(entity)
+    """What tells entities apart: mail and IPv6 in lower case, numbers by their digits, IBANs without blanks, words of names as they stand."""
+    return F.when(kind.isin(0, 7), F.lower(entity)).when(kind.isin(1, 2, 4), only_digits(entity)).when(kind == 6, F.replace(entity, F.lit(" "), F.lit(""))).otherwise(entity)
 
 
 def _digit(seed: Column, i: Column) -> Column:
@@ -174,6 +183,13 @@ def _ip(entity: Column, seed: Column, round_: int) -> Column:
     return F.when(keep_two, own).otherwise(F.concat_ws(".", first, octet(1), octet(2), octet(3)))
 
 
+def _ip6(norm: Column, seed: Column) -> Column:
+    """The first group stays (it tells the kind of address), all other hexadecimal digits are drawn anew in their places."""
+    first = F.substring_index(norm, ":", 1)
+    drawn = lambda c, i: F.when(c == ":", c).otherwise(F.substring(F.lit("0123456789abcdef"), _code(seed, i) % 16 + 1, 1))
+    return F.concat(first, F.array_join(F.transform(chars_of(F.substring(norm, F.length(first) + 1, F.length(norm))), drawn), ""))
+
+
 def _code(seed: Column, i: Column) -> Column:
     return F.conv(F.substring(seed, (i % 32) * 2 + 1, 2), 16, 10).cast("int")
 
@@ -239,7 +255,7 @@ def gender_of(women: Column, men: Column, word: Column, seed: Column) -> Column:
 def surrogate(kind: Column, norm: Column, gender: Column, seed: Column, round_: int) -> Column:
     """In normal form: numbers as digits alone."""
     return (F.when(kind == 0, _email(norm, seed)).when(kind == 1, _card(norm, seed)).when(kind == 2, _number(norm, seed, F.lit(0)))
-            .when(kind == 3, _ip(norm, seed, round_)).when(kind == 4, _number(norm, seed, F.greatest(F.length(norm) - 7 - max(0, round_ - 8), F.lit(0)))).when(kind == 6, _iban(norm, seed)).otherwise(_name(norm, gender, seed, round_)))
+            .when(kind == 3, _ip(norm, seed, round_)).when(kind == 4, _number(norm, seed, F.greatest(F.length(norm) - 7 - max(0, round_ - 8), F.lit(0)))).when(kind == 6, _iban(norm, seed)).when(kind == 7, _ip6(norm, seed)).otherwise(_name(norm, gender, seed, round_)))
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:

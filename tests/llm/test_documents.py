@@ -278,6 +278,17 @@ def test_surrogates(spark):
     assert re.search(r"Frau ([А-Яа-я]+)", out[2][1])
 
 
+def test_numbers_and_addresses_of_more_shapes(spark):
+    rows = [(1, "ring +1 5551234567, +49 89 123456 or 089/123456; +49 (0)89 123456"), (2, "from fe80::1ff:fe23:4567:890a and FE80::1ff:fe23:4567:890a"), (3, "2001:0db8:0000:0000:0000:ff00:0042:8329."), (4, "at 12:30:45, std::vector a::b, 1+2345 is 2346, 1/2345, call +12 now, add::bad::cafe"), (5, "+1 (386) 555-3733 20 apples")]
+    out = {r.doc_id: (r["__n_entities"], r["__new_text"]) for r in pii_surrogates.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    assert [out[i][0] for i in range(1, 6)] == [4, 2, 1, 0, 1]
+    assert re.fullmatch(r"ring \+1 555\d{7}, \+49 8\d \d{6} or 08\d/\d{6}; \+49 \(0\)8\d \d{6}", out[1][1]) and "123456" not in out[1][1] and "1234567" not in out[1][1]
+    a, b = re.fullmatch(r"from (fe80::[0-9a-f]{3}(?::[0-9a-f]{4}){3}) and (\S+)", out[2][1]).groups()
+    assert a == b != "fe80::1ff:fe23:4567:890a"
+    assert re.fullmatch(r"2001(?::[0-9a-f]{4}){7}\.", out[3][1]) and out[3][1] != rows[2][1] and out[4][1] == rows[3][1]
+    assert out[5][1].endswith(" 20 apples") and "3733" not in out[5][1]
+
+
 def test_surrogates_stay_distinct(spark):
     people = spark.range(120).select(F.lit(5).alias("kind"), F.concat(F.lit("Name"), F.col("id").cast("string")).alias("norm"), F.lit("f").alias("gender"))
     got = pii_surrogates.surrogates(people, "k").collect()
