@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.functions import concepts, freshness, intent, nested, numbers, text, urls
 from loomwright.operators import aggregates, changes, constraints, crawl, entities, inventory, keyed, matching, navigation, references, rerank, retrieval, routing, vectors
-from loomwright.sources import extraction
+from loomwright.sources import extraction, structured
 from loomwright.sources import pages as web
 from loomwright.streaming import sessions
 
@@ -657,3 +657,53 @@ def prices_with_thousands(spark, sf_dir):
     size = F.col("p_size").cast("string")
     s = F.when(F.col("p_partkey") % 3 == 0, F.concat(size, F.lit(" K"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("1,"), F.lpad(size, 3, "0"))).otherwise("from 3k")
     return read(spark, sf_dir, "part").select("p_partkey", numbers.with_thousands(s).alias("with_k"))
+
+
+# Types by the key's remainder, with the family each belongs to and its kind of row.
+STATED = (("Product", "product", "product"), ("Car", "vehicle", "product"), ("Course", "course", "service"), ("Apartment", "property", "product"), ("Physician", "health", "contact"), ("MenuItem", "menu", "product"), ("Person", "person", "service"), ("Service", "service", "service"), ("AutoDealer", "business", "contact"), ("FAQPage", "faq", "faq"), ("IndividualProduct", "vehicle", "product"))
+FAMILY_SQL = " ".join(f"WHEN {i} THEN '{{}}'" for i in range(len(STATED)))
+
+
+@query(f"""WITH p AS (SELECT *, p_partkey % 11 AS k, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_name END AS said FROM part)
+SELECT p_partkey, CAST(place AS INT) AS place, CASE k {FAMILY_SQL.format(*(f for _, f, _ in STATED))} END AS family, CASE k {FAMILY_SQL.format(*(d for _, _, d in STATED))} END AS data_type, p_name || ' ' || place AS title,
+CASE WHEN k = 9 THEN 'yes ' || p_size WHEN said IS NOT NULL THEN said WHEN k = 4 THEN p_name || ' ' || place || ' — ' || p_type WHEN k = 6 THEN p_name || ' ' || place || ' —' WHEN k = 8 THEN p_name || ' ' || place || ' — Way ' || p_size ELSE p_name || ' ' || place END AS content,
+CASE WHEN k NOT IN (9) THEN CAST(p_size AS VARCHAR) END AS price, CASE WHEN k <> 9 THEN CASE p_partkey % 3 WHEN 0 THEN 'In Stock' WHEN 1 THEN 'Out of Stock' ELSE 'Backorder' END END AS availability,
+CASE k WHEN 0 THEN p_brand WHEN 1 THEN p_brand WHEN 10 THEN p_brand WHEN 4 THEN p_type WHEN 8 THEN 'Way ' || p_size || ', Town  X1' WHEN 3 THEN CAST(p_size AS VARCHAR) END AS detail FROM p, (VALUES (0), (1)) AS two(place)""")
+def structured_entities(spark, sf_dir):
+    """Each part as a page that states two entities of one family, up to three lists deep."""
+    key, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    kind = F.element_at(F.array(*(F.lit(t) for t, _, _ in STATED)), (key % 11 + 1).cast("int"))
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+
+    def one(place: str) -> Column:
+        name = F.concat("p_name", F.lit(f" {place}"))
+        stock = F.element_at(F.array(*map(F.lit, ("https://schema.org/InStock", "OutOfStock", "http://schema.org/Backorder"))), (key % 3 + 1).cast("int"))
+        parts = [F.lit('{"@type": ["Thing", '), quoted(kind), F.lit('], "name": '), quoted(name), F.lit(', "brand": {"name": '), quoted(F.col("p_brand")), F.lit('}, "medicalSpecialty": '), quoted(F.col("p_type")), F.lit(', "numberOfBedrooms": '), size]
+        parts += [F.lit(', "address": {"streetAddress": "Way '), size, F.lit('", "addressLocality": "Town", "postalCode": "X1"}, "offers": {"price": '), size, F.lit(', "availability": '), quoted(stock), F.lit("}")]
+        parts += [F.when(key % 11 == 10, ', "vin": "V1"').otherwise(""), F.when(key % 5 != 0, F.concat(F.lit(', "description": '), quoted(F.col("p_name")))).otherwise(""), F.lit("}")]
+        faq = F.concat(F.lit('{"@type": "FAQPage", "mainEntity": [{"name": '), quoted(name), F.lit(', "acceptedAnswer": {"text": "yes '), size, F.lit('"}}]}'))
+        return F.when(key % 11 == 9, faq).otherwise(F.concat(*parts))
+
+    two = F.concat(F.lit("["), one("0"), F.lit(', {"item": '), one("1"), F.lit("}]"))
+    inner = F.concat(F.lit('{"@type": "ItemList", "itemListElement": '), two, F.lit("}"))
+    nested_ = F.when(key % 4 == 0, F.concat(F.lit('{"@graph": ['), inner, F.lit("]}"))).when(key % 4 == 1, inner).otherwise(F.concat(F.lit('{"@type": "OfferCatalog", "itemListElement": [{"item": {"@type": "CollectionPage", "offers": ['), inner, F.lit("]}}]}")))
+    html = F.concat(F.lit('<script type="application/ld+json">'), nested_, F.lit('</script><script type="application/ld+json">{broken</script>'))
+    found = structured.entities(read(spark, sf_dir, "part").select("p_partkey", F.lit("http://shop.example/").alias("url"), html.alias("html")), "p_partkey", "url", "html")
+    detail = F.coalesce(*(F.col(f"details.{d}") for d in ("brand", "make", "specialty", "address", "bedrooms")))
+    detail = F.when(F.col("family") == "property", F.col("details.bedrooms")).otherwise(detail)
+    return found.select("p_partkey", "place", "family", "data_type", "title", "content", "price", "availability", detail.alias("detail"))
+
+
+@query("SELECT c_custkey, lower(c_name) AS title, CAST(min(o_orderkey) AS VARCHAR) AS sku, count(DISTINCT o_orderstatus) AS variants FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name")
+def state_items(spark, sf_dir):
+    """Each customer as a page whose scripts hold its orders, by status in a list of its own kind; one title a page stays, the first found."""
+    orders = read(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.min("o_orderkey").alias("sku")).join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = F.sort_array(F.collect_list(F.struct("sku", F.col("c_name").alias("name"))))
+    page = orders.groupBy("c_custkey").agg(F.to_json(rows).alias("rows"), F.size(rows).alias("variants"))
+    at = F.col("c_custkey") % 4
+    script = (
+        F.when(at == 0, F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">{"props": {"a": {"b": {"products": '), "rows", F.lit("}}}}</script>"))).when(at == 1, F.concat(F.lit("<script>window.inventoryData = "), "rows", F.lit("; go()</script>")))
+        .when(at == 2, F.concat(F.lit('<script>self.__next_f.push([1, "7:'), F.replace(F.col("rows"), F.lit('"'), F.lit('\\"')), F.lit('"])</script>'))).otherwise(F.concat(F.lit('<script type="application/json">'), "rows", F.lit("</script>")))
+    )
+    found = structured.app_state(page.select("c_custkey", script.alias("html")), "c_custkey", "html")
+    return found.join(page.select(F.col("c_custkey").alias("page"), "variants"), "page").select(F.col("page").alias("c_custkey"), F.lower("title").alias("title"), F.col("raw")["sku"].alias("sku"), F.col("variants").cast("long"))

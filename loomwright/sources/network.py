@@ -46,10 +46,14 @@ def items(responses: DataFrame, page: str, url: str, status: str, body: str, ord
     none = F.array().cast("array<variant>")
     lists = F.concat(*(F.coalesce(F.try_variant_get(v, p, "array<variant>"), none) for p in ("$", *(f"$.{e}" for e in ENVELOPES))), F.array(v))
     each = good.where(v.isNotNull()).select(F.col(page).alias("page"), F.col(order).alias("__o"), F.posexplode(lists).alias("__p", "__v"))
-    raw = each.select("page", "__o", "__p", F.from_json(F.to_json("__v"), "map<string,string>").alias("raw"))
-    shaped = raw.withColumn("title", title_of(F.col("raw"))).where(F.col("title").isNotNull() & F.arrays_overlap(F.map_keys("raw"), F.array(*map(F.lit, MARKS))))
+    return shaped(each.select("page", "__o", "__p", F.from_json(F.to_json("__v"), "map<string,string>").alias("raw")))
+
+
+def shaped(raw: DataFrame) -> DataFrame:
+    """raw: page, __o, __p (order and place), raw. Those with a title and a mark of an entity; of equal titles of a page the first."""
+    titled = raw.withColumn("title", title_of(F.col("raw"))).where(F.col("title").isNotNull() & F.arrays_overlap(F.map_keys("raw"), F.array(*map(F.lit, MARKS))))
     w = Window.partitionBy("page", F.lower("title")).orderBy("__o", "__p")
-    return shaped.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").select("page", "title", "raw")
+    return titled.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").select("page", "title", "raw")
 
 
 def hmac_sha256(body: Column, key: bytes) -> Column:

@@ -85,10 +85,14 @@ def meta(html: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(html, rf'(?is)<meta[^>]+(?:name|property)=["\']{name}["\'][^>]*content=["\']([^"\']*)["\']', 1), F.lit(""))
 
 
+def ld_blocks(html: Column) -> Column:
+    """Texts of a page's structured-data blocks."""
+    return F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
+
+
 def json_ld(pages: DataFrame, id_col: str, html: str) -> DataFrame:
     """One row a page and structured-data object (graphs and lists unfolded), as a Variant; what does not parse is passed over."""
-    blocks = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
-    parsed = pages.select(id_col, F.explode(blocks).alias("__b")).select(id_col, F.try_parse_json("__b").alias("v")).where("v is not null")
+    parsed = pages.select(id_col, F.explode(ld_blocks(F.col(html))).alias("__b")).select(id_col, F.try_parse_json("__b").alias("v")).where("v is not null")
     graph = parsed.select(id_col, F.coalesce(F.try_variant_get("v", "$.@graph", "array<variant>"), F.try_variant_get("v", "$", "array<variant>"), F.array("v")).alias("items"))
     return graph.select(id_col, F.explode("items").alias("item")).withColumn("kind", F.try_variant_get("item", "$.@type", "string"))
 
