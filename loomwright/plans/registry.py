@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomwright.functions import concepts, freshness, intent, nested, numbers, text, urls
 from loomwright.operators import aggregates, changes, constraints, crawl, entities, inventory, keyed, matching, navigation, references, rerank, retrieval, routing, vectors
-from loomwright.sources import extraction, structured
+from loomwright.sources import extraction, routes, structured
 from loomwright.sources import pages as web
 from loomwright.streaming import sessions
 
@@ -707,3 +707,43 @@ def state_items(spark, sf_dir):
     )
     found = structured.app_state(page.select("c_custkey", script.alias("html")), "c_custkey", "html")
     return found.join(page.select(F.col("c_custkey").alias("page"), "variants"), "page").select(F.col("page").alias("c_custkey"), F.lower("title").alias("title"), F.col("raw")["sku"].alias("sku"), F.col("variants").cast("long"))
+
+
+def bundle(n: Column) -> Column:
+    """Address of the script of a number: some of an application's folder, some main ones."""
+    return F.concat(F.lit("https://cdn.example"), F.when(n % 10 == 0, "/js/app/s").when(n % 10 == 1, "/js/main-s").otherwise("/js/s"), n.cast("long").cast("string"), F.lit(".js"))
+
+
+def tag(src: Column) -> Column:
+    return F.concat(F.lit('<script src="'), src, F.lit('"></script>'))
+
+
+@query("""WITH h AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS site FROM pages), w AS (SELECT page_id, site, i, (page_id + i) % 200 AS n FROM h, range(20) AS r(i)),
+k AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY CASE n % 10 WHEN 0 THEN 10 WHEN 1 THEN 3 ELSE 0 END DESC, i) AS rn FROM w)
+SELECT DISTINCT page_id, site || path AS route FROM (SELECT page_id, site, unnest(['/own-' || page_id, '/linked/' || page_id, '/shop/:param/' || page_id]) AS path FROM h UNION ALL SELECT page_id, site, '/size-' || p_size || '/part_' || p_partkey FROM k JOIN part ON p_partkey % 200 = n WHERE rn <= 11)""")
+def script_routes(spark, sf_dir):
+    """Each page loads twenty shared scripts and a chunk of its own, of which twelve count (the chunk by its folder's name is one); parts that share a remainder are in one script."""
+    key = F.col("page_id")
+    tags = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: tag(bundle((key + i) % 200))), "")
+    data = F.concat(F.lit('<script id="__NEXT_DATA__">{"page": "/own-'), key, F.lit('", "props": {"a": [{"HREF": "/linked/'), key, F.lit('?x=1", "url": "http://else"}]}}</script>'))
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", F.concat(tags, data, tag(F.concat(F.lit("/_next/static/chunks/pages/shop/[id]/"), key, F.lit(".js")))).alias("html"))
+    named = F.concat(F.lit('go("/size-'), "p_size", F.lit("/part_"), "p_partkey", F.lit('");'))
+    parts = read(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 200).alias("n")).agg(F.array_join(F.array_sort(F.collect_list(named)), "").alias("body"))
+    body = F.concat(F.lit("""x(1,"/_no",'/api/no',"/static/no","/A0B1C2D3E4F5G6H7","/webpack-x","a b","/a b","/end/");"""), "body", F.lit("y('z')"))
+    scripts = parts.select(bundle(F.col("n")).alias("url"), body.alias("body"))
+    return routes.routes(pages, scripts, "page_id", "url", "html")
+
+
+@query("""WITH h AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS site, (2 * page_id) % 200 AS n FROM pages),
+b AS (SELECT *, CASE WHEN n % 4 = 0 THEN 'https://svc' || n || '.onrender.com/api/v2' END AS base FROM h),
+e AS (SELECT page_id, unnest([site || '/api/v/' || page_id, site || '/data/' || page_id, base || '/courses', site || '/api/courses', base || '/products/' || n, site || '/products/' || n, base || '/products/' || (n + 1), site || '/products/' || (n + 1), base || '/users/search/freelancers', base || '/freelancers', base || '/gigs', base || '/services']) AS endpoint, generate_subscripts(range(12), 1) AS i FROM b)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INT) AS place, endpoint FROM e WHERE endpoint IS NOT NULL QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY i) <= 10""")
+def page_endpoints(spark, sf_dir):
+    """Each page names two endpoints and loads two scripts, of which the first may name a backend."""
+    key, n = F.col("page_id"), F.col("n")
+    address = lambda n: F.concat(F.lit("/js/app/s"), n.cast("long").cast("string"), F.lit(".js"))
+    html = F.concat(F.lit('<div data-api="/data/'), key, F.lit('"></div>'), tag(address((2 * key) % 200)), tag(address((2 * key) % 200 + 1)), tag(F.lit("/js/other.js")), F.lit("<script>fetch('/api/v/"), key, F.lit("'); fetch('https://sentry.io/x')</script>"))
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"))
+    body = F.concat(F.when(n % 4 == 0, F.concat(F.lit('var b="https://svc'), n, F.lit('.onrender.com/api/v2/me";'))).otherwise("var b=0;"), F.lit("q('courses');r({url: \"/products/"), n, F.lit('", s: "/products/x.js", t: "other"})'))
+    scripts = pages.select(routes.origin(F.col("url")).alias("site")).distinct().select("site", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("n")).select(F.concat("site", address(n)).alias("url"), body.alias("body"))
+    return routes.endpoints(pages, scripts, "page_id", "url", "html")
