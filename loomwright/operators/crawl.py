@@ -54,6 +54,27 @@ def missing_sections(sections: DataFrame, urls: DataFrame) -> DataFrame:
     return sections.join(covered, ["site", "label"], "left_anti")
 
 
+def escalated(sections: DataFrame, urls: DataFrame, cap: int = 5) -> DataFrame:
+    """sections: site, place, label, start (a url of the site). urls: site, place, url. Returns site, place, url: what to fetch again for sections that are missing, the ``cap`` first a site.
+
+    A section stands for the first url of its site that holds its label (letters and digits alone); where none does, or an earlier section has it already, for a path made of the label. Nothing stands twice. A site's sections come
+    to its urls as one array, and only urls that fit one go on.
+    """
+    plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    asked = sections.select("site", "place", "label", "start").groupBy("site").agg(F.sort_array(F.collect_list(F.struct("place", "label", "start"))).alias("__asked"))
+    fits = F.filter("__asked", lambda s: F.contains(plain(F.col("url")), plain(s["label"])))
+    hits = urls.select("site", F.col("place").alias("__at"), "url").join(asked, "site").select("site", "__at", "url", F.explode(fits).alias("__s"))
+    first = hits.groupBy("site", F.col("__s.place").alias("place"), F.col("__s.label").alias("label")).agg(F.min_by("url", F.struct("__at", "url")).alias("__hit"))
+    known = sections.join(first, ["site", "place", "label"], "left").groupBy("site").agg(F.sort_array(F.collect_list(F.struct("place", "label", "start", "__hit"))).alias("__all"))
+
+    def step(done: Column, s: Column) -> Column:
+        made = F.concat(F.regexp_extract(s["start"], r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1), F.lit("/"), F.regexp_replace(F.lower(s["label"]), r"\s+", "-"))
+        free = s["__hit"].isNotNull() & ~F.coalesce(F.array_contains(done, s["__hit"]), F.lit(False))
+        return F.array_distinct(F.concat(done, F.array(F.when(free, s["__hit"]).otherwise(made))))
+
+    return known.select("site", F.posexplode(F.slice(F.aggregate("__all", F.array().cast("array<string>"), step), 1, cap)).alias("place", "url"))
+
+
 def paired(incoming: DataFrame, existing: DataFrame, keys: list[Column], in_id: str, ex_id: str) -> DataFrame:
     """in_id, ex_id, rule: one-to-one matches. Each key (an expression over either table) is tried in turn on what is still free; equal key values pair off in order of ids.
 

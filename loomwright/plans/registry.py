@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.functions import concepts, freshness, intent, nested, numbers, text, urls
-from loomwright.operators import aggregates, changes, constraints, crawl, entities, inventory, keyed, matching, navigation, references, rerank, retrieval, routing, vectors
-from loomwright.sources import extraction, routes, structured
+from loomwright.operators import aggregates, changes, constraints, crawl, dealers, entities, inventory, keyed, matching, navigation, references, rerank, retrieval, routing, vectors
+from loomwright.sources import extraction, feeds, routes, structured
 from loomwright.sources import pages as web
 from loomwright.streaming import sessions
 
@@ -747,3 +747,66 @@ def page_endpoints(spark, sf_dir):
     body = F.concat(F.when(n % 4 == 0, F.concat(F.lit('var b="https://svc'), n, F.lit('.onrender.com/api/v2/me";'))).otherwise("var b=0;"), F.lit("q('courses');r({url: \"/products/"), n, F.lit('", s: "/products/x.js", t: "other"})'))
     scripts = pages.select(routes.origin(F.col("url")).alias("site")).distinct().select("site", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("n")).select(F.concat("site", address(n)).alias("url"), body.alias("body"))
     return routes.endpoints(pages, scripts, "page_id", "url", "html")
+
+
+@query("""SELECT p_partkey, CAST(place AS INT) AS place, CASE place WHEN 0 THEN p_name ELSE p_type || ', "' || p_brand || '"' || chr(10) || '; x' END AS title, CAST(p_size AS VARCHAR) AS price, CASE place WHEN 0 THEN p_brand ELSE '' END AS brand FROM part, (VALUES (0), (1)) AS two(place)""")
+def feed_records(spark, sf_dir):
+    """Each part as a CSV text of two records, delimited by comma, semicolon or tab; the second record's title has all of a text's pitfalls, and its last value is missing."""
+    sep = F.element_at(F.array(*map(F.lit, (",", ";", "\t"))), (F.col("p_partkey") % 3 + 1).cast("int"))
+    size = F.col("p_size").cast("string")
+    hard = F.concat(F.lit('"'), "p_type", F.lit(', ""'), "p_brand", F.lit('""\n; x"'))
+    body = F.concat(F.lit("title"), sep, F.lit(" price "), sep, F.lit("brand\r\n\r\n"), "p_name", sep, size, sep, "p_brand", F.lit("\r\n"), hard, sep, size, F.lit("\n"))
+    found = feeds.csv_items(read(spark, sf_dir, "part").select("p_partkey", body.alias("body")), "p_partkey", "body")
+    return found.select("p_partkey", "place", F.col("raw")["title"].alias("title"), F.col("raw")["price"].alias("price"), F.col("raw")["brand"].alias("brand"))
+
+
+@query("""SELECT page_id, page_id % 7 = 0 OR page_id % 5 = 0 OR (page_id % 3 = 0 AND length(html) + 32 < 2500) AS blocked FROM pages""")
+def blocked_results(spark, sf_dir):
+    """Every page as a fetch's outcome, some refused by status, some by message, some by a sign in a short body."""
+    key = F.col("page_id")
+    status, message = F.when(key % 7 == 0, 429).when(key % 2 == 0, 200), F.when(key % 5 == 0, "Just a Moment... please").when(key % 2 == 0, "timeout")
+    body = F.concat("html", F.when(key % 3 == 0, " Verify you are HUMAN to go on..").otherwise(""))
+    return read(spark, sf_dir, "pages").select("page_id", web.is_blocked(status, body, message).alias("blocked"))
+
+
+@query(f"""WITH a AS (SELECT page_id, regexp_extract_all(html, '<a [^>]*>.*?</a>', 0, 's') AS links FROM pages), u AS (SELECT page_id, unnest(links) AS a, generate_subscripts(links, 1) AS i FROM a),
+x AS (SELECT page_id, i, trim(regexp_replace(a, '<[^>]*>', '', 'g')) AS label, trim(regexp_extract(a, '^<a [^>]*?href="([^"]*)"', 1)) AS href FROM u),
+k AS (SELECT *, row_number() OVER (PARTITION BY page_id, lower(label) ORDER BY i) AS rn FROM x WHERE href <> '' AND href[1] <> '#' AND length(label) BETWEEN 2 AND 30 AND ((href[1] = '/' AND href[:2] <> '/_' AND length(href) < 40) OR list_bool_or(list_transform([{", ".join(f"'{w}'" for w in web.SECTION_WORDS)}], lambda w: contains(lower(label), w)))))
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INT) AS place, label, href FROM k WHERE rn = 1""")
+def nav_sections(spark, sf_dir):
+    return web.sections(read(spark, sf_dir, "pages"), "page_id", "html")
+
+
+@query("""WITH u AS (SELECT c_nationkey AS site, c_custkey AS place, 'http://n' || c_nationkey || '.example/' || lower(replace(c_name, '#', '-')) AS url, regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') AS plain FROM customer),
+s AS (SELECT site, p, label, (SELECT arg_min(url, place) FROM u WHERE u.site = n.site AND contains('httpn' || n.site || 'example' || plain, regexp_replace(lower(label), '[^a-z0-9]', '', 'g'))) AS hit FROM (SELECT DISTINCT site FROM u) n, (VALUES (0, 'Customer'), (1, 'CUSTOMER'), (2, 'No  Such'), (3, '0000001'), (4, '#7'), (5, 'Never')) v(p, label)),
+t AS (SELECT site, p, CASE WHEN hit IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s b WHERE b.site = s.site AND b.p < s.p AND b.hit = s.hit) THEN hit ELSE 'http://n' || site || '.example/' || regexp_replace(lower(label), '\\s+', '-', 'g') END AS url FROM s)
+SELECT site, CAST(p AS INT) AS place, url FROM t WHERE p < 5""")
+def section_escalation(spark, sf_dir):
+    """Nations as sites whose urls are their customers; five of six missing sections are fetched again."""
+    site = F.concat(F.lit("http://n"), F.col("c_nationkey").cast("string"), F.lit(".example/"))
+    urls_ = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("site"), F.col("c_custkey").alias("place"), F.concat(site, F.lower(F.replace("c_name", F.lit("#"), F.lit("-")))).alias("url"))
+    labels = F.array(*map(F.lit, ("Customer", "CUSTOMER", "No  Such", "0000001", "#7", "Never")))
+    start = F.concat(F.lit("http://n"), F.col("site").cast("string"), F.lit(".example/home"))
+    asked = urls_.select("site").distinct().select("site", start.alias("start"), F.posexplode(labels).alias("place", "label"))
+    return crawl.escalated(asked, urls_)
+
+
+@query("""WITH d AS (SELECT s_suppkey, s_name, s_suppkey % 4 AS k, 7 + s_suppkey % 3 AS o FROM supplier),
+w AS (SELECT s_suppkey, day, CASE WHEN k = 0 AND day BETWEEN 1 AND 5 THEN lpad(o::VARCHAR, 2, '0') || ':00:00' WHEN k = 1 AND day IN (6, 0, 1) THEN '10:30:00' WHEN k = 2 AND day IN (2, 4) THEN lpad(o::VARCHAR, 2, '0') || ':15:00' END AS opens, CASE WHEN k = 0 AND day BETWEEN 1 AND 5 THEN CASE WHEN day = 3 THEN '12:00:00' ELSE '18:00:00' END WHEN k = 1 AND day IN (6, 0, 1) THEN '16:00:00' WHEN k = 2 AND day IN (2, 4) THEN '20:00:00' END AS closes FROM d, range(7) r(day))
+SELECT d.s_suppkey, s_name AS name, 'T-' || d.s_suppkey AS phone, 'City' || k AS city, CASE WHEN k = 1 THEN 'CA' ELSE 'US' END AS country, CASE WHEN k < 3 THEN (SELECT string_agg(day || '=' || coalesce(opens, '-') || '/' || coalesce(closes, '-'), ' ' ORDER BY day) FROM w WHERE w.s_suppkey = d.s_suppkey) END AS week FROM d""")
+def dealer_profiles(spark, sf_dir):
+    """Each supplier as a dealer's site of two pages; hours are a list of texts, one text, objects, or not stated."""
+    key, o = F.col("s_suppkey"), (F.lit(7) + F.col("s_suppkey") % 3).cast("string")
+    hours = (
+        F.when(key % 4 == 0, F.concat(F.lit(', "openingHours": ["Mo-Fr '), o, F.lit('am-6pm", "We '), o, F.lit(':00-12:00", "Su closed"]'))).when(key % 4 == 1, ', "openingHours": "Sat-Mon 10:30 - 16"')
+        .when(key % 4 == 2, F.concat(F.lit(', "openingHoursSpecification": [{"dayOfWeek": ["http://schema.org/Tuesday", "Thu", "Noday"], "opens": "'), o, F.lit(':15", "closes": "8 PM"}]'))).otherwise("")
+    )
+    stated = F.concat(F.lit('{"@type": "AutoDealer", "name": "'), "s_name", F.lit('", "telephone": "T-'), key, F.lit('", "address": {"streetAddress": "S", "addressLocality": "City'), key % 4, F.lit('"}'), hours, F.lit("}"))
+    script = lambda b: F.concat(F.lit('<script type="application/ld+json">'), b, F.lit("</script>"))
+    home = F.concat(F.lit("http://s"), key, F.when(key % 4 == 1, ".ca/").otherwise(".com/"))
+    pages = F.array(F.struct(F.concat(home, F.lit("a")).alias("url"), F.concat(script(F.lit('{"@type": "Product", "name": "Ford part"}')), script(stated)).alias("html")), F.struct(F.concat(home, F.lit("b")).alias("url"), script(F.lit('{"@type": "Organization", "name": "Z", "telephone": "0"}')).alias("html")))
+    rows = read(spark, sf_dir, "supplier").select("s_suppkey", F.inline(pages))
+    each = structured.entities(rows.select(F.struct("s_suppkey", "url").alias("page"), "url", "html"), "page", "url", "html").select("page.*", "place", "data_type", "title", "content", "description", "images", "details")
+    found = dealers.profiles(each, "s_suppkey", "url")
+    week = F.array_join(F.transform("hours", lambda h: F.concat(h["day"].cast("string"), F.lit("="), F.coalesce(h["opens"], F.lit("-")), F.lit("/"), F.coalesce(h["closes"], F.lit("-")))), " ")
+    return found.select("s_suppkey", "name", "phone", "city", "country", week.alias("week"))

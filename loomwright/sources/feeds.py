@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StringType
 
 from loomwright.functions import numbers, text
 
@@ -39,6 +44,30 @@ def xml_items(bodies: DataFrame, id_col: str, body: str) -> DataFrame:
     return one.select(id_col, first.alias("raw"))
 
 
+def csv_records(body: str) -> list[dict[str, str]]:
+    """Records of a CSV text by its header; tab or semicolon delimits where the first line holds more of it than of the others, else the comma."""
+    head = body.lstrip("\ufeff \r\n").split("\n", 1)[0]
+    tabs, semicolons, commas = (head.count(c) for c in "\t;,")
+    csv.field_size_limit(2**31 - 1)
+    lines = csv.reader(io.StringIO(body.lstrip("\ufeff"), newline=""), delimiter="\t" if tabs > max(semicolons, commas) else ";" if semicolons > commas else ",")
+    rows = [[v.strip() for v in line] for line in lines if any(v.strip() for v in line)]
+    names = [n.strip("'\"").strip() for n in rows[0]] if rows else []
+    return [{n: v for n, v in zip(names, r + [""] * len(names), strict=False) if n} for r in rows[1:]]
+
+
+@F.pandas_udf(ArrayType(MapType(StringType(), StringType())))
+def _csv_records(body: pd.Series) -> pd.Series:
+    return pd.Series([None if b is None else csv_records(b) for b in body], dtype=object)
+
+
+def csv_items(bodies: DataFrame, id_col: str, body: str) -> DataFrame:
+    """One row a record of fetched CSV texts: id, place, raw (map of texts). Quotes protect delimiters and line ends; missing values are empty, values beyond the header and those under an empty name go.
+
+    Lines without any value are passed over; null bodies and bodies without a record give no row; of equal names the last counts.
+    """
+    return bodies.select(id_col, F.posexplode(_csv_records(F.col(body))).alias("place", "raw"))
+
+
 def csv_rows(spark, path: str, sep: str = ",") -> DataFrame:
     return spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=True)
 

@@ -10,8 +10,17 @@ from loomwright.operators.scratch import materialise
 
 #: Marks by which shop platforms show in a page, first match first.
 PLATFORMS = (("shopify", "cdn.shopify.com|shopify.theme"), ("woocommerce", "woocommerce|wp-content/plugins/woo"), ("d2cmedia", "d2cmedia"), ("dealer_dot_com", "dealer.com|ddc-"), ("dealer_inspire", "dealerinspire"))
-#: Signs of a page that blocks crawlers.
-BLOCKED = ("access denied", "captcha", "cloudflare", "attention required", "are you a robot", "request blocked", "forbidden", "rate limited")
+# Signs of refusal in an error message, and in a short body; below which length a body is short.
+REFUSED = (
+    "blocked", "access denied", "bot detected", "cloudflare", "attention required! | cloudflare", "just a moment...", "datadome", "perimeterx", "incapsula", "imperva", "akamai", "verify you are human", "security check", "enable javascript and cookies to continue", "pardon our interruption", "request rejected",
+    "rejected by d2c media", "d2c media's firewall", "browsing from outside north america", "site-firewall",
+)
+BLOCKED = ("cloudflare", "datadome", "access denied", "verify you are human", "pardon our interruption", "please complete the security check", "request rejected", "rejected by d2c media", "d2c media's firewall", "browsing from outside north america")
+SHORT = 2500
+# Words that name a section of a site.
+SECTION_WORDS = (
+    "services", "freelancers", "courses", "classes", "shop", "products", "inventory", "vehicles", "pricing", "plans", "about", "contact", "faq", "faqs", "blog", "team", "careers", "properties", "listings", "doctors", "menu", "search-gigs", "gigs", "curriculum", "features",
+)
 
 
 # Attributes whose values are links, calls and assignments of scripts that go to one, and how values begin that are no pages.
@@ -111,12 +120,39 @@ def platform(html: Column) -> Column:
     return out
 
 
-def is_blocked(status: Column, body: Column) -> Column:
-    """Refused by status, or a short page with a sign of blocking."""
-    signs = F.lit(False)
-    for s in BLOCKED:
-        signs = signs | F.contains(F.lower(body), F.lit(s))
-    return F.coalesce(status.isin(403, 429), F.lit(False)) | ((F.length(body) < 2500) & signs)
+def is_blocked(status: Column, body: Column, message: Column | None = None) -> Column:
+    """Refused by status, by a sign in the error message, or by a sign in a short body; nulls refuse nothing."""
+
+    def signed(text_: Column, signs: tuple[str, ...]) -> Column:
+        out = F.lit(False)
+        for s in signs:
+            out = out | F.contains(F.lower(text_), F.lit(s))
+        return F.coalesce(out, F.lit(False))
+
+    said = signed(message, REFUSED) if message is not None else F.lit(False)
+    return F.coalesce(status.isin(403, 429), F.lit(False)) | said | (F.coalesce(F.length(body) < SHORT, F.lit(False)) & signed(body, BLOCKED))
+
+
+def sections(pages: DataFrame, id_col: str, html: str) -> DataFrame:
+    """One row a page and section that its navigation names: id, place, label, href. Of equal labels (in any case) the first counts.
+
+    Links are taken from elements whose class or name says that they navigate, or from the whole page where none does. A link is a section if its text of 2 to 30 characters holds a word of sections, or it leads to a short path of the site. Null pages give nothing.
+    """
+    tag = r"(?is)<(nav|header|div)\b[^>]*\b(?:class|id)\s*=\s*[\"'][^\"']*(?:nav|menu|header)[^\"']*[\"'][^>]*>(.*?)</(?:nav|header|div)>"
+    parts = F.regexp_extract_all(F.col(html), F.lit(tag), F.lit(2))
+    text_ = F.when(F.size(parts) > 0, F.array_join(parts, " ")).otherwise(F.col(html))
+    anchors = F.regexp_extract_all(text_, F.lit(r"(?is)(<a\b[^>]*>.*?</a>)"), F.lit(1))
+    read = F.transform(anchors, lambda a: F.struct(F.trim(F.regexp_replace(a, "<[^>]*>", "")).alias("label"), F.trim(F.regexp_extract(a, r"(?is)^<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']+)", 1)).alias("href")))
+
+    def is_section(x: Column) -> Column:
+        word = F.lit(False)
+        for w in SECTION_WORDS:
+            word = word | F.contains(F.lower(x["label"]), F.lit(w))
+        path = x["href"].startswith("/") & ~x["href"].startswith("/_") & (F.length(x["href"]) < 40)
+        return (x["href"] != "") & ~x["href"].startswith("#") & F.length(x["label"]).between(2, 30) & (word | path)
+
+    kept = pages.select(id_col, F.filter(read, is_section).alias("__s")).withColumn("__l", F.transform("__s", lambda x: F.lower(x["label"])))
+    return kept.select(id_col, F.posexplode(F.filter("__s", lambda x, i: F.array_position("__l", F.lower(x["label"])) == i + 1)).alias("place", "__x")).select(id_col, "place", "__x.label", "__x.href")
 
 
 def is_thin(plain: Column) -> Column:

@@ -51,7 +51,7 @@ DETAILS = {
     "menu": {"nutrition": ("nutrition",)},
     "person": {"job_title": ("jobTitle",), "skills": ("knowsAbout",)},
     "service": {"category": ("category",)},
-    "business": {"phone": ("telephone", "phone"), "email": ("email",), "hours": ("openingHours", "openingHoursSpecification")},
+    "business": {"phone": ("telephone", "phone"), "email": ("email",), "city": ("address.addressLocality",), "region": ("address.addressRegion",), "postal_code": ("address.postalCode",), "hours": ("openingHours", "openingHoursSpecification")},
     "faq": {},
 }
 # Words of availability and how they are shown.
