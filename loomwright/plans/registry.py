@@ -238,12 +238,36 @@ def meta_title(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
 
 
-@query()
+LINKS_SQL = """WITH a AS (SELECT page_id, url, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1) AS scheme, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS host, trim(unnest(regexp_extract_all(html, '\\bhref\\s*=\\s*"([^"]*)"', 1))) AS raw FROM pages),
+r AS (SELECT page_id, url, host, CASE WHEN regexp_matches(raw, '^(?i:https?)://') THEN raw WHEN raw[:2] = '//' THEN scheme || ':' || raw WHEN raw[1] = '/' THEN scheme || '://' || host || raw WHEN NOT regexp_matches(raw, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN scheme || '://' || host || coalesce(nullif(regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*/)', 1), ''), '/') || raw END AS full_url FROM a WHERE raw <> '' AND raw[1] <> '#'),
+t AS (SELECT page_id, url, host, regexp_replace(regexp_replace(regexp_replace(regexp_replace(full_url, '#.*$', ''), '([?&])(?:(?:utm_source|utm_medium|utm_campaign|utm_term|utm_content|gclid|fbclid|ref|msclkid)=[^&]*(?:&|$))+', '\\1', 'g'), '[?&]$', ''), '([^/:])/$', '\\1') AS link FROM r),
+l AS (SELECT DISTINCT page_id, url, link FROM t WHERE lower(regexp_extract(link, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) = host AND NOT regexp_matches(lower(regexp_replace(link, '[?#].*$', '')), '\\.(jpg|jpeg|png|gif|svg|webp|ico|css|js|pdf|zip|mp4|mp3|woff|woff2|xml|json)$'))"""
+
+
+def _dropped_sql(x: str, tags: tuple[str, ...]) -> str:
+    """x with these elements, whole, as blanks."""
+    for tag in tags:
+        x = f"regexp_replace({x}, '(?is)<{tag}\\b[^>]*>.*?</{tag}>', ' ', 'g')"
+    return x
+
+
+def _decoded_sql(x: str) -> str:
+    for name, sign in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;", " ")):
+        x = f"replace({x}, '{name}', '{sign}')"
+    return x
+
+
+_MAIN_SQL = _dropped_sql("coalesce(nullif(regexp_extract(html, '(?is)<(?:main|article)\\b[^>]*>(.*?)</(?:main|article)>', 1), ''), html)", ("nav", "header", "footer", "aside", "form"))
+_BARE_SQL = f"regexp_replace(regexp_replace({_dropped_sql(_MAIN_SQL, ('script', 'style', 'noscript'))}, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')"
+_PLATFORM_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(html), '{marks}') THEN '{name}'" for name, marks in web.PLATFORMS) + " ELSE 'unknown' END"
+
+
+@query(f"{LINKS_SQL} SELECT page_id, link FROM l")
 def link_extract(spark, sf_dir):
     return web.links(read(spark, sf_dir, "pages"), "page_id", "url", "html")
 
 
-@query()
+@query(f"SELECT page_id, trim(regexp_replace({_decoded_sql(_BARE_SQL)}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS text, {_PLATFORM_SQL} AS platform FROM pages")
 def html_text(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", web.page_text(F.col("html")).alias("text"), web.platform(F.col("html")).alias("platform"))
 
@@ -356,7 +380,9 @@ def crawl_coverage(spark, sf_dir):
     return crawl.coverage(read(spark, sf_dir, "pages").select(urls.host(F.col("url")).alias("site"), "url"), "site", "url")
 
 
-@query()
+@query(f"""{LINKS_SQL}, e AS (SELECT DISTINCT url, link FROM l), d0 AS (SELECT DISTINCT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS site, url FROM pages),
+d1 AS (SELECT DISTINCT site, link AS url FROM d0 JOIN e USING (url) EXCEPT SELECT site, url FROM d0), d2 AS (SELECT DISTINCT site, link AS url FROM d1 JOIN e USING (url) EXCEPT (SELECT site, url FROM d0 UNION ALL SELECT site, url FROM d1)),
+f AS (SELECT *, 0 AS depth FROM d0 UNION ALL SELECT *, 1 FROM d1 UNION ALL SELECT *, 2 FROM d2) SELECT site, url, depth FROM f QUALIFY row_number() OVER (PARTITION BY site ORDER BY depth, url) <= 15""")
 def site_frontier(spark, sf_dir):
     pages = read(spark, sf_dir, "pages")
     links = web.links(pages, "url", "url", "html").select("url", "link")
