@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.functions.vehicles import clock
+
 # Days from 0, known by their first two or three letters or in full; words of closed days; names by which a dealer's title tells.
 DAYS = ("sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday")
 CLOSED = ("closed", "off")
@@ -16,14 +18,6 @@ def day_of(word: Column) -> Column:
     return F.try_element_at(F.create_map(*(F.lit(x) for pair in names for x in pair)), F.lower(word))
 
 
-def time_of(said: Column) -> Column:
-    """A time of day as HH:MM:00; null where none is said."""
-    part = lambda i: F.regexp_extract(F.lower(said), r"([0-9]{1,2})(?::([0-9]{2}))?\s*([ap]m)?", i)
-    hour = part(1).try_cast("int")
-    hour = F.when((part(3) == "pm") & (hour < 12), hour + 12).when((part(3) == "am") & (hour == 12), 0).otherwise(hour)
-    return F.when(hour.isNotNull(), F.concat(F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), F.when(part(2) == "", "00").otherwise(part(2)), F.lit(":00")))
-
-
 def opening_hours(hours: Column) -> Column:
     """A week of seven entries (day, opens, closes, closed) from the hours a page states: a text such as ``Mo-Fr 9am-6pm``, an opening-hours object, or a list of these (as JSON). Later ones replace earlier ones of the same day; days
     that nothing names are closed, null or empty hours give null. Unknown words for days count as Monday, as the end of a range as Friday."""
@@ -40,14 +34,14 @@ def opening_hours(hours: Column) -> Column:
         span = F.sequence(first, F.when(last < first, last + 7).otherwise(last))
         shut = times.rlike("|".join(CLOSED))
         ends = F.split(times, "-")
-        at = lambda i: F.when(~shut, time_of(F.get(ends, i)))
+        at = lambda i: F.when(~shut, clock(F.get(ends, i)))
         return F.when((F.size(words) > 1) & (shut | times.contains("-")), F.transform(span, lambda d: entry(d % 7, at(0), at(1)))).otherwise(nothing)
 
     def of_object(v: Column) -> Column:
         get = lambda *names: F.coalesce(*(F.nullif(F.try_variant_get(v, f"$.{n}", "string"), F.lit("")) for n in names))
         days = F.coalesce(F.try_variant_get(v, "$.dayOfWeek", "array<string>"), F.array(F.try_variant_get(v, "$.dayOfWeek", "string")))
         known = F.filter(F.transform(days, lambda d: day_of(F.regexp_replace(F.lower(d), "^https?://schema[.]org/", ""))), lambda d: d.isNotNull())
-        return F.transform(known, lambda d: entry(d, time_of(get("opens", "openTime")), time_of(get("closes", "closeTime"))))
+        return F.transform(known, lambda d: entry(d, clock(get("opens", "openTime")), clock(get("closes", "closeTime"))))
 
     is_object = lambda v: F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
     entries = F.flatten(F.transform(items, lambda v: F.when(is_object(v), of_object(v)).otherwise(F.coalesce(of_text(F.try_variant_get(v, "$", "string")), nothing))))

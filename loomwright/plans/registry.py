@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomwright.functions import concepts, freshness, intent, nested, numbers, text, urls
 from loomwright.operators import aggregates, changes, constraints, crawl, dealers, entities, inventory, keyed, matching, navigation, references, rerank, retrieval, routing, vectors
-from loomwright.sources import extraction, feeds, routes, structured
+from loomwright.sources import extraction, feeds, routes, structured, vehicle_pages
 from loomwright.sources import pages as web
 from loomwright.streaming import sessions
 
@@ -836,3 +836,17 @@ def dealer_profiles(spark, sf_dir):
     found = dealers.profiles(each, "s_suppkey", "url")
     week = F.array_join(F.transform("hours", lambda h: F.concat(h["day"].cast("string"), F.lit("="), F.coalesce(h["opens"], F.lit("-")), F.lit("/"), F.coalesce(h["closes"], F.lit("-")))), " ")
     return found.select("s_suppkey", "name", "phone", "city", "country", week.alias("week"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'Page ' || p_partkey ELSE (2000 + p_size % 20) || ' Land Rover ' || p_name END AS title, CASE WHEN p_partkey % 3 = 1 THEN 'cpo' WHEN p_partkey % 3 = 0 OR (p_partkey % 5 <> 0 AND regexp_matches(p_name, '\\bnew\\b')) THEN 'new' ELSE 'used' END AS condition, CASE WHEN p_partkey % 5 <> 0 THEN 2000 + p_size % 20 WHEN p_partkey BETWEEN 1900 AND 2099 THEN p_partkey END AS year,
+CASE WHEN p_partkey % 5 <> 0 THEN 'Land Rover' END AS make, '1HGCM82633A' || lpad(CAST(p_partkey % 1000000 AS VARCHAR), 6, '0') AS vin, CASE WHEN p_partkey % 2 = 0 THEN p_type || ' & Co' ELSE p_brand END AS exterior_color, p_brand AS engine, 1000 * p_size AS mileage, 4 AS doors, p_retailprice AS price, CAST(p_size + 0.5 AS DOUBLE) AS city_fuel, 'http://shop.ca/i/' || p_partkey || '.png' AS image FROM part""")
+def vehicle_specs(spark, sf_dir):
+    """Each part as a page about one vehicle, its values in tables, lists, plain text and script."""
+    key, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    vin = F.concat(F.lit("1hgcm82633a"), F.lpad((key % 1_000_000).cast("string"), 6, "0"))
+    head = F.when(key % 5 == 0, F.concat(F.lit("<title>Page "), key, F.lit(" | Shop</title>"))).otherwise(F.concat(F.lit("<h1 class=t>"), (2000 + F.col("p_size") % 20).cast("string"), F.lit(" <b>Land Rover</b> "), "p_name", F.lit("</h1>")))
+    color = F.when(key % 2 == 0, F.concat(F.lit("<dt>Exterior Colour</dt><dd>"), "p_type", F.lit(" &amp; Co</dd>"))).otherwise(F.concat(F.lit("<li>Color:<b>Grey</b></li><li>Paint: "), "p_brand", F.lit("</li>")))
+    body = [F.lit("<table><tr><th> VIN: </th><td>not yet</td></tr></table><script>x({'vin': '"), vin, F.lit("', \"mileage\": 7})</script>"), color, F.lit("<p>Kilometers: "), size, F.lit(",000 km</p><p>Doors: 4</p><p>City</p><p>"), size, F.lit(".5 l</p><p>Engine: "), "p_brand"]
+    body += [F.lit('</p><span class="x selling-price big">$ '), F.format_number("p_retailprice", 2), F.lit('</span><img src="logo.png"><img alt="a" data-src="/i/'), key, F.lit('.png">'), F.element_at(F.array(*map(F.lit, ("Brand New", "certified", "renewed"))), (key % 3 + 1).cast("int"))]
+    found = vehicle_pages.vehicles(read(spark, sf_dir, "part").select("p_partkey", F.lit("http://shop.ca/p").alias("url"), F.concat(head, *body).alias("html")), "p_partkey", "url", "html")
+    return found.select("p_partkey", "title", "condition", "year", "make", "vin", "exterior_color", "engine", "mileage", "doors", "price", "city_fuel", F.array_join("images", " ").alias("image"))
