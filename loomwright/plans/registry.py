@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomwright.functions import concepts, freshness, intent, nested, numbers, text, urls
 from loomwright.operators import aggregates, changes, constraints, crawl, dealers, entities, inventory, keyed, matching, navigation, references, rerank, retrieval, routing, vectors
-from loomwright.sources import extraction, feeds, routes, structured, vehicle_pages
+from loomwright.sources import cards, extraction, feeds, routes, structured, vehicle_pages
 from loomwright.sources import pages as web
 from loomwright.streaming import sessions
 
@@ -850,3 +850,17 @@ def vehicle_specs(spark, sf_dir):
     body += [F.lit('</p><span class="x selling-price big">$ '), F.format_number("p_retailprice", 2), F.lit('</span><img src="logo.png"><img alt="a" data-src="/i/'), key, F.lit('.png">'), F.element_at(F.array(*map(F.lit, ("Brand New", "certified", "renewed"))), (key % 3 + 1).cast("int"))]
     found = vehicle_pages.vehicles(read(spark, sf_dir, "part").select("p_partkey", F.lit("http://shop.ca/p").alias("url"), F.concat(head, *body).alias("html")), "p_partkey", "url", "html")
     return found.select("p_partkey", "title", "condition", "year", "make", "vin", "exterior_color", "engine", "mileage", "doors", "price", "city_fuel", F.array_join("images", " ").alias("image"))
+
+
+@query("""SELECT p_partkey, CAST(place AS INT) AS place, CASE place WHEN 0 THEN p_name ELSE p_brand || ' course & more' END AS title, CASE WHEN place = 0 AND p_partkey % 2 = 0 THEN 'http://s.example/p/' || p_partkey ELSE 'http://s.example/list' END AS url, CASE WHEN place = 0 THEN 'product' ELSE 'service' END AS data_type,
+CASE WHEN place = 0 THEN CASE WHEN p_partkey % 2 = 0 THEN '$ ' || p_size ELSE p_size || ' a piece' END END AS price, CASE WHEN place = 1 THEN 'http://s.example/i.png' END AS image, CASE WHEN place = 0 THEN 'Of type ' || p_type || '.' END AS description FROM part, (VALUES (0), (1)) AS two(place)""")
+def page_cards(spark, sf_dir):
+    """Each part as a list page: a product's card, a course's card, a repeated title, furniture and a card that shows nothing."""
+    key, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    price = F.when(key % 2 == 0, F.concat(F.lit("<i>$ "), size, F.lit("</i>"))).otherwise(F.concat(F.lit('<i class="big-price">'), size, F.lit(" a piece</i>")))
+    link = F.when(key % 2 == 0, F.concat(F.lit('<a href="/p/'), key, F.lit('">x</a>'))).otherwise('<a href="#top">x</a><a href="http://else.example/">y</a>')
+    one = [F.lit('<div class="product-list"><div class="my-card"><span class="item-name">'), "p_name", F.lit("</span>"), price, link, F.lit("<p>Of type <b>"), "p_type", F.lit("</b>.</p></div>")]
+    two = [F.lit("<li id='course-1'><div><h3>"), "p_brand", F.lit(' course &amp; more</h3><img data-src="i.png"></div></li>')]
+    rest = [F.lit('<article class="box"><h2>'), F.upper("p_name"), F.lit('</h2><p>repeated, so it does not count</p></article><div class="card"><h2>Loading</h2><p>furniture of the page, no card</p></div><div class="card"><h2>Nothing beside it</h2><a href="#">nothing to see here</a></div></div>')]
+    found = cards.cards(read(spark, sf_dir, "part").select("p_partkey", F.lit("http://s.example/list").alias("url"), F.concat(*one, *two, *rest).alias("html")), "p_partkey", "url", "html")
+    return found.select("p_partkey", "place", "title", "url", "data_type", "price", "image", "description")
