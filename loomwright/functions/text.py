@@ -66,3 +66,10 @@ def truncated(x: Column, most: int = 300) -> Column:
 def masked_ip(x: Column) -> Column:
     """The last part of an IPv4 address hidden."""
     return F.regexp_replace(x, r"^(\d+\.\d+\.\d+)\.\d+$", "$1.xxx")
+
+
+def message(x: Column, most: int = 1000) -> Column:
+    """valid, error and sanitized (without white space at its ends) of a user's message; null and blank ones are empty, longer ones than ``most`` characters are refused whole."""
+    plain = F.regexp_replace(x, r"^\s+|\s+$", "")
+    error = F.when(F.coalesce(plain, F.lit("")) == "", "empty").when(F.length(plain) > most, "too_long")
+    return F.struct(error.isNull().alias("valid"), error.alias("error"), F.when(error.isNull(), plain).alias("sanitized"))

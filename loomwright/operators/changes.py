@@ -82,3 +82,20 @@ def backfilled(rows: DataFrame, owners: DataFrame, orphan: str) -> DataFrame:
         "data_type": F.coalesce(F.nullif("data_type", F.lit("")), F.lit("crawl")),
     }
     return joined.select(*(out[c].alias(c) if c in out else F.col(c) for c in rows.columns))
+
+
+def connected_sites(requests: DataFrame, sites: DataFrame) -> DataFrame:
+    """requests: request, user, domain, name, platform, frequency. sites: id, user, domains (an array), platform, frequency, created. Returns request, action, site_id, made_by, name, platform, frequency: each request's site as it is to be written.
+
+    A request reuses the newest site (of equal ones the greatest id) of its user whose domains hold its domain, in any case; an ``unknown`` platform and the frequency ``off`` leave what the site has. Where there is none, the least request
+    of a user and domain inserts one and the others reuse what it makes (made_by). Domains are exploded, so both sides meet by equal keys; requests without a user or domain insert each its own.
+    """
+    owned = sites.select("user", F.explode(F.array_distinct(F.transform("domains", F.lower))).alias("__d"), F.struct("created", "id", "platform", "frequency").alias("__s"))
+    newest = owned.groupBy("user", "__d").agg(F.max("__s").alias("__s"))
+    asked = requests.withColumn("__d", F.lower(F.trim("domain")))
+    first = asked.where("user is not null and __d is not null").groupBy("user", "__d").agg(F.min("request").alias("__first"))
+    both = asked.join(newest, ["user", "__d"], "left").join(first, ["user", "__d"], "left")
+    maker = F.when(F.col("__s").isNull(), F.coalesce("__first", "request"))
+    action = F.when(maker == F.col("request"), "insert").otherwise("reuse")
+    kept = lambda c, nothing: F.when((F.coalesce(c, F.lit(nothing)) == nothing) & F.col("__s").isNotNull(), F.col(f"__s.{c}")).otherwise(F.col(c)).alias(c)
+    return both.select("request", action.alias("action"), F.col("__s.id").alias("site_id"), maker.alias("made_by"), F.trim("name").alias("name"), kept("platform", "unknown"), kept("frequency", "off"))

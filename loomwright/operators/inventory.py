@@ -16,6 +16,11 @@ def scoped(df: DataFrame, tenants: list, column: str = "widget_id") -> DataFrame
     return df.where(F.col(column).isin(*tenants)) if tenants else df.limit(0)
 
 
+def projected(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """The named columns with their types; those that an older table lacks are null, further ones go."""
+    return df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in columns.items()))
+
+
 def bounds(ranges: Mapping[str, tuple], lenient: bool) -> Column:
     out = F.lit(True)
     for column, (low, high) in ranges.items():

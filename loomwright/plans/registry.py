@@ -864,3 +864,29 @@ def page_cards(spark, sf_dir):
     rest = [F.lit('<article class="box"><h2>'), F.upper("p_name"), F.lit('</h2><p>repeated, so it does not count</p></article><div class="card"><h2>Loading</h2><p>furniture of the page, no card</p></div><div class="card"><h2>Nothing beside it</h2><a href="#">nothing to see here</a></div></div>')]
     found = cards.cards(read(spark, sf_dir, "part").select("p_partkey", F.lit("http://s.example/list").alias("url"), F.concat(*one, *two, *rest).alias("html")), "p_partkey", "url", "html")
     return found.select("p_partkey", "place", "title", "url", "data_type", "price", "image", "description")
+
+
+@query("SELECT p_partkey, CAST(p_size AS BIGINT) AS p_size, NULL::VARCHAR AS still_listed FROM part")
+def projected_scan(spark, sf_dir):
+    return inventory.projected(read(spark, sf_dir, "part"), {"p_partkey": "bigint", "p_size": "bigint", "still_listed": "string"})
+
+
+@query("""WITH m AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN ' ' || chr(10) WHEN turn % 3 = 0 THEN repeat(text, 4) ELSE text END AS x FROM conversations), t AS (SELECT *, regexp_replace(x, '^\\s+|\\s+$', '', 'g') AS plain FROM m),
+e AS (SELECT *, CASE WHEN coalesce(plain, '') = '' THEN 'empty' WHEN length(plain) > 300 THEN 'too_long' END AS error FROM t) SELECT conv_id, turn, error IS NULL AS valid, error, CASE WHEN error IS NULL THEN plain END AS sanitized FROM e""")
+def message_checks(spark, sf_dir):
+    x = F.when(F.col("turn") % 5 == 0, " \n").when(F.col("turn") % 3 == 0, F.repeat("text", F.lit(4))).otherwise(F.col("text"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", text.message(x, 300).alias("m")).select("conv_id", "turn", "m.*")
+
+
+@query("""WITH s AS (SELECT c_custkey AS id, c_nationkey AS u, c_custkey % 50 AS created, unnest(['shop' || (c_custkey % 20) || '.example', 'b' || (c_custkey % 7) || '.example']) AS d FROM customer),
+n AS (SELECT u, d, max(struct_pack(created := created, id := id)) AS s FROM s GROUP BY u, d), q AS (SELECT o_orderkey AS request, o_custkey % 25 AS u, 'shop' || (o_orderkey % 30) || '.example' AS d FROM orders),
+f AS (SELECT u, d, min(request) AS first FROM q GROUP BY u, d)
+SELECT request, CASE WHEN s IS NULL AND first = request THEN 'insert' ELSE 'reuse' END AS action, s.id AS site_id, CASE WHEN s IS NULL THEN first END AS made_by, d AS name, CASE WHEN request % 3 <> 0 THEN 'shopify' WHEN s IS NULL THEN 'unknown' ELSE 'p' || s.id END AS platform, CASE WHEN request % 2 = 0 THEN 'daily' WHEN s IS NULL THEN 'off' ELSE 'weekly' END AS frequency FROM q LEFT JOIN n USING (u, d) JOIN f USING (u, d)""")
+def connected_sites(spark, sf_dir):
+    """Orders as requests to connect a shop, customers as the sites there are."""
+    key, cust = F.col("o_orderkey"), F.col("c_custkey")
+    domain = lambda head, n: F.concat(F.lit(head), n.cast("string"), F.lit(".example"))
+    name = domain("shop", key % 30)
+    requests = read(spark, sf_dir, "orders").select(key.alias("request"), (F.col("o_custkey") % 25).alias("user"), F.concat(F.lit(" "), F.upper(name)).alias("domain"), F.concat(name, F.lit(" ")).alias("name"), F.when(key % 3 != 0, "shopify").otherwise("unknown").alias("platform"), F.when(key % 2 == 0, "daily").otherwise("off").alias("frequency"))
+    sites = read(spark, sf_dir, "customer").select(cust.alias("id"), F.col("c_nationkey").alias("user"), F.array(domain("Shop", cust % 20), domain("b", cust % 7)).alias("domains"), F.concat(F.lit("p"), cust.cast("string")).alias("platform"), F.lit("weekly").alias("frequency"), (cust % 50).alias("created"))
+    return changes.connected_sites(requests, sites)
