@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.functions import urls
+from loomwright.operators.ordered import spread
+from loomwright.operators.scratch import materialise
 from loomwright.sources import network
 from loomwright.sources.pages import GIVEN, resolved
 
@@ -85,25 +87,48 @@ def own_routes(html: Column) -> Column:
     return F.concat(F.when(page.startswith("/") & ~page.isin("/_error", "/404"), F.array(page)).otherwise(none), F.coalesce(linked, none), F.transform(chunks, lambda c: F.concat(F.lit("/"), c)))
 
 
-def routes(pages: DataFrame, scripts: DataFrame, id_col: str, url: str, html: str) -> DataFrame:
+#: Paths of one script that one row of the join carries: a script that every page loads is dealt over as many tasks as it has pieces.
+PIECE = 500
+
+
+def routes(pages: DataFrame, scripts: DataFrame, id_col: str, url: str, html: str, piece: int = PIECE) -> DataFrame:
     """scripts: url, body. One row a page and distinct route: id, route (an absolute url), of the page itself and of its ROUTE_MOST best scripts and its build's manifest, as far as they are in ``scripts``.
 
-    Null pages, urls without a scheme and scripts without a body give nothing; a script listed twice counts once.
+    Null pages, urls without a scheme and scripts without a body give nothing; a script listed twice counts once. A path that one script alone names, and no page itself, can reach a page only once: such paths, usually nearly all, are
+    not made distinct again after the join, so the rows of the result are not shuffled.
     """
     site, text = origin(F.col(url)), F.coalesce(F.col(html), F.lit(""))
     base = pages.where(site != "").select(F.col(id_col), site.alias("__site"), text.alias("__html"))
-    own = base.select(id_col, "__site", F.explode(own_routes(F.col("__html"))).alias("__path"))
+    own = base.select(id_col, "__site", F.explode(own_routes(F.col("__html"))).alias("__path")).withColumn("__tail", tail(F.col("__path")))
     bundles = F.filter(sources(F.col("__html")), lambda s: s.rlike(r"(?i)[.]m?js(\?|$)"))
     build = F.regexp_extract("__html", r'"/_next/static/([^/"]+)/_buildManifest\.js"', 1)
     asked = F.transform(best(bundles, ROUTE_SCRIPTS, ROUTE_MOST), lambda s: F.struct(resolved(s["src"], F.concat(F.col("__site"), F.lit("/"))).alias("url"), F.lit("script").alias("kind")))
     manifest = F.when(build != "", F.array(F.struct(F.concat(F.col("__site"), F.lit(BUILDS), build, F.lit("/_ssgManifest.js")).alias("url"), F.lit("manifest").alias("kind")))).otherwise(F.array().cast("array<struct<url:string,kind:string>>"))
-    wanted = base.select(id_col, "__site", F.explode(F.concat(asked, manifest)).alias("__s")).select(id_col, "__site", F.col("__s.url").alias("__url"), F.col("__s.kind").alias("__kind")).distinct()
-    found = literals(F.col("body"))
-    in_script = F.array_distinct(F.filter(found, is_route))
-    in_manifest = F.array_distinct(F.filter(found, lambda p: p.startswith("/") & ~p.contains("/_") & F.length(p).between(2, 201)))
-    known = scripts.where("body is not null").select(F.col("url").alias("__url"), in_script.alias("__script"), in_manifest.alias("__manifest"))
-    led = wanted.join(known, "__url").select(id_col, "__site", F.explode(F.when(F.col("__kind") == "script", F.col("__script")).otherwise(F.col("__manifest"))).alias("__path")).where(urls.is_page(F.col("__path")))
-    return own.unionByName(led).select(id_col, urls.without_tracking(F.concat("__site", "__path")).alias("route")).distinct()
+    wanted = base.select(id_col, "__site", F.explode(F.concat(asked, manifest)).alias("__s")).groupBy(id_col, "__site", F.col("__s.url").alias("__url"))
+    wanted = wanted.agg(F.when(F.min("__s.kind") == F.max("__s.kind"), F.min("__s.kind")).otherwise("either").alias("__kind"))
+    # Where a site ends like this, what stands before a path changes the path's normal form.
+    wanted = materialise(wanted.withColumn("__odd", F.col("__site").rlike("[&]|[:/]$")))
+    in_manifest = lambda p: p.startswith("/") & ~p.contains("/_") & F.length(p).between(2, 201)
+    said = scripts.where("body is not null").select(F.col("url").alias("__url"), F.explode(F.array_distinct(literals(F.col("body")))).alias("__path")).distinct().withColumn("__s", is_route(F.col("__path"))).withColumn("__m", in_manifest(F.col("__path")))
+    said = materialise(said.where((F.col("__s") | F.col("__m")) & urls.is_page(F.col("__path"))).withColumn("__tail", tail(F.col("__path"))))
+    alone = said.groupBy("__tail").agg(F.count("*").alias("__n")).where("__n = 1").join(own.select("__tail"), "__tail", "left_anti").select("__tail", F.lit(True).alias("__alone"))
+    kinds = F.explode(F.array_compact(F.array(F.lit("either"), F.when(F.col("__s"), "script"), F.when(F.col("__m"), "manifest")))).alias("__kind")
+    said = materialise(said.join(alone, "__tail", "left").select("__url", "__path", "__tail", F.coalesce("__alone", F.lit(False)).alias("__alone"), kinds))
+    pieces = said.groupBy("__url", "__kind", "__alone").agg(F.ceil(F.count("*") / piece).cast("int").alias("__pieces"))
+    packed = said.join(pieces, ["__url", "__kind", "__alone"]).groupBy("__url", "__kind", "__alone", F.pmod(F.xxhash64("__path"), "__pieces").cast("int").alias("__piece"))
+    packed = materialise(packed.agg(F.collect_list("__path").alias("__paths"), F.collect_list("__tail").alias("__tails")))
+    asked_pieces = wanted.join(pieces, ["__url", "__kind"]).select("*", F.explode(F.sequence(F.lit(0), F.col("__pieces") - 1)).alias("__piece")).drop("__pieces")
+    keys = ["__url", "__kind", "__alone", "__piece"]
+    met = spread(asked_pieces, *keys).join(spread(packed, *keys), keys)
+    at_site = F.concat("__site", "__tail").alias("route")
+    once = met.where("__alone and not __odd").select(id_col, "__site", F.explode("__tails").alias("__tail")).select(id_col, at_site)
+    others = own.select(id_col, "__site", "__path").unionByName(met.where("not __alone or __odd").select(id_col, "__site", F.explode("__paths").alias("__path")))
+    return others.select(id_col, urls.without_tracking(F.concat("__site", "__path")).alias("route")).distinct().unionByName(once)
+
+
+def tail(path: Column) -> Column:
+    """What follows the site in a route without tracking."""
+    return F.substring(urls.without_tracking(F.concat(F.lit("http://h"), path)), 9, 1 << 30)
 
 
 def own_endpoints(html: Column) -> Column:

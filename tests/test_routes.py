@@ -16,6 +16,28 @@ def test_routes(spark):
     assert got == top | {(2, "http://c.d/blog/:param"), (2, "http://c.d/from-cdn"), (2, "http://c.d/blog/[slug]"), (6, "http://c.d/l")}
 
 
+def test_routes_by_hand(spark):
+    """Paths of one script and of several, dealt over pieces, and sites that change a path's normal form."""
+    tags = lambda *srcs: "".join(f"<script src='{s}'></script>" for s in srcs)
+    props = lambda p: '<script id="__NEXT_DATA__">{"page": "' + p + '"}</script>'
+    build = '<a x="/_next/static/B/_buildManifest.js">'
+    rows = [(1, "http://a.b/", tags("/one.js", "/two.js") + props("/own")), (1, "http://a.b/x", tags("/one.js")), (2, "http://u&ref=1/", tags("http://a.b/one.js")), (3, "http://h:", tags("http://a.b/two.js")), (4, "http://a.b/", tags("/_next/static/B/_ssgManifest.js") + build)]
+    scripts = [("http://a.b/one.js", "'/own','/both','/x0','/x1','/x2','/x3','/x4','/x5'"), ("http://a.b/two.js", "'/both','/y'"), ("http://a.b/two.js", "'/y','/z'"), ("http://a.b/_next/static/B/_ssgManifest.js", "'/','/m?ref=2','/m','/n?q=1','/plain'")]
+    for piece in (1, 2, 500):
+        df = routes.routes(spark.createDataFrame(rows, "id int, url string, html string"), spark.createDataFrame(scripts, "url string, body string"), "id", "url", "html", piece)
+        got = sorted(tuple(r) for r in df.collect())
+        xs = [f"/x{i}" for i in range(6)]
+        want = [(1, "http://a.b" + p) for p in ["/own", "/both", "/y", "/z", *xs]] + [(2, "http://u")] + [(3, "http://h:" + p) for p in ("/both", "/y", "/z")] + [(4, "http://a.b" + p) for p in ("/m", "/n?q=1", "/plain")]
+        assert got == sorted(want)
+
+
+def test_routes_are_not_shuffled(spark):
+    """A path that one script alone names goes from the join to the result."""
+    pages = spark.createDataFrame([(1, "http://a.b/", "<script src='/one.js'></script>")], "id int, url string, html string")
+    df = routes.routes(pages, spark.createDataFrame([("http://a.b/one.js", "'/x'")], "url string, body string"), "id", "url", "html")
+    assert df._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
+
+
 def test_endpoints(spark):
     html = """<div data-url='list.json' data-x="/api"></div><script>$.get("/ajax/a"); prefetch("/no"); axios('https://x.y/z'); fetch("/api/log")</script>"""
     pages = [(1, "http://a.b/p/q", html + '<script src="/index.js"></script><script src="/app/main.js"></script><script src="/other.js"></script><script src="/index.js"></script>'), (2, "http://a.b/", None), (3, None, html), (4, "http://a.b/", "")]
