@@ -93,7 +93,10 @@ def bits(word: Column) -> Column:
 
 
 def meanings(asked: DataFrame, known: DataFrame) -> DataFrame:
-    """asked: site, token. known: site, word (both distinct). Returns site, token, word, kind: same, part (the token stands within the word) or typo."""
+    """asked: site, token. known: site, word (both distinct). Returns site, token, word, kind: same, part (the token stands within the word) or typo.
+
+    A number is never taken for another one: page 7198 is not page 7197 typed wrongly.
+    """
     same = asked.join(known.withColumn("token", F.col("word")), ["site", "token"]).select("site", "token", "word", F.lit("same").alias("kind"))
     posted = known.where(F.length("word") > 3).select("site", "word", F.explode(pieces(F.col("word"))).alias("piece"))
     often = posted.groupBy("site", "piece").agg(F.count("*").alias("n"))
@@ -102,7 +105,7 @@ def meanings(asked: DataFrame, known: DataFrame) -> DataFrame:
     short = asked.where(F.length("token") < 3)
     small = known.join(short.select("site").distinct(), "site", "left_semi").select("site", "word", F.explode(bits(F.col("word"))).alias("token")).join(short, ["site", "token"]).where(F.col("word") != F.col("token"))
     keyed = lambda df, c: df.where(F.length(c) >= 4).select("site", c, F.explode(typing_keys(F.col(c))).alias("left"))
-    typed = keyed(asked, "token").join(keyed(known, "word"), ["site", "left"]).select("site", "token", "word").distinct().where((F.col("token") != F.col("word")) & concepts.typo(F.col("word"), F.col("token")))
+    typed = keyed(asked.where(~F.col("token").rlike("^[0-9]+$")), "token").join(keyed(known, "word"), ["site", "left"]).select("site", "token", "word").distinct().where((F.col("token") != F.col("word")) & concepts.typo(F.col("word"), F.col("token")))
     out = same.unionByName(part.select("site", "token", "word", F.lit("part").alias("kind"))).unionByName(small.select("site", "token", "word", F.lit("part").alias("kind")))
     return out.unionByName(typed.withColumn("kind", F.lit("typo")))
 

@@ -141,3 +141,10 @@ def test_targets(spark):
     says = {"Take me to the Contact page?": "Contact", "please open up the page for Jeep Wrangler!": "Jeep Wrangler", "where can I learn about the team": "team", "Leetcode Mastery course page.": "Leetcode Mastery", "pricing": "pricing"}
     got = spark.createDataFrame([(s,) for s in says], "s string").select("s", nav.target_of("s").alias("t")).collect()
     assert {r.s: r.t for r in got} == says
+
+
+def test_numbers_are_not_typed_wrongly(spark):
+    places = [("s", i, f"http://a.b/en/{n}", f"Garden {i}", "text", False, None) for i, n in enumerate((7198, 7197, 50447, 31689, 8765))]
+    asked = [("s", i, f"Take me to the en {n} page") for i, n in enumerate((7198, 50477, 32689, 8765))] + [("s", 4, "take me to gardne 2")]
+    got = nav.resolved(spark.createDataFrame(asked, "site string, query_id int, query string"), spark.createDataFrame(places, "site string, id int, url string, title string, entity_type string, priced boolean, facts string"))
+    assert sorted((r.query_id, r.status, r.id) for r in got.collect())[:4] == [(0, "exact", 0), (1, "not_found", None), (2, "not_found", None), (3, "exact", 4)]
