@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loomwright.functions import concepts, freshness, intent, nested, numbers, text, urls
 from loomwright.operators import aggregates, changes, constraints, crawl, dealers, entities, inventory, keyed, matching, navigation, references, rerank, retrieval, routing, vectors
+from loomwright.operators.ordered import spread
 from loomwright.sources import cards, extraction, feeds, routes, structured, vehicle_pages
 from loomwright.sources import pages as web
 from loomwright.streaming import sessions
@@ -782,7 +783,7 @@ def feed_records(spark, sf_dir):
     size = F.col("p_size").cast("string")
     hard = F.concat(F.lit('"'), "p_type", F.lit(', ""'), "p_brand", F.lit('""\n; x"'))
     body = F.concat(F.lit("title"), sep, F.lit(" price "), sep, F.lit("brand\r\n\r\n"), "p_name", sep, size, sep, "p_brand", F.lit("\r\n"), hard, sep, size, F.lit("\n"))
-    found = feeds.csv_items(read(spark, sf_dir, "part").select("p_partkey", body.alias("body")), "p_partkey", "body")
+    found = feeds.csv_items(spread(read(spark, sf_dir, "part")).select("p_partkey", body.alias("body")), "p_partkey", "body")
     return found.select("p_partkey", "place", F.col("raw")["title"].alias("title"), F.col("raw")["price"].alias("price"), F.col("raw")["brand"].alias("brand"))
 
 
@@ -862,7 +863,7 @@ def page_cards(spark, sf_dir):
     one = [F.lit('<div class="product-list"><div class="my-card"><span class="item-name">'), "p_name", F.lit("</span>"), price, link, F.lit("<p>Of type <b>"), "p_type", F.lit("</b>.</p></div>")]
     two = [F.lit("<li id='course-1'><div><h3>"), "p_brand", F.lit(' course &amp; more</h3><img data-src="i.png"></div></li>')]
     rest = [F.lit('<article class="box"><h2>'), F.upper("p_name"), F.lit('</h2><p>repeated, so it does not count</p></article><div class="card"><h2>Loading</h2><p>furniture of the page, no card</p></div><div class="card"><h2>Nothing beside it</h2><a href="#">nothing to see here</a></div></div>')]
-    found = cards.cards(read(spark, sf_dir, "part").select("p_partkey", F.lit("http://s.example/list").alias("url"), F.concat(*one, *two, *rest).alias("html")), "p_partkey", "url", "html")
+    found = cards.cards(spread(read(spark, sf_dir, "part")).select("p_partkey", F.lit("http://s.example/list").alias("url"), F.concat(*one, *two, *rest).alias("html")), "p_partkey", "url", "html")
     return found.select("p_partkey", "place", "title", "url", "data_type", "price", "image", "description")
 
 
