@@ -849,7 +849,7 @@ def vehicle_specs(spark, sf_dir):
     color = F.when(key % 2 == 0, F.concat(F.lit("<dt>Exterior Colour</dt><dd>"), "p_type", F.lit(" &amp; Co</dd>"))).otherwise(F.concat(F.lit("<li>Color:<b>Grey</b></li><li>Paint: "), "p_brand", F.lit("</li>")))
     body = [F.lit("<table><tr><th> VIN: </th><td>not yet</td></tr></table><script>x({'vin': '"), vin, F.lit("', \"mileage\": 7})</script>"), color, F.lit("<p>Kilometers: "), size, F.lit(",000 km</p><p>Doors: 4</p><p>City</p><p>"), size, F.lit(".5 l</p><p>Engine: "), "p_brand"]
     body += [F.lit('</p><span class="x selling-price big">$ '), F.format_number("p_retailprice", 2), F.lit('</span><img src="logo.png"><img alt="a" data-src="/i/'), key, F.lit('.png">'), F.element_at(F.array(*map(F.lit, ("Brand New", "certified", "renewed"))), (key % 3 + 1).cast("int"))]
-    found = vehicle_pages.vehicles(read(spark, sf_dir, "part").select("p_partkey", F.lit("http://shop.ca/p").alias("url"), F.concat(head, *body).alias("html")), "p_partkey", "url", "html")
+    found = vehicle_pages.vehicles(spread(read(spark, sf_dir, "part")).select("p_partkey", F.lit("http://shop.ca/p").alias("url"), F.concat(head, *body).alias("html")), "p_partkey", "url", "html")
     return found.select("p_partkey", "title", "condition", "year", "make", "vin", "exterior_color", "engine", "mileage", "doors", "price", "city_fuel", F.array_join("images", " ").alias("image"))
 
 
