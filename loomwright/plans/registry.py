@@ -371,7 +371,7 @@ CASE WHEN contains(q, 'not electric') THEN NULL ELSE {_first_sql(intent.FUELS)}
 def model_names(spark, sf_dir):
     """What turns that name models ask for; a model tells its make."""
     asked = F.coalesce(F.get(F.array(*map(F.lit, ASKS)), (F.col("p_partkey") % (len(ASKS) + 3)).cast("int")), F.col("p_name"))
-    found = intent.understood(read(spark, sf_dir, "part").select("p_partkey", asked.alias("asked")), "asked")
+    found = intent.understood(spread(read(spark, sf_dir, "part")).select("p_partkey", asked.alias("asked")), "asked")
     return found.select("p_partkey", *(f"intent.{c}" for c in ("make", "model", "transmission", "drivetrain", "engine", "level", "format", "currency", "fuel", "condition")))
 
 
