@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.functions.vehicles import clock
+from loomwright.operators.ordered import spread
 
 # Days from 0, known by their first two or three letters or in full; words of closed days; names by which a dealer's title tells.
 DAYS = ("sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday")
@@ -46,11 +49,17 @@ def opening_hours(hours: Column) -> Column:
     is_object = lambda v: F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
     entries = F.flatten(F.transform(items, lambda v: F.when(is_object(v), of_object(v)).otherwise(F.coalesce(of_text(F.try_variant_get(v, "$", "string")), nothing))))
 
-    def week(d: Column) -> Column:
-        last = F.get(F.reverse(F.filter(entries, lambda e: e["day"] == d)), 0)
-        return F.struct(d.alias("day"), last["opens"].alias("opens"), last["closes"].alias("closes"), (last["opens"].isNull() & last["closes"].isNull()).alias("closed"))
+    def week(d: Column, entries: Column) -> Column:
+        last = F.element_at(F.filter(F.concat(F.array(entry(d, F.lit(None), F.lit(None))), entries), lambda e: e["day"] == d), -1)
+        return once(last, lambda e: F.struct(d.alias("day"), e["opens"].alias("opens"), e["closes"].alias("closes"), (e["opens"].isNull() & e["closes"].isNull()).alias("closed")))
+
+    # Entries are read off the text once, not once a day and member.
+    return F.when(F.coalesce(hours, F.lit("")) != "", once(entries, lambda es: F.transform(F.sequence(F.lit(0), F.lit(6)), lambda d: week(d, es))))
+
 
-    return F.when(F.coalesce(hours, F.lit("")) != "", F.transform(F.sequence(F.lit(0), F.lit(6)), week))
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out one time however often use names it."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def profiles(entities: DataFrame, site: str, url: str) -> DataFrame:
@@ -67,4 +76,4 @@ def profiles(entities: DataFrame, site: str, url: str) -> DataFrame:
         F.coalesce("description", "content").alias("description"), get("hours").alias("hours"),
     )
     first = entities.where(stated | told).groupBy(site).agg(F.min_by(row, F.struct(F.col(url), F.col("place"))).alias("__r")).select(site, "__r.*")
-    return first.withColumn("hours", opening_hours(F.col("hours")))
+    return spread(first).withColumn("hours", opening_hours(F.col("hours")))

@@ -832,7 +832,7 @@ def dealer_profiles(spark, sf_dir):
     script = lambda b: F.concat(F.lit('<script type="application/ld+json">'), b, F.lit("</script>"))
     home = F.concat(F.lit("http://s"), key, F.when(key % 4 == 1, ".ca/").otherwise(".com/"))
     pages = F.array(F.struct(F.concat(home, F.lit("a")).alias("url"), F.concat(script(F.lit('{"@type": "Product", "name": "Ford part"}')), script(stated)).alias("html")), F.struct(F.concat(home, F.lit("b")).alias("url"), script(F.lit('{"@type": "Organization", "name": "Z", "telephone": "0"}')).alias("html")))
-    rows = read(spark, sf_dir, "supplier").select("s_suppkey", F.inline(pages))
+    rows = spread(read(spark, sf_dir, "supplier")).select("s_suppkey", F.inline(pages))
     each = structured.entities(rows.select(F.struct("s_suppkey", "url").alias("page"), "url", "html"), "page", "url", "html").select("page.*", "place", "data_type", "title", "content", "description", "images", "details")
     found = dealers.profiles(each, "s_suppkey", "url")
     week = F.array_join(F.transform("hours", lambda h: F.concat(h["day"].cast("string"), F.lit("="), F.coalesce(h["opens"], F.lit("-")), F.lit("/"), F.coalesce(h["closes"], F.lit("-")))), " ")
