@@ -715,7 +715,7 @@ def structured_entities(spark, sf_dir):
     inner = F.concat(F.lit('{"@type": "ItemList", "itemListElement": '), two, F.lit("}"))
     nested_ = F.when(key % 4 == 0, F.concat(F.lit('{"@graph": ['), inner, F.lit("]}"))).when(key % 4 == 1, inner).otherwise(F.concat(F.lit('{"@type": "OfferCatalog", "itemListElement": [{"item": {"@type": "CollectionPage", "offers": ['), inner, F.lit("]}}]}")))
     html = F.concat(F.lit('<script type="application/ld+json">'), nested_, F.lit('</script><script type="application/ld+json">{broken</script>'))
-    found = structured.entities(read(spark, sf_dir, "part").select("p_partkey", F.lit("http://shop.example/").alias("url"), html.alias("html")), "p_partkey", "url", "html")
+    found = structured.entities(spread(read(spark, sf_dir, "part")).select("p_partkey", F.lit("http://shop.example/").alias("url"), html.alias("html")), "p_partkey", "url", "html")
     detail = F.coalesce(*(F.col(f"details.{d}") for d in ("brand", "make", "specialty", "address", "bedrooms")))
     detail = F.when(F.col("family") == "property", F.col("details.bedrooms")).otherwise(detail)
     return found.select("p_partkey", "place", "family", "data_type", "title", "content", "price", "availability", detail.alias("detail"))

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["page_cards", "vehicle_specs", "model_names", "feed_records", "dealer_profiles"])
+@pytest.mark.parametrize("name", ["page_cards", "vehicle_specs", "model_names", "structured_entities", "feed_records", "dealer_profiles"])
 def test_rows_are_dealt(spark, name):
     """The one file of parts or suppliers is not one task's work."""
     plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
