@@ -32,6 +32,29 @@ def test_claimed_by_hubs(spark, few, hub_rows):
     assert got == scan(incoming, existing, lambda a, b: bool(a & b))
 
 
+def test_chains_of_competing_rows_need_few_rounds(spark, monkeypatch):
+    """Each row's place hangs on the row before: rounds alone would settle one pair at a time."""
+    rounds, firmed = [], matching.firmed
+    monkeypatch.setattr(matching, "firmed", lambda pairs, live: rounds.append(1) or firmed(pairs, live))
+    n = 25
+    incoming = spark.createDataFrame([(f"h{h}", i) for i in range(n) for h in (i, i + 1)], "hub string, id long")
+    existing = spark.createDataFrame([(f"h{e}", e) for e in range(n)], "hub string, id long")
+    assert sorted(tuple(r) for r in matching.claimed(incoming, existing, 0).collect()) == [(i, i) for i in range(n)]
+    assert len(rounds) <= 3
+
+
+def test_claimed_by_blocks(spark):
+    """Blocks of a few links on both sides, also where what fits lies blocks away, and ids below 0."""
+    rng = random.Random(5)
+    hubs = lambda: {f"h{int(rng.random() ** 2 * 12)}" for _ in range(rng.randint(0, 3))}
+    incoming, existing = {i - 20: hubs() for i in range(60)}, {e - 10: hubs() for e in range(50)}
+    incoming |= {100 + i: {f"far{i}"} for i in range(10)} | {200 + i: {"h0"} for i in range(20)}
+    existing |= {-100 - e: {f"far{e}"} for e in range(10)} | {300 + e: {"h1", "none"} for e in range(20)}
+    frame = lambda rows: spark.createDataFrame([(h, i) for i, hs in rows.items() for h in hs], "hub string, id long")
+    got = sorted(tuple(r) for r in matching.claimed(frame(incoming), frame(existing), block=25).collect())
+    assert got == scan(incoming, existing, lambda a, b: bool(a & b))
+
+
 FIELDS = "id long, sku string, shopify_id string, woo_id string, external_id string, title string, entity_type string, source_url string"
 
 
