@@ -2,6 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all documents the one before kept, and returns a DataFrame; run() writes each
 as Parquet to the shared folder and reads it again for the next. All but the last return the columns of documents.
+
+The order that mixing gives to documents is that of the files it is written to and of the rows in them; packing reads it from there.
 """
 
 from __future__ import annotations
@@ -9,7 +11,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomwright.llm import minhash_dedup, quality_rules, secret_scan, sequence_packing, source_mixing
 from loomwright.llm.common import materialise, table
@@ -35,9 +39,19 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return source_mixing.mixture(docs)
 
 
+def as_written(docs: DataFrame) -> Column:
+    """A whole number that grows along the rows as they were written: the number of the file in the upper bits, the row's number in it in the lower 33. For what is no Parquet file, along the rows as they come."""
+    try:
+        file = docs.metadataColumn("_metadata")
+        docs.select(file["row_index"])
+    except AnalysisException:
+        return F.monotonically_increasing_id()
+    return F.shiftleft(F.coalesce(F.regexp_extract(file["file_name"], "part-([0-9]+)", 1).try_cast("long"), F.lit(0)), 33) + file["row_index"]
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document stands in the sequences."""
-    return sequence_packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Where each piece of each document stands in the sequences, which are numbered along the mixture."""
+    return sequence_packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), at=as_written(docs))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -11,6 +11,9 @@ first, into the free ends of the sequences and into new ones, many equal sequenc
 The driver holds the histogram (one count for each length up to the limit) and the plan, both bounded by the limit and not by the rows. Pieces
 get their place from their rank within their length, found by running sums over shares.
 
+Where documents have an order (that of a mixture, say), pieces of one length are ranked by it, and the configurations are spread evenly over the numbers of the sequences, so every length's pieces go through the
+sequences from first to last in that order. As few sequences are needed as without.
+
 Cases: a null or empty text is one piece that holds only the end id; a longer document is cut at the limit; rows with equal or null ids are packed
 each by itself (rows that are the same in every column keep their own places); lengths that tie go in a fixed order; other columns are passed over, whatever their names; an empty table gives no rows.
 """
@@ -27,17 +30,19 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
-from .ranks import running_sum
+from .common import discard, materialise
+from .ranks import SHARE, running_sum
 
 LIMIT, END_ID = 4096, 1
 #: Rounds of multiplicative weights, the share of a sequence by which a length's weight may fall (half a token), and draws for each place of a configuration.
 ROUNDS, FALL, DRAWS = 140, 0.5 / LIMIT, 12
 #: Of the rounds, those at first that only raise weights, for a better bound; covering begins at the tokens' prices again, which most lengths can meet.
 DUAL = 8
+#: Where documents have an order: no group of equal sequences that stay together is more than this part of all.
+EVEN = 1000
 #: Words whose ids a Python worker remembers before it starts anew, and words of texts that are looked up together.
 MEMO, HELD = 1_200_000, 300_000
 #: A letter and stops before white space: the stops are a piece of their own.
@@ -94,38 +99,40 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def _pieces(path: str):
-    kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
+def _pieces(path: str, own: int):
+    kinds = [*[pa.int64()] * own, pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    names = [*("doc_id", "at")[:own], "piece", "start", "length", "ids_crc32"]
     end = np.array([END_ID], dtype="<u4").tobytes()
 
-    def cut(memo: WordIds, doc_ids: list, texts: list[list[bytes]]) -> pa.RecordBatch:
+    def cut(memo: WordIds, docs: list[tuple], texts: list[list[bytes]]) -> pa.RecordBatch:
         out, got, at = [], memo.ids([w for words in texts for w in words]), 0
-        for doc_id, words in zip(doc_ids, texts, strict=True):
+        for doc, words in zip(docs, texts, strict=True):
             ids = b"".join(got[at : (at := at + len(words))]) + end
             for piece, start in enumerate(range(0, len(ids), 4 * LIMIT)):
                 part = ids[start : start + 4 * LIMIT]
-                out.append((doc_id, piece, start // 4, len(part) // 4, zlib.crc32(part)))
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds.values(), strict=True)], names=list(kinds))
+                out.append((*doc, piece, start // 4, len(part) // 4, zlib.crc32(part)))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, ids, texts, held = word_ids(path), [], [], 0
+        memo, docs, texts, held = word_ids(path), [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                ids.append(doc_id)
+            for *doc, text in zip(*(c.to_pylist() for c in batch.columns[:-1]), batch.columns[-1].cast(pa.binary()), strict=True):
+                docs.append(doc)
                 texts.append(memo.words(text.as_py()))
                 held += len(texts[-1])
                 if held > HELD:
-                    yield cut(memo, ids, texts)
-                    ids, texts, held = [], [], 0
-        if ids:
-            yield cut(memo, ids, texts)
+                    yield cut(memo, docs, texts)
+                    docs, texts, held = [], [], 0
+        if docs:
+            yield cut(memo, docs, texts)
 
     return run
 
 
-def pieces(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every document's pieces."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(path), "doc_id long, piece int, start long, length long, ids_crc32 long")
+def pieces(docs: DataFrame, path: str, at: Column | None = None) -> DataFrame:
+    """doc_id, at (where given), piece, start, length, ids_crc32 of every document's pieces."""
+    own = [F.col("doc_id").cast("long"), *([] if at is None else [at.cast("long").alias("at")])]
+    return docs.select(*own, "text").mapInArrow(_pieces(path, len(own)), f"doc_id long, {'' if at is None else 'at long, '}piece int, start long, length long, ids_crc32 long")
 
 
 def dearest(lengths: np.ndarray, worth: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -260,11 +267,26 @@ def best_fit(groups: list[tuple[int, dict[int, int]]], lengths: np.ndarray, left
     return [g for x in free for g in x if g[1]]
 
 
-def plan(lengths: np.ndarray, counts: np.ndarray, limit: int = LIMIT, rounds: int = ROUNDS) -> pd.DataFrame:
-    """Where the pieces of each length go: ranks from ``first`` on, ``each`` to a sequence, from ``sequence`` on, at ``place``."""
+def spread(packed: list[tuple[int, dict[int, int]]]) -> list[tuple[int, dict[int, int]]]:
+    """Cuts large groups of equal sequences and deals their parts evenly, others anywhere, so that any run of sequences has its share of every length."""
+    rng, most = np.random.default_rng(2), max(1, sum(number for number, _ in packed) // EVEN)
+    parts = []
+    for number, held in packed:
+        n = -(-number // most)
+        sizes = np.diff(np.arange(n + 1) * number // n).tolist()
+        parts += [(t, size, held) for t, size in zip(((np.arange(n) + rng.random()) / n).tolist(), sizes, strict=True)]
+    return [(size, held) for _, size, held in sorted(parts, key=lambda x: x[0])]
+
+
+def plan(lengths: np.ndarray, counts: np.ndarray, limit: int = LIMIT, rounds: int = ROUNDS, even: bool = False) -> pd.DataFrame:
+    """Where the pieces of each length go: ranks from ``first`` on, ``each`` to a sequence, from ``sequence`` on, at ``place``.
+
+    even: each length's ranks go evenly through all sequences.
+    """
     used, _ = solve(lengths, counts, limit, rounds)
     ways = [rounded(used, counts, True), rounded(used, counts, False), ([], counts)]
     packed = min((best_fit(fixed, lengths, left, limit) for fixed, left in ways), key=lambda groups: sum(number for number, _ in groups))
+    packed = spread(packed) if even else packed
     rows, rank, sequence = [], np.zeros(len(lengths), dtype=np.int64), 0
     for number, held in packed:
         place = 0
@@ -276,14 +298,23 @@ def plan(lengths: np.ndarray, counts: np.ndarray, limit: int = LIMIT, rounds: in
     return pd.DataFrame(rows, columns=["length", "first", "each", "sequence", "place"]).sort_values(["length", "first"], ignore_index=True)
 
 
-def pack(docs: DataFrame, path: str, rounds: int = ROUNDS) -> DataFrame:
-    """docs: doc_id, text. Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row for each piece."""
+def pack(docs: DataFrame, path: str, rounds: int = ROUNDS, at: Column | None = None) -> DataFrame:
+    """docs: doc_id, text. Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row for each piece.
+
+    at: a whole number that tells documents apart and orders them; sequences are then numbered along it (0 first), as far as lengths allow.
+    """
     spark = docs.sparkSession
-    found = materialise(pieces(docs, path).withColumn("one", F.lit(1).cast("long")))
+    found = materialise(pieces(docs, path, at).withColumn("one", F.lit(1).cast("long")))
     histogram = found.groupBy("length").agg(F.count("*").alias("n")).orderBy("length").toPandas()  # at most LIMIT rows
-    table = plan(histogram["length"].to_numpy(np.int64), histogram["n"].to_numpy(np.int64), LIMIT, rounds)
+    table, rows = plan(histogram["length"].to_numpy(np.int64), histogram["n"].to_numpy(np.int64), LIMIT, rounds, at is not None), int(histogram["n"].sum())
     held = spark.sparkContext.broadcast({c: table[c].to_numpy(np.int64) for c in table})  # a few rows for each length and round
-    ranked = running_sum(found, ["length"], ["doc_id", "piece", "ids_crc32"], "one", "rank", int(histogram["n"].sum()))
+    if at is None:
+        ranked = running_sum(found, ["length"], ["doc_id", "piece", "ids_crc32"], "one", "rank", rows)
+    else:
+        # Shares follow one another as the order does; there are no more ranges than shares.
+        dealt = materialise(found.repartitionByRange(max(1, -(-rows // SHARE)), "at").withColumn("range", F.spark_partition_id()))
+        discard(found)
+        ranked = running_sum(dealt, ["length"], ["at", "piece"], "one", "rank", rows, F.col("range"))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = held.value
@@ -294,4 +325,4 @@ def pack(docs: DataFrame, path: str, rounds: int = ROUNDS) -> DataFrame:
             beyond = rank - t["first"][at]
             yield frame.drop(columns="rank").assign(sequence_id=t["sequence"][at] + beyond // t["each"][at], offset=t["place"][at] + beyond % t["each"][at] * length)
 
-    return ranked.drop("one").select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -2,6 +2,7 @@
 
 import os
 import random
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -229,3 +230,38 @@ def test_pipeline_of_odd_rows(spark):
         assert {r.doc_id for r in out} == want and {r["__secrets"] for r in out} <= {"mine"} and not any("AKIA" in r.text for r in out)
         packed = corpus_pipeline.STAGES[-1][1](spark, now, SF).collect()
         assert {r.doc_id for r in packed} == want and len(packed) == len(out)
+
+
+def test_sequences_follow_the_mixture(spark):
+    """What mixing orders, packing keeps: of documents of one length the first in the mixture stand in the first sequences."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.createDataFrame([((i * 37) % 120, "tie " * 1364, "en", "a" if i % 4 else "b", 5456) for i in range(120)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several files
+    try:
+        mixed = corpus_pipeline.materialise(stages["mixing"](spark, docs, SF))
+        got = {r.doc_id: r.sequence_id for r in stages["packing"](spark, mixed, SF).collect()}
+        straight = {r.doc_id: r.sequence_id for r in stages["packing"](spark, stages["mixing"](spark, docs, SF), SF).collect()}  # no files between
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(mixed.inputFiles()) > 1
+    order = [r.doc_id for r in source_mixing.mix(docs).orderBy("__slot", "doc_id").collect()]
+    assert order != sorted(order) and sorted(got.values()) == sorted([*range(40)] * 3)
+    assert [got[d] for d in order] == sorted(got.values()) and straight == got
+    plain = {r.doc_id: r.sequence_id for r in stages["packing"](spark, corpus_pipeline.materialise(docs.orderBy("doc_id")), SF).collect()}
+    assert plain != got  # so the stage has an effect
+
+
+def test_spread_of_configurations():
+    """Each length's pieces go evenly through all sequences; none is lost and none more is needed."""
+    from loomwright.llm import sequence_packing
+
+    lengths, counts = np.array([100, 1000, 1048, 2000, 2096, 4096]), np.array([50_000, 30_000, 20_000, 40_000, 40_000, 700])
+    packed = sequence_packing.best_fit([], lengths, counts)
+    parts = sequence_packing.spread(packed)
+    held = lambda groups: Counter({i: sum(number * x.get(i, 0) for number, x in groups) for i in range(len(lengths))})
+    assert sum(n for n, _ in parts) == sum(n for n, _ in packed) and held(parts) == held(packed) == Counter(dict(enumerate(counts.tolist())))
+    table = sequence_packing.plan(lengths, counts, even=True)
+    ends = table.groupby("length")["sequence"].agg(["min", "max"])
+    assert (ends["min"] < 0.1 * table.sequence.max()).all() and (ends["max"] > 0.9 * table.sequence.max()).all()
