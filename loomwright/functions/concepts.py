@@ -62,12 +62,13 @@ def table_of(pairs: Iterable[tuple[str, str]]) -> Column:
 def concept_of(term: Column) -> Column:
     """The concept of a term: its whole plain form as a name, else the first of its words that is or nearly is one; null without any."""
     known = names()
-    whole = F.element_at(F.expr("map(" + ", ".join(f"'{n}', '{c}'" for n, c in known.items()) + ")"), plain(term))
+    named = lambda x: F.element_at(F.expr("map(" + ", ".join(f"'{n}', '{c}'" for n, c in known.items()) + ")"), x)
     table = table_of(known.items())
-    words = F.filter(F.split(plain(term), " "), lambda w: F.length(w) >= 2)
-    # The first name in table order for each word, then the first word that has one.
-    hits = F.transform(words, lambda w: F.get(F.filter(table, lambda n: typo(w, n["name"])), F.lit(0))["concept"])
-    return F.coalesce(whole, F.get(F.filter(hits, lambda c: c.isNotNull()), F.lit(0)))
+    # No name has a digit, so a number is not nearly one.
+    words = F.filter(F.split(plain(term), " "), lambda w: (F.length(w) >= 2) & ~w.rlike("^[0-9]+$"))
+    # The first name in table order for each word (a word of less than four letters is one or none), then the first word that has one.
+    hits = F.transform(words, lambda w: F.when(F.length(w) < 4, named(w)).otherwise(F.get(F.filter(table, lambda n: typo(w, n["name"])), F.lit(0))["concept"]))
+    return F.coalesce(named(plain(term)), F.get(F.filter(hits, lambda c: c.isNotNull()), F.lit(0)))
 
 
 def related(a: Column, b: Column) -> Column:

@@ -1,8 +1,8 @@
 """Where a spoken request leads on a site: scoring of a site's destinations for each query, over an inverted index.
 
 Words of destinations are posted under their site; what a query's words mean there (the same word, a part of it, or the same but for typing) is found between the distinct words of both sides: parts by their rarest
-three-letter piece, typing by what is left of a word when up to two letters are dropped. A destination is scored only if it can reach the least score at all: by one of the rarer words of the query, by a
-word typed wrongly, by the concept of its page or as the home page. No pair of a query and a destination is made otherwise.
+piece of six letters (as they stand, if shorter), typing by what is left of a word when up to two letters are dropped. A destination is scored only if it can reach the least score at all: with so many of the query's
+words that it meets one of the rarest, by a word typed wrongly, by the concept of its page or as the home page. No pair of a query and a destination is made otherwise.
 """
 
 from __future__ import annotations
@@ -83,8 +83,14 @@ def typing_keys(word: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), F.when(n >= 4, once).otherwise(none), F.when(n >= 6, twice).otherwise(none)))
 
 
-def pieces(word: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - 2, F.lit(1))), lambda i: F.substring(word, i, 3)))
+#: Letters of the longest pieces under which words are posted; a piece of three is shared by ever more of a site's numbers.
+PIECE = 6
+
+
+def pieces(word: Column, least: Column) -> Column:
+    """All parts of ``least`` to PIECE letters of a word that has as many as ``least``."""
+    sizes = F.sequence(least, F.least(F.length(word), F.lit(PIECE)))
+    return F.array_distinct(F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length(word) - n + 1), lambda i: F.substring(word, i, n)))))
 
 
 def bits(word: Column) -> Column:
@@ -98,14 +104,15 @@ def meanings(asked: DataFrame, known: DataFrame) -> DataFrame:
     A number is never taken for another one: page 7198 is not page 7197 typed wrongly.
     """
     same = asked.join(known.withColumn("token", F.col("word")), ["site", "token"]).select("site", "token", "word", F.lit("same").alias("kind"))
-    posted = known.where(F.length("word") > 3).select("site", "word", F.explode(pieces(F.col("word"))).alias("piece"))
+    posted = known.where(F.length("word") > 3).select("site", "word", F.explode(pieces(F.col("word"), F.lit(3))).alias("piece"))
     often = posted.groupBy("site", "piece").agg(F.count("*").alias("n"))
-    rare = asked.where(F.length("token") >= 3).select("site", "token", F.explode(pieces(F.col("token"))).alias("piece")).join(often, ["site", "piece"]).groupBy("site", "token").agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"))
+    rare = asked.where(F.length("token") >= 3).select("site", "token", F.explode(pieces(F.col("token"), F.least(F.length("token"), F.lit(PIECE)))).alias("piece")).join(often, ["site", "piece"]).groupBy("site", "token").agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"))
     part = rare.join(posted, ["site", "piece"]).where(F.contains("word", "token") & (F.col("word") != F.col("token")))
     short = asked.where(F.length("token") < 3)
     small = known.join(short.select("site").distinct(), "site", "left_semi").select("site", "word", F.explode(bits(F.col("word"))).alias("token")).join(short, ["site", "token"]).where(F.col("word") != F.col("token"))
     keyed = lambda df, c: df.where(F.length(c) >= 4).select("site", c, F.explode(typing_keys(F.col(c))).alias("left"))
-    typed = keyed(asked.where(~F.col("token").rlike("^[0-9]+$")), "token").join(keyed(known, "word"), ["site", "left"]).select("site", "token", "word").distinct().where((F.col("token") != F.col("word")) & concepts.typo(F.col("word"), F.col("token")))
+    spelt = asked.where(~F.col("token").rlike("^[0-9]+$") & (F.length("token") >= 4))
+    typed = keyed(spelt, "token").join(keyed(known.join(spelt.select("site").distinct(), "site", "left_semi"), "word"), ["site", "left"]).select("site", "token", "word").distinct().where((F.col("token") != F.col("word")) & concepts.typo(F.col("word"), F.col("token")))
     out = same.unionByName(part.select("site", "token", "word", F.lit("part").alias("kind"))).unionByName(small.select("site", "token", "word", F.lit("part").alias("kind")))
     return out.unionByName(typed.withColumn("kind", F.lit("typo")))
 
@@ -133,19 +140,24 @@ def resolved(queries: DataFrame, destinations: DataFrame, least: int = LEAST, ma
     clean_words, slug_words = words_of(F.col("clean"), 1), words_of(F.col("slug"))
     marked = lambda words, where: F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(where).alias("where")))
     url_words = F.filter(F.split(F.lower(F.regexp_replace("key", "[^A-Za-z0-9]+", " ")), " "), lambda w: w != "")
-    all_words = F.concat(marked(clean_words, "title"), marked(words_of(F.coalesce("facts", F.lit(""))), "fact"), marked(slug_words, "slug"), marked(F.array("raw_slug"), "raw"), marked(url_words, "url"))
+    # A whole target may also be the url's end with its accents, or the title with the site's name.
+    other_words = F.array_except(F.concat(words_of(F.col("key"), 1), words_of(F.col("title"), 1)), F.concat(clean_words, url_words))
+    all_words = F.concat(marked(clean_words, "title"), marked(words_of(F.coalesce("facts", F.lit(""))), "fact"), marked(slug_words, "slug"), marked(F.array("raw_slug"), "raw"), marked(url_words, "url"), marked(other_words, "url"))
     postings = materialise(places.select("site", F.col("id").alias("place"), F.explode(F.array_distinct(all_words)).alias("w")).select("site", "place", "w.word", "w.where").where("word <> ''"))
     # A target without a word of two letters is looked for under its single letters, or as it stands.
     probes = F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.filter(F.split("plain", " "), lambda w: w != ""))
-    probed = materialise(spoken.select("site", "query_id", F.size(probes).alias("n"), F.explode(F.array_distinct(probes)).alias("token")))
+    extra = F.when(F.col("whole"), 350).otherwise(F.col("to_page").cast("int") * 200 + F.col("to_entity").cast("int") * 200)
+    probed = spoken.select("site", "query_id", (F.size("tokens") > 0).alias("worded"), extra.alias("extra"), probes.alias("probes")).select("*", F.explode(F.array_distinct("probes")).alias("token"))
+    probed = probed.withColumn("n", F.size("probes")).withColumn("times", F.size(F.filter("probes", lambda w: w == F.col("token"))))
+    probed = materialise(probed.select("site", "query_id", "token", "n", "times", F.when(F.col("worded"), needed(F.col("n"), F.col("extra"), least)).otherwise(F.col("n")).alias("needed")))
     found = materialise(meanings(probed.select("site", "token").distinct(), postings.select("site", "word").distinct()))
     hits = found.join(postings, ["site", "word"]).where("kind <> 'part' or where <> 'fact'").where("kind = 'typo' or where <> 'raw' or kind = 'part'")
     often = materialise(found.where("kind <> 'typo'").join(postings.groupBy("site", "word").agg(F.count("*").alias("n_places")), ["site", "word"]).groupBy("site", "token").agg(F.sum("n_places").alias("often")))
-    # Half of the words must be met, other than by typing: one of the rarer ones is among them.
-    w = Window.partitionBy("query_id").orderBy(F.coalesce("often", F.lit(0)), "token")
-    rare = probed.join(often, ["site", "token"], "left").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") / 2) + 1)
+    # A destination that meets none of the rarest n - needed + 1 words meets too few.
+    before = Window.partitionBy("query_id").orderBy(F.coalesce("often", F.lit(0)), "token").rowsBetween(Window.unboundedPreceding, -1)
+    rare = probed.join(often, ["site", "token"], "left").withColumn("before", F.coalesce(F.sum("times").over(before), F.lit(0))).where(F.col("before") <= F.col("n") - F.col("needed"))
     by_word = rare.select("site", "query_id", "token").join(hits.where("kind <> 'typo'").select("site", "token", "place").distinct(), ["site", "token"]).select("site", "query_id", "place")
-    by_typing = probed.select("site", "query_id", "token").join(hits.where("kind = 'typo'").select("site", "token", "place").distinct(), ["site", "token"]).select("site", "query_id", "place")
+    by_typing = probed.select("site", "query_id", "token").join(hits.where("kind = 'typo' and where <> 'url'").select("site", "token", "place").distinct(), ["site", "token"]).select("site", "query_id", "place")
     at_home = F.col("path").isin("/", "") | F.col("slug").isin("", "index.html")
     by_home = spoken.where("home").select("site", "query_id").join(places.where(at_home).select("site", F.col("id").alias("place")), "site")
     # Concepts of pages, only at sites where one is asked for.
@@ -196,6 +208,19 @@ def host_suffixes(host: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
+def word_points(t: Column, s: Column) -> Column:
+    """For the shares of a query's words that are met in the title and in the slug."""
+    half_up = lambda x: F.floor(x + 0.5)
+    return F.when(t >= 1, 850).when(t >= 0.6, half_up(t * 550)).otherwise(0) + F.when(s >= 1, 700).when(s >= 0.5, half_up(s * 400)).otherwise(0)
+
+
+def needed(n: Column, extra: Column, least: int) -> Column:
+    """How many of a query's n words a destination must meet, other than by typing, to reach the least score with at most ``extra`` points for its kind: all, where only the whole target can do it (a target that is
+    the title, the slug, the path or the url's end, or stands within the title, is met with all its words)."""
+    most = lambda m: word_points(m / n, m / n)
+    return F.coalesce(F.get(F.filter(F.sequence(F.lit(1), n), lambda m: most(m) + F.when(most(m) >= 700, 200).otherwise(0) + extra >= least), F.lit(0)), n)
+
+
 def scores(both: DataFrame) -> DataFrame:
     """Adds score and is_exact to pairs of a query and a destination with their counts of met words."""
     c, n = F.col, F.size("tokens")
@@ -211,10 +236,9 @@ def scores(both: DataFrame) -> DataFrame:
     slugged = (slug != "") & (p != "") & ((slug == p) | (c("raw_slug") == F.replace(p, F.lit(" "), F.lit("-"))))
     kin = F.coalesce("kin", F.lit(False))
     t, s, f = (F.when(n > 0, F.coalesce(x, F.lit(0)) / n).otherwise(0.0) for x in ("t", "s", "f"))
-    half_up = lambda x: F.floor(x + 0.5)
     fuzzy = F.coalesce("f", F.lit(0))
     matched = points(home, 1000) + points(by_url, 1000) + points(by_path, 950) + points(titled, 1000) + points(within, 950) + points(slugged, 900) + points(kin, 900)
-    matched = matched + F.when(t >= 1, 850).when(t >= 0.6, half_up(t * 550)).otherwise(0) + F.when(s >= 1, 700).when(s >= 0.5, half_up(s * 400)).otherwise(0) + 250 * fuzzy
+    matched = matched + word_points(t, s) + 250 * fuzzy
     exact = home | by_url | by_path | titled | within | slugged | kin | ((t >= 1) & c("is_entity"))
     out = both.withColumn("matched", matched.cast("long")).withColumn("exact_so_far", exact)
     entity, page, asked_page, asked_entity = c("is_entity"), c("is_page"), c("to_page"), c("to_entity")

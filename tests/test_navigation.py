@@ -5,9 +5,11 @@ import re
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomwright.functions import concepts
 from loomwright.operators import navigation as nav
+from loomwright.operators.scratch import materialise
 
 
 def plain(s):
@@ -148,3 +150,35 @@ def test_numbers_are_not_typed_wrongly(spark):
     asked = [("s", i, f"Take me to the en {n} page") for i, n in enumerate((7198, 50477, 32689, 8765))] + [("s", 4, "take me to gardne 2")]
     got = nav.resolved(spark.createDataFrame(asked, "site string, query_id int, query string"), spark.createDataFrame(places, "site string, id int, url string, title string, entity_type string, priced boolean, facts string"))
     assert sorted((r.query_id, r.status, r.id) for r in got.collect())[:4] == [(0, "exact", 0), (1, "not_found", None), (2, "not_found", None), (3, "exact", 4)]
+
+
+def test_pairs_grow_with_requests(spark, monkeypatch):
+    """A word that all destinations of a site share leads to no pair of its own: each request is scored at the few that have its rarer word too."""
+    places = [("s", i, f"http://a.b/en/{1000 + i}", f"Garden {i}", "text", False, None) for i in range(300)]
+    asked = [("s", i, f"Take me to the en {1000 + i} page") for i in range(300)]
+    written = []
+    monkeypatch.setattr(nav, "materialise", lambda df: written.append(out := materialise(df)) or out)
+    got = nav.resolved(spark.createDataFrame(asked, "site string, query_id int, query string"), spark.createDataFrame(places, "site string, id int, url string, title string, entity_type string, priced boolean, facts string"))
+    assert all((r.status, r.id) == ("exact", r.query_id) for r in got.collect())
+    pairs = [df.count() for df in written if df.columns == ["site", "query_id", "place"]]
+    assert max(pairs) <= 2 * len(asked)
+
+
+def test_words_needed(spark):
+    def most(m, n):
+        t = m / n
+        points = (850 if t >= 1 else int(t * 550 + 0.5) if t >= 0.6 else 0) + (700 if t >= 1 else int(t * 400 + 0.5) if t >= 0.5 else 0)
+        return points + (200 if points >= 700 else 0)
+
+    rows = [(n, extra) for n in range(1, 9) for extra in (0, 200, 350, 400)]
+    for least in (450, 700, 2000):
+        got = spark.createDataFrame(rows, "n int, extra int").select("n", "extra", nav.needed(F.col("n"), F.col("extra"), least).alias("m")).collect()
+        assert {(r.n, r.extra): r.m for r in got} == {(n, x): next((m for m in range(1, n + 1) if most(m, n) + x >= least), n) for n, x in rows}
+
+
+def test_whole_title_and_accented_url(spark):
+    """A target that is the title with the site's name, or the end of a url with accents, finds its destination."""
+    places = [("s", 0, "http://a.b/café/x", "Menu", "page", False, None), ("s", 1, "http://a.b/p", "Garden | Old Mill Shop", "page", False, None)]
+    asked = [("s", 0, "open café/x"), ("s", 1, "open garden old mill shop")]
+    got = nav.resolved(spark.createDataFrame(asked, "site string, query_id int, query string"), spark.createDataFrame(places, "site string, id int, url string, title string, entity_type string, priced boolean, facts string"))
+    assert sorted((r.query_id, r.status, r.id) for r in got.collect()) == [(0, "exact", 0), (1, "exact", 1)]
