@@ -11,9 +11,9 @@ from loomwright.operators.scratch import materialise
 RANGE = 100_000
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows dealt evenly, or by keys, over as many tasks as a shuffle has: small rows that lead to much work each would else be the task of the one file, or of the one merged partition, that holds them."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+def spread(df: DataFrame, *keys: str, least: int = 1) -> DataFrame:
+    """Rows dealt evenly, or by keys, over as many tasks as a shuffle has, ``least`` at least: small rows that lead to much work each would else be the task of the one file, or of the one merged partition, that holds them."""
+    return df.repartition(max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
 def numbered(df: DataFrame, key: str, order: str, name: str = "place", rows: int | None = None, range_: int = RANGE) -> DataFrame:

@@ -87,15 +87,20 @@ def own_routes(html: Column) -> Column:
     return F.concat(F.when(page.startswith("/") & ~page.isin("/_error", "/404"), F.array(page)).otherwise(none), F.coalesce(linked, none), F.transform(chunks, lambda c: F.concat(F.lit("/"), c)))
 
 
-#: Paths of one script that one row of the join carries: a script that every page loads is dealt over as many tasks as it has pieces.
-PIECE = 500
+#: Paths of one script, and pages of one site that ask for it, that one row of the join carries: a script that every page loads is dealt over as many tasks as it has pieces.
+PIECE, GROUP = 500, 1000
+#: A piece meets the sites in bands: each gives about so many distinct routes, and has at least so many pages, as each takes a copy of the piece.
+BAND, BAND_PAGES = 4000, 500
+#: Distinct routes and rows that a task is meant to give, where it has more than one band.
+TASK, TASK_ROWS = 3 * BAND, 100_000
 
 
-def routes(pages: DataFrame, scripts: DataFrame, id_col: str, url: str, html: str, piece: int = PIECE) -> DataFrame:
+def routes(pages: DataFrame, scripts: DataFrame, id_col: str, url: str, html: str, piece: int = PIECE, group: int = GROUP, band: int = BAND, band_pages: int = BAND_PAGES) -> DataFrame:
     """scripts: url, body. One row a page and distinct route: id, route (an absolute url), of the page itself and of its ROUTE_MOST best scripts and its build's manifest, as far as they are in ``scripts``.
 
     Null pages, urls without a scheme and scripts without a body give nothing; a script listed twice counts once. A path that one script alone names, and no page itself, can reach a page only once: such paths, usually nearly all, are
-    not made distinct again after the join, so the rows of the result are not shuffled.
+    not made distinct again after the join, so the rows of the result are not shuffled. What is shuffled are pieces of paths and groups of pages of one site, from which the rows are made where they meet: route by route, each with all
+    pages of a group. A task has few distinct routes (Parquet's writer holds 1 MB of them once each before it writes all out), each many times on end, so that in columnar files a row takes a fraction of a byte.
     """
     site, text = origin(F.col(url)), F.coalesce(F.col(html), F.lit(""))
     base = pages.where(site != "").select(F.col(id_col), site.alias("__site"), text.alias("__html"))
@@ -113,16 +118,30 @@ def routes(pages: DataFrame, scripts: DataFrame, id_col: str, url: str, html: st
     said = materialise(said.where((F.col("__s") | F.col("__m")) & urls.is_page(F.col("__path"))).withColumn("__tail", tail(F.col("__path"))))
     alone = said.groupBy("__tail").agg(F.count("*").alias("__n")).where("__n = 1").join(own.select("__tail"), "__tail", "left_anti").select("__tail", F.lit(True).alias("__alone"))
     kinds = F.explode(F.array_compact(F.array(F.lit("either"), F.when(F.col("__s"), "script"), F.when(F.col("__m"), "manifest")))).alias("__kind")
-    said = materialise(said.join(alone, "__tail", "left").select("__url", "__path", "__tail", F.coalesce("__alone", F.lit(False)).alias("__alone"), kinds))
-    pieces = said.groupBy("__url", "__kind", "__alone").agg(F.ceil(F.count("*") / piece).cast("int").alias("__pieces"))
-    packed = said.join(pieces, ["__url", "__kind", "__alone"]).groupBy("__url", "__kind", "__alone", F.pmod(F.xxhash64("__path"), "__pieces").cast("int").alias("__piece"))
-    packed = materialise(packed.agg(F.collect_list("__path").alias("__paths"), F.collect_list("__tail").alias("__tails")))
-    asked_pieces = wanted.join(pieces, ["__url", "__kind"]).select("*", F.explode(F.sequence(F.lit(0), F.col("__pieces") - 1)).alias("__piece")).drop("__pieces")
-    keys = ["__url", "__kind", "__alone", "__piece"]
-    met = spread(asked_pieces, *keys).join(spread(packed, *keys), keys)
-    at_site = F.concat("__site", "__tail").alias("route")
-    once = met.where("__alone and not __odd").select(id_col, "__site", F.explode("__tails").alias("__tail")).select(id_col, at_site)
-    others = own.select(id_col, "__site", "__path").unionByName(met.where("not __alone or __odd").select(id_col, "__site", F.explode("__paths").alias("__path")))
+    said = said.join(alone, "__tail", "left").select("__url", "__path", "__tail", F.coalesce("__alone", F.lit(False)).alias("__alone"), kinds)
+    said = materialise(said.join(wanted.select("__url", "__kind").distinct(), ["__url", "__kind"], "left_semi"))
+    counted = said.groupBy("__url", "__kind", "__alone").agg(F.count("*").alias("__n"))
+    asks = ["__site", "__odd", "__url", "__kind"]
+    askers = materialise(wanted.join(counted.select("__url", "__kind").distinct(), ["__url", "__kind"], "left_semi").groupBy(asks).agg(F.count("*").alias("__asked")))
+    sizes = counted.join(askers.groupBy("__url", "__kind").agg(F.count("*").alias("__sites"), F.sum("__asked").alias("__asked")), ["__url", "__kind"]).withColumn("__pieces", F.ceil(F.col("__n") / piece).cast("int"))
+    bands = F.least(F.ceil(F.col("__sites") * F.col("__n") / F.col("__pieces") / band), F.floor(F.col("__asked") / band_pages))
+    sizes = materialise(sizes.withColumn("__bands", F.greatest(bands, F.lit(1)).cast("int")))
+    packed = said.join(sizes, ["__url", "__kind", "__alone"]).groupBy("__url", "__kind", "__alone", "__bands", F.pmod(F.xxhash64("__path"), "__pieces").cast("int").alias("__piece"))
+    packed = materialise(packed.agg(*(F.sort_array(F.collect_list(x)).alias(x + "s") for x in ("__path", "__tail"))))
+    # Pages of one site that ask for one script, in groups; null ids, which a list leaves out, count as others.
+    ids, none = F.sort_array(F.collect_list(id_col)), F.array(F.lit(None).cast(wanted.schema[id_col].dataType))
+    share = F.pmod(F.xxhash64(id_col), F.ceil(F.col("__asked") / group)).alias("__share")
+    groups = materialise(wanted.join(askers, asks).groupBy(*asks, share).agg(F.when(F.count(id_col) < F.count("*"), F.concat(ids, none)).otherwise(ids).alias("__ids")))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked_pieces = groups.join(sizes.select("__url", "__kind", "__alone", "__pieces", "__bands"), ["__url", "__kind"]).select("__url", "__kind", "__alone", F.pmod(F.xxhash64("__site"), "__bands").cast("int").alias("__band"), "__site", "__odd", "__ids", each("__pieces").alias("__piece"))
+    dealt = packed.select("*", each("__bands").alias("__band")).drop("__bands")
+    keys, of = ["__url", "__kind", "__alone", "__piece", "__band"], sizes.agg(F.sum(F.col("__sites") * F.col("__n")).alias("routes"), F.sum(F.col("__asked") * F.col("__n")).alias("rows")).first()
+    tasks = int(min((of["routes"] or 0) // TASK, (of["rows"] or 0) // TASK_ROWS))
+    met = spread(asked_pieces, *keys, least=tasks).join(spread(dealt, *keys, least=tasks), keys)
+    at_site = F.transform("__tails", lambda t: F.concat("__site", t))
+    once = met.where("__alone and not __odd").select("__ids", F.explode(at_site).alias("route")).select(F.explode("__ids").alias(id_col), "route")
+    shared = met.where("not __alone or __odd").select("__ids", "__site", F.explode("__paths").alias("__path")).select(F.explode("__ids").alias(id_col), "__site", "__path")
+    others = own.select(id_col, "__site", "__path").unionByName(shared)
     return others.select(id_col, urls.without_tracking(F.concat("__site", "__path")).alias("route")).distinct().unionByName(once)
 
 

@@ -1,5 +1,7 @@
 """Routes and endpoints in scripts of pages."""
 
+from pathlib import Path
+
 from loomwright.sources import routes
 
 
@@ -38,6 +40,28 @@ def test_routes_are_not_shuffled(spark):
     assert df._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
 
 
+def test_routes_in_groups_and_bands(spark):
+    """Every page that asks for a script gets each of its paths once, whatever the sizes of pieces, groups and bands; null ids too."""
+    site = lambda i: f"http://s{i % 7}.b"
+    pages = [(i if i % 10 else None, site(i) + f"/{i}", f"<script src='http://cdn.e/{i % 3}.js'></script>") for i in range(60)]
+    paths = {k: [f"/k{k}-{j}" for j in range(20 * k + 1)] + ["/all"] for k in range(3)}
+    scripts = [(f"http://cdn.e/{k}.js", str(x)) for k, x in paths.items()]
+    want = sorted({(i if i % 10 else None, site(i) + p) for i in range(60) for p in paths[i % 3]}, key=str)
+    for piece, group, band, least in ((500, 1000, 4000, 500), (3, 2, 1, 1), (7, 1, 10, 2), (1, 5, 30, 1)):
+        df = routes.routes(spark.createDataFrame(pages, "id int, url string, html string"), spark.createDataFrame(scripts, "url string, body string"), "id", "url", "html", piece, group, band, least)
+        assert sorted((tuple(r) for r in df.collect()), key=str) == want
+
+
+def test_routes_take_little_room(spark, tmp_path):
+    """Routes that many pages of many sites share stand in a file once, not once a page."""
+    pages = spark.range(1200).selectExpr("id", "concat('http://a-shop-of-', id % 60, '.example.com/', id) AS url", "'<script src=\"http://cdn.e/all.js\"></script>' AS html")
+    paths = "".join(f"'/size-{j % 50}/part_{j}'," for j in range(4000))
+    df = routes.routes(pages, spark.createDataFrame([("http://cdn.e/all.js", paths)], "url string, body string"), "id", "url", "html")
+    df.write.parquet(out := str(tmp_path / "routes"))
+    assert spark.read.parquet(out).count() == 1200 * 4000
+    assert sum(f.stat().st_size for f in Path(out).glob("*.parquet")) < 2 * 1200 * 4000
+
+
 def test_endpoints(spark):
     html = """<div data-url='list.json' data-x="/api"></div><script>$.get("/ajax/a"); prefetch("/no"); axios('https://x.y/z'); fetch("/api/log")</script>"""
     pages = [(1, "http://a.b/p/q", html + '<script src="/index.js"></script><script src="/app/main.js"></script><script src="/other.js"></script><script src="/index.js"></script>'), (2, "http://a.b/", None), (3, None, html), (4, "http://a.b/", "")]
